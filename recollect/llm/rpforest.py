@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import complete_runs, run_bounds
 from .rabitq import is_valid, rotation
 
 #: Rows that the forest is fitted on at most; rows in a leaf, about; the deepest tree; index rows in a shard.
 FIT_ROWS, LEAF, DEPTH, SHARD = 16_384, 2048, 12, 8192
+#: Results that a task holds before it sends them on.
+HELD = 1 << 20
 #: Fitted rows by which a search tells what share of the index its leaves hold.
 PILOT = 2048
 
@@ -93,6 +95,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     The forest is fitted on FIT_ROWS rows of df at most (those of least hash) and broadcast, its size being bounded;
     every row of df is indexed in a leaf of each tree, every query goes to leaves that hold `share` of the rows
     together, and within the shards of leaves the candidates are ranked by exact inner products in double precision.
+    A task sends a query's best over all the shards it holds, not over each.
     Shards hold about SHARD rows whatever the size of df: leaves are gathered or salted to that. Small tables (one
     leaf) are searched whole. Longer vectors reach beyond their cell, so where lengths vary greatly raise `share`.
 
@@ -116,14 +119,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     wide = max(0, int(math.log2(max(1, SHARD // leaf_rows))))  # leaves in a shard, as a power of two
     salts = -(-leaf_rows // SHARD)
 
+    kind = np.dtype("<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8")
+
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         v = batch.column("v")
-        fine = np.diff(v.offsets.to_numpy()) == dim
-        part = batch.filter(pa.array(fine))
+        part = batch.filter(pa.array(np.diff(v.offsets.to_numpy()) == dim))
         return part.column("vec_id").to_numpy(), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def as_rows(tree, shard, salt, ids, leaves, x) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(shard, pa.int32()), pa.array(salt, pa.int32()), pa.array(ids, pa.int64()), pa.array(leaves, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["tree", "shard", "salt", "id", "leaves", "x"])
+    def as_rows(tree, shard, salt, asks, ids, leaves, x) -> pa.RecordBatch:
+        task = (np.asarray(tree, np.int64) << 44) + (np.asarray(shard, np.int64) << 24) + np.asarray(salt, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.full(len(task), asks)), pa.array(ids, pa.int64()), pa.array(leaves, pa.binary()), pa.array([r.astype(kind).tobytes() for r in x], pa.binary())], names=["task", "asks", "id", "leaves", "x"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -131,39 +136,40 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
             ids, x = columns(batch)
             leaves = f.leaves(x).astype("<i4")
             for t in range(f.trees):
-                yield as_rows(np.full(len(ids), t), leaves[:, t] >> wide, ids % salts, ids, [leaf.tobytes() for leaf in leaves[:, t]], x)
+                yield as_rows(np.full(len(ids), t), leaves[:, t] >> wide, ids % salts, False, ids, [leaf.tobytes() for leaf in leaves[:, t]], x)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for batch in batches:
             ids, x = columns(batch)
-            out: list[tuple] = []
-            for i, visits in enumerate(f.search(x, share)):
-                by: dict[tuple[int, int], list[int]] = {}
-                for t, leaf in visits:
-                    by.setdefault((t, leaf >> wide), []).append(leaf)
-                out += [(t, s, salt, ids[i], np.array(own, "<i4").tobytes(), x[i]) for (t, s), own in by.items() for salt in range(salts)]
-            yield as_rows(*(list(c) for c in zip(*out, strict=True))) if out else as_rows([], [], [], [], [], [])
-
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def rank(held: pa.Table, asking: pa.Table) -> pa.Table:
-        if not held.num_rows or not asking.num_rows:
-            return result.empty_table()
-        matrix = lambda t: np.frombuffer(b"".join(t.column("x").to_pylist()), float).reshape(-1, dim)
-        ids, x = held.column("id").to_numpy(), matrix(held)
-        leaf = np.frombuffer(b"".join(held.column("leaves").to_pylist()), "<i4")
+            for at in range(0, len(ids), 1000):
+                out: list[tuple] = []
+                for i, visits in enumerate(f.search(x[at : at + 1000], share), at):
+                    by: dict[tuple[int, int], list[int]] = {}
+                    for t, leaf in visits:
+                        by.setdefault((t, leaf >> wide), []).append(leaf)
+                    out += [(t, s, salt, ids[i], np.array(own, "<i4").tobytes(), x[i]) for (t, s), own in by.items() for salt in range(salts)]
+                tree, shard, salt, own_ids, leaves, own = (list(c) for c in zip(*out, strict=True))
+                yield as_rows(tree, shard, salt, True, own_ids, leaves, own)
+
+    def ranked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score): of one shard the k best of each query that comes to it."""
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        all_ids, blobs = group.column("id").to_numpy(), group.column("leaves").to_pylist()
+        all_x = np.frombuffer(b"".join(group.column("x").to_pylist()), kind).reshape(-1, dim).astype(float)
+        ids, x = all_ids[~asks], all_x[~asks]
+        leaf = np.frombuffer(b"".join(b for b, q in zip(blobs, asks, strict=True) if not q), "<i4")
         # of equal vectors in a leaf only the k + 1 smallest ids can be among a query's k
         _, same = np.unique(x.view(np.dtype((np.void, x.itemsize * dim))).ravel(), return_inverse=True)
         order = np.lexsort((ids, same, leaf))
-        head = np.r_[True, (np.diff(same[order]) != 0) | (np.diff(leaf[order]) != 0)]
-        place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        head = np.r_[True, (np.diff(same[order]) != 0) | (np.diff(leaf[order]) != 0)][: len(order)]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else order
         order = order[place <= k]
         ids, x, leaf = ids[order], x[order], leaf[order]
-        q_ids, q = asking.column("id").to_numpy(), matrix(asking)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        visits = [np.frombuffer(b, "<i4") for b in asking.column("leaves").to_pylist()]
-        of, where = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
+        q_ids, q = all_ids[asks], all_x[asks]
+        visits = [np.frombuffer(b, "<i4") for b, own in zip(blobs, asks, strict=True) if own]
+        of, where = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate([np.zeros(0, "<i4"), *visits])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for one in np.unique(where):
             a, b = np.searchsorted(leaf, [one, one + 1])
             askers = of[where == one]
@@ -176,20 +182,39 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
                     edge = np.partition(scores, b - a - k, axis=1)[:, b - a - k]
                     near &= scores >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
                 r, c = np.nonzero(near)
-                out.append((own[r], a + c, (q[own[r]] * x[a + c]).sum(axis=1)))
-        if not out:
-            return result.empty_table()
-        r, c, s = (np.concatenate([x[i] for x in out]) for i in range(3))
-        order = np.lexsort((ids[c], -s, r))
-        r, c, s = r[order], c[order], s[order]
-        start = np.flatnonzero(np.diff(r, prepend=-1))
-        place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-        keep = place < k
-        return pa.Table.from_arrays([pa.array(q_ids[r[keep]]), pa.array(ids[c[keep]]), pa.array(s[keep])], schema=result)
-
-    keys = ["tree", "shard", "salt"]
-    schema = "tree int, shard int, salt int, id long, leaves binary, x binary"
-    held, asking = rows.mapInArrow(index, schema), asked.mapInArrow(probe, schema)
-    found = held.groupBy(keys).cogroup(asking.groupBy(keys)).applyInArrow(rank, "query_id long, vec_id long, score double").distinct()
+                out.append((q_ids[own[r]], ids[a + c], (q[own[r]] * x[a + c]).sum(axis=1)))
+        return best(*(np.concatenate([o[i] for o in out]) for i in range(3)))
+
+    def best(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query, each candidate and score once; ties by id."""
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        fresh = np.r_[True, (np.diff(q) != 0) | (np.diff(c) != 0) | (np.diff(s) != 0)][: len(q)]
+        q, c, s = q[fresh], c[fresh], s[fresh]
+        start = np.flatnonzero(np.r_[True, np.diff(q) != 0][: len(q)])
+        keep = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
+        return q[keep], c[keep], s[keep]
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each query over the shards of a task, gathered up to HELD rows at a time."""
+        names = ["query_id", "vec_id", "score"]
+        held, n_held = [], 0
+        for table in complete_runs(batches, "task"):
+            cuts = run_bounds(table.column("task").to_numpy())
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                held.append(ranked(table.slice(s, e - s)))
+                n_held += len(held[-1][0])
+            if n_held > HELD:
+                held = [best(*(np.concatenate([h[i] for h in held]) for i in range(3)))]
+                n_held = len(held[0][0])
+                if n_held > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
+                    held, n_held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(*(np.concatenate([h[i] for h in held]) for i in range(3)))], names=names)
+
+    schema = "task long, asks boolean, id long, leaves binary, x binary"
+    met = rows.mapInArrow(index, schema).unionByName(asked.mapInArrow(probe, schema)).repartition("task").sortWithinPartitions("task", "asks")
+    found = met.mapInArrow(rank, "query_id long, vec_id long, score double").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
