@@ -66,7 +66,7 @@ class Words:
         raw = np.frombuffer(self.data, np.uint8)
         space = _SPACES[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.starts, self.ends = (edge[1::2], edge[2::2]) if space[0] else (np.r_[0, edge[1::2]], edge[::2])
+        self.starts, self.ends = (edge[::2], edge[1::2]) if space[0] else (np.r_[0, edge[1::2]], edge[::2])
         if len(self.starts) > len(self.ends):
             self.starts = self.starts[: len(self.ends)]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
