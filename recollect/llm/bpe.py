@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import long_texts, slices, texts_of
 from .tokens import Memo, byte_of_char
 
 _made: dict = {}
@@ -107,6 +107,10 @@ class Bpe:
         if len(splits) != 1 or not splits[0]["invert"] or splits[0]["behavior"] != "Removed":
             raise ValueError("only a splitting pattern whose matches are the pieces is supported")
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", _SPACE))
+        # the same for text of ASCII alone, for which NFC changes nothing
+        plain = splits[0]["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0d\x20")
+        self.lowers = any(n["type"] == "Lowercase" for n in (parts["normalizers"] if parts["type"] == "Sequence" else [parts]))
+        self.ascii = None if "\\p" in plain else re.compile(plain).findall
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b side by side: undo the last merges on either side of their border, latest first, and see that no merge across it would have come sooner."""
@@ -164,25 +168,30 @@ class Bpe:
                     break
         return out
 
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a text that is cut at spaces only."""
-        out: list[int] = []
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text that is cut at spaces only, normalised; added tokens are pieces of their own."""
+        if self.ascii and text.isascii() and not (self.special and self.special.search(text)):
+            return self.ascii(text.lower() if self.lowers else text)
+        out: list[str] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                out.append(self.added[part])
+                out.append(part)
                 continue
             for step in self.steps:
                 part = step(part)
-            for found in self.pattern.findall(part):
-                raw = found.encode("utf-8", "surrogatepass").decode("latin-1")
-                out += self.words[raw[:-1] + chr(256 + ord(raw[-1])) if self.suffix else raw]
+            out += self.pattern.findall(part)
         return out
 
-    @property
-    def words(self) -> Memo:
-        if not hasattr(self, "_words"):
-            self._words = Memo(self.piece)
-        return self._words
+    def word(self, piece: str) -> list[int]:
+        """Ids of one piece."""
+        if (added := self.added.get(piece)) is not None:
+            return [added]
+        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        return self.piece(raw[:-1] + chr(256 + ord(raw[-1])) if self.suffix else raw)
+
+    def chunk(self, text: str) -> list[int]:
+        """Ids of a text that is cut at spaces only."""
+        return [i for p in self.pieces(text) for i in self.word(p)]
 
     def token_texts(self, ids) -> str:
         """The decoder: each id's slice of the blob by the offset table, joined as the file says."""
@@ -200,11 +209,17 @@ def bpe(path: str) -> Bpe:
     if path not in _made:
         made = Bpe(path)
 
-        def parts(chunk: str) -> tuple[bytes, str, str]:
-            ids = made.chunk(chunk)
+        def of_word(piece: str) -> tuple[bytes, str, str]:
+            ids = made.word(piece)
             return array.array("I", ids).tobytes(), " ".join(map(str, ids)), made.token_texts(ids)
 
-        made.memo = Memo(parts)
+        def of_chunk(chunk: str) -> tuple[bytes, str, str]:
+            found = [words[p] for p in made.pieces(chunk)]
+            if len(found) == 1:
+                return found[0]
+            return b"".join([x[0] for x in found]), " ".join([x[1] for x in found]), made.joiner.join([x[2] for x in found])
+
+        words, made.memo = Memo(of_word), Memo(of_chunk)
         _made[path] = made
     return _made[path]
 
@@ -223,7 +238,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, ids: bool = True, decoded:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(tokenizer)
         get = coder.memo.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, column), strict=True):
                 found = [x for x in map(get, text.split(" ")) if x[0]]
@@ -243,7 +258,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, ids: bool = True, decoded:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", column).mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in fields))
+    return long_texts(docs).select("doc_id", column).mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in fields))
 
 
 def decode_ids(df: DataFrame, tokenizer: str, column: str = "ids") -> DataFrame:
