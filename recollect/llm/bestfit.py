@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, texts_of
+from .common import long_texts, materialize, slices, texts_of
 from .tokens import encoder
 
 #: Pieces in one rank bucket, about.
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = enc.ids(text) + tail
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
             columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES + ", ids array<int>" * with_ids)
+    return long_texts(docs).select("doc_id", "text").mapInArrow(run, _PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:

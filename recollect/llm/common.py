@@ -60,6 +60,25 @@ def run_bounds(keys: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
 
 
+#: Rows in an Arrow batch of texts, and rows that a task works on at a time.
+BATCH, SLICE = 2000, 250
+
+
+def long_texts(df: DataFrame) -> DataFrame:
+    """df, its session set to Arrow batches of BATCH rows at most: texts may be long, and batches are held in memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, SLICE rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return pc.fill_null(batch.column(column).cast(pa.string()), "").to_pylist()

@@ -20,7 +20,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has a link.
+    """(node, component): the smallest node reachable, for every node that reaches a smaller one.
 
     links: pairs of long ids in either order; repeats and loops do no harm, an empty table gives an empty one. Each
     round is one large-star and one small-star step; the table is written to the shared folder after each, and the

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import texts_of
+from .common import long_texts, slices, texts_of
 
 #: Features (a power of two), bytes weighed at once.
 FEATURES, STEP = 8192, 1 << 20
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, per_language: int = 400, rows: int = 4000, centroid
     Rows without text, letters or lang teach nothing. Whole texts are weighed in Spark's tasks; only their features
     come to the driver, `rows` * FEATURES counts at most.
     """
-    usable = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    usable = long_texts(labelled).filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
     if not sizes:
         return Model(np.ones(FEATURES), np.zeros((0, FEATURES)), [])
@@ -95,7 +95,7 @@ def fit(labelled: DataFrame, per_language: int = 400, rows: int = 4000, centroid
     sample = drawn.withColumn("place", place).filter(F.col("place") <= each).select("lang", "text")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(lang, trigrams(t)) for lang, t in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True) if has_letter(t)]
             at = [np.flatnonzero(c) for _, c in found]
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in found], pa.string()), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i4").tobytes() for a, (_, c) in zip(at, found, strict=True)], pa.binary())], names=["lang", "at", "n"])
@@ -129,13 +129,13 @@ def identify(docs: DataFrame, model: Model, nearest: float = 0.05, keep: bool =
     are weighed whole; repeated rows come back each; an empty table gives no rows. Columns of docs named lang_pred,
     score or rejected are replaced. Nothing is shuffled; the model, of bounded size, is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = long_texts(docs).sparkSession.sparkContext.broadcast(model)
     own = docs.drop("lang_pred", "score", "rejected") if keep else docs.select("doc_id", "text")
     schema = own.schema if keep else own.select("doc_id").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column("text").cast(pa.string()).to_pylist()]
             kept = batch if keep else batch.select(["doc_id"])
             far = [lang == "und" or (s < nearest and bool(model.langs)) for lang, s in found]

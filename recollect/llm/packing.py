@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bestfit import cut
-from .common import texts_of
+from .common import long_texts, slices, texts_of
 from .tokens import encoder
 
 #: Tokens that a task gathers before it packs them: a shard.
@@ -108,7 +108,7 @@ def packed_rows(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int
         shard = (context.partitionId() if context else 0) << 32
         held: list[tuple[int, np.ndarray]] = []
         tokens = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 ids = np.append(np.frombuffer(enc.ids(text), "<u4").astype(kind), kind.type(end_id))
                 if held and tokens + len(ids) > shard_tokens:
@@ -119,7 +119,7 @@ def packed_rows(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int
         if held:
             yield from rows_of(held, shard)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return long_texts(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:

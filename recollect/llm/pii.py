@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import long_texts, slices, texts_of
 
 #: Kinds that are found by pattern and checksum alone, then those that the method adds; spans are listed in this order.
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "national_id")
@@ -106,11 +106,11 @@ def find_pii(docs: DataFrame, column: str = "text") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("pii", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in spans(t)] for t in texts_of(batch, column)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, schema.field("pii").type)], schema=schema)
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, pii array<struct<kind:string,start:long,end:long,score:double>>")
+    return long_texts(docs).select("doc_id", column).mapInArrow(run, "doc_id long, pii array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def listed(pii: Column) -> Column:
@@ -137,8 +137,8 @@ def redact(docs: DataFrame, column: str = "text", mark: str = "[{}]") -> DataFra
         return "".join([*parts, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = pa.array([None if t is None else clean(t) for t in batch.column(at).cast(pa.string()).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return long_texts(docs).mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import complete_runs, forest_edges, materialize, run_bounds, texts_of
+from .common import complete_runs, forest_edges, long_texts, materialize, run_bounds, slices, texts_of
 from .components import components
 
 #: Fingerprints in a tree, shingles hashed at once, and members from which a shard is dealt out further.
@@ -46,11 +46,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t.encode(), shingle, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return long_texts(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 class BkTree:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import long_texts, slices, texts_of
 from .tokens import encoder
 
 #: Rules for a token that crosses a section boundary.
@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", separator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             ids = batch.column("doc_id").to_pylist()
             for text in texts_of(batch, column):
@@ -81,4 +81,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", separator
                 schema=schema,
             )
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double")
+    return long_texts(docs).select("doc_id", column).mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double")

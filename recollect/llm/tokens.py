@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Chunks remembered by a worker (the first to come), and the longest such chunk in characters.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 250_000, 48
 #: How a byte-level tokenizer cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
