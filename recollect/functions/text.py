@@ -23,8 +23,7 @@ def squash(text: Text) -> Column:
 
 def excerpt(text: Text, limit: int = 220) -> Column:
     """One line of at most limit characters, the last three dots where it was cut."""
-    flat = squash(text)
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
+    return F.regexp_replace(squash(text), rf"(?s)^(.{{{limit - 3}}}).{{4,}}$", "$1...")
 
 
 def stable_id(*parts: Text) -> Column:
@@ -59,7 +58,8 @@ def has_any(text: Text, words: Iterable[str]) -> Column:
     t = F.coalesce(col(text), F.lit(""))
     if len(listed) == 1:
         return F.contains(t, F.lit(listed[0]))
-    return t.rlike("|".join(rf"\Q{w}\E" for w in listed))  # one expression however long the list
+    # the text is worked out once, and each word looked for as plain bytes; one small expression however long the list
+    return F.exists(F.array(t), lambda x: F.exists(F.array(*map(F.lit, listed)), lambda w: F.contains(x, w)))
 
 
 def has_any_lower(text: Text, words: Iterable[str]) -> Column:
@@ -141,6 +141,18 @@ def tokens(text: Text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def count_tokens(text: Text) -> Column:
+    """How many tokens() there are, without making them."""
+    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def count_term(text: Text, term: str) -> Column:
+    """How often a lower-cased term is a token; texts that don't hold it anywhere cost one plain search."""
+    t = F.lower(F.coalesce(col(text), F.lit("")))
+    whole = rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])"
+    return F.when(F.contains(t, F.lit(term)), F.regexp_count(t, F.lit(whole))).otherwise(0)
+
+
 def query_terms(query: str) -> list[str]:
     """Distinct lower-cased terms of a query in their order."""
     import re

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import col, has_any_lower, query_terms, tokens
+from ..functions.text import col, count_term, count_tokens, has_any_lower, query_terms
 
 #: Weights of a hit in each field, and the constants of BM25.
 WEIGHTS = {"title": 3.0, "summary": 4.0, "details": 1.0, "tags": 1.5}
@@ -44,19 +44,18 @@ def by_priority(project: str | None, tool: str | None) -> list[Column]:
     return [priority(project, tool), F.when(F.col("tool") == "shared", 0).otherwise(1), F.desc("confidence"), F.desc("stability"), F.col("title"), F.col("id")]
 
 
-def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, key: str = "id") -> DataFrame:
+def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, key: str = "id", carry: Sequence[str] = ()) -> DataFrame:
     """(key, score) of the items that hold a term of the query: BM25 over weighted fields, terms joined by OR.
 
-    Terms are counted within the row, so no postings are exploded: one pass of partial sums gives the statistics (rows,
+    Terms are counted within the row, so no tokens are made or exploded: one pass of partial sums gives the statistics (rows,
     mean length, rows with each term), whose single row is broadcast, and a second pass scores. Fields named tags may be arrays.
     """
     terms = query_terms(query)
     if not terms:
-        return items.select(key, F.lit(0.0).alias("score")).limit(0)
+        return items.select(key, *carry, F.lit(0.0).alias("score")).limit(0)
     text = lambda f: F.array_join(f, " ") if dict(items.dtypes)[f].startswith("array") else F.col(f)
-    counted = items.select(key, *(tokens(text(f)).alias(f"t_{i}") for i, f in enumerate(fields)))
-    hits = lambda term: sum((F.size(F.filter(f"t_{i}", lambda x: x == term)) * w for i, w in enumerate(fields.values())), F.lit(0.0))
-    counted = counted.select(key, sum((F.size(f"t_{i}") for i in range(len(fields))), F.lit(0)).alias("d"), *(hits(t).alias(f"f_{j}") for j, t in enumerate(terms)))
+    hits = lambda term: sum((count_term(text(f), term) * w for f, w in fields.items()), F.lit(0.0))
+    counted = items.select(key, *carry, sum((count_tokens(text(f)) for f in fields), F.lit(0)).alias("d"), *(hits(t).alias(f"f_{j}") for j, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), *(F.count_if(F.col(f"f_{j}") > 0).alias(f"df_{j}") for j in range(len(terms))))
     score = F.lit(0.0)
     for j in range(len(terms)):
@@ -66,7 +65,7 @@ def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, ke
     found = F.lit(False)
     for j in range(len(terms)):
         found = found | (F.col(f"f_{j}") > 0)
-    return counted.join(F.broadcast(stats)).filter(found).select(key, score.alias("score"))
+    return counted.join(F.broadcast(stats)).filter(found).select(key, *carry, score.alias("score"))
 
 
 def normalized(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -117,17 +116,17 @@ def memory_search(items: DataFrame, query: str, vectors: DataFrame | None = None
     """
     rows = items.filter(visible(scope, project, tool) & has_tags(tags))
     fetch = max(3 * limit, 20)
-    text = bm25(rows, query).join(rows.select("id", "confidence"), "id").orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")
+    text = bm25(rows, query, carry=("confidence",)).orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")
     text = normalized(text)
     if vectors is None:
         vectors = text.select("id", F.lit(0.0).alias("similarity")).limit(0)
     near = normalized(vectors.join(rows.select("id"), "id", "left_semi").orderBy(F.desc("similarity"), "id").limit(fetch), "similarity")
-    merged = hybrid(rows, text, near, alpha, semantic).withColumn("way", F.lit(0))
+    order = [F.desc(F.round("hybrid_score", 4)), *by_priority(project, tool)]
+    merged = hybrid(rows, text, near, alpha, semantic).withColumn("way", F.lit(0)).orderBy(*order).limit(limit)
     fallback = keyword_fallback(rows, query, limit, scope, project, tool).select(*items.columns, F.lit(0.0).alias("score"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("hybrid_score"), F.lit(1).alias("way"))
-    every = merged.unionByName(fallback)
-    best = every.agg(F.min("way").alias("_best"))
-    kept = every.join(F.broadcast(best)).filter("way = _best").drop("way", "_best")
-    return kept.orderBy(F.desc(F.round("hybrid_score", 4)), *by_priority(project, tool)).limit(limit)
+    # at most twice the limit are left to choose from
+    best = merged.unionByName(fallback).withColumn("_best", F.min("way").over(Window.partitionBy(F.lit(0))))
+    return best.filter("way = _best").drop("way", "_best").orderBy(*order).limit(limit)
 
 
 def default_memories(items: DataFrame, limit: int, scope=None, project=None, tool=None) -> DataFrame:
