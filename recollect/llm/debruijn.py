@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     one space), then `kept` (text_out: the text itself where nothing goes, else the kept words joined by one space),
     `spans` (spans: compacted paths of repeated windows: first word, end, document and first word of the source) and
     the columns named in carry, as they were. Null and empty texts have no words, and texts of fewer than k words lose
-    none. Rows with equal doc_id don't judge each other. An empty table gives no rows; other columns are ignored.
+    none. Rows with equal doc_id don't judge each other, rows without one neither judge nor lose words. An empty table gives no rows; other columns are ignored.
     Hashes of windows have 64 bits and meet together with 32 independent ones.
     """
     schema_in = docs.schema
@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     buckets = max(1, -(-size // BUCKET_BYTES))
     parts = max(1, size // 24 // GROUP_HASHES)
     kept_in = docs.select("doc_id", "text", *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)))
-    dealt = kept_in.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition("bucket")
+    dealt = kept_in.withColumn("bucket", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).otherwise(buckets + F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int")).repartition("bucket")
     by_bucket, part_of = dealt.groupBy("bucket"), np.uint64(parts)
 
     first = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
@@ -160,6 +160,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     answer = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("source_docs", pa.binary()), ("source_at", pa.binary())])
 
     def minimizers(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:  # rows without doc_id
+            return first.empty_table()
         words, ids = Words(_texts(table)), table.column("doc_id").to_numpy()
         w = words.windows(k)
         least, doc = words.minimizers(k, m)[w], ids[words.doc[w]]
@@ -243,7 +245,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     def removed(table: pa.Table, replies: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         texts = _texts(table)
-        ids = table.column("doc_id").to_numpy()
+        ids = pc.fill_null(table.column("doc_id"), -1).to_numpy()
         words = Words(texts)
         gone = np.zeros(len(words.hash) + 1, np.int64)
         w = np.zeros(0, np.int64)
@@ -274,7 +276,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if text_out:
                 out["kept"].append((kept if n else text).decode())
-        out["doc_id"] = ids
+        out["doc_id"] = table.column("doc_id").combine_chunks()
         if spans:
             # windows that follow each other in a document and in its source are one path
             head = np.r_[True, (np.diff(w) != 1) | (np.diff(source_doc) != 0) | (np.diff(source_at) != 1) | (np.diff(words.doc[w]) != 0)] if len(w) else np.zeros(0, bool)

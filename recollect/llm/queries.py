@@ -78,4 +78,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_best_fit_packing, op4_bpe, op5_token_counts, op6_language_id, op7_simhash, op8_nearest_neighbours, op9_token_output, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+#: All links of valid vectors, then the smallest id reachable, by repeated passes over the links.
+_LINKS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY 1)
+ SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id"""
+
+#: Windows of 13 words, the smallest document that each starts in, and the words under windows that start in a smaller one.
+_WINDOWS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+ hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE m < doc_id),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM hit), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+ u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM w),
+ kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.j) AS t FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.j = gone.j GROUP BY 1)
+ SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _LINKS, "op10_substring_dedup": _WINDOWS}

@@ -111,10 +111,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, confidence: float = 4
     different lengths don't link.
 
     Vectors that are null, empty, zero, or hold null or non-finite components come back with no links, as their own
-    component. Rows that repeat a vec_id come back each. An empty table gives no rows; other columns are ignored.
+    component, and so do rows without a vec_id (not kept). Rows that repeat a vec_id come back each. An empty table gives no rows; other columns are ignored.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    good = rows.filter(is_valid("v"))
+    good = rows.filter(is_valid("v") & F.col("vec_id").isNotNull())
     nodes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     bits, tables = layout(nodes.count(), threshold)
 
@@ -179,5 +179,5 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, confidence: float = 4
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = nodes.join(counts, "rep", "left").join(joined, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(classes, "v").select("vec_id", "n_links", "component_id")
-    out = out.unionByName(rows.filter(~is_valid("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.unionByName(rows.filter(~is_valid("v") | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -100,12 +100,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     leaf) are searched whole. Longer vectors reach beyond their cell, so where lengths vary greatly raise `share`.
 
     Ties go to the smaller vec_id; rows that repeat a vec_id count once for each vector, and rows with the query's own
-    id are left out. Rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do
+    id are left out. Rows without a vec_id and rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do
     vectors of another length than most of the fitted ones. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
-    asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v"))
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
+    asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
     n = rows.count()
     fit = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(FIT_ROWS).select("v").toPandas()["v"].tolist()
     sizes = np.array([len(v) for v in fit], int)

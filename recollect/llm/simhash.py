@@ -141,12 +141,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     and component_id is the smallest doc_id that links reach.
 
     Rows with equal fingerprints, such as texts without words (fingerprint 0), are one node, so copies cost nothing
-    beyond their grouping; null text counts as empty; repeated rows come back each; an empty table gives no rows; other
-    columns are ignored. Fingerprints are written once to the shared folder. The joins back to the documents are on the
+    beyond their grouping; null text counts as empty; rows without a doc_id link by equal fingerprints only; repeated rows come
+    back each; an empty table gives no rows; other columns are ignored. Fingerprints are written once to the shared folder. The joins back to the documents are on the
     fingerprint; adaptive execution splits one that a third of all rows share.
     """
     own = materialize(fingerprints(docs), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = components(links(fps, radius))
+    joined = components(links(fps.filter("rep is not null"), radius))
     classes = fps.join(joined, fps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
