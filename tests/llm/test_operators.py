@@ -436,3 +436,19 @@ def test_language_id(spark):
     assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
     nothing = langid.fit(labelled.filter("false"))
     assert {r.lang_pred for r in langid.identify(frame, nothing).collect()} == {"und"} and langid.identify(frame.filter("false"), model).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, long, "en", None, None), (4, long, None, "s", 1), (7, long, "en", "s", None), (None, None, None, None, None)], schema)
+    got = debruijn.remove_repeats(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 0, 0), (0, 30, 0), (4, 30, 0), (7, 30, 30)]
+    near = simhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in near) == Counter({(None, 4): 1, (4, 4): 1, (7, 4): 1, (None, None): 1})
+    assert pii.find_pii(docs).count() == bpe.encode_documents(docs, WORD).count() == token_counts.count_tokens(docs, BYTE).count() == 4
+    assert packing.unpack(packing.packed_rows(docs, BYTE)).count() == bestfit.pack_documents(docs, BYTE).count() == 4
+    assert langid.identify(docs, langid.fit(langid.training_rows(docs))).count() == 4
+    v = vectors(spark, [(None, [1, 0]), (1, [1, 0]), (2, [1, 0.01]), (None, None)])
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rabitq.near_duplicates(v).collect()) == [(0, 0, 0, False), (0, 0, 0, False), (1, 1, 1, True), (2, 1, 1, False)]
+    assert [(r.query_id, r.vec_id) for r in rpforest.nearest(v, v).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
