@@ -209,11 +209,6 @@ def safe_file(value: Text) -> Column:
     return F.when(made == "", "未命名").otherwise(made)
 
 
-def stars(confidence: Text) -> Column:
-    c = col(confidence)
-    return F.when(c >= 0.85, "★★★").when(c >= 0.75, "★★").when(c >= 0.65, "★").otherwise("")
-
-
 def code_blocks(text: Text) -> Column:
     """Fenced code: array of struct(lang, code), code of 500 characters at most, lang `code` where none is named."""
     t = F.coalesce(col(text), F.lit(""))

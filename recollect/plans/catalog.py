@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
-from ..operators import analytics, digest, distill, govern, index, search, vault, wiki
+from ..operators import analytics, digest, distill, govern, index, render, search, vault, wiki
 from ..sources.model import memories, raw_events, table
 from ..streaming.ingest import land_new, read_new, shared_folder
 from . import sql as S
@@ -725,3 +725,77 @@ def page_notes(spark, sf):
     """Plain text of saved pages."""
     plain = X.squash(F.regexp_replace("html", "<[^>]*>", " "))
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(plain).cast("long").alias("n_text"))
+
+
+# --- routes, renders and further lists ---------------------------------------------------------------------------
+
+_ROUTE = "CASE WHEN status = 'candidate' THEN 'inbox' WHEN scope = 'project' AND project_key IS NOT NULL THEN 'projects/' || project_key || '/memories' WHEN memory_type = 'profile' THEN 'profile' WHEN memory_type = 'procedural' THEN 'procedures' WHEN memory_type = 'episodic' THEN 'episodes' ELSE 'patterns' END"
+
+
+@registered(f"WITH {S.MEMORIES} SELECT {_ROUTE} AS route, count(*) AS count, min(id) AS first_id FROM memories GROUP BY 1")
+def memory_routes(spark, sf):
+    """Folders of memories by status, scope and type."""
+    return memories(spark, sf).groupBy(render.route().alias("route")).agg(F.count("*").alias("count"), F.min("id").alias("first_id"))
+
+
+@registered(f"WITH {S.MEMORIES} SELECT {_ROUTE} AS route, count(*) AS count, round(avg(confidence), 4) AS avg_confidence FROM memories GROUP BY 1")
+def routed_table(spark, sf):
+    """Memories written to a table that is partitioned by folder, and read again."""
+    target = shared_folder(spark, "memories")
+    render.write_routed(memories(spark, sf), target)
+    return spark.read.parquet(target).groupBy("route").agg(F.count("*").alias("count"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+
+
+_STARS = "CASE WHEN confidence >= 0.85e0 THEN '★★★' WHEN confidence >= 0.75e0 THEN '★★☆' WHEN confidence >= 0.65e0 THEN '★☆☆' ELSE '☆☆☆' END"
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, s AS (SELECT *, unnest(list_filter([CASE WHEN memory_type = 'profile' AND scope = 'global' THEN 'personal-profile' END, CASE WHEN memory_type = 'procedural' AND scope IN ('global', 'tool') THEN 'working-style' END, CASE WHEN list_contains(tags, 'watchout') THEN 'watch-outs' END], lambda x: x IS NOT NULL)) AS section FROM memories WHERE status = 'active'),
+ d AS (SELECT *, floor(({AS_OF_S} - coalesce(seen_s, created_s)) / 86400e0)::BIGINT AS days, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, stability DESC, title, id) AS rank FROM s)
+ SELECT section, rank, id, '- **[' || {_STARS} || '] ' || title || '**  (conf:' || format('{{:.2f}}', confidence) || ', stab:' || format('{{:.2f}}', stability) || ')' || chr(10) || '  来源：1个来源 | 最新：' || upper(substr(tool, 1, 1)) || lower(substr(tool, 2)) || ' · ' || CASE WHEN days = 0 THEN '今天' ELSE days || '天前' END AS line FROM d WHERE rank <= 20"""
+)
+def render_profile(spark, sf):
+    """Lines of the profile, working style and warning pages."""
+    items = memories(spark, sf).filter("status = 'active'")
+    lines = render.listed(items, render.sections(), render.bullet(as_of(), F.lit(1), F.col("tool")))
+    return lines.withColumn("rank", F.col("rank").cast("long"))
+
+
+@registered(f"WITH {S.MEMORIES}, s AS (SELECT *, unnest(list_filter([CASE WHEN memory_type = 'semantic' THEN 'Architecture' END, CASE WHEN list_contains(tags, 'watchout') THEN 'Watch Outs' END], lambda x: x IS NOT NULL)) AS section FROM memories WHERE status = 'active' AND scope = 'project'), r AS (SELECT project_key, section, id, title, row_number() OVER (PARTITION BY project_key, section ORDER BY confidence DESC, stability DESC, title, id) AS rank FROM s) SELECT project_key, section, rank, id, '- ' || title AS line FROM r WHERE rank <= 20")
+def render_projects(spark, sf):
+    """Lines of each project's page."""
+    items = memories(spark, sf).filter("status = 'active' and scope = 'project'")
+    lines = render.listed(items, render.project_sections(), F.concat(F.lit("- "), "title"), by=("project_key",))
+    return lines.withColumn("rank", F.col("rank").cast("long"))
+
+
+@registered(f"SELECT doc_id, length(t) >= 24 AND NOT {S.garbled('text')} AND NOT {S.any_of('t', V.NOTE_LOW_VALUE)} AND (length(text) - length(replace(text, chr(10), '')) >= 3 OR {S.any_of('t', V.HIGH_VALUE)}) AS high_value, length(t) >= 12 AND NOT {S.any_of('t', V.LESSON_NOISE)} AND NOT (starts_with(t, '我') AND NOT {S.any_of('t', V.LESSON_FIRST_PERSON)}) AND {S.any_of('t', V.LESSON_SIGNALS)} AS lesson FROM (SELECT *, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM documents)")
+def note_predicates(spark, sf):
+    """Which texts are worth a note, and which state a lesson."""
+    return table(spark, sf, "documents").select("doc_id", X.is_high_value_note("text").alias("high_value"), X.is_lesson("text").alias("lesson"))
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST} SELECT id, len(follow_ups) AS open FROM dig d JOIN (SELECT chunk_id, min(timestamp) AS t FROM chunked GROUP BY 1) c ON d.chunk_id = c.chunk_id WHERE len(follow_ups) > 0 AND {AS_OF_S} - epoch(t::TIMESTAMPTZ)::BIGINT > 140 * 86400")
+def stale_digests(spark, sf):
+    """Digests with open follow-ups that nobody came back to."""
+    d = _digests(spark, sf).withColumn("created_at", TM.parse("created_at"))
+    return analytics.stale(d, as_of(), 140).select("id", F.size("follow_ups").cast("long").alias("open"))
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST} SELECT {S.stable_id("'skill'", 'id')} AS id, title AS name, len(key_decisions) AS steps FROM dig WHERE len(key_decisions) > 0")
+def skills_from_digests(spark, sf):
+    """Skills whose steps are a digest's decisions."""
+    return digest.skills_from_digests(_digests(spark, sf)).select("id", "name", F.size("steps").cast("long").alias("steps"))
+
+
+@registered(f"SELECT doc_id, {S.slug('source || lang')} AS slug, {S.excerpt('text', 48)} AS short, substr(sha1(text), 1, 24) AS content_key FROM documents")
+def text_identities(spark, sf):
+    """Slugs, excerpts and content keys of documents."""
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.concat("source", "lang")).alias("slug"), X.excerpt("text", 48).alias("short"), F.substring(F.sha1("text"), 1, 24).alias("content_key"))
+
+
+@registered(f"WITH {S.MEMORIES}, imp AS (SELECT doc_id AS id, text FROM documents WHERE length(trim(text)) >= 50 AND doc_id NOT IN (SELECT doc_id FROM labels)) SELECT id, {S.excerpt('text', 60)} AS title, 0.92e0 AS confidence, 0.95e0 AS stability FROM imp")
+def imported_notes(spark, sf):
+    """Notes that aren't known yet, as candidates."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return render.imported_notes(d, table(spark, sf, "labels").select(F.col("doc_id").alias("id"))).select("id", "title", "confidence", "stability")
