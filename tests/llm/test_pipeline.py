@@ -65,6 +65,27 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert same(whole) == same(e)
 
 
+def test_near_copies_go_by_similarity(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 150))) for _ in range(60)]
+    for i in range(60):  # copies with a few words changed, and copies of copies
+        words = texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"new{i}"
+        texts.append(" ".join(words).upper() if i % 2 else "  ".join(words))
+    # each is like its neighbours only: the first and last of the chain aren't alike
+    chain = [f"c{n}" for n in range(200)]
+    texts += [" ".join(chain[10 * i : 10 * i + 100]) for i in range(8)] + ["", None]
+    sets = [set(zip(*(w[n:] for n in range(5)), strict=False)) if len(w) > 4 else {tuple(w)} for w in ((t or "").lower().split() for t in texts)]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = reachable(len(texts), alike)
+    assert sum(sets[i] != sets[j] and alike(i, j) for i in range(len(texts)) for j in range(i)) > 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    kept = [r.doc_id for r in got.collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(label)) and kept.count(None) == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
 def test_registered_queries_run(spark):
     from recollect.llm.queries import ORACLE_SQL, QUERIES
