@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
-from ..functions.similarity import length_bound, ratio
+from ..functions.similarity import common_letters, common_subsequence, letter_counts, ratio
 from ..functions.text import clean_project_label, excerpt, is_poor_project_name, polarity, slug, token_set
 
 #: A topic with so many memories and summaries shorter than this on average is too broad.
 BROAD_ITEMS, BROAD_SUMMARY = 8, 80
 #: Evidence of fewer characters than this is weak.
 WEAK = 16
+#: Titles in a block; two blocks are compared in one task.
+TILE = 2048
 
 
 def topic_tags() -> Column:
@@ -171,16 +176,72 @@ def near_titles(items: DataFrame, least: float = 0.8) -> DataFrame:
     return found.unionByName(members)
 
 
+def _like_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(a, b, ab, ba): pairs of titles of one part whose ratio, in one order or the other, is `least` or more; titles: (part, tid, t).
+
+    Every pair of a part is looked at, in tiles of two blocks of TILE titles. No pair is left out unless its lengths,
+    its letters or (up to 64 letters) its longest common subsequence rule it out.
+    """
+    blocks = titles.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    placed = titles.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("part", "tid", "t", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        tid, block = tile.column("tid").to_numpy(), tile.column("block").to_numpy()
+        low, high = tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
+        texts = [t.lower() for t in tile.column("t").to_pylist()]
+        sizes, counts = np.array([len(t) for t in texts], np.int64), letter_counts(texts)
+        # a title of 64 letters has no like one of more letters than this
+        width = min(int(sizes.max(initial=1)), int(64 * (2 - least) / least) + 1)
+        codes = np.zeros((len(texts), width), np.int64)
+        for i, t in enumerate(texts):
+            own = np.frombuffer(t[:width].encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes[i, : len(own)] = own
+        found: list[tuple[int, int, float, float]] = []
+        for i in np.flatnonzero(block == low).tolist():
+            others = np.flatnonzero((block == high) & ((tid > tid[i]) | (low != high)))
+            need = (sizes[i] + sizes[others]) * least / 2 - 1e-9
+            near = np.minimum(sizes[i], sizes[others]) >= need
+            others, need = others[near], need[near]
+            near = common_letters(counts[i], counts[others]) >= need
+            others, need = others[near], need[near]
+            if sizes[i] <= 64 and len(others):
+                others = others[common_subsequence(texts[i], codes[others]) >= need]
+            for j in others.tolist():
+                ab, ba = SequenceMatcher(None, texts[i], texts[j]).ratio(), SequenceMatcher(None, texts[j], texts[i]).ratio()
+                if max(ab, ba) >= least:
+                    found.append((int(tid[i]), int(tid[j]), ab, ba))
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["a", "b", "ab", "ba"])
+
+    return tiles.groupBy("part", "low", "high").applyInArrow(run, "a long, b long, ab double, ba double")
+
+
 def duplicate_concepts(items: DataFrame, title: float = 0.83, both: float = 0.72) -> DataFrame:
     """(first_id, second_id, title_ratio, summary_ratio): memories of one project and type with like titles, or like titles and summaries, by the matching-blocks ratio.
 
-    The ratio is worked out for pairs that share a title word among the rarest of their titles and whose lengths allow it.
+    All such pairs, those of copies too, so their number is quadratic in what is alike. Ratios are worked out once for
+    equal titles and once for equal titles and summaries; null counts as empty.
     """
-    likely = near_titles(items, 0.4).select("first_id", "second_id")
-    text = lambda p, n: items.select(F.col("id").alias(f"{p}_id"), F.col("title").alias(f"{n}t"), F.col("summary").alias(f"{n}s"))
-    pairs = likely.join(text("first", "a"), "first_id").join(text("second", "b"), "second_id").filter(length_bound(F.col("at"), F.col("bt")) >= both)
-    rated = pairs.withColumn("title_ratio", ratio("at", "bt")).filter(F.col("title_ratio") >= both).withColumn("summary_ratio", ratio("as", "bs"))
-    return rated.filter((F.col("title_ratio") >= title) | (F.col("summary_ratio") >= both)).select("first_id", "second_id", "title_ratio", "summary_ratio")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = items.select(F.col("id").cast("long").alias("id"), F.concat_ws("\u0001", F.coalesce("project_key", F.lit("\u0000")), "memory_type").alias("part"), text("title").alias("t"), text("summary").alias("s"))
+    classes = rows.groupBy("part", "t", "s").agg(F.min("id").alias("cid"))
+    titles = classes.groupBy("part", "t").agg(F.min("cid").alias("tid"))
+    classes = classes.join(titles, ["part", "t"]).select("part", "t", "s", "cid", "tid")
+    like = _like_titles(titles, both).unionByName(titles.select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("ab"), F.lit(1.0).alias("ba")))
+    side = lambda n: classes.select(F.col("tid").alias(n), F.col("cid").alias(f"{n}_cid"), F.col("s").alias(f"{n}_s"))
+    pairs = like.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("a_cid") <= F.col("b_cid")))
+    same = F.col("a_s") == F.col("b_s")
+    rated = pairs.filter(~same).withColumn("s_ab", ratio("a_s", "b_s")).withColumn("s_ba", ratio("b_s", "a_s")).unionByName(pairs.filter(same).withColumn("s_ab", F.lit(1.0)).withColumn("s_ba", F.lit(1.0)))
+    ok = lambda t, s: (F.col(t) >= title) | ((F.col(t) >= both) & (F.col(s) >= both))
+    rated = rated.filter(ok("ab", "s_ab") | ok("ba", "s_ba")).select("a_cid", "b_cid", "ab", "ba", "s_ab", "s_ba")
+    members = rows.join(classes.select("part", "t", "s", "cid"), ["part", "t", "s"])
+    member = lambda n: members.select(F.col("cid").alias(f"{n}_cid"), F.col("id").alias(f"{n}_id"))
+    found = rated.join(member("a"), "a_cid").join(member("b"), "b_cid").filter((F.col("a_cid") != F.col("b_cid")) | (F.col("a_id") < F.col("b_id")))
+    ahead = F.col("a_id") < F.col("b_id")
+    found = found.select(F.least("a_id", "b_id").alias("first_id"), F.greatest("a_id", "b_id").alias("second_id"), F.when(ahead, F.col("ab")).otherwise(F.col("ba")).alias("title_ratio"), F.when(ahead, F.col("s_ab")).otherwise(F.col("s_ba")).alias("summary_ratio"))
+    return found.filter(ok("title_ratio", "summary_ratio"))
 
 
 def lint_counts(issues: DataFrame) -> DataFrame:

@@ -174,6 +174,35 @@ def test_near_titles_finds_all(spark):
     assert {(r.first_id, r.second_id) for r in got.collect()} == {(a, b) for a, b in want if a in nodes and b in nodes} | {(first[frozenset(sets[i])], i) for i in sets if i not in nodes}
 
 
+def test_duplicate_concepts_finds_all(spark, monkeypatch):
+    import itertools
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(wiki, "TILE", 16)
+    rng = random.Random(8)
+    bases = ["Use python logging", "use PYTHON logging", "日志记录的规则与方法", "правила ведения журнала", "a b c d e f", "", "x" * 70 + " and more of it", "Trash the license of the reserved house"]
+    made = []
+    for _ in range(90):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice("aé日 z")
+        made.append({"title": "".join(t), "summary": rng.choice(["always log", "always logs", "日志", "never mind at all"]), "project_key": rng.choice(["p", None]), "memory_type": rng.choice(["semantic", "procedural"])})
+    made += [dict(made[0]), dict(made[0]), dict(made[0], summary="quite another summary"), dict(made[0], title="logging python use")]
+    m = items(spark, made)
+    rows = m.select("id", "project_key", "memory_type", "title", "summary").orderBy("id").collect()
+    sim = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {}
+    for a, b in itertools.combinations(rows, 2):
+        if (a.project_key, a.memory_type) == (b.project_key, b.memory_type):
+            t, s = sim(a.title, b.title), sim(a.summary, b.summary)
+            if t >= 0.83 or (t >= 0.72 and s >= 0.72):
+                want[a.id, b.id] = (t, s)
+    got = wiki.duplicate_concepts(m).collect()
+    assert len(got) == len(want) > 100 and {(r.first_id, r.second_id): (r.title_ratio, r.summary_ratio) for r in got} == want
+
+
 def test_vault(spark):
     n = vault.notes(events(spark, ["计划：write the roadmap for the coming weeks", "short", "计划：write the roadmap for the coming weeks", "计划：write the roadmap for the coming weeks and so on"], project="team-1"))
     g = vault.grouped_notes(n).orderBy("title").collect()
