@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
+from ..functions.similarity import Matchable, common_letters, letter_counts
 from ..functions.text import all_matches, code_blocks, excerpt, first_match, has_any_lower, sentences_with, stable_id, token_set
 
 #: Messages of a chunk, and sessions shorter than this stay whole under their own id.
 CHUNK, WHOLE = 20, 4
+#: Texts of digests and of memories that are compared in one task.
+TILE = (2048, 512)
 
 
 def chunks(events: DataFrame, order: Sequence[str] = ("timestamp", "line_no")) -> DataFrame:
@@ -117,25 +124,66 @@ def new_digests(made: DataFrame, known: DataFrame) -> DataFrame:
     return made.join(known.select("id"), "id", "left_anti")
 
 
-def edges(digests_: DataFrame, memories: DataFrame, with_ratio: bool = False) -> DataFrame:
-    """(digest_id, memory_id, score, connection_type): 0.4 for two shared title words, 0.5 for the same project, and the
-    text ratio where it is 0.3 or more; edges from 0.3, `extends` from 0.6.
+def like_texts(digests_: DataFrame, memories: DataFrame, least: float = 0.3) -> DataFrame:
+    """(digest_id, memory_id, score): all pairs whose text ratio is `least` or more; digests_: (digest_id, dt), memories: (memory_id, mt).
 
-    Pairs come from equal title words and equal projects alone, never from all pairs. with_ratio adds the ratio for the
-    pairs so found, behind a bound by their lengths.
+    Texts are classed by their length so that a pair above the bound lies in neighbouring classes; within these every
+    pair of different texts is looked at, in tiles, and left out only where its lengths, its letters or what can match
+    from rare letters rule it out. Work is quadratic in the texts of a class.
     """
-    from ..functions.similarity import length_bound, ratio
+    texts = lambda df, c: df.select(F.col(c).alias("text")).distinct().withColumn("level", F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / math.log((2 - least) / least + 0.05)).cast("int"))
+    d, m = texts(digests_, "dt"), texts(memories, "mt")
+    deal = lambda df, n, c: df.withColumn(c, F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"))
+    n_d, all_m = -(-d.count() // TILE[0]) or 1, m.count()
+    # small tables are dealt to all cores
+    n_m = max(1, -(-all_m // TILE[1]), min(all_m // 16, 4 * d.sparkSession.sparkContext.defaultParallelism))
+    every = lambda n: F.explode(F.array(*map(F.lit, range(n)))) if n < 1000 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = deal(d, n_d, "i").withColumn("j", every(n_m)).withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+    right = deal(m, n_m, "j").withColumn("i", every(n_d))
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        a, b = ours.column("text").to_pylist(), theirs.column("text").to_pylist()
+        found: list[tuple[str, str, float]] = []
+        if a and b:
+            x, y = [t.lower() for t in a], [t.lower() for t in b]
+            sizes, counts, matcher, matchable = np.array([len(t) for t in x]), letter_counts(x).astype(np.int32), SequenceMatcher(None), Matchable(x)
+            for k, text in enumerate(y):
+                need = (sizes + len(text)) * least / 2 - 1e-9
+                near = np.flatnonzero(np.minimum(sizes, len(text)) >= need)
+                if not len(near):
+                    continue
+                near = near[common_letters(letter_counts([text])[0].astype(np.int32), counts[near]) >= need[near]]
+                if not len(near):
+                    continue
+                matcher.set_seq2(text)
+                if len(text) >= 200:
+                    near = near[matchable.within(text, matcher.b2j)[near] >= need[near]]
+                for i in near.tolist():
+                    matcher.set_seq1(x[i])
+                    if (r := matcher.ratio()) >= least:
+                        found.append((a[i], b[k], r))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["dt", "mt", "score"])
+
+    pairs = left.groupBy("level", "i", "j").cogroup(right.groupBy("level", "i", "j")).applyInArrow(run, "dt string, mt string, score double")
+    return pairs.join(digests_.select("digest_id", "dt"), "dt").join(memories.select("memory_id", "mt"), "mt").select("digest_id", "memory_id", "score")
+
 
+def edges(digests_: DataFrame, memories: DataFrame, with_ratio: bool = False) -> DataFrame:
+    """(digest_id, memory_id, score, connection_type): the greatest of 0.4 for two shared title words, 0.5 for the same
+    project, and (with_ratio) the text ratio where it is 0.3 or more; edges from 0.3, `extends` from 0.6.
+
+    Without the ratio, pairs come from equal title words and equal projects alone; with it, like_texts looks at all.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != ""))
     d = digests_.select(F.col("id").alias("digest_id"), words("title").alias("dw"), F.col("related_project").alias("dp"), F.lower(F.concat_ws(" ", "title", F.array_join("insights", " "), F.array_join("fragments", " "))).alias("dt"))
     m = memories.select(F.col("id").cast("string").alias("memory_id"), words("title").alias("mw"), F.col("project_key").alias("mp"), F.lower(F.concat_ws(" ", "title", "summary", "details", F.array_join("tags", " "))).alias("mt"))
     by_word = d.select("digest_id", F.explode("dw").alias("w")).join(m.select("memory_id", F.explode("mw").alias("w")), "w").groupBy("digest_id", "memory_id").agg(F.count("*").alias("shared")).filter("shared >= 2").select("digest_id", "memory_id", F.lit(0.4).alias("score"))
-    by_project = d.join(m, d.dp == m.mp).select("digest_id", "memory_id", F.lit(0.5).alias("score"))
-    pairs = by_word.unionByName(by_project).groupBy("digest_id", "memory_id").agg(F.max("score").alias("score"))
+    by_project = d.join(m, (d.dp == m.mp) & (d.dp != "")).select("digest_id", "memory_id", F.lit(0.5).alias("score"))
+    found = by_word.unionByName(by_project)
     if with_ratio:
-        both = pairs.join(d.select("digest_id", "dt"), "digest_id").join(m.select("memory_id", "mt"), "memory_id")
-        likely = F.when(length_bound(F.col("dt"), F.col("mt")) > F.col("score"), ratio("dt", "mt")).otherwise(0.0)
-        pairs = both.withColumn("r", likely).select("digest_id", "memory_id", F.greatest("score", F.when(F.col("r") >= 0.3, F.col("r")).otherwise(0.0)).alias("score"))
+        found = found.unionByName(like_texts(d.select("digest_id", "dt"), m.select("memory_id", "mt")))
+    pairs = found.groupBy("digest_id", "memory_id").agg(F.max("score").alias("score"))
     return pairs.withColumn("connection_type", F.when(F.col("score") >= 0.6, "extends").otherwise("relates_to"))
 
 

@@ -553,12 +553,18 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(title), '\s+'),
     f"""WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, {S.MEMORIES}, dw AS (SELECT id, unnest({_WORDS}) AS w FROM dig), mw AS (SELECT id, unnest({_WORDS}) AS w FROM memories WHERE status = 'active')
  SELECT dw.id AS digest_id, mw.id::VARCHAR AS memory_id, 0.4e0 AS score, 'relates_to' AS connection_type FROM dw JOIN mw ON dw.w = mw.w GROUP BY 1, 2 HAVING count(*) >= 2"""
 )
-def digest_memory_edges(spark, sf):
-    """Digests and memories that share title words; pairs are made by equal words only."""
+def digest_memory_word_edges(spark, sf):
+    """Digests and memories that share title words; pairs are made by equal words only: the twin of digest_memory_edges that SQL can say."""
     d = _digests(spark, sf).withColumn("related_project", F.lit(None).cast("string"))
     return digest.edges(d, memories(spark, sf).filter("status = 'active'"))
 
 
+@registered()
+def digest_memory_edges(spark, sf):
+    """Digests and memories by the full score: text ratio, title words, project."""
+    return digest.edges(_digests(spark, sf), memories(spark, sf), True).withColumn("score", F.round("score", 4))
+
+
 # --- pages -------------------------------------------------------------------------------------------------------
 
 _TOPICS = f"topic AS (SELECT *, unnest(list_distinct(list_filter(tags, lambda t: NOT list_contains([{', '.join(map(S.q, V.GENERIC_TAGS))}], t)))) AS topic FROM memories)"

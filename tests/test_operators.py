@@ -1,6 +1,7 @@
 import datetime as dt
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +143,55 @@ def test_milestones(spark):
     assert [(r.m.reached, r.m.next, r.m.progress_pct) if r.m else None for r in got] == [None, (10, 25, 16.7), (50, 100, 60.0), (500, None, 90.9), (500, None, 100.0)]
 
 
+def test_full_edge_score_finds_all(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(digest, "TILE", (7, 5))
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["Log", "python", "rules", "日志记录", "naïve", "qz", "house", "of"]) for _ in range(n))
+    ds = [(f"d{i}", say(rng.randint(0, 5)), [say(3)] * rng.randint(0, 2), ["片段 (sql)"] * rng.randint(0, 1), rng.choice(["p", "q", "", None])) for i in range(25)]
+    ms = [{"title": say(rng.randint(0, 4)), "summary": say(rng.randint(0, 6)), "details": say(rng.choice([0, 3, 60])), "project_key": rng.choice(["p", "r", "", None]), "tags": ["xyz"] * rng.randint(0, 1)} for _ in range(30)]
+    ms += [dict(ms[0]), {"title": ds[0][1], "summary": " ".join(ds[0][2]), "details": " ".join(ds[0][3])}]
+    d = spark.createDataFrame(ds, "id string, title string, insights array<string>, fragments array<string>, related_project string")
+    want = {}
+    for i, title, insights, fragments, project in ds:
+        for n, m in enumerate(ms, 1):
+            ours, theirs = f"{title} {' '.join(insights)} {' '.join(fragments)}".lower(), f"{m['title']} {m['summary']} {m['details']} {' '.join(m.get('tags', []))}".lower()
+            r = SequenceMatcher(None, ours, theirs).ratio()
+            score = max(r if r >= 0.3 else 0, 0.4 * (len(set(title.lower().split()) & set(m["title"].lower().split())) >= 2), 0.5 * bool(project and project == m.get("project_key")))
+            if score >= 0.3:
+                want[i, str(n)] = (score, "extends" if score >= 0.6 else "relates_to")
+    got = digest.edges(d, items(spark, ms), True).collect()
+    assert len(got) == len(want) and {(r.digest_id, r.memory_id): (r.score, r.connection_type) for r in got} == want
+    assert {0.4, 0.5} < {s for s, _ in want.values()} and {t for _, t in want.values()} == {"extends", "relates_to"}
+
+
+def test_bounds_hold():
+    import random
+    from difflib import SequenceMatcher
+
+    from recollect.functions.similarity import Matchable, common_letters, common_subsequence, letter_counts
+
+    rng = random.Random(2)
+    kinds = ["ab", "abcdefgh zqx", "etaoin shrdlu,日志é" * 3 + "qz7"]
+    draw = lambda n: "".join(rng.choice(rng.choice(kinds)) for _ in range(n))
+    for _ in range(60):
+        long = draw(rng.randint(200, 700))
+        texts = [draw(rng.randint(0, 90)) for _ in range(6)] + [long[i : i + rng.randint(1, 64)] for i in (0, 0, 40, 90)] + ["", long[:30] + draw(20), draw(5) + long[60:160]]
+        long_first = SequenceMatcher(None, "", long)
+        bound = Matchable(texts).within(long, long_first.b2j)
+        letters = common_letters(letter_counts([long])[0].astype(int), letter_counts(texts).astype(int))
+        codes = np.zeros((1, len(long)), np.int64)
+        codes[0] = [ord(c) for c in long]
+        for i, t in enumerate(texts):
+            long_first.set_seq1(t)
+            matched = sum(b.size for b in long_first.get_matching_blocks())
+            assert matched <= bound[i] and matched <= letters[i]
+            if len(t) <= 64:
+                assert matched <= common_subsequence(t, codes)[0] <= len(t)
+
+
 def test_wiki(spark):
     m = items(spark, [
         {"title": "Use python logging", "summary": "always log", "tags": ["python", "rule"], "project_key": "p"}, {"title": "Skip python logging", "summary": "never log", "tags": ["python"], "project_key": "p"},
