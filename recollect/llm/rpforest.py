@@ -162,6 +162,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
         # of equal vectors in a leaf only the k + 1 smallest ids can be among a query's k
         _, same = np.unique(x.view(np.dtype((np.void, x.itemsize * dim))).ravel(), return_inverse=True)
         order = np.lexsort((ids, same, leaf))
+        # rows that repeat count once, so they take no others' places
+        order = order[np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(same[order]) != 0) | (np.diff(leaf[order]) != 0)][: len(order)]]
         head = np.r_[True, (np.diff(same[order]) != 0) | (np.diff(leaf[order]) != 0)][: len(order)]
         place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else order
         order = order[place <= k]

@@ -352,6 +352,13 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r.vec_id for r in got] == list(range(3, 42, 2))
 
 
+def test_repeated_rows_take_no_places(spark):
+    near = [(7, [1.0, 0.0])] * 30
+    rows = vectors(spark, [(0, [1.0, 0.0]), *near, *((100 + i, [0.9 - i / 100, 0.1]) for i in range(25)), *((200 + i, [1.0, 0.0]) for i in range(3))])
+    got = rpforest.nearest(rows, rows.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 200, 201, 202, *range(100, 116)]
+
+
 # --- substrings --------------------------------------------------------------------------------------------------
 
 
