@@ -137,6 +137,16 @@ def _undelta(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(np.where(before > 0, total[before - 1], 0) if len(total) else before, counts)
 
 
+def compact(w: np.ndarray, doc: np.ndarray, source_doc: np.ndarray, source_at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, start, end): repeated windows that follow each other in a document and in its source are one path; head is
+    the number of its first window, start and end are its words. w ascending, doc: of each window."""
+    if not len(w):
+        return w, w, w
+    heads = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(source_doc) != 0) | (np.diff(source_at) != 1) | (np.diff(doc) != 0)])
+    tails = np.r_[heads[1:], len(w)] - 1
+    return heads, w[heads], w[tails] + k
+
+
 def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = False, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word under a window of k words whose words also start somewhere in a document with a smaller doc_id.
 
@@ -248,7 +258,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         ids = pc.fill_null(table.column("doc_id"), -1).to_numpy()
         words = Words(texts)
         gone = np.zeros(len(words.hash) + 1, np.int64)
-        w = np.zeros(0, np.int64)
+        w = source_doc = source_at = np.zeros(0, np.int64)
         if replies.num_rows:
             counts = _joined(replies.column("docs"), "<i8")[1]
             doc, at = _joined(replies.column("docs"), "<i8")[0], _undelta(_joined(replies.column("at"), "<i4")[0], counts)
@@ -261,8 +271,10 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
             place = np.minimum(np.searchsorted(key, runs[w]), len(key) - 1)
             hit = (key[place] == runs[w]) & (source_doc[place] < ids[words.doc[w]])
             w, source_doc, source_at = w[hit], source_doc[place[hit]], source_at[place[hit]]
-            gone[w] += 1
-            np.subtract.at(gone, w + k, 1)
+        # the words of the compacted paths go
+        heads, starts, ends = compact(w, words.doc[w], source_doc, source_at, k)
+        np.add.at(gone, starts, 1)
+        np.subtract.at(gone, ends, 1)
         gone = np.cumsum(gone[:-1]) > 0
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
         data, total = words.data, np.r_[0, np.cumsum(gone)]
@@ -278,14 +290,10 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
                 out["kept"].append((kept if n else text).decode())
         out["doc_id"] = table.column("doc_id").combine_chunks()
         if spans:
-            # windows that follow each other in a document and in its source are one path
-            head = np.r_[True, (np.diff(w) != 1) | (np.diff(source_doc) != 0) | (np.diff(source_at) != 1) | (np.diff(words.doc[w]) != 0)] if len(w) else np.zeros(0, bool)
-            heads = np.flatnonzero(head)
-            tails = np.r_[heads[1:], len(w)] - 1 if len(heads) else heads
             found: list[list[dict]] = [[] for _ in texts]
-            for x, y in zip(heads.tolist(), tails.tolist(), strict=True):
-                i = int(words.doc[w[x]])
-                found[i].append({"start": int(w[x] - words.first[i]), "end": int(w[y] - words.first[i]) + k, "source_doc": int(source_doc[x]), "source_start": int(source_at[x])})
+            for x, start, end in zip(heads.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                i = int(words.doc[start])
+                found[i].append({"start": int(start - words.first[i]), "end": int(end - words.first[i]), "source_doc": int(source_doc[x]), "source_start": int(source_at[x])})
             out["spans"] = found
         made = [pa.array(out[n], t) for n, t, _ in out_fields]
         extra = [table.column(f"_carry_{i}") for i in range(len(carry))]

@@ -421,6 +421,13 @@ def test_substrings_over_many_buckets(spark, monkeypatch):
     assert len(got) == 82 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+def test_paths_are_compacted():
+    w, doc = np.array([3, 4, 5, 9, 10, 20, 21]), np.array([0, 0, 0, 0, 0, 1, 1])
+    heads, starts, ends = debruijn.compact(w, doc, np.array([7, 7, 7, 7, 8, 7, 7]), np.array([0, 1, 2, 6, 7, 4, 9]), 13)
+    assert list(zip(heads, starts, ends, strict=True)) == [(0, 3, 18), (3, 9, 22), (4, 10, 23), (5, 20, 33), (6, 21, 34)]
+    assert [len(x) for x in debruijn.compact(*[np.zeros(0, np.int64)] * 4, 13)] == [0, 0, 0]
+
+
 # --- languages ---------------------------------------------------------------------------------------------------
 
 
