@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         least = words.minimizers(k, m)[w]
         known = np.unique(_joined(replies.column("hashes"), "<u8")[0])
         found = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least if len(known) else np.zeros(len(w), bool)
-        w, least = w[found], least[found]
+        w = w[found]
         hashes, checks, doc = words.runs(k)[w], (words.runs(k, _BASE)[w] >> np.uint64(32)).astype("<u4"), ids[words.doc[w]]
         # of each window, the first place and the first in another document
         order = np.argsort(hashes, kind="stable")
@@ -214,9 +214,10 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         nth = np.cumsum(other)
         nth -= np.maximum.accumulate(np.where(start, nth, 0))
         keep = np.sort(order[start | (other & (nth == 1))])
-        w, hashes, checks, doc, least = w[keep], hashes[keep], checks[keep], doc[keep], least[keep]
+        w, hashes, checks, doc = w[keep], hashes[keep], checks[keep], doc[keep]
         at = w - words.first[words.doc[w]]
-        group = least % part_of
+        # by their own hash, so that a minimizer with many different windows isn't one group
+        group = hashes % part_of
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order], prepend=group[order][:1] + np.uint64(1)))
         delta = at[order].copy()

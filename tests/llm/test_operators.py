@@ -421,6 +421,30 @@ def test_substrings_over_many_buckets(spark, monkeypatch):
     assert len(got) == 82 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+def test_windows_of_one_minimizer_are_spread(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(debruijn, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(debruijn, "GROUP_HASHES", 50)
+    met, plain = [], GroupedData.applyInArrow
+
+    def watched(self, f, schema):
+        met.extend([self._df] * (f.__name__ == "sources"))
+        return plain(self, f, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", watched)
+    # the seven words with the least hash of all, in surroundings that differ
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randint(0, 50_000)}" for _ in range(n)]
+    phrase = min((draw(7) for _ in range(3000)), key=lambda p: int(debruijn.Words([" ".join(p).encode()]).runs(7)[0]))
+    docs = [(i, " ".join([*draw(10), *phrase, *draw(10)])) for i in range(120)]
+    got = debruijn.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = plain_removal(docs)
+    assert len(got) == 120 and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+    sizes = [r.n for r in met[0].groupBy("part").agg((F.sum(F.octet_length("hashes")) / 8).alias("n")).collect()]
+    assert sum(sizes) > 600 and max(sizes) < 0.3 * sum(sizes)
+
+
 def test_paths_are_compacted():
     w, doc = np.array([3, 4, 5, 9, 10, 20, 21]), np.array([0, 0, 0, 0, 0, 1, 1])
     heads, starts, ends = debruijn.compact(w, doc, np.array([7, 7, 7, 7, 8, 7, 7]), np.array([0, 1, 2, 6, 7, 4, 9]), 13)
