@@ -5,8 +5,11 @@ in two documents or more matter, and they are found in two steps so that few of
 hash of the m-word sequences inside a window (its minimizer) stands for it first: equal windows have equal minimizers,
 and neighbouring windows mostly share theirs, so only a quarter as many values meet, and the windows over minimizers
 that occur in one document only are out. The windows left over then meet by their own hash, and each learns the
-smallest document, and the place in it, that it occurs in: its source coordinates. Back in its document, neighbouring
-repeated windows whose source coordinates follow each other are a path without branches and are compacted into one span.
+smallest document, and the place in it, that it occurs in: its source coordinates.
+
+Edges that follow each other in a document and in its source are a path without branches between the two; Spark
+compacts them (windows and sums over edge rows). Each distinct path is then joined with its source document, whose
+words come back with it, and a word goes only if the words of the path at the source are the document's own.
 
 Documents are dealt once into buckets of a few megabytes. A bucket sends each hash once (twice if several of its own
 documents hold it) whatever the number of copies, so a passage that a third of all documents share weighs as much as
@@ -16,50 +19,73 @@ there are buckets, and answers go to buckets, not to documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Bytes of text in a bucket of documents, and hashes in a group that meets, about.
 BUCKET_BYTES, GROUP_HASHES = 2 << 20, 200_000
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: XXH64's primes, and seeds of the two hashes of a word.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SEED, CHECK_SEED = 42, 43
+_STEP = np.uint64(0xA0761D6478BD642F)
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= _MUL
+    x = x ^ (x >> np.uint64(33))
+    x *= _P2
     x ^= x >> np.uint64(29)
+    x *= _P3
+    x ^= x >> np.uint64(32)
     return x
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base**0..n-1 modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[start:end] for each word, all words of a length at once; from 32 bytes on by the library."""
+    from xxhash import xxh64_intdigest
+
+    raw = data + bytes(8)
+    one, four, eight = (np.ndarray((len(raw) - 7,), t, raw, strides=(1,)) for t in ("u1", "<u4", "<u8"))
+    sizes = ends - starts
+    order = np.argsort(np.minimum(sizes, 32).astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(np.minimum(sizes, 32)[order], np.arange(34))
+    out = np.empty(len(starts), np.uint64)
+    for size in range(1, 32):
+        own = order[cuts[size] : cuts[size + 1]]
+        if not len(own):
+            continue
+        at = starts[own]
+        h = np.full(len(own), (seed + int(_P5) + size) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for _ in range(size // 8):
+            h = _turn(h ^ (_turn(eight[at] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at = at + 8
+        if size % 8 >= 4:
+            h = _turn(h ^ (four[at].astype(np.uint64) * _P1), 23) * _P2 + _P3
+            at = at + 4
+        for _ in range(size % 4):
+            h = _turn(h ^ (one[at].astype(np.uint64) * _P5), 11) * _P1
+            at = at + 1
+        out[own] = _mix(h)
+    for i in order[cuts[32] :].tolist():
+        out[i] = xxh64_intdigest(data[starts[i] : ends[i]], seed)
+    return out
 
 
 class Words:
-    """The words of some texts laid end to end: where each begins and ends, its text, and its 64-bit hash.
-
-    A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums, and mixed.
-    """
+    """The words of some texts laid end to end: where each begins and ends, its text, and its 64-bit hash."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data = b" ".join(texts) + b" "
@@ -72,22 +98,18 @@ class Words:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offsets = np.cumsum(sizes) - sizes
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_of(_BASE, len(raw)))])
-        back = _powers_of(pow(_BASE, -1, 1 << 64), len(raw))
-        self.hash = _mix((total[self.ends] - total[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64) * _MUL)
+        self.hash = word_hashes(self.data, self.starts, self.ends, SEED)
         #: first word of each text, and the number of words at the end
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def runs(self, k: int, step: int = _STEP) -> np.ndarray:
+    def runs(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on (k - 1 fewer than there are words)."""
-        n = len(self.hash) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for j in range(k):
-            out *= np.uint64(step)
-            out += self.hash[j : j + n]
-        return _mix(out)
+        return _run_hashes(self.hash, np.arange(max(len(self.hash) - k + 1, 0)), k)
+
+    def checks(self, k: int, at: np.ndarray) -> np.ndarray:
+        """32 further bits for the k words from each word in `at` on, from hashes of the words of their own."""
+        other = word_hashes(self.data, self.starts, self.ends, CHECK_SEED)
+        return (_run_hashes(other, at, k) >> np.uint64(32)).astype("<u4")
 
     def windows(self, k: int) -> np.ndarray:
         """First words of the windows of k words that lie in one text."""
@@ -104,6 +126,15 @@ class Words:
         return least
 
 
+def _run_hashes(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out += words[at + j] if len(at) < len(words) - k + 1 else words[j : j + len(at)]
+        out *= _STEP
+        out ^= out >> np.uint64(29)
+    return _mix(out)
+
+
 def _texts(table: pa.Table) -> list[bytes]:
     return pc.fill_null(table.column("text").cast(pa.binary()), b"").to_pylist()
 
@@ -147,27 +178,79 @@ def compact(w: np.ndarray, doc: np.ndarray, source_doc: np.ndarray, source_at: n
     return heads, w[heads], w[tails] + k
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = False, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+class Bucket:
+    """The rows of a bucket by doc_id: their words, ids, and the first word of the first row that has the same id."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.texts = _texts(self.table)
+        self.words = Words(self.texts)
+        self.ids = pc.fill_null(self.table.column("doc_id"), -1).to_numpy()
+        self.base = self.words.first[np.searchsorted(self.ids, self.ids)]
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    """Edges compacted into paths: (bucket, doc, start, n, source_doc, source_start), n edges from the place start on.
+
+    edges: (bucket, doc, at, source_doc, source_at), held by bucket. Edges of a path lie on one diagonal (at - source_at)
+    of a document and its source, without a gap, so `at` and its rank on the diagonal differ by the same along a path.
+    """
+    diagonal = edges.withColumn("diagonal", F.col("at") - F.col("source_at"))
+    along = Window.partitionBy("bucket", "doc", "source_doc", "diagonal").orderBy("at")
+    runs = diagonal.withColumn("run", F.col("at") - F.row_number().over(along)).groupBy("bucket", "doc", "source_doc", "diagonal", "run")
+    return runs.agg(F.min("at").alias("start"), F.count("*").cast("int").alias("n")).select("bucket", "doc", "start", "n", "source_doc", (F.col("start") - F.col("diagonal")).alias("source_start"))
+
+
+def _confirmed(bucket: Bucket, w: np.ndarray, path: np.ndarray, source_at: np.ndarray, path_start: np.ndarray, path_words: list[bytes], k: int) -> np.ndarray:
+    """Which of the windows w have the words that stand in their path at the source; path and source_at: of each window."""
+    words, ok, split = bucket.words, np.zeros(len(w), bool), {}
+    heads = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(path) != 0) | (np.diff(source_at) != 1)][: len(w)])
+
+    def same(a: int, b: int, cuts: np.ndarray, text: bytes, at: int) -> bool:
+        """Whether words a to b are the words from `at` on of the path."""
+        own, other = words.data[words.starts[a] : words.ends[b - 1]], text[cuts[at] : cuts[at + b - a] - 1]
+        return own == other or b" ".join(own.split()) == other
+
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(w)], strict=True):
+        p = int(path[s])
+        if p not in split:
+            split[p] = np.r_[0, np.flatnonzero(np.frombuffer(path_words[p], np.uint8) == 32) + 1, len(path_words[p]) + 1]
+        cuts, text, at = split[p], path_words[p], int(source_at[s] - path_start[p])
+        if same(w[s], w[e - 1] + k, cuts, text, at):
+            ok[s:e] = True
+        else:
+            for i in range(s, e):
+                ok[i] = same(w[i], w[i] + k, cuts, text, at + i - s)
+    return ok
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = False, spans: bool = False, row: bool = False) -> DataFrame:
     """Remove every word under a window of k words whose words also start somewhere in a document with a smaller doc_id.
 
     Windows are judged on the input. Returns for each row doc_id, n_words, n_removed, kept_sha256 (kept words, joined by
     one space), then `kept` (text_out: the text itself where nothing goes, else the kept words joined by one space),
     `spans` (spans: compacted paths of repeated windows: first word, end, document and first word of the source) and
-    the columns named in carry, as they were. Null and empty texts have no words, and texts of fewer than k words lose
-    none. Rows with equal doc_id don't judge each other, rows without one neither judge nor lose words. An empty table gives no rows; other columns are ignored.
-    Hashes of windows have 64 bits and meet together with 32 independent ones.
+    `row` (row: all columns of the row but doc_id and text, as they were, in one struct, so that no names clash). Null
+    and empty texts have no words, and texts of fewer than k words lose none. Rows with equal doc_id don't judge each
+    other, rows without one neither judge nor lose words. An empty table gives no rows; other columns are ignored.
+
+    Hashes of windows have 64 bits and meet together with 32 further ones from word hashes of another seed; whatever
+    they say, no word goes unless its window's words stand at the source coordinates.
     """
-    schema_in = docs.schema
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     parts = max(1, size // 24 // GROUP_HASHES)
-    kept_in = docs.select("doc_id", "text", *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)))
-    dealt = kept_in.withColumn("bucket", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).otherwise(buckets + F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int")).repartition("bucket")
+    bucket_of = lambda doc: F.pmod(F.xxhash64(doc), F.lit(buckets))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole: list[Column] = [F.struct(*(F.col(f"`{c}`") for c in rest) if rest else [F.lit(None).cast("int").alias("none")]).alias("row")] if row else []
+    kept_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *whole)
+    dealt = kept_in.withColumn("bucket", F.when(F.col("doc_id").isNotNull(), bucket_of("doc_id")).otherwise(buckets + bucket_of("text")).cast("int")).repartition("bucket")
     by_bucket, part_of = dealt.groupBy("bucket"), np.uint64(parts)
 
     first = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
     second = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
-    answer = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("source_docs", pa.binary()), ("source_at", pa.binary())])
+    edge = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("source_doc", pa.int64()), ("source_at", pa.int32())])
+    spoken = pa.schema([("source_doc", pa.int64()), ("source_start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
     def minimizers(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= buckets:  # rows without doc_id
@@ -198,14 +281,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return second.empty_table()
-        table = table.sort_by("doc_id")
-        words, ids = Words(_texts(table)), table.column("doc_id").to_numpy()
+        held = Bucket(table)
+        words, ids = held.words, held.ids
         w = words.windows(k)
         least = words.minimizers(k, m)[w]
         known = np.unique(_joined(replies.column("hashes"), "<u8")[0])
         found = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least if len(known) else np.zeros(len(w), bool)
         w = w[found]
-        hashes, checks, doc = words.runs(k)[w], (words.runs(k, _BASE)[w] >> np.uint64(32)).astype("<u4"), ids[words.doc[w]]
+        hashes, doc = words.runs(k)[w], ids[words.doc[w]]
         # of each window, the first place and the first in another document
         order = np.argsort(hashes, kind="stable")
         h, d = hashes[order], doc[order]
@@ -214,8 +297,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         nth = np.cumsum(other)
         nth -= np.maximum.accumulate(np.where(start, nth, 0))
         keep = np.sort(order[start | (other & (nth == 1))])
-        w, hashes, checks, doc = w[keep], hashes[keep], checks[keep], doc[keep]
-        at = w - words.first[words.doc[w]]
+        w, hashes, doc = w[keep], hashes[keep], doc[keep]
+        at = w - held.base[words.doc[w]]
         # by their own hash, so that a minimizer with many different windows isn't one group
         group = hashes % part_of
         order = np.argsort(group, kind="stable")
@@ -225,7 +308,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         delta[cuts] = at[order][cuts]
         back = np.empty_like(delta)
         back[order] = delta
-        return _blobs(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": checks, "docs": doc.astype("<i8"), "at": back.astype("<i4")}, second)
+        return _blobs(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": words.checks(k, w), "docs": doc.astype("<i8"), "at": back.astype("<i4")}, second)
 
     def sources(table: pa.Table) -> pa.Table:
         hashes, counts = _joined(table.column("hashes"), "<u8")
@@ -236,17 +319,22 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         h, c, d = hashes[order], checks[order], docs_[order]
         start = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])][: len(h)]
         head = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-        source_doc, source_at = d[head], at[order][head]
         # one answer for each bucket that holds the window in another document than its source
-        later = np.flatnonzero(d != source_doc)
-        rows = order[later]
-        back = np.lexsort((at[rows], docs_[rows], bucket[rows]))
-        rows, later = rows[back], later[back]
-        b, x, y = bucket[rows], at[rows], source_at[later]
-        new = np.r_[True, b[1:] != b[:-1]][: len(b)]
-        dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
-        dx[new], dy[new] = x[new], y[new]
-        return _blobs(b, table.column("part")[0].as_py(), {"docs": docs_[rows].astype("<i8"), "at": dx.astype("<i4"), "source_docs": source_doc[later].astype("<i8"), "source_at": dy.astype("<i4")}, answer, by="bucket")
+        later = np.flatnonzero(d != d[head])
+        rows, source = order[later], order[head[later]]
+        return pa.Table.from_arrays([pa.array(bucket[rows], pa.int32()), pa.array(docs_[rows]), pa.array(at[rows].astype(np.int32)), pa.array(docs_[source]), pa.array(at[source].astype(np.int32))], schema=edge)
+
+    def speak(table: pa.Table, asked: pa.Table) -> pa.Table:
+        """The words of every path that is asked for, from its source document."""
+        if not table.num_rows or not asked.num_rows:
+            return spoken.empty_table()
+        own = table.filter(pc.is_in(table.column("doc_id"), pc.unique(asked.column("source_doc")))).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        by: dict[int, list[bytes]] = {}
+        for doc, text in zip(own.column("doc_id").to_pylist(), _texts(own), strict=True):
+            by.setdefault(doc, []).extend(text.split())
+        rows = asked.select(["source_doc", "source_start", "n"])
+        said = [b" ".join(by[doc][at : at + n + k - 1]) for doc, at, n in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
+        return rows.append_column("words", pa.array(said, pa.binary())).cast(spoken)
 
     out_fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     out_fields += [("kept", pa.string(), "string")] * text_out
@@ -254,25 +342,27 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     out_fields += [("spans", span_type, "array<struct<start:long,end:long,source_doc:long,source_start:long>>")] * spans
 
     def removed(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        texts = _texts(table)
-        ids = pc.fill_null(table.column("doc_id"), -1).to_numpy()
-        words = Words(texts)
+        held = Bucket(table)
+        table, texts, ids, words = held.table, held.texts, held.ids, held.words
         gone = np.zeros(len(words.hash) + 1, np.int64)
         w = source_doc = source_at = np.zeros(0, np.int64)
         if replies.num_rows:
-            counts = _joined(replies.column("docs"), "<i8")[1]
-            doc, at = _joined(replies.column("docs"), "<i8")[0], _undelta(_joined(replies.column("at"), "<i4")[0], counts)
-            source_doc, source_at = _joined(replies.column("source_docs"), "<i8")[0], _undelta(_joined(replies.column("source_at"), "<i4")[0], counts)
+            start, n, path_start = (replies.column(c).to_numpy().astype(np.int64) for c in ("start", "n", "source_start"))
+            first_word = words.first[np.searchsorted(ids, replies.column("doc").to_numpy())] + start
+            path = np.repeat(np.arange(len(n)), n)
+            along = np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
             runs = words.runs(k)
-            key = runs[words.first[np.searchsorted(ids, doc)] + at]
-            key, index = np.unique(key, return_index=True)
-            source_doc, source_at = source_doc[index], source_at[index]
+            key, index = np.unique(runs[first_word[path] + along], return_index=True)
+            path, along = path[index], along[index]
             w = words.windows(k)
             place = np.minimum(np.searchsorted(key, runs[w]), len(key) - 1)
-            hit = (key[place] == runs[w]) & (source_doc[place] < ids[words.doc[w]])
-            w, source_doc, source_at = w[hit], source_doc[place[hit]], source_at[place[hit]]
-        # the words of the compacted paths go
+            from_doc = replies.column("source_doc").to_numpy()
+            hit = (key[place] == runs[w]) & (from_doc[path[place]] < ids[words.doc[w]])
+            w, place = w[hit], place[hit]
+            source_doc, source_at = from_doc[path[place]], path_start[path[place]] + along[place]
+            ok = _confirmed(held, w, path[place], source_at, path_start, replies.column("words").to_pylist(), k)
+            w, source_doc, source_at = w[ok], source_doc[ok], source_at[ok]
+        # the words of the paths go
         heads, starts, ends = compact(w, words.doc[w], source_doc, source_at, k)
         np.add.at(gone, starts, 1)
         np.subtract.at(gone, ends, 1)
@@ -297,15 +387,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
                 found[i].append({"start": int(start - words.first[i]), "end": int(end - words.first[i]), "source_doc": int(source_doc[x]), "source_start": int(source_at[x])})
             out["spans"] = found
         made = [pa.array(out[n], t) for n, t, _ in out_fields]
-        extra = [table.column(f"_carry_{i}") for i in range(len(carry))]
-        return pa.Table.from_arrays([*made, *extra], names=[n for n, _, _ in out_fields] + [f"_carry_{i}" for i in range(len(carry))])
+        return pa.Table.from_arrays([*made, *([table.column("row")] if row else [])], names=[n for n, _, _ in out_fields] + ["row"] * row)
 
     ddl = lambda s: ", ".join(f"{f.name} {dict(int64='long', int32='int', binary='binary')[str(f.type)]}" for f in s)
     met = by_bucket.applyInArrow(minimizers, ddl(first)).groupBy("part").applyInArrow(repeated, ddl(first))
-    edges = by_bucket.cogroup(met.groupBy("bucket")).applyInArrow(candidates, ddl(second))
-    told = edges.groupBy("part").applyInArrow(sources, ddl(answer))
+    windows = by_bucket.cogroup(met.groupBy("bucket")).applyInArrow(candidates, ddl(second))
+    paths = _paths(windows.groupBy("part").applyInArrow(sources, ddl(edge)).repartition("bucket"))
+    asked = paths.select("source_doc", "source_start", "n").distinct().withColumn("bucket", bucket_of("source_doc").cast("int"))
+    words_at = by_bucket.cogroup(asked.groupBy("bucket")).applyInArrow(speak, ddl(spoken))
+    told = paths.join(words_at, ["source_doc", "source_start", "n"])
     result = T._parse_datatype_string(", ".join(f"{n} {t}" for n, _, t in out_fields))
-    for i, c in enumerate(carry):
-        result = result.add(f"_carry_{i}", schema_in[c].dataType)
-    found = by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(removed, result)
-    return found.withColumnsRenamed({f"_carry_{i}": c for i, c in enumerate(carry)})
+    return by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(removed, result.add("row", kept_in.schema["row"].dataType) if row else result)

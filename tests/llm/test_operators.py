@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,10 +396,10 @@ def test_substrings(spark):
     rng.shuffle(ids)
     docs = list(zip(ids, texts, strict=True))
     frame = spark.createDataFrame([(i, t, "s", "h") for i, t in docs], "doc_id long, text string, bucket string, hashes string")
-    got = by_id(debruijn.remove_repeats(frame, text_out=True, spans=True, carry=("bucket", "hashes")))
+    got = by_id(debruijn.remove_repeats(frame, text_out=True, spans=True, row=True))
     want = plain_removal(docs)
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == want
-    assert all(r.bucket == "s" and r.hashes == "h" for r in got.values())
+    assert all(r.row.bucket == "s" and r.row.hashes == "h" for r in got.values())
     by_text = dict(docs)
     for i, r in got.items():
         w = WORDS.findall(by_text[i] or "")
@@ -445,6 +446,53 @@ def test_windows_of_one_minimizer_are_spread(spark, monkeypatch):
     assert sum(sizes) > 600 and max(sizes) < 0.3 * sum(sizes)
 
 
+def test_word_hashes_are_xxh64():
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(3)
+    words = [rng.randbytes(n).translate(bytes(range(33, 256)) + bytes([65] * 33)) for n in [*range(1, 80), *rng.choices(range(1, 20), k=300)]]
+    data = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    for seed in (debruijn.SEED, debruijn.CHECK_SEED):
+        got = debruijn.word_hashes(data, ends - [len(w) for w in words], ends, seed)
+        assert got.tolist() == [xxh64_intdigest(w, seed) for w in words]
+
+
+def test_alike_words_are_told_apart(spark):
+    turns = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+    tail = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{turns(0)} {tail}"), (2, f"{turns(1)} {tail}"), (3, f"{turns(0)} {tail}"), (4, f"start {turns(1)}\n{tail} end")]
+    got = debruijn.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (13, 0), 2: (13, 0), 3: (13, 13), 4: (15, 13)}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_removal(docs)
+
+
+def test_only_words_that_stand_at_the_source_go():
+    """Windows that meet by hash, as if it had failed in places: the words at the source decide."""
+    own = "a b  c d\te f g h i j"
+    bucket = debruijn.Bucket(pa.table({"doc_id": pa.array([7], pa.int64()), "text": [own]}))
+    w, k = np.arange(8), 3
+    for source, want in (("a b c d e f g h i j", [True] * 8), ("a b c d X f g h i j", [True, True, False, False, False, True, True, True]), ("X b c d e f g h i X", [False, *[True] * 6, False])):
+        got = debruijn._confirmed(bucket, w, np.zeros(8, int), w + 40, np.array([40]), [source.encode()], k)
+        assert got.tolist() == want
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(n))
+    passage = draw(30)
+    docs = [(3, draw(40)), (3, f"{draw(5)} {passage}"), (3, draw(7)), (8, f"{draw(20)} {passage} {draw(3)}"), (8, passage)]
+    got = debruijn.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(3, 7, 0), (3, 35, 0), (3, 40, 0), (8, 30, 30), (8, 53, 30)]
+
+
+def test_edges_are_compacted_in_spark(spark):
+    rows = [(0, 5, a, 1, a + 10) for a in (3, 4, 5, 9)] + [(0, 5, 10, 2, 20), (0, 5, 6, 1, 4), (1, 5, 7, 1, 17), (0, 6, 6, 1, 16), (0, 5, 11, 2, 21)]
+    edges = spark.createDataFrame(rows, "bucket int, doc long, at int, source_doc long, source_at int")
+    got = sorted(tuple(r) for r in debruijn._paths(edges).collect())
+    assert got == [(0, 5, 3, 3, 1, 13), (0, 5, 6, 1, 1, 4), (0, 5, 9, 1, 1, 19), (0, 5, 10, 2, 2, 20), (0, 6, 6, 1, 1, 16), (1, 5, 7, 1, 1, 17)]
+
+
 def test_paths_are_compacted():
     w, doc = np.array([3, 4, 5, 9, 10, 20, 21]), np.array([0, 0, 0, 0, 0, 1, 1])
     heads, starts, ends = debruijn.compact(w, doc, np.array([7, 7, 7, 7, 8, 7, 7]), np.array([0, 1, 2, 6, 7, 4, 9]), 13)
@@ -470,12 +518,54 @@ def test_language_id(spark):
     assert [got[9100 + i].lang_pred for i in range(3)] == ["und"] * 3 and all(got[9100 + i].rejected for i in range(4))
     assert (got[9104].lang_pred, got[9105].lang_pred) == ("en", "en") and not got[9104].rejected
     assert all(0 <= r.score <= 1 for r in got.values())
-    kept = langid.identify(frame, model, keep=True)
-    assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    kept = langid.identify(frame, model, row=True)
+    assert kept.columns == ["doc_id", "row", "lang_pred", "score", "rejected"] and {r.row.score for r in kept.collect()} == {"clash"}
+    # texts of no learned language are too far from all
+    for other in ("日本語のテキスト", "kedi uyuyor ve yağmur yağıyor", "Лес шумит за рекой"):
+        assert model.predict(other)[2] and not model.predict("the house and the thing with the house")[2]
     nothing = langid.fit(labelled.filter("false"))
     assert {r.lang_pred for r in langid.identify(frame, nothing).collect()} == {"und"} and langid.identify(frame.filter("false"), model).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Weights, centroids, cosines and the learned distance, worked out anew from counts of byte trigrams in dictionaries."""
+    rng = random.Random(17)
+    lexicon = {"en": ["the", "and", "with", "house", "thing"], "fr": ["le", "et", "avec", "maison", "été", "où"]}
+    rows = [(i, " ".join(rng.choices(lexicon[lang], k=rng.randint(2, 30))), lang) for i, lang in enumerate(rng.choices(list(lexicon), k=60))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), centroids=1)
+
+    def counts(text):
+        words = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ")
+        grams = Counter(((words[i] << 16 | words[i + 1] << 8 | words[i + 2]) * 2654435761 % 2**32) >> 19 for i in range(len(words) - 2))
+        return grams
+
+    seen = [(lang, counts(t)) for _, t, lang in rows]
+    df = Counter(g for _, c in seen for g in c)
+    idf = {g: math.log((1 + len(seen)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def unit(c):
+        v = {g: (1 + math.log(n)) * idf.get(g, math.log(1 + len(seen)) + 1) for g, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    centers, least = {}, {}
+    for lang in lexicon:
+        own = [unit(c) for at, c in seen if at == lang]
+        total = Counter()
+        for v in own:
+            total.update(v)
+        size = math.sqrt(sum(x * x for x in total.values()))
+        centers[lang] = {g: x / size for g, x in total.items()}
+        near = sorted(sum(x * centers[lang].get(g, 0) for g, x in v.items()) * math.sqrt(1 + 400 / len(v)) for v in own)
+        least[lang] = np.quantile(near, 0.01)
+    for text in [t for _, t, _ in rows[:20]] + ["la maison and the été", "x", "zebra quux"]:
+        v = unit(counts(text))
+        scores = {lang: sum(x * c.get(g, 0) for g, x in v.items()) for lang, c in centers.items()}
+        lang, score, rejected = model.predict(text)
+        assert abs(score - max(scores.values())) < 1e-5 and abs(scores[lang] - score) < 1e-5
+        assert rejected == (score * math.sqrt(1 + 400 / len(v)) < 0.5 * least[lang])
+
+
 def test_rows_without_an_id(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     long = " ".join(f"w{i}" for i in range(30))

@@ -65,6 +65,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert same(whole) == same(e)
 
 
+def test_names_that_operators_use_themselves(spark, tmp_path):
+    """Columns of any name and type go through all stages as they are."""
+    names = ["n_words", "n_removed", "kept", "kept_sha256", "score", "rejected", "lang_pred", "row", "bucket", "spans", "rep", "key", "component_id", "hashes", "part", "a b", "length"]
+    rows = [(*r, *(f"{n}-{r[0]}" for n in names)) for r in corpus()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() and all(r[n] == f"{n}-{r.doc_id}" for r in docs.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
 def test_near_copies_go_by_similarity(spark):
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 150))) for _ in range(60)]
