@@ -7,9 +7,10 @@ and neighbouring windows mostly share theirs, so only a quarter as many values m
 that occur in one document only are out. The windows left over then meet by their own hash, and each learns the
 smallest document, and the place in it, that it occurs in: its source coordinates.
 
-Edges that follow each other in a document and in its source are a path without branches between the two; Spark
-compacts them (windows and sums over edge rows). Each distinct path is then joined with its source document, whose
-words come back with it, and a word goes only if the words of the path at the source are the document's own.
+Edges that follow each other in a document and in its source are strung together where they lie, in the buckets. The
+strings of all buckets meet in Spark joins by their source: wherever one begins or ends, documents part ways, so the
+joins cut there and leave the paths without branches of the whole graph, each once. A path is then joined with its
+source document, whose words come back with it, and a word goes only if the words of the path are the document's own.
 
 Documents are dealt once into buckets of a few megabytes. A bucket sends each hash once (twice if several of its own
 documents hold it) whatever the number of copies, so a passage that a third of all documents share weighs as much as
@@ -26,7 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Bytes of text in a bucket of documents, and hashes in a group that meets, about.
 BUCKET_BYTES, GROUP_HASHES = 2 << 20, 200_000
@@ -158,8 +158,14 @@ def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(rows), kind), np.array([len(x) // size for x in rows], np.int64)
 
 
-def _delta(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=0).astype("<i4")
+def _deltas(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Differences along each group (in the order given), from 0."""
+    order = np.argsort(group, kind="stable")
+    y = x[order]
+    new = np.r_[True, np.diff(group[order]) != 0][: len(y)]
+    out = np.empty_like(x)
+    out[order] = y - np.where(new, 0, np.r_[0, y[:-1]][: len(y)])
+    return out
 
 
 def _undelta(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -189,16 +195,18 @@ class Bucket:
         self.base = self.words.first[np.searchsorted(self.ids, self.ids)]
 
 
-def _paths(edges: DataFrame) -> DataFrame:
-    """Edges compacted into paths: (bucket, doc, start, n, source_doc, source_start), n edges from the place start on.
+def compact_paths(strings: DataFrame) -> DataFrame:
+    """Strings of edges cut into the paths without branches that all strings together leave, n edges from `start` on.
 
-    edges: (bucket, doc, at, source_doc, source_at), held by bucket. Edges of a path lie on one diagonal (at - source_at)
-    of a document and its source, without a gap, so `at` and its rank on the diagonal differ by the same along a path.
+    strings: (bucket, doc, start, n, source_doc, source_start). Where a string begins or ends in its source, some
+    document enters or leaves the graph, so no path goes across. The cuts of a source are as many as its words at most.
     """
-    diagonal = edges.withColumn("diagonal", F.col("at") - F.col("source_at"))
-    along = Window.partitionBy("bucket", "doc", "source_doc", "diagonal").orderBy("at")
-    runs = diagonal.withColumn("run", F.col("at") - F.row_number().over(along)).groupBy("bucket", "doc", "source_doc", "diagonal", "run")
-    return runs.agg(F.min("at").alias("start"), F.count("*").cast("int").alias("n")).select("bucket", "doc", "start", "n", "source_doc", (F.col("start") - F.col("diagonal")).alias("source_start"))
+    edge_of = F.explode(F.array("source_start", F.col("source_start") + F.col("n")))
+    cuts = strings.select("source_doc", edge_of.alias("cut")).distinct().groupBy("source_doc").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    inside = F.expr("filter(cuts, c -> c >= source_start and c < source_start + n)")
+    ends = F.expr("filter(cuts, c -> c > source_start and c <= source_start + n)")
+    parts = strings.join(cuts, "source_doc").withColumn("path", F.explode(F.arrays_zip(inside.alias("at"), ends.alias("end"))))
+    return parts.select("bucket", "doc", (F.col("start") + F.col("path.at") - F.col("source_start")).alias("start"), (F.col("path.end") - F.col("path.at")).alias("n"), "source_doc", F.col("path.at").alias("source_start"))
 
 
 def _confirmed(bucket: Bucket, w: np.ndarray, path: np.ndarray, source_at: np.ndarray, path_start: np.ndarray, path_words: list[bytes], k: int) -> np.ndarray:
@@ -249,7 +257,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
 
     first = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
     second = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
-    edge = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("source_doc", pa.int64()), ("source_at", pa.int32())])
+    answer = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("docs", pa.binary()), ("at", pa.binary()), ("source_docs", pa.binary()), ("source_at", pa.binary())])
+    string = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_start", pa.int32())])
     spoken = pa.schema([("source_doc", pa.int64()), ("source_start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
     def minimizers(table: pa.Table) -> pa.Table:
@@ -301,18 +310,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         at = w - held.base[words.doc[w]]
         # by their own hash, so that a minimizer with many different windows isn't one group
         group = hashes % part_of
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order], prepend=group[order][:1] + np.uint64(1)))
-        delta = at[order].copy()
-        delta[1:] -= at[order][:-1]
-        delta[cuts] = at[order][cuts]
-        back = np.empty_like(delta)
-        back[order] = delta
-        return _blobs(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": words.checks(k, w), "docs": doc.astype("<i8"), "at": back.astype("<i4")}, second)
+        return _blobs(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": words.checks(k, w), "docs": _deltas(doc, group).astype("<i8"), "at": _deltas(at, group).astype("<i4")}, second)
 
     def sources(table: pa.Table) -> pa.Table:
         hashes, counts = _joined(table.column("hashes"), "<u8")
-        checks, docs_ = _joined(table.column("checks"), "<u4")[0], _joined(table.column("docs"), "<i8")[0]
+        checks, docs_ = _joined(table.column("checks"), "<u4")[0], _undelta(_joined(table.column("docs"), "<i8")[0], counts)
         at = _undelta(_joined(table.column("at"), "<i4")[0], counts)
         bucket = np.repeat(table.column("bucket").to_numpy(), counts)
         order = np.lexsort((at, docs_, checks, hashes))
@@ -322,7 +324,22 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         # one answer for each bucket that holds the window in another document than its source
         later = np.flatnonzero(d != d[head])
         rows, source = order[later], order[head[later]]
-        return pa.Table.from_arrays([pa.array(bucket[rows], pa.int32()), pa.array(docs_[rows]), pa.array(at[rows].astype(np.int32)), pa.array(docs_[source]), pa.array(at[source].astype(np.int32))], schema=edge)
+        # by bucket and place, so that differences are small
+        back = np.lexsort((at[rows], docs_[rows], bucket[rows]))
+        rows, source = rows[back], source[back]
+        b = bucket[rows]
+        values = {"docs": (docs_[rows], "<i8"), "at": (at[rows], "<i4"), "source_docs": (docs_[source], "<i8"), "source_at": (at[source], "<i4")}
+        return _blobs(b, table.column("part")[0].as_py(), {name: _deltas(x, b).astype(kind) for name, (x, kind) in values.items()}, answer, by="bucket")
+
+    def strings(table: pa.Table) -> pa.Table:
+        """A bucket's edges, those that follow each other in their document and in their source as one string."""
+        counts = _joined(table.column("docs"), "<i8")[1]
+        doc, at, source_doc, source_at = (_undelta(_joined(table.column(c), kind)[0], counts) for c, kind in (("docs", "<i8"), ("at", "<i4"), ("source_docs", "<i8"), ("source_at", "<i4")))
+        order = np.lexsort((at, doc))
+        doc, at, source_doc, source_at = doc[order], at[order], source_doc[order], source_at[order]
+        heads, start, end = compact(at, doc, source_doc, source_at, 0)
+        columns = [np.full(len(heads), table.column("bucket")[0].as_py()), doc[heads], start, end - start + 1, source_doc[heads], source_at[heads]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, string, strict=True)], schema=string)
 
     def speak(table: pa.Table, asked: pa.Table) -> pa.Table:
         """The words of every path that is asked for, from its source document."""
@@ -392,7 +409,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
     ddl = lambda s: ", ".join(f"{f.name} {dict(int64='long', int32='int', binary='binary')[str(f.type)]}" for f in s)
     met = by_bucket.applyInArrow(minimizers, ddl(first)).groupBy("part").applyInArrow(repeated, ddl(first))
     windows = by_bucket.cogroup(met.groupBy("bucket")).applyInArrow(candidates, ddl(second))
-    paths = _paths(windows.groupBy("part").applyInArrow(sources, ddl(edge)).repartition("bucket"))
+    paths = compact_paths(windows.groupBy("part").applyInArrow(sources, ddl(answer)).groupBy("bucket").applyInArrow(strings, ddl(string)))
     asked = paths.select("source_doc", "source_start", "n").distinct().withColumn("bucket", bucket_of("source_doc").cast("int"))
     words_at = by_bucket.cogroup(asked.groupBy("bucket")).applyInArrow(speak, ddl(spoken))
     told = paths.join(words_at, ["source_doc", "source_start", "n"])

@@ -486,11 +486,12 @@ def test_rows_that_share_an_id(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(3, 7, 0), (3, 35, 0), (3, 40, 0), (8, 30, 30), (8, 53, 30)]
 
 
-def test_edges_are_compacted_in_spark(spark):
-    rows = [(0, 5, a, 1, a + 10) for a in (3, 4, 5, 9)] + [(0, 5, 10, 2, 20), (0, 5, 6, 1, 4), (1, 5, 7, 1, 17), (0, 6, 6, 1, 16), (0, 5, 11, 2, 21)]
-    edges = spark.createDataFrame(rows, "bucket int, doc long, at int, source_doc long, source_at int")
-    got = sorted(tuple(r) for r in debruijn._paths(edges).collect())
-    assert got == [(0, 5, 3, 3, 1, 13), (0, 5, 6, 1, 1, 4), (0, 5, 9, 1, 1, 19), (0, 5, 10, 2, 2, 20), (0, 6, 6, 1, 1, 16), (1, 5, 7, 1, 1, 17)]
+def test_strings_are_cut_into_paths_without_branches(spark):
+    # documents 5 and 6 follow document 1 from 10 to 30 and from 20 to 45, document 7 all of the second; 8 follows document 2
+    rows = [(0, 5, 100, 20, 1, 10), (0, 6, 0, 25, 1, 20), (1, 7, 3, 25, 1, 20), (1, 8, 7, 4, 2, 20)]
+    strings = spark.createDataFrame(rows, "bucket int, doc long, start int, n int, source_doc long, source_start int")
+    got = sorted(tuple(r) for r in debruijn.compact_paths(strings).collect())
+    assert got == [(0, 5, 100, 10, 1, 10), (0, 5, 110, 10, 1, 20), (0, 6, 0, 10, 1, 20), (0, 6, 10, 15, 1, 30), (1, 7, 3, 10, 1, 20), (1, 7, 13, 15, 1, 30), (1, 8, 7, 4, 2, 20)]
 
 
 def test_paths_are_compacted():
