@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import run_bounds
+
 #: Bytes of text in a bucket of documents, and hashes in a group that meets, about.
 BUCKET_BYTES, GROUP_HASHES = 2 << 20, 200_000
 
@@ -139,39 +141,54 @@ def _texts(table: pa.Table) -> list[bytes]:
     return pc.fill_null(table.column("text").cast(pa.binary()), b"").to_pylist()
 
 
-def _blobs(group: np.ndarray, bucket: int, columns: dict[str, np.ndarray], schema: pa.Schema, by: str = "part") -> pa.Table:
-    """A row for each value of group, with its share of every column as bytes, in the order given."""
+def _sliced(group: np.ndarray, of: int, columns: dict[str, np.ndarray], schema: pa.Schema, by: str = "part") -> pa.Table:
+    """A row for each value of group, with its share of every column as bytes, in the order given: unsigned numbers as
+    they are, signed ones as differences of one to five bytes or more. The group is the column `by`, `of` the other one."""
     order = np.argsort(group, kind="stable")
     group = group[order]
-    cuts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)] if len(group) else np.zeros(1, int)
-    sorted_ = {name: values[order] for name, values in columns.items()}
-    made: dict = {name: [values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, values in sorted_.items()}
-    n = max(len(cuts) - 1, 0)
-    made |= {by: group[cuts[:-1]].astype(np.int64), "bucket" if by == "part" else "part": [bucket] * n}
+    cuts = run_bounds(group)
+    made: dict = {}
+    for name, values in columns.items():
+        raw, at = _packed(values[order], cuts) if values.dtype.kind == "i" else (values[order].tobytes(), cuts * values.itemsize)
+        made[name] = [raw[x:y] for x, y in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    made |= {by: group[cuts[:-1]].astype(np.int64), "bucket" if by == "part" else "part": [of] * (len(cuts) - 1)}
     return pa.Table.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in a column of blobs, and how many each row holds."""
+def _packed(x: np.ndarray, cuts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Differences of x, from 0 at each cut, seven bits a byte with the sign last, and where the bytes of each cut begin."""
+    step = np.diff(x.astype(np.int64), prepend=0)
+    step[cuts[:-1]] = x[cuts[:-1]]
+    rest = (step << 1 ^ step >> 63).view(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for bits in range(7, 64, 7):
+        more = rest >> np.uint64(bits) > 0
+        if not more.any():
+            break
+        size += more
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(x) else 0, np.uint8)
+    for i in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > i)
+        out[end[own] - size[own] + i] = (rest[own] >> np.uint64(7 * i) & np.uint64(127)).astype(np.uint8) | np.where(size[own] > i + 1, 128, 0).astype(np.uint8)
+    return out.tobytes(), np.r_[0, end][cuts]
+
+
+def _numbers(column: pa.ChunkedArray, kind: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of blobs, of an unsigned kind or packed, and how many each row holds."""
     rows = column.to_pylist()
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(rows), kind), np.array([len(x) // size for x in rows], np.int64)
-
-
-def _deltas(x: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Differences along each group (in the order given), from 0."""
-    order = np.argsort(group, kind="stable")
-    y = x[order]
-    new = np.r_[True, np.diff(group[order]) != 0][: len(y)]
-    out = np.empty_like(x)
-    out[order] = y - np.where(new, 0, np.r_[0, y[:-1]][: len(y)])
-    return out
-
-
-def _undelta(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = np.cumsum(x.astype(np.int64))
+    raw = np.frombuffer(b"".join(rows), kind or np.uint8)
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    if kind or not len(raw):
+        return raw if kind else np.zeros(0, np.int64), lengths // raw.itemsize
+    last = raw < 128
+    start = np.flatnonzero(np.r_[True, last[:-1]])
+    shift = (np.arange(len(raw)) - np.repeat(start, np.diff(np.r_[start, len(raw)]))).astype(np.uint64) * np.uint64(7)
+    value = np.add.reduceat((raw & 127).astype(np.uint64) << shift, start)
+    total = np.cumsum((value >> np.uint64(1)).view(np.int64) ^ -(value & np.uint64(1)).view(np.int64))
+    counts = np.diff(np.r_[0, np.cumsum(last)[np.cumsum(lengths) - 1]])
     before = np.cumsum(counts) - counts
-    return total - np.repeat(np.where(before > 0, total[before - 1], 0) if len(total) else before, counts)
+    return total - np.repeat(np.where(before > 0, total[before - 1], 0), counts), counts
 
 
 def compact(w: np.ndarray, doc: np.ndarray, source_doc: np.ndarray, source_at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,39 +213,35 @@ class Bucket:
 
 
 def compact_paths(strings: DataFrame) -> DataFrame:
-    """Strings of edges cut into the paths without branches that all strings together leave, n edges from `start` on.
+    """Strings of edges cut into the paths without branches that all strings together leave, n edges from `start` on, and
+    a row with n = 0 where a string ends (for the words under its last edge).
 
     strings: (bucket, doc, start, n, source_doc, source_start). Where a string begins or ends in its source, some
     document enters or leaves the graph, so no path goes across. The cuts of a source are as many as its words at most.
     """
     edge_of = F.explode(F.array("source_start", F.col("source_start") + F.col("n")))
     cuts = strings.select("source_doc", edge_of.alias("cut")).distinct().groupBy("source_doc").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    inside = F.expr("filter(cuts, c -> c >= source_start and c < source_start + n)")
-    ends = F.expr("filter(cuts, c -> c > source_start and c <= source_start + n)")
-    parts = strings.join(cuts, "source_doc").withColumn("path", F.explode(F.arrays_zip(inside.alias("at"), ends.alias("end"))))
-    return parts.select("bucket", "doc", (F.col("start") + F.col("path.at") - F.col("source_start")).alias("start"), (F.col("path.end") - F.col("path.at")).alias("n"), "source_doc", F.col("path.at").alias("source_start"))
-
-
-def _confirmed(bucket: Bucket, w: np.ndarray, path: np.ndarray, source_at: np.ndarray, path_start: np.ndarray, path_words: list[bytes], k: int) -> np.ndarray:
-    """Which of the windows w have the words that stand in their path at the source; path and source_at: of each window."""
-    words, ok, split = bucket.words, np.zeros(len(w), bool), {}
-    heads = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(path) != 0) | (np.diff(source_at) != 1)][: len(w)])
-
-    def same(a: int, b: int, cuts: np.ndarray, text: bytes, at: int) -> bool:
-        """Whether words a to b are the words from `at` on of the path."""
-        own, other = words.data[words.starts[a] : words.ends[b - 1]], text[cuts[at] : cuts[at + b - a] - 1]
+    inside = F.expr("filter(cuts, c -> c >= source_start and c <= source_start + n)").alias("at")
+    ends = F.expr("filter(cuts, c -> c > source_start and c <= source_start + n)").alias("end")
+    parts = strings.join(cuts, "source_doc").withColumn("path", F.explode(F.arrays_zip(inside, ends)))
+    edges = F.coalesce(F.col("path.end"), F.col("path.at")) - F.col("path.at")
+    return parts.select("bucket", "doc", (F.col("start") + F.col("path.at") - F.col("source_start")).alias("start"), edges.alias("n"), "source_doc", F.col("path.at").alias("source_start"))
+
+
+def _confirmed(bucket: Bucket, w: np.ndarray, place: np.ndarray, source: bytes, k: int) -> np.ndarray:
+    """Which of the windows w have the words that stand at the source; place: of each window's first word in `source`, words joined by one space."""
+    words, ok = bucket.words, np.zeros(len(w), bool)
+    cuts = np.r_[0, np.flatnonzero(np.frombuffer(source, np.uint8) == 32) + 1, len(source) + 1]
+    heads = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(place) != 1)][: len(w)])
+
+    def same(i: int, j: int) -> bool:
+        """Whether the words under windows i to j - 1 are those at the source."""
+        own = words.data[words.starts[w[i]] : words.ends[w[j - 1] + k - 1]]
+        other = source[cuts[place[i]] : cuts[place[j - 1] + k] - 1]
         return own == other or b" ".join(own.split()) == other
 
-    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(w)], strict=True):
-        p = int(path[s])
-        if p not in split:
-            split[p] = np.r_[0, np.flatnonzero(np.frombuffer(path_words[p], np.uint8) == 32) + 1, len(path_words[p]) + 1]
-        cuts, text, at = split[p], path_words[p], int(source_at[s] - path_start[p])
-        if same(w[s], w[e - 1] + k, cuts, text, at):
-            ok[s:e] = True
-        else:
-            for i in range(s, e):
-                ok[i] = same(w[i], w[i] + k, cuts, text, at + i - s)
+    for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(w)], strict=True):
+        ok[i:j] = True if same(i, j) else [same(x, x + 1) for x in range(i, j)]
     return ok
 
 
@@ -275,17 +288,17 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         least = least[fresh]
         # each once for one document, twice for more
         keep = np.r_[True, True, least[2:] != least[:-2]][: len(least)]
-        return _blobs(least[keep] % part_of, table.column("bucket")[0].as_py(), {"hashes": least[keep]}, first)
+        return _sliced(least[keep] % part_of, table.column("bucket")[0].as_py(), {"hashes": least[keep]}, first)
 
     def repeated(table: pa.Table) -> pa.Table:
-        hashes, counts = _joined(table.column("hashes"), "<u8")
+        hashes, counts = _numbers(table.column("hashes"), "<u8")
         bucket = np.repeat(table.column("bucket").to_numpy(), counts)
         order = np.argsort(hashes, kind="stable")
         hashes, bucket = hashes[order], bucket[order]
         same = hashes[1:] == hashes[:-1]
         often = np.r_[same, False] | np.r_[False, same] if len(hashes) else np.zeros(0, bool)
         hashes, bucket = hashes[often], bucket[often]
-        return _blobs(bucket, table.column("part")[0].as_py(), {"hashes": hashes}, first, by="bucket")
+        return _sliced(bucket, table.column("part")[0].as_py(), {"hashes": hashes}, first, by="bucket")
 
     def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
@@ -294,7 +307,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         words, ids = held.words, held.ids
         w = words.windows(k)
         least = words.minimizers(k, m)[w]
-        known = np.unique(_joined(replies.column("hashes"), "<u8")[0])
+        known = np.unique(_numbers(replies.column("hashes"), "<u8")[0])
         found = known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least if len(known) else np.zeros(len(w), bool)
         w = w[found]
         hashes, doc = words.runs(k)[w], ids[words.doc[w]]
@@ -310,12 +323,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         at = w - held.base[words.doc[w]]
         # by their own hash, so that a minimizer with many different windows isn't one group
         group = hashes % part_of
-        return _blobs(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": words.checks(k, w), "docs": _deltas(doc, group).astype("<i8"), "at": _deltas(at, group).astype("<i4")}, second)
+        return _sliced(group, table.column("bucket")[0].as_py(), {"hashes": hashes, "checks": words.checks(k, w), "docs": doc, "at": at}, second)
 
     def sources(table: pa.Table) -> pa.Table:
-        hashes, counts = _joined(table.column("hashes"), "<u8")
-        checks, docs_ = _joined(table.column("checks"), "<u4")[0], _undelta(_joined(table.column("docs"), "<i8")[0], counts)
-        at = _undelta(_joined(table.column("at"), "<i4")[0], counts)
+        hashes, counts = _numbers(table.column("hashes"), "<u8")
+        checks, docs_, at = _numbers(table.column("checks"), "<u4")[0], _numbers(table.column("docs"))[0], _numbers(table.column("at"))[0]
         bucket = np.repeat(table.column("bucket").to_numpy(), counts)
         order = np.lexsort((at, docs_, checks, hashes))
         h, c, d = hashes[order], checks[order], docs_[order]
@@ -327,14 +339,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         # by bucket and place, so that differences are small
         back = np.lexsort((at[rows], docs_[rows], bucket[rows]))
         rows, source = rows[back], source[back]
-        b = bucket[rows]
-        values = {"docs": (docs_[rows], "<i8"), "at": (at[rows], "<i4"), "source_docs": (docs_[source], "<i8"), "source_at": (at[source], "<i4")}
-        return _blobs(b, table.column("part")[0].as_py(), {name: _deltas(x, b).astype(kind) for name, (x, kind) in values.items()}, answer, by="bucket")
+        return _sliced(bucket[rows], table.column("part")[0].as_py(), {"docs": docs_[rows], "at": at[rows], "source_docs": docs_[source], "source_at": at[source]}, answer, by="bucket")
 
     def strings(table: pa.Table) -> pa.Table:
         """A bucket's edges, those that follow each other in their document and in their source as one string."""
-        counts = _joined(table.column("docs"), "<i8")[1]
-        doc, at, source_doc, source_at = (_undelta(_joined(table.column(c), kind)[0], counts) for c, kind in (("docs", "<i8"), ("at", "<i4"), ("source_docs", "<i8"), ("source_at", "<i4")))
+        doc, at, source_doc, source_at = (_numbers(table.column(c))[0] for c in ("docs", "at", "source_docs", "source_at"))
         order = np.lexsort((at, doc))
         doc, at, source_doc, source_at = doc[order], at[order], source_doc[order], source_at[order]
         heads, start, end = compact(at, doc, source_doc, source_at, 0)
@@ -342,7 +351,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, string, strict=True)], schema=string)
 
     def speak(table: pa.Table, asked: pa.Table) -> pa.Table:
-        """The words of every path that is asked for, from its source document."""
+        """The words of every path that is asked for, from its source document: those on which its edges begin, or where n is 0 the next k - 1."""
         if not table.num_rows or not asked.num_rows:
             return spoken.empty_table()
         own = table.filter(pc.is_in(table.column("doc_id"), pc.unique(asked.column("source_doc")))).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -350,7 +359,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         for doc, text in zip(own.column("doc_id").to_pylist(), _texts(own), strict=True):
             by.setdefault(doc, []).extend(text.split())
         rows = asked.select(["source_doc", "source_start", "n"])
-        said = [b" ".join(by[doc][at : at + n + k - 1]) for doc, at, n in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
+        said = [b" ".join(by[doc][at : at + (n or k - 1)]) for doc, at, n in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
         return rows.append_column("words", pa.array(said, pa.binary())).cast(spoken)
 
     out_fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
@@ -364,7 +373,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
         gone = np.zeros(len(words.hash) + 1, np.int64)
         w = source_doc = source_at = np.zeros(0, np.int64)
         if replies.num_rows:
+            # by document and place: after a path come those that go on with its string, and its end
+            replies = replies.sort_by([("doc", "ascending"), ("start", "ascending"), ("n", "ascending")])
             start, n, path_start = (replies.column(c).to_numpy().astype(np.int64) for c in ("start", "n", "source_start"))
+            spoken_words = np.where(n > 0, n, k - 1)
+            place_of = np.cumsum(spoken_words) - spoken_words
             first_word = words.first[np.searchsorted(ids, replies.column("doc").to_numpy())] + start
             path = np.repeat(np.arange(len(n)), n)
             along = np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
@@ -372,13 +385,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, m: int = 7, text_out: bool = Fa
             key, index = np.unique(runs[first_word[path] + along], return_index=True)
             path, along = path[index], along[index]
             w = words.windows(k)
-            place = np.minimum(np.searchsorted(key, runs[w]), len(key) - 1)
+            at = np.minimum(np.searchsorted(key, runs[w]), len(key) - 1)
             from_doc = replies.column("source_doc").to_numpy()
-            hit = (key[place] == runs[w]) & (from_doc[path[place]] < ids[words.doc[w]])
-            w, place = w[hit], place[hit]
-            source_doc, source_at = from_doc[path[place]], path_start[path[place]] + along[place]
-            ok = _confirmed(held, w, path[place], source_at, path_start, replies.column("words").to_pylist(), k)
-            w, source_doc, source_at = w[ok], source_doc[ok], source_at[ok]
+            hit = (key[at] == runs[w]) & (from_doc[path[at]] < ids[words.doc[w]])
+            w, path, along = w[hit], path[at[hit]], along[at[hit]]
+            ok = _confirmed(held, w, place_of[path] + along, b" ".join(replies.column("words").to_pylist()), k)
+            w, path, along = w[ok], path[ok], along[ok]
+            source_doc, source_at = from_doc[path], path_start[path] + along
         # the words of the paths go
         heads, starts, ends = compact(w, words.doc[w], source_doc, source_at, k)
         np.add.at(gone, starts, 1)

@@ -473,7 +473,7 @@ def test_only_words_that_stand_at_the_source_go():
     bucket = debruijn.Bucket(pa.table({"doc_id": pa.array([7], pa.int64()), "text": [own]}))
     w, k = np.arange(8), 3
     for source, want in (("a b c d e f g h i j", [True] * 8), ("a b c d X f g h i j", [True, True, False, False, False, True, True, True]), ("X b c d e f g h i X", [False, *[True] * 6, False])):
-        got = debruijn._confirmed(bucket, w, np.zeros(8, int), w + 40, np.array([40]), [source.encode()], k)
+        got = debruijn._confirmed(bucket, w, w + 2, f"x y {source} z".encode(), k)
         assert got.tolist() == want
 
 
@@ -491,7 +491,22 @@ def test_strings_are_cut_into_paths_without_branches(spark):
     rows = [(0, 5, 100, 20, 1, 10), (0, 6, 0, 25, 1, 20), (1, 7, 3, 25, 1, 20), (1, 8, 7, 4, 2, 20)]
     strings = spark.createDataFrame(rows, "bucket int, doc long, start int, n int, source_doc long, source_start int")
     got = sorted(tuple(r) for r in debruijn.compact_paths(strings).collect())
-    assert got == [(0, 5, 100, 10, 1, 10), (0, 5, 110, 10, 1, 20), (0, 6, 0, 10, 1, 20), (0, 6, 10, 15, 1, 30), (1, 7, 3, 10, 1, 20), (1, 7, 13, 15, 1, 30), (1, 8, 7, 4, 2, 20)]
+    assert [r for r in got if r[3]] == [(0, 5, 100, 10, 1, 10), (0, 5, 110, 10, 1, 20), (0, 6, 0, 10, 1, 20), (0, 6, 10, 15, 1, 30), (1, 7, 3, 10, 1, 20), (1, 7, 13, 15, 1, 30), (1, 8, 7, 4, 2, 20)]
+    assert [r for r in got if not r[3]] == [(0, 5, 120, 0, 1, 30), (0, 6, 25, 0, 1, 45), (1, 7, 28, 0, 1, 45), (1, 8, 11, 0, 2, 24)]
+
+
+def test_numbers_are_packed():
+    rng = np.random.default_rng(8)
+    group = rng.integers(0, 9, 500)
+    columns = {"docs": rng.integers(-(2**62), 2**62, 500), "at": rng.integers(0, 300, 500), "hashes": rng.integers(0, 2**63, 500).astype(np.uint64)}
+    schema = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in columns)])
+    table = debruijn._sliced(group, 4, columns, schema)
+    order = np.argsort(group, kind="stable")
+    for name, kind in (("docs", ""), ("at", ""), ("hashes", "<u8")):
+        values, counts = debruijn._numbers(table.column(name), kind)
+        assert (values == columns[name][order]).all() and (counts == np.bincount(group)).all()
+    empty = debruijn._sliced(group[:0], 4, {c: v[:0] for c, v in columns.items()}, schema)
+    assert not empty.num_rows and not len(debruijn._numbers(empty.column("docs"))[0])
 
 
 def test_paths_are_compacted():
