@@ -6,7 +6,6 @@ import array
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_texts, slices, texts_of
-from .tokens import Memo, byte_of_char
+from .tokens import Memo, byte_of_char, load
 
 _made: dict = {}
-_SPACE = r"\p{White_Space}"
 
 
 class Bpe:
@@ -84,32 +82,25 @@ class Bpe:
         self.joiner = "" if spec.get("decoder") else " "
         self.byte_decoder = bool(spec.get("decoder")) and spec["decoder"]["type"] == "ByteLevel"
         self.to_byte = to_byte
-        self._normalise(spec)
+        self._pieces_of(path, spec)
 
-    def _normalise(self, spec: dict) -> None:
-        import regex
-
-        steps = []
+    def _pieces_of(self, path: str, spec: dict) -> None:
+        """How text becomes pieces: the library's own normaliser and splitter, so that both know the same Unicode; text of
+        ASCII alone, of which Unicode says nothing, by plain patterns."""
+        self.tokenizer = load(path)
         parts = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-        for n in parts["normalizers"] if parts["type"] == "Sequence" else [parts]:
-            if n["type"] == "NFC":
-                steps.append(lambda s: unicodedata.normalize("NFC", s))
-            elif n["type"] == "Replace" and "Regex" in n["pattern"]:
-                pattern = regex.compile(n["pattern"]["Regex"].replace(r"\s", _SPACE))
-                steps.append(lambda s, p=pattern, c=n["content"]: p.sub(lambda _: c, s))
-            elif n["type"] == "Lowercase":
-                steps.append(lambda s: "".join(map(str.lower, s)))
-            else:
-                raise ValueError(f"normalizer {n['type']} is not supported")
-        self.steps = steps
+        steps = parts["normalizers"] if parts["type"] == "Sequence" else [parts]
+        if unknown := {n["type"] for n in steps} - {"NFC", "Replace", "Lowercase"}:
+            raise ValueError(f"normalizer {unknown} is not supported")
         pre = spec["pre_tokenizer"]
-        splits = [p for p in pre.get("pretokenizers", [pre]) if p["type"] == "Split"]
-        if len(splits) != 1 or not splits[0]["invert"] or splits[0]["behavior"] != "Removed":
+        splits = [(i, p) for i, p in enumerate(pre.get("pretokenizers", [pre])) if p["type"] == "Split"]
+        if len(splits) != 1 or not splits[0][1]["invert"] or splits[0][1]["behavior"] != "Removed":
             raise ValueError("only a splitting pattern whose matches are the pieces is supported")
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        # the same for text of ASCII alone, for which NFC changes nothing
-        plain = splits[0]["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0d\x20")
-        self.lowers = any(n["type"] == "Lowercase" for n in (parts["normalizers"] if parts["type"] == "Sequence" else [parts]))
+        at, split = splits[0]
+        whole = self.tokenizer.pre_tokenizer
+        self.split = (whole[at] if pre["type"] == "Sequence" else whole).pre_tokenize_str
+        plain = split["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x09-\x0d\x20")
+        self.lowers = any(n["type"] == "Lowercase" for n in steps)
         self.ascii = None if "\\p" in plain else re.compile(plain).findall
 
     def compatible(self, a: int, b: int) -> bool:
@@ -177,9 +168,9 @@ class Bpe:
             if k % 2:
                 out.append(part)
                 continue
-            for step in self.steps:
-                part = step(part)
-            out += self.pattern.findall(part)
+            if self.tokenizer.normalizer:
+                part = self.tokenizer.normalizer.normalize_str(part)
+            out += [piece for piece, _ in self.split(part)]
         return out
 
     def word(self, piece: str) -> list[int]:

@@ -158,6 +158,25 @@ def test_bpe_is_the_tokenizers(spark):
     assert bpe.encode_documents(documents(spark, []), WORD).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    """Alone, and between two marks of other classes, after a letter: what the library's Unicode tables say of each."""
+    coder, t = bpe.bpe(WORD), load(WORD)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [x for c in points[at : at + 50_000] for x in ((c, f"a\u0345{c}\u0316") if ord(c) < 0x20000 or ord(c) >= 0xE0000 and ord(c) < 0xE1000 else (c,))]
+        bad = [x for x, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if coder.chunk(x) != want.ids and " " not in x]
+        assert not bad, bad[:5]
+
+
+def test_bpe_of_mixed_scripts():
+    coder, t = bpe.bpe(WORD), load(WORD)
+    rng = random.Random(23)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x590), (0x590, 0x900), (0x900, 0xE00), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x1E00, 0x2070), (0x3040, 0x3100), (0xAC00, 0xAD00), (0x1F600, 0x1F640)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    got = [[i for c in x.split(" ") for i in coder.chunk(c)] for x in texts]
+    assert [x for x, ids, want in zip(texts, got, t.encode_batch(texts, add_special_tokens=False), strict=True) if ids != want.ids] == []
+
+
 # --- PII ---------------------------------------------------------------------------------------------------------
 
 
