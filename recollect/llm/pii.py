@@ -19,19 +19,30 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_OF_IBAN = re.compile(r"(?:\x20?[A-Z0-9])*")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 
+#: Length of an account number by country (fixed values of its registry).
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 "
+    "SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+
 #: Characters looked at on either side of a span, what a word there adds to its score, and the words.
 REACH, GAIN = 48, 0.3
 CONTEXT = {
-    "email": re.compile(r"\b(?:e-?mail|contact|write|reply)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|host|address|server)\b", re.I),
-    "card": re.compile(r"\b(?:card|visa|credit|debit|payment)\b", re.I),
-    "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax)\b", re.I),
-    "iban": re.compile(r"\b(?:iban|account|bank|transfer)\b", re.I),
-    "national_id": re.compile(r"\b(?:ssn|social|security|identity|national)\b", re.I),
+    kind: re.compile(rf"\b(?:{words})\b", re.I)
+    for kind, words in {
+        "email": r"e-?mail|mail|contact|write|reply|kontakt|schreiben|antworten|courriel|écri(?:re|vez)|répond(?:re|ez)|correo|contacto|escrib(?:a|ir)|responder",
+        "ip": r"ip|host|address|server|adresse|rechner|serveur|hôte|dirección|servidor",
+        "card": r"card|visa|credit|debit|payment|\w*karte|zahlung|carte|crédit|débit|paiement|tarjeta|crédito|débito|pago",
+        "phone": r"phone|tel|call|mobile|fax|telefon\w*|handy|anruf\w*|téléphone|appel\w*|teléfono|llam\w+|móvil",
+        "iban": r"iban|account|bank|transfer|konto\w*|überweisung|compte|banque|virement|cuenta|banco|transferencia",
+        "national_id": r"ssn|social|security|identity|national|sozialversicherung\w*|ausweis\w*|sécurité|sociale|identité|nationale|seguridad|identidad|nacional",
+    }.items()
 }
 #: Score before context, and the score from which a span of an added kind is kept.
 PRIOR = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "national_id": 0.3}
@@ -63,6 +74,29 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that pass modulo 97: as long as their country says, whatever follows; of other countries, all that follows."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        end = _OF_IBAN.match(text, m.end()).end()
+        if size := IBAN_LENGTHS.get(m[0][:2]):
+            at, left = m.end(), size - 4
+            while at < end and left:
+                left -= text[at] != " "
+                at += 1
+            if left or text[at : at + 1].isalnum() and text[at : at + 1].isascii():
+                continue
+            end = at
+        elif text[end : end + 1].isascii() and text[end : end + 1].isalpha():
+            continue
+        number = text[m.start() : end].replace(" ", "")
+        if 15 <= len(number) <= 34 and mod97(number):
+            yield m.start(), end
+            done = end
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"
@@ -82,7 +116,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
                     found.append(("card", m.start(), m.end()))
         if "+" in text:
             found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 15]
-        found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if 15 <= len(n := m[0].replace(" ", "")) <= 34 and mod97(n)]
+        found += [("iban", s, e) for s, e in _accounts(text)]
         if "-" in text:
             found += [("national_id", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     scored = []

@@ -17,7 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     of_kind = lambda k: F.filter("pii", lambda x: x["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,18 @@ def test_added_spans_and_context():
     assert dict((k, v) for k, _, _, v in pii.spans(f"credit card {card}"))["card"] > dict((k, v) for k, _, _, v in pii.spans(card))["card"]
 
 
+def test_account_numbers_end_where_their_country_says():
+    number = "GB82 WEST 1234 5698 7654 32"
+    for text in (f"{number} AND", f"{number} 9 items", f"{number}, then", number, f"to {number} OR {number} OK"):
+        at = text.index(number)
+        assert ("iban", at, at + len(number)) in [s[:3] for s in pii.spans(text)]
+    for text in (f"{number}9", f"X{number}", number[:-1], "GB83 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 0"):
+        assert not [s for s in pii.spans(text) if s[0] == "iban"]
+    for word, score in (("Sozialversicherung", 0.6), ("seguridad", 0.6), ("sécurité", 0.6), ("SSN", 0.6)):
+        assert pii.spans(f"{word} 123-45-6789") == [("national_id", len(word) + 1, len(word) + 12, score)]
+    assert pii.spans("Zimmer 123-45-6789") == []
+
+
 def test_pii_tables(spark):
     texts = [None, "", "mail a@b.co and 10.0.0.1", "mail a@b.co and 10.0.0.1", "x " * 50_000 + "a@b.co"]
     got = by_id(pii.find_pii(documents(spark, texts)))
