@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import complete_runs, forest_edges, materialize, run_bounds
 from .components import components
 
-#: Vectors in a bucket, about; rows of a bucket compared in one block; miss rate of a link at the threshold itself.
+#: Vectors in a bucket, about (32 bits of key, 10 bits of table number and 20 of length are one long); rows of a bucket compared in one block; miss rate of a link at the threshold itself.
 BUCKET, BLOCK, MISS = 256, 2048, 1e-3
 
 _rotations: dict[tuple[int, int, int], np.ndarray] = {}
@@ -39,7 +39,8 @@ def layout(n: int, threshold: float) -> tuple[int, int]:
     bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
     if not bits:
         return 0, 1
-    return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits))
+    bits = min(bits, 32)
+    return bits, min(1023, math.ceil(math.log(MISS) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits)))
 
 
 def encode(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -99,16 +100,59 @@ def links_between(a: np.ndarray, b: np.ndarray | None, threshold: float, confide
     return (np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def pack_keys(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket keys of all tables, `bits` bits each, a row of bytes for each vector."""
+    spread = (keys[:, :, None] >> np.arange(bits)) & 1
+    return np.packbits(spread.reshape(len(keys), -1).astype(np.uint8), axis=1)
+
+
+def unpack_keys(rows: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    if not bits:
+        return np.zeros((len(rows), tables), np.int64)
+    return np.unpackbits(rows, axis=1)[:, : tables * bits].reshape(len(rows), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def stored(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is kept of unit rows x: packed sign codes, correction factors, rotated rows in whole steps from -127 to 127, and the step."""
+    turned, _, factor = codes(x)
+    step = np.maximum(np.abs(turned).max(axis=1), 1e-30) / 127
+    return np.packbits(turned > 0, axis=1), factor, np.rint(turned / step[:, None]).astype(np.int8), step.astype(np.float32)
+
+
+def hopeful(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, step: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float, confidence: float) -> np.ndarray:
+    """Which rows are in a pair (of one and two; the same rows: of two different) whose upper bound reaches the threshold.
+
+    The estimate is that of links_between(), from what stored() kept: steps take half a step from each coordinate at most.
+    """
+    dim = turned.shape[1]
+    signs = (np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+    slack = confidence * math.sqrt(max(0.0, 1 - threshold**2)) * np.sqrt(np.maximum(1 / factor.astype(float) ** 2 - 1, 0)) / math.sqrt(max(dim - 1, 1))
+    some, same = np.zeros(len(code), bool), one is two
+    for i in range(0, len(one), 256):
+        for j in range(i if same else 0, len(two), BLOCK):
+            a, b = one[i : i + 256], two[j : j + BLOCK]
+            rounding = math.sqrt(dim) * step[b] / 2
+            bound = ((signs[a] @ turned[b].astype(np.float32).T) * step[b] + rounding) / factor[a, None] + slack[a, None]
+            hope = bound >= threshold - 1e-5
+            if same:
+                hope &= a[:, None] < b
+            x, y = np.nonzero(hope)
+            some[a[x]] = some[b[y]] = True
+    return some
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.9, confidence: float = 4.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row, by cosine >= threshold.
 
-    Equal vectors are one node with a count, so exact copies cost no comparison. A node's key in each table is a part
-    of the signs of its rotated vector; nodes that share a key are compared in the task of that bucket by code estimates
-    and, where these leave doubt, exactly. A pair counts in the first table that brings it together, so no pair is
-    counted twice or sent anywhere: tasks send counts, and a spanning forest of the links they found. Buckets of more
-    than BLOCK rows, such as a group of near copies, are dealt out as pairs of blocks. A link at the threshold is missed
-    with probability MISS or so, closer ones far more rarely; pairs below the threshold never link. Vectors of
-    different lengths don't link.
+    Equal vectors are one node with a count, so exact copies cost no comparison. Of every node a sign code of its rotated
+    vector, its correction factor, and the rotated vector in steps of 8 bits are stored once. A node's key in each table
+    is a part of the signs of its rotated vector; for each table its code, without vector and keys, is dealt to the
+    bucket of its key, where estimates and their confidence bounds say which nodes may have a link. Only these, in the
+    tables that say so, are dealt once more with their vectors, and cosines in double precision decide. A pair counts in
+    the first table that brings it together, so no pair is counted twice or sent anywhere: tasks send counts, and a
+    spanning forest of the links they found. Buckets of more than BLOCK rows, such as a group of near copies, are dealt
+    out as pairs of blocks. A link at the threshold is missed with probability MISS or so, closer ones far more rarely;
+    pairs below the threshold never link. Vectors of different lengths don't link.
 
     Vectors that are null, empty, zero, or hold null or non-finite components come back with no links, as their own
     component, and so do rows without a vec_id (not kept). Rows that repeat a vec_id come back each. An empty table gives no rows; other columns are ignored.
@@ -118,63 +162,96 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, confidence: float = 4
     nodes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     bits, tables = layout(nodes.count(), threshold)
 
-    def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in keyed(batches):
-            yield batch.select(["key"])
+    def unit(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, unit vectors) of each length."""
+        sizes = np.diff(column.offsets.to_numpy())
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+            yield at, x / np.linalg.norm(x, axis=1)[:, None]
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
         for batch in batches:
-            sizes = np.diff(batch.column("v").offsets.to_numpy())
-            for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
-                keys = encode(x / np.linalg.norm(x, axis=1)[:, None], bits, tables)
-                m, t = keys.shape
-                of = pa.array(np.repeat(np.arange(m), t))
-                key = (keys + (np.arange(t, dtype=np.int64) << 44) + (np.int64(dim) << 52)).ravel()
-                sign = pa.array([k.tobytes() for k in keys.astype("<i8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(np.arange(t, dtype=np.int32), m)), *(part.column(c).take(of) for c in ("rep", "n")), sign.take(of), part.column("v").take(of)], names=["key", "t", "rep", "n", "keys", "v"])
-
-    held = nodes.mapInArrow(keyed, f"key long, t int, rep long, n long, keys binary, v {nodes.schema['v'].dataType.simpleString()}")
-    large = materialize(nodes.mapInArrow(buckets_of, "key long").groupBy("key").count().filter(F.col("count") > BLOCK), "buckets")
-    held = held.withColumn("block", F.lit(0)).withColumn("other", F.lit(0))
-    if many := large.count():  # each stands for over BLOCK rows
-        small = F.broadcast(large) if many <= 10_000 else large
-        blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-        held = held.join(small, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.lit(0)))
-        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)) - 1))).drop("count")
-    pair = F.when((F.col("block") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    dealt = held.select(pair.alias("task"), "t", "rep", "n", "keys", "v", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("own")).repartition("task").sortWithinPartitions("task")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+            for at, x in unit(batch.column("v")):
+                code, factor, turned, step = stored(x)
+                keys = pack_keys(encode(x, bits, tables), bits)
+                rep, n = (batch.column(c).take(pa.array(at)) for c in ("rep", "n"))
+                yield pa.RecordBatch.from_arrays([rep, n, pa.array(np.full(len(at), x.shape[1], np.int32)), cells(keys), cells(code), pa.array(factor), cells(turned), pa.array(step)], names=["rep", "n", "dim", "keys", "code", "factor", "turned", "step"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = materialize(nodes.mapInArrow(encoded, "rep long, n long, dim int, keys binary, code binary, factor float, turned binary, step float"), "codes")
+
+    def matrix(column, kind: str, rows_: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows_, -1)
+
+    def by_table(names: tuple[str, ...]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for dim in np.unique(dims):
+                    part = batch.filter(pa.array(dims == dim))
+                    keys = unpack_keys(matrix(part.column("keys"), "u1", part.num_rows), bits, tables)
+                    of = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                    key = (((np.int64(dim) << 10) + np.arange(tables)) << 32) + keys
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(of) for c in names)], names=["key", *names])
+
+        return run
+
+    sent = ("rep", "code", "factor", "turned", "step")
+    held = kept.mapInArrow(by_table(sent), "key long, rep long, code binary, factor float, turned binary, step float")
+    large = materialize(kept.mapInArrow(by_table(()), "key long").groupBy("key").count().filter(F.col("count") > BLOCK), "buckets")
+    many = large.count()  # each stands for over BLOCK rows
+
+    def dealt(held: DataFrame, *columns: str) -> DataFrame:
+        """held with the task of each row: its bucket, or the pairs of blocks of a large bucket that it is part of."""
+        held = held.withColumn("block", F.lit(0)).withColumn("other", F.lit(0))
+        if many:
+            blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+            held = held.join(F.broadcast(large) if many <= 10_000 else large, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.lit(0)))
+            held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)) - 1))).drop("count")
+        pair = F.when((F.col("block") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        return held.select(pair.alias("task"), "key", *columns, (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("own")).repartition("task").sortWithinPartitions("task")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """The rows of each task, and which of them are to be compared: two sides, or one and the same."""
         for table in complete_runs(batches, "task"):
             cuts = run_bounds(table.column("task").to_numpy())
             for s, e in ((s, e) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1):
-                group = table.slice(s, e - s).combine_chunks()
-                rep, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
-                flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-                x, sign = flat.reshape(len(rep), -1), np.frombuffer(b"".join(group.column("keys").to_pylist()), "<i8").reshape(len(rep), -1)
-                t = group.column("t")[0].as_py()
-                one = two = np.arange(len(rep))
-                fresh = (lambda i, j: ~(sign[one[i], :t] == sign[two[j], :t]).any(axis=1)) if t else None  # noqa: B023
-                if group.column("own")[0].as_py():
-                    i, j = links_between(x, None, threshold, confidence, fresh)
-                else:
-                    left = group.column("left").to_numpy(zero_copy_only=False)
+                group = table.slice(s, e - s)
+                one = two = np.arange(e - s)
+                if not group.column("own")[0].as_py():
+                    left = group.column("left").to_numpy()
                     one, two = np.flatnonzero(left), np.flatnonzero(~left)
-                    if not len(one) or not len(two):
-                        continue
-                    i, j = links_between(x[one], x[two], threshold, confidence, fresh)
-                    i, j = one[i], two[j]
-                if not len(i):
-                    continue
-                count = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
-                own = np.flatnonzero(count)
-                a, b = forest_edges(rep[i], rep[j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[rep[own], a]), pa.array(np.r_[np.zeros(len(own), np.int64), b], mask=np.r_[np.ones(len(own), bool), np.zeros(len(b), bool)]), pa.array(np.r_[count[own].astype(np.int64), np.zeros(len(b), np.int64)])], schema=schema)
-
-    found = materialize(dealt.mapInArrow(compare, "a long, b long, links long"), "links")
+                if len(one) and len(two):
+                    yield group, one, two
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, one, two in groups(batches):
+            n = group.num_rows
+            some = hopeful(matrix(group.column("code"), "u1", n), group.column("factor").to_numpy(), matrix(group.column("turned"), "i1", n), group.column("step").to_numpy(), one, two, threshold, confidence)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_numpy()[some]) for c in ("key", "rep")], names=["key", "rep"])
+
+    open_rows = dealt(held, *sent).mapInArrow(screen, "key long, rep long").distinct()
+    with_vectors = open_rows.join(nodes.join(kept.select("rep", "keys"), "rep"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, one, two in groups(batches):
+            rep, n, t = group.column("rep").to_numpy(), group.column("n").to_numpy(), (group.column("key")[0].as_py() >> 32) & 1023
+            x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rep), -1)
+            sign = unpack_keys(matrix(group.column("keys"), "u1", len(rep)), bits, tables) if t else None
+            fresh = (lambda i, j: ~(sign[one[i], :t] == sign[two[j], :t]).any(axis=1)) if t else None  # noqa: B023
+            i, j = links_between(x[one], None if one is two else x[two], threshold, confidence, fresh)
+            if not len(i):
+                continue
+            i, j = one[i], two[j]
+            count = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
+            own = np.flatnonzero(count)
+            a, b = forest_edges(rep[i], rep[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[rep[own], a]), pa.array(np.r_[np.zeros(len(own), np.int64), b], mask=np.r_[np.ones(len(own), bool), np.zeros(len(b), bool)]), pa.array(np.r_[count[own].astype(np.int64), np.zeros(len(b), np.int64)])], schema=schema)
+
+    found = materialize(dealt(with_vectors, "rep", "n", "keys", "v").mapInArrow(compare, "a long, b long, links long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = nodes.join(counts, "rep", "left").join(joined, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -345,6 +345,21 @@ def test_code_estimates_leave_out_no_link():
     assert abs((estimate - cos).mean()) < 2e-3
 
 
+def test_keys_and_steps_are_kept():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 9, size=(50, 7))
+    assert (rabitq.unpack_keys(rabitq.pack_keys(keys, 9), 9, 7) == keys).all()
+    assert not rabitq.unpack_keys(rabitq.pack_keys(keys[:, :1] * 0, 0), 0, 1).any()
+    a = rng.normal(size=(300, 32))
+    a[150:] = a[:150] + rng.normal(size=(150, 32)) * 0.3
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    near = np.triu(a @ a.T >= 0.9, 1)
+    every, half = np.arange(300), np.arange(150)
+    some = rabitq.hopeful(*rabitq.stored(a), every, every, 0.9, 4.0)
+    assert near.sum() > 40 and some[np.unique(np.concatenate(np.nonzero(near)))].mean() > 0.99 and not some.all()
+    assert (rabitq.hopeful(*rabitq.stored(a), half, half + 150, 0.9, 4.0)[:150] <= some[:150]).all()
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     x = clouds(9, 24, 1500)
     bad = [None, [], [0.0] * 24, [float("nan")] * 24]
