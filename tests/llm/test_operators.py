@@ -350,8 +350,8 @@ def test_keys_and_steps_are_kept():
     keys = rng.integers(0, 1 << 9, size=(50, 7))
     assert (rabitq.unpack_keys(rabitq.pack_keys(keys, 9), 9, 7) == keys).all()
     assert not rabitq.unpack_keys(rabitq.pack_keys(keys[:, :1] * 0, 0), 0, 1).any()
-    a = rng.normal(size=(300, 32))
-    a[150:] = a[:150] + rng.normal(size=(150, 32)) * 0.3
+    a = rng.normal(size=(300, 256))
+    a[200:] = a[:100] + rng.normal(size=(100, 256)) * 0.3
     a /= np.linalg.norm(a, axis=1)[:, None]
     near = np.triu(a @ a.T >= 0.9, 1)
     every, half = np.arange(300), np.arange(150)
