@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,16 @@ def col(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def strip(text: Column) -> Column:
+    """Without the white space (of ASCII) at both ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def squash(text: Text) -> Column:
     """White space collapsed and stripped; null gives the empty string."""
     return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
@@ -82,8 +92,11 @@ def all_matches(text: Text, groups: Sequence[tuple[str, Sequence[str]]]) -> Colu
 
 def is_garbled(text: Text) -> Column:
     """Signs of wrongly decoded text: known fragments, four question marks, or a letter or ideograph before a question mark that ends a word."""
-    t = F.coalesce(col(text), F.lit(""))
-    return has_any(t, V.GARBLED) | F.contains(t, F.lit("????")) | t.rlike(V.GARBLED_QUESTION)
+    return once(F.coalesce(col(text), F.lit("")), _garbled)
+
+
+def _garbled(t: Column) -> Column:
+    return has_any(t, V.GARBLED) | F.contains(t, F.lit("????")) | (F.contains(t, F.lit("?")) & t.rlike(V.GARBLED_QUESTION))
 
 
 def is_sensitive(text: Text, patterns: Sequence[str] = V.SENSITIVE) -> Column:
@@ -94,33 +107,38 @@ def sensitivity(text: Text, patterns: Sequence[str] = V.SENSITIVE) -> Column:
     return F.when(is_sensitive(text, patterns), "high").otherwise("low")
 
 
-def is_low_value(text: Text, keywords: Sequence[str] = ()) -> Column:
-    """Text that teaches nothing: empty, garbled, a pasted plan, a request, a path, a heading, code, or a few characters."""
-    t = F.coalesce(col(text), F.lit(""))
-    lowered = F.lower(F.trim(F.regexp_replace(t, r"^\s+|\s+$", "")))
-    keyed = has_any_lower(t, keywords)
-    separators = F.length(t) - F.length(F.regexp_replace(t, r"[/\\]", ""))
+def _low_value(t: Column, stripped: Column, keyed: Column) -> Column:
+    """As is_low_value(), of a text and the same stripped and lower-cased. Plain searches come before patterns."""
+    separators = F.length(t) - F.length(F.translate(t, "/\\", ""))
     return (
-        (lowered == "")
-        | is_garbled(t)
-        | has_any(lowered, V.PLAN_MARKERS)
-        | has_any(lowered, V.LOW_VALUE)
+        (stripped == "")
+        | F.startswith(stripped, F.lit("#"))
+        | ((F.length(t) <= 10) & ~keyed)
+        | has_any(stripped, V.PLAN_MARKERS)
+        | has_any(stripped, V.LOW_VALUE)
         | has_any(t, V.TASK_REQUESTS)
-        | (t.rlike(V.PATH_ONLY) & (separators >= 2))
-        | F.startswith(lowered, F.lit("#"))
+        | ((separators >= 2) & t.rlike(V.PATH_ONLY))
+        | ((F.length(t) < 18) & t.rlike(V.GENERIC_TITLE))
+        | _garbled(t)
         | (t.rlike(V.BULLET) & ~keyed)
-        | (t.rlike(V.GENERIC_TITLE) & (F.length(t) < 18))
-        | t.rlike(V.CODE)
-        | ((F.length(t) <= 10) & ~keyed)
+        | (has_any(t, V.CODE_SIGNS) & t.rlike(V.CODE))
     )
 
 
+def is_low_value(text: Text, keywords: Sequence[str] = ()) -> Column:
+    """Text that teaches nothing: empty, garbled, a pasted plan, a request, a path, a heading, code, or a few characters."""
+    return once(F.coalesce(col(text), F.lit("")), lambda t: once(F.lower(strip(t)), lambda s: _low_value(t, s, has_any_lower(t, keywords))))
+
+
 def is_low_value_candidate(title: Text, summary: Text, details: Text) -> Column:
     text = F.concat_ws(" ", *(F.coalesce(col(x), F.lit("")) for x in (title, summary, details)))
-    lowered = F.lower(text)
-    slashes = F.length(lowered) - F.length(F.regexp_replace(lowered, r"[/\\]", ""))
-    words = F.size(F.filter(F.split(lowered, r"\s+"), lambda w: w != ""))
-    return is_low_value(text) | has_any(lowered, V.LOW_VALUE_CANDIDATE) | (F.length(squash(title)) < 8) | ((slashes >= 4) & (words <= 8))
+
+    def judged(t: Column, lowered: Column) -> Column:
+        slashes = F.length(lowered) - F.length(F.translate(lowered, "/\\", ""))
+        words = F.size(F.filter(F.split(lowered, r"\s+"), lambda w: w != ""))
+        return has_any(lowered, V.LOW_VALUE_CANDIDATE) | _low_value(t, strip(lowered), F.lit(False)) | ((slashes >= 4) & (words <= 8))
+
+    return (F.length(squash(title)) < 8) | once(text, lambda t: once(F.lower(t), lambda lowered: judged(t, lowered)))
 
 
 def is_high_value_note(text: Text) -> Column:
@@ -141,16 +159,15 @@ def tokens(text: Text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def count_tokens(text: Text) -> Column:
-    """How many tokens() there are, without making them."""
-    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+def count_terms(text: Text, terms: Sequence[str]) -> Column:
+    """How many tokens() there are, then how often each lower-cased term is one, as an array, without making tokens; terms
+    that a text doesn't hold anywhere cost one plain search."""
 
+    def counts(t: Column) -> Column:
+        whole = lambda term: F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])")
+        return F.array(F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")), *(F.when(F.contains(t, F.lit(x)), F.regexp_count(t, whole(x))).otherwise(0) for x in terms))
 
-def count_term(text: Text, term: str) -> Column:
-    """How often a lower-cased term is a token; texts that don't hold it anywhere cost one plain search."""
-    t = F.lower(F.coalesce(col(text), F.lit("")))
-    whole = rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])"
-    return F.when(F.contains(t, F.lit(term)), F.regexp_count(t, F.lit(whole))).otherwise(0)
+    return once(F.lower(F.coalesce(col(text), F.lit(""))), counts)
 
 
 def query_terms(query: str) -> list[str]:

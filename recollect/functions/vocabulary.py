@@ -162,4 +162,6 @@ PATH_ONLY = r"^[a-zA-Z]:\\|^/|^[.~]?[/\\]|[/\\].+[/\\]"
 BULLET = r"^\s*(?:[-*]\s+|#+\s+|\d+\.\s+)"
 GENERIC_TITLE = r"^(?:这个|那个|问题|需求|计划|方案|项目|优化|修复|处理)(?:$|[^\p{L}\p{N}_])"
 CODE = r"(?:(?:^|[^\p{L}\p{N}_])return(?:$|[^\p{L}\p{N}_])|->|\.stream\(|Collectors\.|public\s+class|@[\p{L}\p{N}_]+|[{};]{2,})"
+#: One of these stands in all text that CODE finds.
+CODE_SIGNS = ("return", "->", ".stream(", "Collectors.", "public", "@", "{", "}", ";")
 GARBLED_QUESTION = r"[A-Za-z\x{4e00}-\x{9fff}]\?(?:[,.\s]|$)"

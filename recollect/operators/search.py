@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import col, count_term, count_tokens, has_any_lower, query_terms
+from ..functions.text import col, count_terms, has_any_lower, query_terms
+from ..sources.model import stored
 
 #: Weights of a hit in each field, and the constants of BM25.
 WEIGHTS = {"title": 3.0, "summary": 4.0, "details": 1.0, "tags": 1.5}
@@ -47,15 +48,17 @@ def by_priority(project: str | None, tool: str | None) -> list[Column]:
 def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, key: str = "id", carry: Sequence[str] = ()) -> DataFrame:
     """(key, score) of the items that hold a term of the query: BM25 over weighted fields, terms joined by OR.
 
-    Terms are counted within the row, so no tokens are made or exploded: one pass of partial sums gives the statistics (rows,
-    mean length, rows with each term), whose single row is broadcast, and a second pass scores. Fields named tags may be arrays.
+    Terms are counted within the row, each text lower-cased and read once, so no tokens are made or exploded. The counts,
+    a few numbers for each item, are written to the shared folder; the statistics (rows, mean length, rows with each
+    term; one row, broadcast) and the scores come from them. Fields named tags may be arrays.
     """
     terms = query_terms(query)
     if not terms:
         return items.select(key, *carry, F.lit(0.0).alias("score")).limit(0)
     text = lambda f: F.array_join(f, " ") if dict(items.dtypes)[f].startswith("array") else F.col(f)
-    hits = lambda term: sum((count_term(text(f), term) * w for f, w in fields.items()), F.lit(0.0))
-    counted = items.select(key, *carry, sum((count_tokens(text(f)) for f in fields), F.lit(0)).alias("d"), *(hits(t).alias(f"f_{j}") for j, t in enumerate(terms)))
+    read = items.select(key, *carry, *(count_terms(text(f), terms).alias(f"_{i}") for i, f in enumerate(fields)))
+    total = lambda j, weights: sum((F.element_at(f"_{i}", j) * w for i, w in enumerate(weights)), F.lit(0.0 if j > 1 else 0))
+    counted = stored(read.select(key, *carry, total(1, [1] * len(fields)).alias("d"), *(total(j + 2, fields.values()).alias(f"f_{j}") for j in range(len(terms)))), "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), *(F.count_if(F.col(f"f_{j}") > 0).alias(f"df_{j}") for j in range(len(terms))))
     score = F.lit(0.0)
     for j in range(len(terms)):
@@ -65,7 +68,7 @@ def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, ke
     found = F.lit(False)
     for j in range(len(terms)):
         found = found | (F.col(f"f_{j}") > 0)
-    return counted.join(F.broadcast(stats)).filter(found).select(key, *carry, score.alias("score"))
+    return counted.filter(found).join(F.broadcast(stats)).select(key, *carry, score.alias("score"))
 
 
 def normalized(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -110,23 +113,45 @@ def keyword_fallback(items: DataFrame, query: str, limit: int, scope=None, proje
 
 
 def memory_search(items: DataFrame, query: str, vectors: DataFrame | None = None, limit: int = 10, scope=None, project=None, tool=None, tags: Sequence[str] = (), alpha: float = 0.4, semantic: bool = False) -> DataFrame:
-    """The search: fusion of BM25 and vectors where both find something, else what one finds, else the keyword fallback.
+    """The search: fusion of BM25 and vectors where both find something; where one does, what it finds by priority alone;
+    else the keyword fallback.
 
-    vectors: (id, similarity). The three ways are one plan: each result carries its way's rank and only the best way's rows stay.
+    vectors: (id, similarity). Which sides found something is one broadcast row; the fallback is joined against the
+    results (anti), so adaptive execution drops its scan where there are any.
     """
     rows = items.filter(visible(scope, project, tool) & has_tags(tags))
     fetch = max(3 * limit, 20)
-    text = bm25(rows, query, carry=("confidence",)).orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")
-    text = normalized(text)
+    text = stored(normalized(bm25(rows, query, carry=("confidence",)).orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")), "text")
     if vectors is None:
         vectors = text.select("id", F.lit(0.0).alias("similarity")).limit(0)
-    near = normalized(vectors.join(rows.select("id"), "id", "left_semi").orderBy(F.desc("similarity"), "id").limit(fetch), "similarity")
-    order = [F.desc(F.round("hybrid_score", 4)), *by_priority(project, tool)]
-    merged = hybrid(rows, text, near, alpha, semantic).withColumn("way", F.lit(0)).orderBy(*order).limit(limit)
-    fallback = keyword_fallback(rows, query, limit, scope, project, tool).select(*items.columns, F.lit(0.0).alias("score"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("hybrid_score"), F.lit(1).alias("way"))
+    shown = vectors.join(rows.select("id"), "id", "left_semi")
+    near = stored(normalized(shown.orderBy(F.desc("similarity"), "id").limit(fetch), "similarity"), "near")
+    sides = text.agg((F.count("*") > 0).alias("_text")).join(near.agg((F.count("*") > 0).alias("_near")))
+    fused = F.when(F.col("_text") & F.col("_near"), F.round("hybrid_score", 4)).otherwise(0.0)
+    merged = hybrid(rows, text, near, alpha, semantic).join(F.broadcast(sides)).withColumn("_fused", fused).drop("_text", "_near")
+    found = merged.orderBy(F.desc("_fused"), *by_priority(project, tool)).limit(limit)
+    none = text.select("id").unionByName(near.select("id")).limit(1)
+    zero = F.lit(0.0)
+    fallback = keyword_fallback(without(rows, none), query, limit, scope, project, tool).select(*items.columns, zero.alias("score"), zero.alias("similarity"), zero.alias("hybrid_score"), zero.alias("_fused"))
     # at most twice the limit are left to choose from
-    best = merged.unionByName(fallback).withColumn("_best", F.min("way").over(Window.partitionBy(F.lit(0))))
-    return best.filter("way = _best").drop("way", "_best").orderBy(*order).limit(limit)
+    return found.select(*fallback.columns).unionByName(fallback).orderBy(F.desc("_fused"), *by_priority(project, tool)).limit(limit).drop("_fused")
+
+
+def without(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """All rows if the small table `some` is empty, else none."""
+    return rows.join(F.broadcast(some.select(F.lit(1).alias("_some"))), F.lit(True), "left_anti")
+
+
+def access_log(found: DataFrame, at: Column) -> DataFrame:
+    """(id, accessed_at) of what a search returned, to be appended to the table of accesses."""
+    return found.select("id", at.alias("accessed_at")).distinct()
+
+
+def memory_context(items: DataFrame, query: str, vectors: DataFrame | None = None, project=None, tool=None, task_type: str = "", limit: int = 24, each: int = 8, alpha: float = 0.4) -> DataFrame:
+    """The context of a task: what a search for the query (else the kind of task, else the tool) finds, else the defaults, in sections."""
+    matched = stored(memory_search(items, query or task_type or tool or "", vectors, limit, project=project, tool=tool, alpha=alpha).select(*items.columns), "matched")
+    default = default_memories(without(items, matched.limit(1)), limit, project=project, tool=tool)
+    return context_sections(matched.unionByName(default), project, tool, each)
 
 
 def default_memories(items: DataFrame, limit: int, scope=None, project=None, tool=None) -> DataFrame:

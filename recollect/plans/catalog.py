@@ -12,8 +12,8 @@ from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
 from ..operators import analytics, digest, distill, govern, index, render, search, vault, wiki
-from ..sources.model import memories, raw_events, table
-from ..streaming.ingest import land_new, read_new, shared_folder
+from ..sources.model import memories, raw_events, shared_folder, table
+from ..streaming.ingest import land_new, read_new
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,24 +82,58 @@ def vector_topk(spark, sf):
     return found.orderBy(F.desc(F.round("similarity", 6)), "vec_id").limit(20).select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
-_HYBRID = f"""WITH {S.MEMORIES}, shown AS (SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL)}), {_BM25},
- ft AS (SELECT b.id, b.score FROM bm b JOIN shown s ON b.id = s.id ORDER BY b.score DESC, s.confidence DESC, b.id LIMIT 30),
+
+
+def _hybrid(fetch: int) -> str:
+    return f"""WITH {S.MEMORIES}, shown AS (SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL)}), {_BM25},
+ ft AS (SELECT b.id, b.score FROM bm b JOIN shown s ON b.id = s.id ORDER BY b.score DESC, s.confidence DESC, b.id LIMIT {fetch}),
  fn AS (SELECT id, CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE 0 END AS score FROM ft),
- vs AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id IN (SELECT id FROM shown) ORDER BY 2 DESC, 1 LIMIT 30),
+ vs AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id IN (SELECT id FROM shown) ORDER BY 2 DESC, 1 LIMIT {fetch}),
  vn AS (SELECT id, CASE WHEN max(similarity) OVER () > 0 THEN similarity / max(similarity) OVER () ELSE 0 END AS similarity FROM vs),
  h AS (SELECT s.*, coalesce(fn.score, 0) AS sc, coalesce(vn.similarity, 0) AS si, coalesce(fn.score, 0) * 0.4e0 + coalesce(vn.similarity, 0) * (1e0 - 0.4e0) AS hy FROM fn FULL JOIN vn ON fn.id = vn.id JOIN shown s ON s.id = coalesce(fn.id, vn.id))
 """
 
 
+_HYBRID = _hybrid(30)
+
+
+def _near(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return search.vector_scores(e.withColumnRenamed("vec_id", "id"), e.filter("vec_id = 0").select("embedding"))
+
+
 @registered(_HYBRID + f"SELECT id, round(sc, 4) AS score, round(si, 4) AS similarity, round(hy, 4) AS hybrid_score FROM h ORDER BY round(hy, 4) DESC, {S.priority(PROJECT, TOOL)} LIMIT 10")
 def hybrid_search(spark, sf):
     """BM25 and vectors fused; the keyword fallback stands by in the same plan."""
-    e = table(spark, sf, "embeddings")
-    near = search.vector_scores(e.withColumnRenamed("vec_id", "id"), e.filter("vec_id = 0").select("embedding"))
-    found = search.memory_search(memories(spark, sf), QUERY, near, 10, project=PROJECT, tool=TOOL)
+    found = search.memory_search(memories(spark, sf), QUERY, _near(spark, sf), 10, project=PROJECT, tool=TOOL)
     return found.select("id", *(F.round(c, 4).alias(c) for c in ("score", "similarity", "hybrid_score")))
 
 
+@registered(_HYBRID + f"SELECT s.id, round(fn.score, 4) AS score FROM fn JOIN shown s ON s.id = fn.id ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 10")
+def search_text_only(spark, sf):
+    """No vectors: what BM25 finds, by priority alone."""
+    return search.memory_search(memories(spark, sf), QUERY, None, 10, project=PROJECT, tool=TOOL).select("id", F.round("score", 4).alias("score"))
+
+
+@registered(_HYBRID + f"SELECT s.id, round(vn.similarity, 4) AS similarity FROM vn JOIN shown s ON s.id = vn.id ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 10")
+def search_vectors_only(spark, sf):
+    """Terms that no item holds: what the vectors find, by priority alone."""
+    return search.memory_search(memories(spark, sf), "qqqq zzzz", _near(spark, sf), 10, project=PROJECT, tool=TOOL).select("id", F.round("similarity", 4).alias("similarity"))
+
+
+@registered(f"WITH {S.MEMORIES}, f AS (SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL)} AND (contains(lower(title), 'eserv') OR contains(lower(summary), 'eserv') OR contains(lower(details), 'eserv')) ORDER BY confidence DESC, stability DESC, id LIMIT 30) SELECT id, status FROM f ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 10")
+def search_fallback(spark, sf):
+    """A part of a word, which neither side finds: the keyword fallback."""
+    return search.memory_search(memories(spark, sf), "eserv", None, 10, project=PROJECT, tool=TOOL).select("id", "status")
+
+
+@registered(_HYBRID + f"SELECT id, 1717200000 AS accessed_s FROM (SELECT id FROM h ORDER BY round(hy, 4) DESC, {S.priority(PROJECT, TOOL)} LIMIT 10)")
+def search_access_log(spark, sf):
+    """Accesses that a search adds to the log."""
+    found = search.memory_search(memories(spark, sf), QUERY, _near(spark, sf), 10, project=PROJECT, tool=TOOL)
+    return search.access_log(found, as_of()).select("id", F.unix_timestamp("accessed_at").alias("accessed_s"))
+
+
 @registered(f"WITH {S.MEMORIES}, f AS (SELECT * FROM memories WHERE {S.visible(scope='project', project=PROJECT)} AND (contains(lower(title), 'all rights reserved') OR contains(lower(summary), 'all rights reserved') OR contains(lower(details), 'all rights reserved')) ORDER BY confidence DESC, stability DESC, id LIMIT 60) SELECT id, title, status FROM f ORDER BY {S.priority(PROJECT, None)} LIMIT 20")
 def keyword_fallback(spark, sf):
     """Phrase search where neither index finds anything."""
@@ -118,12 +152,32 @@ def list_memories(spark, sf):
     return search.list_memories(memories(spark, sf), 50, scope="global", tool="shared").select("id", "status", "tool")
 
 
-_SECTIONS = f"""SELECT section, row_number() OVER (PARTITION BY section ORDER BY {S.priority(PROJECT, TOOL)}) AS rank, id FROM (
+
+
+def _sections(rows: str) -> str:
+    return f"""SELECT section, rank, id FROM (SELECT section, row_number() OVER (PARTITION BY section ORDER BY {S.priority(PROJECT, TOOL)}) AS rank, id FROM (
   SELECT *, unnest(list_filter([CASE WHEN memory_type = 'procedural' AND confidence >= 0.82e0 THEN 'must_follow' END, CASE WHEN memory_type = 'profile' THEN 'preferences' END, CASE WHEN memory_type = 'semantic' THEN 'known_patterns' END,
-    CASE WHEN list_contains(tags, 'watchout') THEN 'watch_outs' END, CASE WHEN memory_type = 'episodic' THEN 'related_episodes' END], lambda x: x IS NOT NULL)) AS section FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL)})"""
+    CASE WHEN list_contains(tags, 'watchout') THEN 'watch_outs' END, CASE WHEN memory_type = 'episodic' THEN 'related_episodes' END], lambda x: x IS NOT NULL)) AS section FROM ({rows}))) WHERE rank <= 8"""
+
+
+@registered(_hybrid(72) + _sections(f"SELECT * FROM h ORDER BY round(hy, 4) DESC, {S.priority(PROJECT, TOOL)} LIMIT 24"))
+def memory_context(spark, sf):
+    """The context of a task: a search of 24, in five sections."""
+    found = search.memory_context(memories(spark, sf), QUERY, _near(spark, sf), PROJECT, TOOL)
+    return found.select("section", F.col("rank").cast("long").alias("rank"), "id")
+
+
+_DEFAULTS = f"SELECT * FROM (SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL, statuses=('active',))} ORDER BY CASE memory_type WHEN 'procedural' THEN 0 WHEN 'profile' THEN 1 WHEN 'semantic' THEN 2 WHEN 'episodic' THEN 3 ELSE 4 END, confidence DESC, stability DESC, coalesce(seen_s, created_s) DESC, id LIMIT 72) ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 24"
+
+
+@registered(f"WITH {S.MEMORIES} " + _sections(_DEFAULTS))
+def memory_context_defaults(spark, sf):
+    """The context of a task for which nothing is found: the defaults, in sections."""
+    found = search.memory_context(memories(spark, sf), "qqqq zzzz", None, PROJECT, TOOL)
+    return found.select("section", F.col("rank").cast("long").alias("rank"), "id")
 
 
-@registered(f"WITH {S.MEMORIES} SELECT section, rank, id FROM ({_SECTIONS}) WHERE rank <= 8")
+@registered(f"WITH {S.MEMORIES} " + _sections(f"SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL)}"))
 def memory_context_sections(spark, sf):
     """Five sections of task context, the first eight of each."""
     found = search.context_sections(memories(spark, sf).filter(search.visible(project=PROJECT, tool=TOOL)), PROJECT, TOOL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import analytics, digest, distill, govern, index, render, wiki
 from ..sources import transcripts
-from ..streaming.ingest import shared_folder
+from ..sources.model import shared_folder
 
 
 class Tables:

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recollect-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_new(spark: SparkSession, path: str, schema: StructType, form: str = "parquet", **options: str) -> DataFrame:
     """A stream of the rows of files as they land."""
     return spark.readStream.schema(schema).format(form).options(**options).load(path)
@@ -42,8 +32,3 @@ def land_new(stream: DataFrame, key: str, target: str, checkpoint: str, watermar
     if watermark:
         stream = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def counts_by_window(stream: DataFrame, ts: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Rows in each event-time window and key; rows later than `late` are left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).count().select(F.col("window.start").alias("start"), *keys, "count")
