@@ -109,7 +109,7 @@ def sensitivity(text: Text, patterns: Sequence[str] = V.SENSITIVE) -> Column:
 
 def _low_value(t: Column, stripped: Column, keyed: Column) -> Column:
     """As is_low_value(), of a text and the same stripped and lower-cased. Plain searches come before patterns."""
-    separators = F.length(t) - F.length(F.translate(t, "/\\", ""))
+    slashes = F.length(t) - F.length(F.translate(t, "/\\", ""))
     return (
         (stripped == "")
         | F.startswith(stripped, F.lit("#"))
@@ -117,7 +117,7 @@ def _low_value(t: Column, stripped: Column, keyed: Column) -> Column:
         | has_any(stripped, V.PLAN_MARKERS)
         | has_any(stripped, V.LOW_VALUE)
         | has_any(t, V.TASK_REQUESTS)
-        | ((separators >= 2) & t.rlike(V.PATH_ONLY))
+        | (has_any(t, ("/", "\\")) & t.rlike(V.PATH_ONLY) & (slashes >= 2))
         | ((F.length(t) < 18) & t.rlike(V.GENERIC_TITLE))
         | _garbled(t)
         | (t.rlike(V.BULLET) & ~keyed)
@@ -136,7 +136,8 @@ def is_low_value_candidate(title: Text, summary: Text, details: Text) -> Column:
     def judged(t: Column, lowered: Column) -> Column:
         slashes = F.length(lowered) - F.length(F.translate(lowered, "/\\", ""))
         words = F.size(F.filter(F.split(lowered, r"\s+"), lambda w: w != ""))
-        return has_any(lowered, V.LOW_VALUE_CANDIDATE) | _low_value(t, strip(lowered), F.lit(False)) | ((slashes >= 4) & (words <= 8))
+        low = once(strip(lowered), lambda s: _low_value(t, s, F.lit(False)))
+        return has_any(lowered, V.LOW_VALUE_CANDIDATE) | low | (has_any(t, ("/", "\\")) & (slashes >= 4) & (words <= 8))
 
     return (F.length(squash(title)) < 8) | once(text, lambda t: once(F.lower(t), lambda lowered: judged(t, lowered)))
 
