@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from .common import complete_runs, run_bounds
 from .rabitq import is_valid, rotation
 
-#: Rows that the forest is fitted on at most; rows in a leaf, about; the deepest tree; index rows in a shard.
-FIT_ROWS, LEAF, DEPTH, SHARD = 16_384, 2048, 12, 8192
+#: Rows that the forest is fitted on at most; rows in a leaf, about; the least and greatest depth of a tree; index rows in a shard.
+FIT_ROWS, LEAF, LEAST_DEPTH, DEPTH, SHARD = 16_384, 2048, 4, 12, 8192
 #: Results that a task holds before it sends them on.
 HELD = 1 << 20
 #: Fitted rows by which a search tells what share of the index its leaves hold.
@@ -60,14 +60,14 @@ class Forest:
             out[:, t] = node
         return out
 
-    def search(self, x: np.ndarray, share: float) -> Iterator[list[tuple[int, int]]]:
-        """For each row, the (tree, leaf) in order of nearness until they hold `share` of the pilot rows.
+    def search(self, x: np.ndarray, share: float, least: int) -> Iterator[list[tuple[int, int]]]:
+        """For each row, the (tree, leaf) in order of nearness until they hold `share` of the pilot rows, and `least` of them.
 
         One queue holds the nodes of all trees, by the squared distance of the row from their cell, summed over the
         cuts between (columns of a rotation are at right angles).
         """
-        pilot = max(1, min(PILOT, int(self.held[0].shape[1] * 8)))
-        need = share * sum(int(np.bitwise_count(row).sum()) for row in self.held[0]) if self.held else pilot
+        rows = sum(int(np.bitwise_count(row).sum()) for row in self.held[0])
+        need = max(share * rows, min(rows, least))
         all_along = [self.project(x, t) for t in range(self.trees)]
         for i in range(len(x)):
             queue = [(0.0, t, 0, 0) for t in range(self.trees)]
@@ -92,12 +92,12 @@ class Forest:
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, share: float = 0.85, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of df, but its own, with the largest inner product.
 
-    The forest is fitted on FIT_ROWS rows of df at most (those of least hash) and broadcast, its size being bounded;
+    The forest is fitted on FIT_ROWS rows of df at most (drawn by hash) and broadcast, its size being bounded;
     every row of df is indexed in a leaf of each tree, every query goes to leaves that hold `share` of the rows
-    together, and within the shards of leaves the candidates are ranked by exact inner products in double precision.
+    together (and 4 k of them at least), and within the shards of leaves the candidates are ranked by exact inner products in double precision.
     A task sends a query's best over all the shards it holds, not over each.
-    Shards hold about SHARD rows whatever the size of df: leaves are gathered or salted to that. Small tables (one
-    leaf) are searched whole. Longer vectors reach beyond their cell, so where lengths vary greatly raise `share`.
+    Shards hold about SHARD rows whatever the size of df: leaves are gathered or salted to that. Tables of any size are
+    searched by the forest, of LEAST_DEPTH levels or more. Longer vectors reach beyond their cell, so where lengths vary greatly raise `share`.
 
     Ties go to the smaller vec_id; rows that repeat a vec_id count once for each vector, and rows with the query's own
     id are left out. Rows without a vec_id and rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do
@@ -107,14 +107,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
     asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
     n = rows.count()
-    fit = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(FIT_ROWS).select("v").toPandas()["v"].tolist()
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30))
+    drawn = rows.filter(draw < int(min(1.0, 1.2 * FIT_ROWS / max(n, 1)) * (1 << 30))).select(draw.alias("draw"), "vec_id", "v").limit(2 * FIT_ROWS).toArrow()
+    fit = drawn.sort_by([("draw", "ascending"), ("vec_id", "ascending")]).column("v").slice(0, FIT_ROWS).to_pylist()
     sizes = np.array([len(v) for v in fit], int)
     dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
     sample = np.array([v for v in fit if len(v) == dim], float).reshape(-1, dim)
-    depth = min(DEPTH, dim, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
+    depth = min(DEPTH, dim, max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / LEAF))))
     if len(sample) == 0:
         sample = np.zeros((1, dim))
-    forest = spark.sparkContext.broadcast(Forest(sample, trees if depth else 1, depth))
+    forest = spark.sparkContext.broadcast(Forest(sample, trees, depth))
     leaf_rows = max(1, n >> depth)
     wide = max(0, int(math.log2(max(1, SHARD // leaf_rows))))  # leaves in a shard, as a power of two
     salts = -(-leaf_rows // SHARD)
@@ -144,7 +146,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
             ids, x = columns(batch)
             for at in range(0, len(ids), 1000):
                 out: list[tuple] = []
-                for i, visits in enumerate(f.search(x[at : at + 1000], share), at):
+                for i, visits in enumerate(f.search(x[at : at + 1000], share, 4 * k), at):
                     by: dict[tuple[int, int], list[int]] = {}
                     for t, leaf in visits:
                         by.setdefault((t, leaf >> wide), []).append(leaf)

@@ -15,6 +15,8 @@ from .components import components
 
 #: Fingerprints in a tree, shingles hashed at once, and members from which a shard is dealt out further.
 TREE, STEP, LARGE = 8192, 1 << 16, 4096
+#: Fingerprints of more than FEW rows, and more than one in SHARE of all, are joined by broadcast.
+FEW, SHARE = 100, 2000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -142,11 +144,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
     Rows with equal fingerprints, such as texts without words (fingerprint 0), are one node, so copies cost nothing
     beyond their grouping; null text counts as empty; rows without a doc_id link by equal fingerprints only; repeated rows come
-    back each; an empty table gives no rows; other columns are ignored. Fingerprints are written once to the shared folder. The joins back to the documents are on the
-    fingerprint; adaptive execution splits one that a third of all rows share.
+    back each; an empty table gives no rows; other columns are ignored. Fingerprints are written once to the shared
+    folder. Fingerprints that more than 1 in SHARE of the rows have, so SHARE at most, are broadcast with their
+    component; all others are joined back by fingerprint.
     """
     own = materialize(fingerprints(docs), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = components(links(fps.filter("rep is not null"), radius))
-    classes = fps.join(joined, fps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    joined = components(links(fps.filter("rep is not null").drop("n"), radius))
+    classes = materialize(fps.join(joined, fps.rep == joined.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "classes")
+    often = F.col("n") > max(FEW, own.count() // SHARE)
+    hot = F.broadcast(classes.filter(often).select("fp", "component_id"))
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(classes.filter(~often), "fp")
+    return own.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
