@@ -234,16 +234,24 @@ def repeated_patterns(digests_: DataFrame, least: int = 3) -> DataFrame:
     return words.join(F.broadcast(sizes), "category").filter(F.col("count") >= F.floor(F.col("insights") / 2)).select("category", "insights", "keyword", "count")
 
 
-def digest_markdown() -> Column:
-    """A digest as a page."""
-    part = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(f"## {head}\n\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("- category: "), F.col("category")), part("Decisions", F.col("key_decisions")), part("Insights", F.col("insights")), part("Follow-ups", F.col("follow_ups")))
-
-
 def questions(digests_: DataFrame) -> DataFrame:
     """(digest_id, question_no, question) of all follow-ups."""
     return digests_.select(F.col("id").alias("digest_id"), F.posexplode("follow_ups").alias("question_no", "question"))
 
 
-def shared_words(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(token_set(a), token_set(b)))
+def connections_of(edges_: DataFrame, memories: DataFrame | None = None, digests_: DataFrame | None = None) -> DataFrame:
+    """The edges of some memories, of some digests, or of both (each a table of ids); all by semi-joins."""
+    if memories is not None:
+        edges_ = edges_.join(memories.select(F.col("id").cast("string").alias("memory_id")), "memory_id", "left_semi")
+    if digests_ is not None:
+        edges_ = edges_.join(digests_.select(F.col("id").alias("digest_id")), "digest_id", "left_semi")
+    return edges_
+
+
+def of_project(digests_: DataFrame, project: str) -> DataFrame:
+    return digests_.filter((F.col("status") == "active") & (F.col("related_project") == project))
+
+
+def recent(digests_: DataFrame, limit: int = 10) -> DataFrame:
+    """The latest active digests; ties by id."""
+    return digests_.filter(F.col("status") == "active").orderBy(F.desc("created_at"), "id").limit(limit)

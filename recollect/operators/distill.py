@@ -167,6 +167,17 @@ def reconcile(new: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def matched_evidence(found: DataFrame, events: DataFrame, batch: str, most: int = 3) -> DataFrame:
+    """(id, place, event_id): for each candidate (id, batch, title, summary) the first events (id, batch, ord, text) of its
+    batch whose text stands in the summary or holds the title; batches, which one call distils, are of bounded size."""
+    from pyspark.sql.window import Window
+
+    e = events.select(batch, F.col("id").alias("event_id"), "ord", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    pairs = found.select("id", batch, F.lower("title").alias("title"), F.lower("summary").alias("summary")).join(e, batch)
+    rows = pairs.filter(F.contains("summary", "t") | F.contains("t", "title"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).filter(F.col("place") <= most).select("id", "place", "event_id")
+
+
 def write_memory(memory: DataFrame) -> DataFrame:
     """Memories written by hand, with the id that their fields give, overriding what is distilled."""
     return memory.withColumn("id", stable_id("memory_type", "scope", "tool", F.coalesce("project_key", F.lit("")), F.lower("title"), "summary")).withColumn("manual_override", F.lit(True)).withColumn("managed_by", F.lit("user"))

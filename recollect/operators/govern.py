@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import excerpt, is_garbled, is_low_value_candidate
+from ..functions import vocabulary as V
+from ..functions.text import excerpt, is_garbled, is_low_value_candidate, polarity, token_set
 from ..functions.time import normalize, whole_days
 from .distill import AUTO_CONFIDENCE, AUTO_STABILITY
 
@@ -115,6 +118,18 @@ def repair(items: DataFrame, times: tuple[str, ...] = ("created_at", "last_seen_
     return fixed.select(*items.columns), changes
 
 
+def tag_contradictions(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
+    """items, those tagged `potential-conflict` that may contradict another: active profile or procedural memories of one
+    type and scope whose titles share a word and of which one asks for what the other forbids. Where no model judges
+    pairs, polarity does. Both sides meet by word as counts, so no pairs are made."""
+    judged = items.filter((F.col("status") == "active") & F.col("memory_type").isin("profile", "procedural")).select("id", "memory_type", "scope", F.explode(token_set("title")).alias("word"), polarity(F.concat_ws(" ", "summary", "details"), positive, negative).alias("p")).filter("p <> 0")
+    keys = ["memory_type", "scope", "word"]
+    both = judged.groupBy(*keys).agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low < high").select(*keys)
+    ids = judged.join(both, keys, "left_semi").select("id").distinct().withColumn("_conflict", F.lit(True))
+    tags = F.when(F.col("_conflict"), F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("potential-conflict"))))).otherwise(F.col("tags"))
+    return items.join(ids, "id", "left").withColumn("tags", tags).drop("_conflict")
+
+
 ACTIONS = ("promote", "confirm", "demote", "archive", "contradict", "merge")
 
 

@@ -154,6 +154,12 @@ def memory_context(items: DataFrame, query: str, vectors: DataFrame | None = Non
     return context_sections(matched.unionByName(default), project, tool, each)
 
 
+def find(items: DataFrame, inbox: DataFrame, id_: object) -> DataFrame:
+    """The item of an id, else what the inbox holds under it."""
+    own = items.filter(F.col("id") == id_)
+    return own.unionByName(without(inbox.filter(F.col("id") == id_), own.limit(1)).select(*items.columns))
+
+
 def default_memories(items: DataFrame, limit: int, scope=None, project=None, tool=None) -> DataFrame:
     """What to know without a query: active items, procedures first, surer and steadier first, latest first; then by priority."""
     kind = F.when(F.col("memory_type") == "procedural", 0).when(F.col("memory_type") == "profile", 1).when(F.col("memory_type") == "semantic", 2).when(F.col("memory_type") == "episodic", 3).otherwise(4)

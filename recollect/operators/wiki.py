@@ -140,6 +140,24 @@ def broad_topics(items: DataFrame, least: int = BROAD_ITEMS, short: int = BROAD_
     return with_topics(items).groupBy("topic").agg(F.count("*").alias("items"), F.avg(F.length(F.trim("summary"))).alias("avg_summary")).filter((F.col("items") >= least) & (F.col("avg_summary") < short))
 
 
+def lint_report(items: DataFrame, evidence: Column | None = None, least: int = BROAD_ITEMS, short: int = BROAD_SUMMARY) -> DataFrame:
+    """All issues that need no pairs, in one table (issue_type, severity, subject, other, page_key): weak evidence, missing
+    projects, topics too broad, and orphans, which stand on no topic's and no project's page."""
+    topic = broad_topics(items, least, short).select(F.lit("overbroad_topic").alias("issue_type"), F.lit("medium").alias("severity"), F.col("topic").alias("subject"), F.lit(None).cast("string").alias("other"))
+    placed = page_keys(items).filter(~F.col("page_key").startswith("types/")).select("id").distinct()
+    orphans = items.join(placed, "id", "left_anti").select(F.lit("orphan").alias("issue_type"), F.lit("low").alias("severity"), F.col("id").cast("string").alias("subject"), F.lit(None).cast("string").alias("other"))
+    of_item = weak_evidence(items, evidence).unionByName(missing_project(items)).unionByName(orphans)
+    pages_ = items.select(F.col("id").cast("string").alias("subject"), F.when(F.col("project_key").isNotNull(), F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index"))).otherwise(F.concat(F.lit("types/"), F.col("memory_type"))).alias("page_key"))
+    return of_item.join(pages_, "subject").unionByName(topic.withColumn("page_key", F.concat(F.lit("topics/"), slug("subject"))))
+
+
+def page_warnings(issues: DataFrame, most: int = 6) -> DataFrame:
+    """(page_key, warning_no, issue_type, subject): the first issues of each project's page."""
+    place = F.row_number().over(Window.partitionBy("page_key").orderBy("issue_type", "subject"))
+    rows = issues.filter(F.col("page_key").startswith("projects/")).withColumn("warning_no", place)
+    return rows.filter(F.col("warning_no") <= most).select("page_key", "warning_no", "issue_type", "subject")
+
+
 def conflicts(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
     """(topic, first_id, second_id): memories of one topic and project whose titles share a word and of which one asks for what the other forbids.
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
-from ..operators import analytics, digest, distill, govern, index, render, search, vault, wiki
+from ..operators import analytics, digest, distill, govern, index, lifecycle, render, search, vault, wiki
 from ..sources.model import memories, raw_events, shared_folder, table
 from ..streaming.ingest import land_new, read_new
 from . import sql as S
@@ -859,3 +859,119 @@ def imported_notes(spark, sf):
     """Notes that aren't known yet, as candidates."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return render.imported_notes(d, table(spark, sf, "labels").select(F.col("doc_id").alias("id"))).select("id", "title", "confidence", "stability")
+
+
+# --- lifecycles, connections and reports -------------------------------------------------------------------------
+
+_LOG = "log AS (SELECT user_id % 50 + 1 AS id, CASE event_type WHEN 'signup' THEN 'promote' WHEN 'error' THEN 'demote' WHEN 'purchase' THEN CASE WHEN event_id % 40 = 0 THEN 'archive' ELSE 'other' END ELSE 'other' END AS action, event_id AS seq FROM events)"
+
+
+@registered(f"WITH {_SKILLS}, {_LOG}, l AS (SELECT id, bool_or(action = 'archive') AS ended, arg_max(action, seq) FILTER (action IN ('promote', 'demote')) AS last FROM log GROUP BY 1) SELECT s.id, CASE WHEN status = 'archived' OR coalesce(ended, false) THEN 'archived' WHEN last = 'promote' THEN 'active' WHEN last = 'demote' THEN 'draft' ELSE status END AS status FROM skills s LEFT JOIN l ON s.id = l.id")
+def skill_reviews(spark, sf):
+    """Skills after their reviews."""
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "promote").when(kind == "error", "demote").when((kind == "purchase") & (F.col("event_id") % 40 == 0), "archive").otherwise("other")
+    log = table(spark, sf, "events").select((F.col("user_id") % 50 + 1).alias("id"), action.alias("action"), F.col("event_id").alias("at"))
+    return lifecycle.reviewed_skills(_skills(spark, sf), log).select("id", "status")
+
+
+@registered(f"WITH {_SKILLS}, i AS (SELECT l_suppkey AS id, count(*) AS n, max(CASE WHEN l_linenumber = 1 THEN l_orderkey END) AS seq FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT s.id, 1 + coalesce(n, 0) AS version, coalesce(n, 0) AS improvement_count, n IS NOT NULL AS manual_override, coalesce('steps of ' || seq, 'first') AS steps FROM skills s LEFT JOIN i ON s.id = i.id")
+def skill_improvements(spark, sf):
+    """Skills after their improvements; of lineitems that came back, first lines bring new steps."""
+    s = _skills(spark, sf).select("id", F.array(F.lit("first")).alias("steps"), F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("improvement_count"), F.lit(False).alias("manual_override"))
+    made = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("at"), F.when(F.col("l_linenumber") == 1, F.array(F.concat(F.lit("steps of "), F.col("l_orderkey").cast("string")))).alias("steps"))
+    return lifecycle.improved_skills(s, made).select("id", "version", "improvement_count", "manual_override", F.array_join("steps", "|").alias("steps"))
+
+
+@registered("SELECT p_brand AS tag, count(*) AS count FROM part WHERE p_size % 3 = 1 GROUP BY 1 UNION ALL SELECT p_type AS tag, count(*) AS count FROM part WHERE p_size % 3 = 1 GROUP BY 1")
+def skill_tag_counts(spark, sf):
+    s = table(spark, sf, "part").select(F.element_at(F.array(*map(F.lit, ("draft", "active", "archived"))), (F.col("p_size") % 3 + 1).cast("int")).alias("status"), F.array("p_brand", "p_type").alias("tags"))
+    return lifecycle.tag_counts(s)
+
+
+@registered("SELECT user_id, event_type, count(*) AS count, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY 1, 2")
+def tool_preferences(spark, sf):
+    """What each user uses most."""
+    t = lifecycle.tool_preferences(table(spark, sf, "events"), "user_id", "event_type")
+    return t.withColumn("place", F.col("place").cast("long"))
+
+
+@registered("SELECT user_id, count(*) AS cycles, round(list_reduce(list_prepend(0.5e0, list(CASE WHEN value > 50 THEN 0.05e0 ELSE -0.02e0 END ORDER BY event_id)), lambda a, d: CASE WHEN d > 0 THEN least(0.99e0, a + d) ELSE greatest(0.1e0, a + d) END), 6) AS confidence FROM events WHERE value IS NOT NULL GROUP BY 1")
+def profile_confidence(spark, sf):
+    """Confidence in each user's profile after all rounds."""
+    log = table(spark, sf, "events").filter("value is not null")
+    return lifecycle.profile_confidence(log, "user_id", F.col("event_id"), F.col("value") > 50).withColumn("confidence", F.round("confidence", 6))
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, {S.MEMORIES}, dw AS (SELECT id, unnest({_WORDS}) AS w FROM dig), mw AS (SELECT id, unnest({_WORDS}) AS w FROM memories WHERE status = 'active') SELECT dw.id AS digest_id, mw.id::VARCHAR AS memory_id FROM dw JOIN mw ON dw.w = mw.w WHERE mw.id % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2")
+def memory_connections(spark, sf):
+    """Edges of some memories."""
+    d = _digests(spark, sf).withColumn("related_project", F.lit(None).cast("string"))
+    m = memories(spark, sf).filter("status = 'active'")
+    return digest.connections_of(digest.edges(d, m), m.filter("id % 20 = 0")).select("digest_id", "memory_id")
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT chunk_id, min(project_key) AS related_project, min(timestamp) AS created_at FROM chunked GROUP BY 1) SELECT id, created_at FROM dig JOIN p ON dig.chunk_id = p.chunk_id WHERE related_project = 'team-4' ORDER BY created_at DESC, id LIMIT 10")
+def project_digests(spark, sf):
+    """The latest digests of a project."""
+    return digest.recent(digest.of_project(_digests(spark, sf), "team-4"), 10).select("id", "created_at")
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST} SELECT id, place, event_id FROM (SELECT d.id, c.id AS event_id, row_number() OVER (PARTITION BY d.id ORDER BY c.n) AS place FROM dig d JOIN chunked c ON d.chunk_id = c.chunk_id WHERE contains(lower(d.summary), lower(c.text)) OR contains(lower(c.text), lower(d.title))) WHERE place <= 3")
+def evidence_match(spark, sf):
+    """Events that bear a digest's title or stand in its summary, the first three of each."""
+    c = digest.chunks(raw_events(spark, sf)).withColumn("ord", F.struct("chunk_no", "message_no"))
+    return distill.matched_evidence(_digests(spark, sf), c, "chunk_id").withColumn("place", F.col("place").cast("long"))
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, j AS (SELECT id, memory_type, scope, unnest({S.token_set('title')}) AS word, {_POL} AS p FROM memories WHERE status <> 'archived' AND memory_type IN ('profile', 'procedural')),
+ b AS (SELECT memory_type, scope, word FROM j WHERE p <> 0 GROUP BY ALL HAVING min(p) < max(p)), c AS (SELECT DISTINCT id FROM j JOIN b USING (memory_type, scope, word) WHERE p <> 0)
+ SELECT m.id, c.id IS NOT NULL AS conflict FROM memories m LEFT JOIN c ON m.id = c.id"""
+)
+def contradiction_tags(spark, sf):
+    """Memories that may contradict another, by polarity and shared words."""
+    m = memories(spark, sf).withColumn("status", F.when(F.col("status") != "archived", "active").otherwise(F.col("status")))
+    return govern.tag_contradictions(m, YES, NO).select("id", F.array_contains("tags", "potential-conflict").alias("conflict"))
+
+
+_ISSUES = f"""pg AS (SELECT DISTINCT id FROM (SELECT id FROM memories WHERE project_key IS NOT NULL UNION ALL SELECT id FROM (SELECT id, unnest(list_filter(tags, lambda t: NOT list_contains([{', '.join(map(S.q, V.GENERIC_TAGS))}], t))) AS topic FROM memories) WHERE topic IN (SELECT topic FROM topic GROUP BY 1 HAVING count(*) >= 2))),
+ own AS (SELECT id::VARCHAR AS subject, CASE WHEN project_key IS NOT NULL THEN 'projects/' || project_key || '/index' ELSE 'types/' || memory_type END AS page_key FROM memories),
+ issues AS (SELECT issue_type, subject, page_key FROM (SELECT 'weak_evidence' AS issue_type, id::VARCHAR AS subject FROM memories WHERE length(trim({S.excerpt('details', 220)})) < 100 UNION ALL SELECT 'missing_project_key', id::VARCHAR FROM memories WHERE scope = 'project' AND project_key IS NULL
+  UNION ALL SELECT 'orphan', id::VARCHAR FROM memories WHERE id NOT IN (SELECT id FROM pg)) JOIN own USING (subject)
+  UNION ALL SELECT 'overbroad_topic', topic, 'topics/' || {S.slug('topic')} FROM topic GROUP BY topic HAVING count(*) >= 8 AND avg(length(trim(summary))) < 175)"""
+
+
+def _issues(spark, sf):
+    m = memories(spark, sf)
+    short = F.length(F.trim(X.excerpt("details", 220)))
+    return wiki.lint_report(m, F.when(short < 100, 0).otherwise(100), 8, 175)
+
+
+@registered(f"WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES} SELECT issue_type, subject, page_key FROM issues")
+def wiki_lint_report(spark, sf):
+    """All issues that need no pairs, with the page that each belongs to."""
+    return _issues(spark, sf).select("issue_type", "subject", "page_key")
+
+
+@registered(f"WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES} SELECT page_key, n AS warning_no, issue_type, subject FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY issue_type, subject) AS n FROM issues WHERE starts_with(page_key, 'projects/')) WHERE n <= 6")
+def page_warnings(spark, sf):
+    """The first six issues of each project's page."""
+    return wiki.page_warnings(_issues(spark, sf)).withColumn("warning_no", F.col("warning_no").cast("long"))
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, dirty AS (SELECT id, status, manual_override, CASE WHEN id % 9 = 0 THEN stability + 0.6e0 ELSE stability END AS stability, id % 13 = 0 AS bad, {S.when_s('created_s')} AS good, id % 5 AS k FROM memories)
+ SELECT id, CASE WHEN manual_override THEN 'garbled_manual_archived' ELSE 'garbled_system_removed' END AS kind, 'status' AS field, status AS before, CASE WHEN manual_override THEN 'archived' END AS after FROM dirty WHERE bad
+ UNION ALL SELECT id, 'stability_clamped', 'stability', round(stability, 4)::VARCHAR, '1.0' FROM dirty WHERE stability > 1 AND (NOT bad OR manual_override)
+ UNION ALL SELECT id, 'timestamp_normalized', 'created_at', replace(good, '+00:00', 'Z'), good FROM dirty WHERE k = 1 UNION ALL SELECT id, 'skipped', 'created_at', 'no time', 'unparseable_timestamp' FROM dirty WHERE k = 2"""
+)
+def repair_changes(spark, sf):
+    """What a repair of memories changes: garbled text, stability out of range, times of other kinds."""
+    k = F.col("id") % 5
+    m = memories(spark, sf).withColumn("title", F.when(F.col("id") % 13 == 0, F.concat("title", F.lit(" ????"))).otherwise(F.col("title")))
+    m = m.withColumn("stability", F.when(F.col("id") % 9 == 0, F.col("stability") + 0.6).otherwise(F.col("stability")))
+    m = m.withColumn("created_at", F.when(k == 1, F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, "no time").otherwise(iso("created_at")))
+    changes = govern.repair(m, ("created_at",))[1]
+    number = F.round(F.col("before").cast("double"), 4).cast("string")
+    return changes.withColumn("before", F.when(F.col("kind") == "stability_clamped", number).otherwise(F.col("before")))

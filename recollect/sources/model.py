@@ -44,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_memories(spark: SparkSession, *roots: str) -> DataFrame:
+    """Memory records in JSON files (one record or a list each) under some folders, with the file's path and time; records
+    that don't hold together are left out. Files are read whole, one record each, as they are kept."""
+    found = spark.read.schema(MEMORY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(list(roots))
+    return valid(found.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_at")))
+
+
 def valid(memories: DataFrame) -> DataFrame:
     """Records that hold together: required fields are there, confidence and stability lie in 0..1."""
     needed = ("id", "title", "memory_type", "scope", "tool", "summary", "status")

@@ -96,7 +96,8 @@ def test_reviews_and_expiry(spark):
 
 def test_search_ways(spark):
     m = items(spark, [{"title": "red apple", "summary": "apple apple"}, {"title": "green pear", "details": "an apple"}, {"title": "blue plum", "tool": "x", "status": "candidate"}, {"title": "apple gone", "status": "archived"}, {"title": "naïve_term 中文段落"}])
-    assert ids(search.memory_search(m, "apple")) == [1, 2]
+    # one side alone: by priority, then title
+    assert ids(search.memory_search(m, "apple")) == [2, 1]
     assert ids(search.memory_search(m, "naïve"))[0] == 5
     assert ids(search.memory_search(m, "blue zzz", limit=5)) == [3]
     near = spark.createDataFrame([(3, 0.9), (2, 0.1), (4, 1.0)], "id long, similarity double")
@@ -269,3 +270,42 @@ def test_index(spark):
     assert [tuple(r) for r in index.insert_or_ignore(known, new).collect()] == [(2, "c")]
     p = {(r.term, r.id): r.weight for r in index.postings(items(spark, [{"title": "red red", "summary": "red"}]), search.WEIGHTS).collect()}
     assert p[("red", 1)] == 10.0 and p[("details", 1)] == 1.0
+
+
+def test_find_falls_back_on_the_inbox(spark):
+    from recollect.operators import search
+
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    inbox = spark.createDataFrame([(2, "old"), (3, "new")], "id long, title string")
+    assert [[r.title for r in search.find(items, inbox, i).collect()] for i in (1, 2, 3, 4)] == [["a"], ["b"], ["new"], []]
+
+
+def test_skill_lifecycle(spark):
+    from recollect.operators import lifecycle
+
+    skills = spark.createDataFrame([(1, "draft"), (2, "draft"), (3, "active"), (4, "archived"), (5, "active")], "id long, status string")
+    log = [(1, "promote", 1), (1, "demote", 2), (1, "promote", 3), (2, "archive", 1), (2, "promote", 2), (3, "demote", 1), (4, "promote", 1), (9, "promote", 1), (5, "other", 1)]
+    got = lifecycle.reviewed_skills(skills, spark.createDataFrame(log, "id long, action string, at long")).collect()
+    assert {r.id: r.status for r in got} == {1: "active", 2: "archived", 3: "draft", 4: "archived", 5: "active"}
+    rounds = spark.createDataFrame([("u", i, i % 7 != 0) for i in range(40)] + [("v", i, False) for i in range(50)], "user string, n long, up boolean")
+    from pyspark.sql import functions as F
+
+    conf = 0.5
+    for i in range(40):
+        conf = min(0.99, conf + 0.05) if i % 7 else max(0.1, conf - 0.02)
+    got = {r.user: r for r in lifecycle.profile_confidence(rounds, "user", F.col("n"), F.col("up")).collect()}
+    assert abs(got["u"].confidence - conf) < 1e-9 and got["v"].confidence == 0.1 and got["v"].cycles == 50
+
+
+def test_memory_files_are_read(spark, tmp_path):
+    import json
+
+    from recollect.sources.model import read_memories
+
+    one = {"id": "m1", "title": "t", "memory_type": "semantic", "scope": "global", "tool": "shared", "summary": "s", "status": "active", "confidence": 0.9, "stability": 0.8, "tags": ["a"]}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "m1.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "many.json").write_text(json.dumps([one | {"id": "m2"}, one | {"id": "m3", "confidence": 7}, one | {"id": None}]))
+    (tmp_path / "other.txt").write_text("{}")
+    got = {r.id: r for r in read_memories(spark, str(tmp_path)).collect()}
+    assert set(got) == {"m1", "m2"} and got["m1"].file_path.endswith("deep/m1.json") and got["m1"].modified_at
