@@ -87,12 +87,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return pc.fill_null(batch.column(column).cast(pa.string()), "").to_pylist()
 
 
-def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
-    """float32 rows of a list column without nulls, all of length dim."""
-    flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
 def forest_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links a-b, each node joined to the smallest of its component."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

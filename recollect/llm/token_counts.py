@@ -28,18 +28,18 @@ def section_spans(text: str, separator: str = "\n") -> tuple[np.ndarray, np.ndar
     return edges[:-1], edges[1:]
 
 
-def allot(token_start: np.ndarray, token_end: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
+def allot(token_first: np.ndarray, token_last: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section: an interval join of token spans with the sorted, adjoining section spans.
 
     A token lies in the sections that hold its first and its last character. Where these differ, "start" gives it to
     the first, "end" to the last, and "split" gives each section from the first to the last an equal share.
     """
-    if not len(token_start):
+    if not len(token_first):
         return np.zeros(len(starts))
-    first = np.searchsorted(starts, token_start, "right") - 1
+    first = np.searchsorted(starts, token_first, "right") - 1
     if rule == "start":
         return np.bincount(first, minlength=len(starts)).astype(float)
-    last = np.searchsorted(starts, np.maximum(token_end - 1, token_start), "right") - 1
+    last = np.searchsorted(starts, token_last, "right") - 1
     if rule == "end":
         return np.bincount(last, minlength=len(starts)).astype(float)
     counts = np.zeros(len(starts) + 1)
@@ -68,8 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", separator
             ids = batch.column("doc_id").to_pylist()
             for text in texts_of(batch, column):
                 s, e = section_spans(text, separator)
-                at = enc.starts(text)
-                found.append((s, e, allot(at, np.r_[at[1:], len(text)] if rule != "start" else at, s, e, rule)))
+                found.append((s, e, allot(*enc.spans(text), s, e, rule)))
             sizes = [len(s) for s, _, _ in found]
             keep = np.repeat(np.arange(len(ids)), sizes)
             yield pa.RecordBatch.from_arrays(

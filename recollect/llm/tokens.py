@@ -93,13 +93,14 @@ class Encoder:
         first, *rest = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
         return self._ids(first) + b"".join(map(self.inner.__getitem__, rest))
 
-    def starts(self, text: str) -> np.ndarray:
-        """The character at which each token starts (within a character: that character), by the table of token lengths in bytes."""
-        lengths = self.lengths[np.frombuffer(self.ids(text), "<u4")]
-        at = np.cumsum(lengths) - lengths
-        if text.isascii() or not len(at):
-            return at
-        return (np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1)[at]
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last character of which each token holds a byte, by the table of token lengths in bytes."""
+        ends = np.cumsum(self.lengths[np.frombuffer(self.ids(text), "<u4")])
+        starts = np.r_[0, ends[:-1]][: len(ends)]
+        if text.isascii() or not len(ends):
+            return starts, ends - 1
+        char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+        return char[starts], char[ends - 1]
 
 
 def encoder(path: str) -> Encoder:
