@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +72,22 @@ def bm25(items: DataFrame, query: str, fields: Mapping[str, float] = WEIGHTS, ke
     return counted.filter(found).join(F.broadcast(stats)).select(key, *carry, score.alias("score"))
 
 
+def bm25_indexed(spark: SparkSession, folder: str, query: str, key: str = "id", buckets: int = 64) -> DataFrame:
+    """(key, score) out of what `index.write_search_index` stored: the postings of the query's terms alone are read; statistics are those of all items.
+
+    buckets: as the index was written. Frequencies of the terms and the corpus's statistics are a row for each term.
+    """
+    terms = query_terms(query)
+    held = F.col("term").isin(*terms) & F.col("bucket").isin(*{zlib.crc32(t.encode()) % buckets for t in terms}) if terms else F.lit(False)
+    hits = spark.read.parquet(f"{folder}/postings").filter(held)
+    stats = spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"))
+    frequent = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+    f = F.col("weight")
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    rows = hits.join(F.broadcast(frequent), "term").withColumn("score", idf * f * (K1 + 1) / (f + K1 * ((1 - B) + B * F.col("d") / F.col("avg_d"))))
+    return rows.groupBy(key).agg(F.sum("score").alias("score"))
+
+
 def normalized(scores: DataFrame, column: str = "score") -> DataFrame:
     """Scores over their greatest, 0 where that isn't above 0."""
     top = scores.agg(F.max(column).alias("_top"))

@@ -74,6 +74,16 @@ def bm25_search(spark, sf):
     return search.bm25(items, QUERY).orderBy(F.desc(F.round("score", 6)), "id").limit(50).select("id", F.round("score", 4).alias("score"))
 
 
+@registered(f"WITH {S.MEMORIES}, {_BM25.replace('FROM shown', 'FROM memories')} SELECT b.id, round(score, 4) AS score FROM bm b JOIN memories m ON b.id = m.id WHERE {S.visible(project=PROJECT)} ORDER BY round(score, 6) DESC, b.id LIMIT 50")
+def indexed_search(spark, sf):
+    """BM25 out of a stored index, with statistics over all memories."""
+    items, folder = memories(spark, sf), shared_folder(spark, "index")
+    index.write_search_index(items, folder, search.WEIGHTS)
+    shown = items.filter(search.visible(project=PROJECT)).select("id")
+    found = search.bm25_indexed(spark, folder, QUERY).join(shown, "id", "left_semi")
+    return found.orderBy(F.desc(F.round("score", 6)), "id").limit(50).select("id", F.round("score", 4).alias("score"))
+
+
 @registered("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label <> 3 AND e.vec_id <> 0 ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id LIMIT 20")
 def vector_topk(spark, sf):
     """Nearest vectors to one by cosine, under a metadata filter that is applied first."""
@@ -709,6 +719,12 @@ def wiki_incremental_diff(spark, sf):
     return wiki.affected_pages(before, after)
 
 
+@registered(f"WITH {S.MEMORIES} SELECT id, term, sum(w) AS weight FROM (SELECT id, unnest({S.tokens('title')}) AS term, 3e0 AS w FROM memories UNION ALL SELECT id, unnest({S.tokens('details')}), 1e0 FROM memories) GROUP BY ALL")
+def weighted_postings(spark, sf):
+    """Terms of titles and whole texts with their weights."""
+    return index.postings(memories(spark, sf), {"title": 3.0, "details": 1.0})
+
+
 @registered(f"WITH {S.MEMORIES} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({S.tokens('summary')}) AS term FROM memories) GROUP BY ALL")
 def term_postings(spark, sf):
     return index.term_counts(memories(spark, sf), "summary")

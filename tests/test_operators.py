@@ -272,6 +272,15 @@ def test_index(spark):
     assert p[("red", 1)] == 10.0 and p[("details", 1)] == 1.0
 
 
+def test_stored_index_scores_as_the_scan_does(spark, tmp_path):
+    made = items(spark, [{"title": "red red fox", "summary": "naïve fox"}, {"title": "", "summary": None, "details": ""}, {"title": "a fox", "details": "red " * 300}, {"title": "other"}, {"title": "Ärger", "tags": ["red"]}])
+    index.write_search_index(made, str(tmp_path / "i"), search.WEIGHTS, buckets=4, parts=3)
+    for q in ("red fox", "naïve", "ärger red", "absent"):
+        want = {r.id: round(r.score, 9) for r in search.bm25(made, q).collect()}
+        assert {r.id: round(r.score, 9) for r in search.bm25_indexed(spark, str(tmp_path / "i"), q, buckets=4).collect()} == want
+    assert search.bm25_indexed(spark, str(tmp_path / "i"), "!?", buckets=4).collect() == []
+
+
 def test_find_falls_back_on_the_inbox(spark):
     from recollect.operators import search
 
