@@ -72,6 +72,14 @@ NEGATIVE = ("never", "do not", "don't", "avoid", "forbid", "ban", "disable", "
 POSITIVE = ("always", "must", "prefer", "enable", "adopt", "should", "应该", "优先", "必须")
 
 # fixed values: headings of the type pages
+# fixed values: what an issue says; {} is its subject
+ISSUE_MESSAGES = {
+    "weak_evidence": "Memory `{}` has weak or missing evidence.",
+    "missing_project_key": "Project-scoped memory `{}` is missing project_key.",
+    "overbroad_topic": "Topic `{}` is broad and may need splitting.",
+    "orphan": "Memory `{}` is on no topic's and no project's page.",
+    "orphan_page": "Stale wiki page `{}` is no longer linked from the generated graph.",
+}
 TYPE_LABELS = {"profile": "Profiles", "procedural": "Procedures", "semantic": "Patterns", "episodic": "Episodes"}
 
 # fixed values: words of decisions, and of insights (those that make a message worth reading, those that a sentence must hold)
@@ -139,6 +147,12 @@ HIGH_VALUE = (
     "需求", "目标", "success criteria", "计划", "方案", "步骤", "里程碑", "decision", "decide", "决策", "取舍", "复盘",
     "总结", "教训", "踩坑", "规则", "默认", "以后", "必须", "不要", "优先", "always", "never", "prefer",
 )
+# fixed values: what a note written by hand must hold one of to be imported; folders of a project's notes by type
+IMPORT_MARKERS = (
+    "决策", "规则", "偏好", "记住", "应该", "不要", "目标", "决定", "取舍", "原则", "规范", "convention", "rule", "prefer",
+    "decision", "pattern", "## 结论", "## 决策",
+)
+NOTE_FOLDERS = {"需求": "01-需求", "计划": "02-计划", "决策": "03-决策", "复盘": "04-复盘"}
 NOTE_LOW_VALUE = ("available skills", "skill.md", "<instructions>", "please implement this plan", "help me build", "this skill should be used")
 SECTION_TOKENS = ("summary", "key changes", "test plan", "assumptions", "背景", "目标", "下一步")
 LESSON_NOISE = (

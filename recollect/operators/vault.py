@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
-from ..functions.text import excerpt, is_high_value_note, note_confidence, note_type, safe_folder, slug, stable_id
+from ..functions.text import excerpt, has_any, is_high_value_note, note_confidence, note_type, safe_folder, slug, stable_id, strip
 from ..functions.time import week_label
 
 #: Confidence from which a note goes to its project at once.
@@ -80,6 +80,68 @@ def paths(found: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.concat(F.col("_p"), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".md"))).drop("_p")
 
 
+def _quoted(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'{name}: "'), F.coalesce(value.cast("string"), F.lit("")), F.lit('"'))
+
+
+def frontmatter() -> Column:
+    """The head of a note's file, from its columns project, project_key, type, status, source, tags, created, updated and confidence."""
+    tags = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0, F.array_join(F.transform("tags", lambda t: F.concat(F.lit("  - "), t)), "\n"))
+    strings = [_quoted(n, F.col(n)) for n in ("project", "project_key", "type", "status", "source")]
+    return F.concat_ws("\n", *strings, F.lit("tags:"), tags, _quoted("created", F.col("created")), _quoted("updated", F.col("updated")), _quoted("confidence", F.round("confidence", 3)), F.lit(""))
+
+
+def conversation_files(grouped: DataFrame) -> DataFrame:
+    """Grouped notes with the columns of `files`; those of sure types of a project go there, reviews to their folder, the rest to the inbox."""
+    direct = (F.col("project") != "") & (F.col("confidence") >= DIRECT) & F.col("note_type").isin(*V.NOTE_FOLDERS)
+    folder = F.element_at(F.create_map(*(F.lit(x) for kv in V.NOTE_FOLDERS.items() for x in kv)), F.col("note_type"))
+    where = F.when(direct, F.concat_ws("/", F.lit("projects"), "project", folder)).when(F.col("note_type") == "复盘", "reviews").otherwise("inbox")
+    body = F.concat(F.lit("# "), "title", F.lit("\n\n## 摘要\n"), excerpt("body", 180), F.lit("\n\n## 内容\n"), "body", F.lit("\n\n## 来源\n- 时间: "), "created", F.lit("\n- 置信度: "), F.round("confidence", 3).cast("string"))
+    return grouped.select(
+        F.col("note_id").alias("id"), "title", where.alias("folder"), "project", F.lit("").alias("project_key"), F.col("note_type").alias("type"),
+        F.when(F.col("confidence") >= DIRECT, "高价值").otherwise("待整理").alias("status"), F.lit("conversation").alias("source"), "tags", "created", "updated", "confidence", body.alias("body"),
+    )
+
+
+def rule_files(rules: DataFrame) -> DataFrame:
+    """Rule notes with the columns of `files`: title, summary, details and the first five pieces of evidence. Times are given as ISO strings."""
+    held = F.filter(F.slice(F.coalesce("evidence", F.array()), 1, 5), lambda e: F.coalesce(e["excerpt"], F.lit("")) != "")
+    lines = F.array_join(F.transform(held, lambda e: F.concat(F.lit("- "), F.coalesce(e["source_tool"], F.lit("")), F.lit(": "), excerpt(e["excerpt"], 120))), "\n")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    body = F.concat(F.lit("# "), text("title"), F.lit("\n\n## 摘要\n"), text("summary"), F.lit("\n\n## 说明\n"), text("details"), F.lit("\n\n## 证据\n"), F.when(lines == "", "- 暂无证据摘要").otherwise(lines))
+    return rules.select(
+        F.col("id").cast("string").alias("id"), "title", F.lit("rules").alias("folder"), F.lit("").alias("project"), "project_key", F.lit("规则").alias("type"),
+        "status", F.col("tool").alias("source"), "tags", F.col("created_at").alias("created"), F.coalesce("last_seen_at", "created_at").alias("updated"), "confidence", body.alias("body"),
+    )
+
+
+def files(found: DataFrame) -> DataFrame:
+    """(id, path, content): a file for each note, named by day, type and title; equal names get -2, -3 and so on, in the order of ids, which are unique."""
+    name = F.btrim(F.regexp_replace(F.coalesce("title", F.lit("")), r'[\\/:*?"<>|\r\n]+', "-"), F.lit(" ."))
+    rows = found.withColumn("_p", F.concat("folder", F.lit("/"), F.substring("created", 1, 10), F.lit("_"), "type", F.lit("_"), name))
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("id").try_cast("long"), "id"))
+    path = F.concat("_p", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(""), F.lit(".md"))
+    content = F.concat(F.lit("---\n"), frontmatter(), F.lit("---\n\n"), strip(F.col("body")), F.lit("\n"))
+    places = rows.select("id", "_p").withColumn("_n", number)
+    return rows.drop("_p").join(places, "id").select("id", path.alias("path"), content.alias("content"))
+
+
+def imported(notes_: DataFrame, known: DataFrame, least: int = 80, markers: Sequence[str] = V.IMPORT_MARKERS) -> DataFrame:
+    """Memories out of notes written by hand (note_id, title, text) whose note_id isn't known: long enough and with a word of value.
+
+    The id comes from title and text, so a note that was moved gives the id it had.
+    """
+    fresh = notes_.join(known.select("note_id"), "note_id", "left_anti").withColumn("_b", strip(F.coalesce("text", F.lit(""))))
+    fresh = fresh.filter((F.length("_b") >= least) & has_any("_b", markers))
+    title, summary = F.substring("title", 1, 36), F.substring("_b", 1, 72)
+    return fresh.select(
+        stable_id(F.lit("semantic"), F.lit("global"), F.lit("shared"), F.lower(title), F.lower(summary)).alias("id"), "note_id", title.alias("title"),
+        F.lit("semantic").alias("memory_type"), F.lit("global").alias("scope"), F.lit("shared").alias("tool"), summary.alias("summary"), F.substring("_b", 1, 400).alias("details"),
+        F.substring("_b", 1, 220).alias("excerpt"), F.lit(0.92).alias("confidence"), F.lit(0.95).alias("stability"), F.lit("low").alias("sensitivity"),
+        F.array(*map(F.lit, ("obsidian-import", "high-confidence", "needs-review"))).alias("tags"), F.lit("candidate").alias("status"), F.lit(90).alias("expiration_days"),
+    )
+
+
 def pending(found: DataFrame, as_of: Column, days: int = 7, modified: str = "modified_at") -> DataFrame:
     """Notes in the inbox that nobody touched for so many days."""
     return found.filter((F.col("route") == "inbox") & (F.unix_timestamp(F.col(modified)) <= F.unix_timestamp(as_of) - days * 86400))

@@ -98,14 +98,122 @@ def page_entries(items: DataFrame, most: int = 200) -> DataFrame:
     return rows.withColumn("entry_no", place).filter(F.col("entry_no") <= most).select("page_key", "entry_no", "id", "line")
 
 
-def pages(items: DataFrame, most: int = 200) -> DataFrame:
-    """(page_key, content, sha1): pages in Markdown; sizes are bounded by `most` entries."""
-    counts = page_keys(items).groupBy("page_key").agg(F.count("*").alias("n"))
-    bodies = page_entries(items, most).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("entry_no", "line"))).alias("e")).join(counts, "page_key")
-    name = F.regexp_extract("page_key", "^types/(.*)$", 1)
-    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in V.TYPE_LABELS.items() for x in kv)), F.nullif(name, F.lit(""))), F.regexp_replace("page_key", "^(types|topics)/|^projects/|/index$", ""))
-    text = F.concat(F.lit("# "), label, F.lit("\n\nGenerated from `"), F.col("n").cast("string"), F.lit("` active memories.\n\n## Related\n- [[index|Wiki Home]]\n\n## Entries\n"), F.array_join(F.transform("e", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return bodies.select("page_key", text.alias("content")).withColumn("sha1", F.sha1("content"))
+def _joined(column: str) -> Column:
+    """The lines of a group (structs of a place and a line), in their order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", column))), lambda x: x[column]), "\n")
+
+
+def _code(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- {label}: `"), value.cast("string"), F.lit("`"))
+
+
+def _from(values: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
+def issue_message() -> Column:
+    return F.replace(_from(V.ISSUE_MESSAGES, F.col("issue_type")), F.lit("{}"), F.col("subject"))
+
+
+def _first(rows: DataFrame, by: str, most: int, *order: Column | str) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= most)
+
+
+def page_heads(items: DataFrame, names: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """(page_key, title, head): what stands above the entries of each type's, project's and topic's page.
+
+    A project's head names it, its first 12 topics and its first 6 issues; a topic's counts its projects and links the
+    first 8. Lists are cut before they are gathered. Topics that share a slug share a page, under the last one's name.
+    """
+    total = F.count("*").alias("n")
+    kinds = items.groupBy("memory_type").agg(total).select(
+        F.concat(F.lit("types/"), "memory_type").alias("page_key"),
+        F.coalesce(_from(V.TYPE_LABELS, F.col("memory_type")), F.initcap("memory_type")).alias("title"),
+        F.concat(F.lit("Generated from `"), F.col("n").cast("string"), F.lit("` active memories.\n\n## Related\n- "), link(F.lit("index"), F.lit("Wiki Home"))).alias("head"),
+    )
+    owned = items.filter("project_key is not null")
+    topic = F.concat(F.lit("- "), link(F.concat(F.lit("topics/"), slug("topic")), F.col("topic")))
+    related = _first(with_topics(owned).select("project_key", "topic").distinct(), "project_key", 12, "topic")
+    related = related.withColumn("line", topic).groupBy("project_key").agg(_joined("line").alias("related"))
+    projects = owned.groupBy("project_key").agg(total).join(names, "project_key").join(related, "project_key", "left")
+    projects = projects.withColumn("page_key", F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index")))
+    if issues is None:
+        projects = projects.withColumn("warnings", F.lit(None).cast("string"))
+    else:
+        warned = page_warnings(issues).withColumn("line", F.concat(F.lit("- `"), F.col("issue_type"), F.lit("` "), issue_message()))
+        projects = projects.join(warned.withColumnRenamed("warning_no", "_n").groupBy("page_key").agg(_joined("line").alias("warnings")), "page_key", "left")
+    about = F.concat_ws("\n", F.lit("## Summary"), _code("Display name", F.col("display_name")), _code("Project key", F.col("project_key")), _code("Active memories", F.col("n")), _code("Name source", F.col("source")))
+    warnings = F.concat(F.lit("\n\n## Governance Warnings\n"), F.col("warnings"))
+    projects = projects.select(
+        "page_key",
+        F.concat(F.lit("Project "), "display_name").alias("title"),
+        F.concat(about, F.lit("\n\n## Related Topics\n"), F.coalesce("related", F.lit("- No topic pages yet.")), F.coalesce(warnings, F.lit(""))).alias("head"),
+    )
+    tagged = with_topics(items).join(topics(items).select("topic"), "topic").withColumn("page_key", F.concat(F.lit("topics/"), slug("topic")))
+    counts = tagged.groupBy("page_key").agg(F.countDistinct("id").alias("n"), F.countDistinct("project_key").alias("projects"), F.max("topic").alias("topic"))
+    linked = _first(tagged.filter("project_key is not null").select("page_key", "project_key").distinct(), "page_key", 8, "project_key").join(names, "project_key")
+    linked = linked.withColumn("line", link(F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index")), F.col("display_name"))).groupBy("page_key").agg(F.replace(_joined("line"), F.lit("\n"), F.lit(", ")).alias("linked"))
+    of_topics = counts.join(linked, "page_key", "left").select(
+        "page_key",
+        F.concat(F.lit("Topic "), "topic").alias("title"),
+        F.concat_ws("\n", F.lit("## Summary"), _code("Active memories", F.col("n")), _code("Unique projects", F.col("projects")), F.lit("\n## Related"), F.concat(F.lit("- "), link(F.lit("index"), F.lit("Wiki Home"))), F.concat(F.lit("- Projects: "), F.col("linked"))).alias("head"),
+    )
+    return kinds.unionByName(projects).unionByName(of_topics)
+
+
+def pages(items: DataFrame, most: int = 200, configured: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+    """(page_key, content, sha1): the pages of types, projects and topics in Markdown; sizes are bounded by `most` entries."""
+    bodies = page_entries(items, most).withColumnRenamed("entry_no", "_n").groupBy("page_key").agg(_joined("line").alias("entries"))
+    text = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("head"), F.lit("\n\n## Entries\n"), F.col("entries"), F.lit("\n"))
+    return bodies.join(page_heads(items, project_names(items, configured), issues), "page_key").select("page_key", text.alias("content")).withColumn("sha1", F.sha1("content"))
+
+
+def front_pages(items: DataFrame, issues: DataFrame, configured: DataFrame | None = None, most: int = 200, named: int = 20, shown: int = 10) -> DataFrame:
+    """(page_key, content, sha1) of two pages: the index, which links the first `most` projects by name and the first 24
+    topics, and the health page with the counts of issues, the first `named` poor names and `shown` issues of each type."""
+    names = project_names(items, configured).filter("project_key <> ''")
+    one = lambda rows, line, name: rows.agg(_joined(line).alias(name))
+    place = lambda rows, n, *order: rows.orderBy(*order).limit(n).withColumn("_n", F.struct(*order))
+    bullet = lambda target, label: F.concat(F.lit("- "), link(target, label))
+    key = F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index"))
+    listed = one(place(names.withColumn("_low", F.lower("display_name")), most, "_low", "project_key").withColumn("line", bullet(key, F.col("display_name"))), "line", "projects")
+    tags = topics(items)
+    few = one(place(tags, 24, "topic").withColumn("line", bullet(F.concat(F.lit("topics/"), slug("topic")), F.col("topic"))), "line", "topics")
+    total = items.agg(F.count("*").alias("n"))
+    or_else = lambda c, text: F.when(F.coalesce(c, F.lit("")) == "", text).otherwise(F.col(c))
+    types = [bullet(F.lit(f"types/{k}"), F.lit(v)) for k, v in V.TYPE_LABELS.items()]
+    overview = [F.lit("# Memory Wiki\n\n## Overview"), _code("Active memories", F.col("n")), *types, bullet(F.lit("health"), F.lit("Wiki Health"))]
+    index = total.join(F.broadcast(listed)).join(F.broadcast(few)).select(
+        F.lit("index").alias("page_key"),
+        F.concat_ws("\n", *overview, F.lit("\n## Projects"), or_else("projects", "- No project pages yet."), F.lit("\n## Topics"), or_else("topics", "- No topic pages yet."), F.lit("")).alias("content"),
+    )
+    kinds = page_keys(items).select("page_key").distinct().agg(*(F.count_if(F.col("page_key").startswith(f"{k}s/")).alias(k) for k in ("type", "project", "topic")))
+    by_type = issues.groupBy("issue_type").agg(F.count("*").alias("c")).withColumn("_n", F.col("issue_type"))
+    counts = one(by_type.withColumn("line", F.concat(F.lit("- `"), F.col("issue_type"), F.lit("`: `"), F.col("c").cast("string"), F.lit("`"))), "line", "counts")
+    poor = place(names.filter("low_quality"), named, "project_key")
+    poor = one(poor.withColumn("line", F.concat(F.lit("- `"), F.col("project_key"), F.lit("` -> `"), F.col("display_name"), F.lit("` via `"), F.col("source"), F.lit("`; consider adding a clearer bootstrap project name."))), "line", "poor")
+    detail = _first(issues, "issue_type", shown, "subject").withColumn("line", F.concat(F.lit("- "), issue_message()))
+    detail = detail.groupBy("issue_type").agg(_joined("line").alias("lines")).select(F.col("issue_type").alias("_n"), F.concat(F.lit("### "), F.col("issue_type"), F.lit("\n"), F.col("lines")).alias("line"))
+    detail = one(detail, "line", "detail")
+    section = lambda c, heading: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n## {heading}\n"), F.col(c)))
+    facts = total
+    for part in (kinds, counts, poor, detail):
+        facts = facts.join(F.broadcast(part))
+    health = facts.select(
+        F.lit("health").alias("page_key"),
+        F.concat_ws(
+            "\n", F.lit("# Wiki Health\n\n## Summary"), _code("Active memories", F.col("n")), *(_code(f"{k.capitalize()} pages", F.col(k)) for k in ("type", "project", "topic")),
+            F.lit("\n## Issue Counts"), or_else("counts", "- No issues detected."), section("poor", "Low Quality Project Names"), section("detail", "Issues By Type"), F.lit(""),
+        ).alias("content"),
+    )
+    return index.unionByName(health).withColumn("sha1", F.sha1("content"))
+
+
+def orphan_pages(kept: DataFrame, items: DataFrame) -> DataFrame:
+    """Issues for pages that are kept (page_key) but that no memory asks for any more."""
+    wanted = page_keys(items).select("page_key")
+    stale = kept.filter(~F.col("page_key").isin("index", "health")).select("page_key").distinct().join(wanted, "page_key", "left_anti")
+    return stale.select(F.lit("orphan_page").alias("issue_type"), F.lit("medium").alias("severity"), F.col("page_key").alias("subject"), F.lit(None).cast("string").alias("other"), "page_key")
 
 
 def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:

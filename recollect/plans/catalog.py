@@ -803,6 +803,43 @@ def page_notes(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(plain).cast("long").alias("n_text"))
 
 
+_RULE_NOTES = f"""rn AS (SELECT *, substr({S.when_s('created_s')}, 1, 10) AS day FROM (SELECT *, row_number() OVER (PARTITION BY title, summary, details ORDER BY created_s DESC, id) AS n FROM memories WHERE status = 'active' AND memory_type IN ('procedural', 'profile') AND scope <> 'project') WHERE n = 1),
+ rp AS (SELECT *, 'rules/' || day || '_规则_' || trim(regexp_replace(title, '[\\/:*?"<>|\\r\\n]+', '-', 'g'), ' .') AS base FROM rn)"""
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, {_RULE_NOTES} SELECT id, base || CASE WHEN n2 > 1 THEN '-' || n2 ELSE '' END || '.md' AS path,
+ sha1('---' || chr(10) || 'project: ""' || chr(10) || 'project_key: "' || coalesce(project_key, '') || '"' || chr(10) || 'type: "规则"' || chr(10) || 'status: "' || status || '"' || chr(10) || 'source: "' || tool || '"' || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)) || chr(10) || 'created: "' || {S.when_s('created_s')} || '"' || chr(10) || 'updated: "' || {S.when_s('coalesce(seen_s, created_s)')} || '"' || chr(10) || 'confidence: "' || confidence || '"' || chr(10) || '---' || chr(10) || chr(10)
+  || {{strip}} || chr(10)) AS content_sha1
+ FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n2 FROM rp)""".replace("{strip}", r"regexp_replace('# ' || title || chr(10) || chr(10) || '## 摘要' || chr(10) || summary || chr(10) || chr(10) || '## 说明' || chr(10) || details || chr(10) || chr(10) || '## 证据' || chr(10) || '- ' || tool || ': ' || title, '^\s+|\s+$', '', 'g')")
+)
+def rule_note_files(spark, sf):
+    """Rules as files of the vault: path, frontmatter and body."""
+    m = memories(spark, sf).withColumn("created_at", iso("created_at")).withColumn("last_seen_at", iso("last_seen_at"))
+    m = m.withColumn("evidence", F.array(F.struct(F.col("tool").alias("source_tool"), F.col("title").alias("excerpt"))))
+    return vault.files(vault.rule_files(vault.rule_notes(m))).select("id", "path", F.sha1("content").alias("content_sha1"))
+
+
+@registered()
+def vault_files(spark, sf):
+    """Conversation and rule notes as files of the vault; note titles have no SQL."""
+    m = memories(spark, sf).withColumn("created_at", iso("created_at")).withColumn("last_seen_at", iso("last_seen_at"))
+    m = m.withColumn("evidence", F.array(F.struct(F.col("tool").alias("source_tool"), F.col("title").alias("excerpt"))))
+    found = vault.conversation_files(vault.grouped_notes(_notes(spark, sf))).unionByName(vault.rule_files(vault.rule_notes(m)))
+    return vault.files(found).select("id", "path", F.sha1("content").alias("content_sha1"))
+
+
+@registered(
+    f"""WITH n AS (SELECT doc_id AS id, source || '/' || doc_id AS title, {{t}} AS body FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+ SELECT {S.stable_id("'semantic'", "'global'", "'shared'", 'lower(substr(title, 1, 36))', 'lower(substr(body, 1, 72))')} AS id, count(*) AS notes, any_value(substr(title, 1, 36)) AS title, any_value(substr(body, 1, 72)) AS summary, any_value(length(substr(body, 1, 400))) AS n_details FROM n WHERE length(body) >= 80 AND {S.any_of('body', YES)} GROUP BY 1""".replace("{t}", r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')")
+)
+def vault_import(spark, sf):
+    """Notes written by hand that are new and state a rule or decision, as candidates."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), "text")
+    made = vault.imported(d, table(spark, sf, "labels").select(F.col("doc_id").alias("note_id")), markers=YES)
+    return made.groupBy("id").agg(F.count("*").alias("notes"), F.first("title").alias("title"), F.first("summary").alias("summary"), F.first(F.length("details")).cast("long").alias("n_details"))
+
+
 # --- routes, renders and further lists ---------------------------------------------------------------------------
 
 _ROUTE = "CASE WHEN status = 'candidate' THEN 'inbox' WHEN scope = 'project' AND project_key IS NOT NULL THEN 'projects/' || project_key || '/memories' WHEN memory_type = 'profile' THEN 'profile' WHEN memory_type = 'procedural' THEN 'procedures' WHEN memory_type = 'episodic' THEN 'episodes' ELSE 'patterns' END"
@@ -976,6 +1013,49 @@ def page_warnings(spark, sf):
     return wiki.page_warnings(_issues(spark, sf)).withColumn("warning_no", F.col("warning_no").cast("long"))
 
 
+_NAMES = f"names AS (SELECT DISTINCT project_key, 'Project ' || upper(project_key) AS display_name FROM memories WHERE project_key IS NOT NULL)"
+
+
+def _configured(m):
+    return m.filter("project_key is not null").select("project_key", F.concat(F.lit("Project "), F.upper("project_key")).alias("name")).distinct()
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES}, {_NAMES}, w AS (SELECT page_key, string_agg('- `' || issue_type || '` ' || CASE issue_type WHEN 'weak_evidence' THEN 'Memory `' || subject || '` has weak or missing evidence.' ELSE 'Project-scoped memory `' || subject || '` is missing project_key.' END, chr(10) ORDER BY issue_type, subject) AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY issue_type, subject) AS n FROM issues WHERE starts_with(page_key, 'projects/')) WHERE n <= 6 GROUP BY 1),
+ pt AS (SELECT project_key, string_agg('- [[topics/' || {S.slug('topic')} || CASE WHEN topic <> 'topics/' || {S.slug('topic')} THEN '|' || topic ELSE '' END || ']]', chr(10) ORDER BY topic) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY topic) AS n FROM (SELECT DISTINCT project_key, topic FROM topic WHERE project_key IS NOT NULL)) WHERE n <= 12 GROUP BY 1)
+ SELECT 'types/' || memory_type AS page_key, CASE memory_type WHEN 'profile' THEN 'Profiles' WHEN 'procedural' THEN 'Procedures' WHEN 'semantic' THEN 'Patterns' ELSE 'Episodes' END AS title, 'Generated from `' || count(*) || '` active memories.' || chr(10) || chr(10) || '## Related' || chr(10) || '- [[index|Wiki Home]]' AS head FROM memories GROUP BY memory_type
+ UNION ALL SELECT 'projects/' || m.project_key || '/index', 'Project ' || any_value(display_name), concat_ws(chr(10), '## Summary', '- Display name: `' || any_value(display_name) || '`', '- Project key: `' || m.project_key || '`', '- Active memories: `' || count(*) || '`', '- Name source: `bootstrap_projects`', '', '## Related Topics', coalesce(any_value(pt.lines), '- No topic pages yet.')) || coalesce(chr(10) || chr(10) || '## Governance Warnings' || chr(10) || any_value(w.lines), '')
+  FROM memories m JOIN names USING (project_key) LEFT JOIN pt ON pt.project_key = m.project_key LEFT JOIN w ON w.page_key = 'projects/' || m.project_key || '/index' GROUP BY m.project_key
+ UNION ALL SELECT 'topics/' || {S.slug('t.topic')}, 'Topic ' || t.topic, concat_ws(chr(10), '## Summary', '- Active memories: `' || count(*) || '`', '- Unique projects: `' || count(DISTINCT t.project_key) || '`', '', '## Related', '- [[index|Wiki Home]]', '- Projects: ' || any_value(p.lines))
+  FROM topic t LEFT JOIN (SELECT topic, string_agg('[[projects/' || project_key || '/index|' || display_name || ']]', ', ' ORDER BY project_key) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY project_key) AS n FROM (SELECT DISTINCT topic, project_key FROM topic WHERE project_key IS NOT NULL)) JOIN names USING (project_key) WHERE n <= 8 GROUP BY 1) p ON p.topic = t.topic GROUP BY t.topic HAVING count(*) >= 2"""
+)
+def wiki_page_heads(spark, sf):
+    """Titles and heads of all pages of types, projects and topics."""
+    m = memories(spark, sf)
+    return wiki.page_heads(m, wiki.project_names(m, _configured(m)), _issues(spark, sf))
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES}, {_NAMES}, t AS (SELECT topic FROM topic GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1), said AS (SELECT issue_type, subject, CASE issue_type WHEN 'weak_evidence' THEN 'Memory `' || subject || '` has weak or missing evidence.' WHEN 'missing_project_key' THEN 'Project-scoped memory `' || subject || '` is missing project_key.' WHEN 'overbroad_topic' THEN 'Topic `' || subject || '` is broad and may need splitting.' ELSE 'Memory `' || subject || '` is on no topic''s and no project''s page.' END AS line FROM issues),
+ d AS (SELECT issue_type, '### ' || issue_type || chr(10) || string_agg('- ' || line, chr(10) ORDER BY subject) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY issue_type ORDER BY subject) AS n FROM said) WHERE n <= 10 GROUP BY 1)
+ SELECT 'index' AS page_key, concat_ws(chr(10), '# Memory Wiki', '', '## Overview', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- [[types/profile|Profiles]]', '- [[types/procedural|Procedures]]', '- [[types/semantic|Patterns]]', '- [[types/episodic|Episodes]]', '- [[health|Wiki Health]]', '', '## Projects', (SELECT string_agg('- [[projects/' || project_key || '/index|' || display_name || ']]', chr(10) ORDER BY lower(display_name), project_key) FROM names), '', '## Topics', (SELECT string_agg('- [[topics/' || {S.slug('topic')} || '|' || topic || ']]', chr(10) ORDER BY topic) FROM (SELECT * FROM t LIMIT 24)), '') AS content
+ UNION ALL SELECT 'health', concat_ws(chr(10), '# Wiki Health', '', '## Summary', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- Type pages: `' || (SELECT count(DISTINCT memory_type) FROM memories) || '`', '- Project pages: `' || (SELECT count(*) FROM names) || '`', '- Topic pages: `' || (SELECT count(*) FROM t) || '`', '', '## Issue Counts', (SELECT string_agg('- `' || issue_type || '`: `' || c || '`', chr(10) ORDER BY issue_type) FROM (SELECT issue_type, count(*) AS c FROM issues GROUP BY 1)), '', '## Issues By Type', (SELECT string_agg(lines, chr(10) ORDER BY issue_type) FROM d), '')"""
+)
+def wiki_front_pages(spark, sf):
+    """The index and the health page."""
+    m = memories(spark, sf)
+    return wiki.front_pages(m, _issues(spark, sf), _configured(m)).select("page_key", "content")
+
+
+@registered(f"WITH {S.MEMORIES}, p AS (SELECT 'types/' || memory_type AS page_key, memory_type FROM memories UNION ALL SELECT 'projects/' || project_key || '/index', memory_type FROM memories WHERE project_key IS NOT NULL) SELECT 'orphan_page' AS issue_type, page_key AS subject FROM p GROUP BY page_key HAVING bool_and(memory_type = 'profile')")
+def orphan_pages(spark, sf):
+    """Pages that go once there are no profiles any more."""
+    m = memories(spark, sf)
+    kept = wiki.page_keys(m).filter(~F.col("page_key").startswith("topics/"))
+    return wiki.orphan_pages(kept, m.filter("memory_type <> 'profile'")).select("issue_type", "subject")
+
+
 @registered(
     f"""WITH {S.MEMORIES}, dirty AS (SELECT id, status, manual_override, CASE WHEN id % 9 = 0 THEN stability + 0.6e0 ELSE stability END AS stability, id % 13 = 0 AS bad, {S.when_s('created_s')} AS good, id % 5 AS k FROM memories)
  SELECT id, CASE WHEN manual_override THEN 'garbled_manual_archived' ELSE 'garbled_system_removed' END AS kind, 'status' AS field, status AS before, CASE WHEN manual_override THEN 'archived' END AS after FROM dirty WHERE bad

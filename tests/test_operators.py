@@ -264,6 +264,32 @@ def test_vault(spark):
     assert len(paths) == len(set(paths)) == 3 and sum(p.endswith("-2.md") for p in paths) == 1
 
 
+def test_files_of_the_vault(spark):
+    rules = items(spark, [{"title": "a/b: c", "tags": ["x", "y"]}, {"title": "a/b: c"}]).withColumn("evidence", F.lit(None).cast("array<struct<source_tool:string,excerpt:string>>"))
+    rules = rules.withColumn("created_at", F.lit("2024-02-03T00:00:00+00:00")).withColumn("last_seen_at", F.lit(None).cast("string"))
+    got = vault.files(vault.rule_files(rules)).orderBy("path").collect()
+    assert [r.path for r in got] == ["rules/2024-02-03_规则_a-b- c-2.md", "rules/2024-02-03_规则_a-b- c.md"]
+    assert 'project: ""\n' in got[1].content and "tags:\n  - x\n  - y\ncreated:" in got[1].content and 'updated: "2024-02-03T00:00:00+00:00"' in got[1].content
+    assert got[0].content.endswith("## 证据\n- 暂无证据摘要\n")
+    notes = spark.createDataFrame([(1, "t", "we decide: " + "x" * 90), (2, "t", "rule " + "x" * 90), (3, "t", " rule" + " " * 99), (4, "t", None), (5, "t", "a rule " + "y" * 999)], "note_id long, title string, text string")
+    made = vault.imported(notes, notes.filter("note_id = 5").select("note_id")).collect()
+    assert [(r.note_id, len(r.summary), r.confidence) for r in made] == [(2, 72, 0.92)]
+
+
+def test_front_pages_and_heads(spark):
+    m = items(spark, [{"project_key": "0123456789abcdef", "tags": ["a", "b c"]}, {"project_key": "0123456789abcdef", "tags": ["a"]}, {"project_key": None, "tags": None}])
+    issues = wiki.lint_report(m, F.lit(0))
+    front = {r.page_key: r.content for r in wiki.front_pages(m, issues).collect()}
+    assert "- Topic pages: `1`" in front["health"] and "- `weak_evidence`: `3`" in front["health"] and "Low Quality Project Names\n- `0123456789abcdef`" in front["health"]
+    assert front["index"].startswith("# Memory Wiki\n\n## Overview\n- Active memories: `3`\n- [[types/profile|Profiles]]") and front["index"].endswith("## Topics\n- [[topics/a|a]]\n")
+    made = {r.page_key: r.content for r in wiki.pages(m, issues=issues).collect()}
+    assert "## Governance Warnings\n- `weak_evidence` Memory `1` has weak" in made["projects/0123456789abcdef/index"]
+    assert "- Unique projects: `1`" in made["topics/a"] and "- Projects: [[projects/0123456789abcdef/index" in made["topics/a"]
+    none = m.limit(0)
+    empty = {r.page_key: r.content for r in wiki.front_pages(none, wiki.lint_report(none, F.lit(0))).collect()}
+    assert "- No project pages yet." in empty["index"] and "- No issues detected." in empty["health"] and wiki.pages(none).count() == 0
+
+
 def test_index(spark):
     known = spark.createDataFrame([(1, "a")], "id long, v string")
     new = spark.createDataFrame([(1, "b"), (2, "d"), (2, "c")], "id long, v string")
