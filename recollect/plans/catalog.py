@@ -817,7 +817,7 @@ def rule_note_files(spark, sf):
     """Rules as files of the vault: path, frontmatter and body."""
     m = memories(spark, sf).withColumn("created_at", iso("created_at")).withColumn("last_seen_at", iso("last_seen_at"))
     m = m.withColumn("evidence", F.array(F.struct(F.col("tool").alias("source_tool"), F.col("title").alias("excerpt"))))
-    return vault.files(vault.rule_files(vault.rule_notes(m))).select("id", "path", F.sha1("content").alias("content_sha1"))
+    return vault.files(vault.rule_files(vault.rule_notes(m))).select(F.col("id").cast("long").alias("id"), "path", F.sha1("content").alias("content_sha1"))
 
 
 @registered()
