@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -77,7 +78,38 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_best_fit_packing, op4_bpe, op5_token_counts, op6_language_id, op7_simhash, op8_nearest_neighbours, op9_token_output, op10_substring_dedup)}
+def _periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A document's words, a tenth of the documents made periodic from some word on, by a checksum of their id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % period] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import listed, longest, periodic_runs
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=_periodic, text_out=False).withColumn("run", longest(F.col("runs")))
+    exponent = F.expr("1000 * run.length div run.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "run.start", "run.length", "run.period", exponent.alias("exponent_milli"), F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, sf_dir, "documents"), text_out=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_best_fit_packing, op4_bpe, op5_token_counts, op6_language_id, op7_simhash, op8_nearest_neighbours, op9_token_output, op10_substring_dedup, op11_periodic_runs, op12_conversation_repair, op13_line_dedup)}
 #: All links of valid vectors, then the smallest id reachable, by repeated passes over the links.
 _LINKS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
@@ -94,4 +126,11 @@ _WINDOWS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
  kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.j) AS t FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.j = gone.j GROUP BY 1)
  SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _LINKS, "op10_substring_dedup": _WINDOWS}
+#: Lines with their keys, the smallest document of each key of ten characters that two documents hold, and the other lines.
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+ m AS (SELECT doc_id, line, i, coalesce(first < doc_id, false) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _LINKS, "op10_substring_dedup": _WINDOWS, "op13_line_dedup": _LINES}
