@@ -71,15 +71,26 @@ GENERIC_TAGS = ("shared", "watchout", "preference", "procedure", "rule", "fact",
 NEGATIVE = ("never", "do not", "don't", "avoid", "forbid", "ban", "disable", "不要", "禁止", "避免")
 POSITIVE = ("always", "must", "prefer", "enable", "adopt", "should", "应该", "优先", "必须")
 
-# fixed values: headings of the type pages
-# fixed values: what an issue says; {} is its subject
+# fixed values: what an issue says ({} is its subject), and what it suggests
 ISSUE_MESSAGES = {
     "weak_evidence": "Memory `{}` has weak or missing evidence.",
     "missing_project_key": "Project-scoped memory `{}` is missing project_key.",
     "overbroad_topic": "Topic `{}` is broad and may need splitting.",
     "orphan": "Memory `{}` is on no topic's and no project's page.",
     "orphan_page": "Stale wiki page `{}` is no longer linked from the generated graph.",
+    "conflicting_topic": "Topic `{}` has conflicting guidance inside project `{other}`.",
+    "duplicate_concept": "Two memories look like duplicate expressions of the same concept.",
+}
+ISSUE_ACTIONS = {
+    "weak_evidence": "Review the memory and attach stronger excerpts before treating it as durable knowledge.",
+    "missing_project_key": "Backfill project_key so the memory can be routed into a project page.",
+    "overbroad_topic": "Split this topic into narrower tags or add more specific labels.",
+    "orphan_page": "Delete the stale page or rebuild the wiki to clean it up.",
+    "conflicting_topic": "Review these memories and keep only the current rule or mark one as contradicted.",
+    "duplicate_concept": "Consider merging these memories or keeping the higher quality one.",
 }
+
+# fixed values: headings of the type pages
 TYPE_LABELS = {"profile": "Profiles", "procedural": "Procedures", "semantic": "Patterns", "episodic": "Episodes"}
 
 # fixed values: words of decisions, and of insights (those that make a message worth reading, those that a sentence must hold)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 import zlib
 from collections.abc import Mapping, Sequence
 
@@ -11,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import col, count_terms, has_any_lower, query_terms
 from ..sources.model import stored
+from .segments import SearchIndex
 
 #: Weights of a hit in each field, and the constants of BM25.
 WEIGHTS = {"title": 3.0, "summary": 4.0, "details": 1.0, "tags": 1.5}
@@ -18,7 +22,8 @@ K1, B = 1.2, 0.75
 
 
 def visible(scope: str | None = None, project: str | None = None, tool: str | None = None, statuses: Sequence[str] = ("active", "candidate")) -> Column:
-    """Rows that a search may show: by status, scope, project (or none) and tool (or shared); None and all don't restrict."""
+    """Rows that a search may show: by status, scope, project (a key or the path of its folder; or none) and tool (or shared); None and all don't restrict."""
+    project = project_label(project)
     fine = F.col("status").isin(*statuses)
     if scope and scope != "all":
         fine = fine & (F.col("scope") == scope)
@@ -29,6 +34,15 @@ def visible(scope: str | None = None, project: str | None = None, tool: str | No
     return fine
 
 
+def project_label(project: str | None) -> str | None:
+    """The key of a project that is given as its folder's path; keys and labels as they are (see text.project_reference)."""
+    if not project or not re.search(r"[\\/:]|^~", project) or re.fullmatch(r"[a-z0-9-]+-[a-f0-9]{16}", project):
+        return project or None
+    plain = re.sub(r"/+$", "", os.path.expanduser(project).replace("\\", "/"))
+    made = re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", (plain.split("/")[-1] or "project").strip().lower())) or "item"
+    return f"{made}-{hashlib.sha1(plain.strip().encode()).hexdigest()[:16]}"
+
+
 def has_tags(tags: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, tags)), F.coalesce("tags", F.array().cast("array<string>")))) == 0 if tags else F.lit(True)
 
@@ -129,27 +143,41 @@ def keyword_fallback(items: DataFrame, query: str, limit: int, scope=None, proje
     return rows.orderBy(*order).limit(max(3 * limit, 20)).orderBy(*by_priority(project, tool)).limit(limit)
 
 
-def memory_search(items: DataFrame, query: str, vectors: DataFrame | None = None, limit: int = 10, scope=None, project=None, tool=None, tags: Sequence[str] = (), alpha: float = 0.4, semantic: bool = False) -> DataFrame:
+def memory_search(items: DataFrame, query: str, vectors: DataFrame | None = None, limit: int = 10, scope=None, project=None, tool=None, tags: Sequence[str] = (), alpha: float = 0.4, semantic: bool = False, index: SearchIndex | None = None) -> DataFrame:
     """The search: fusion of BM25 and vectors where both find something; where one does, what it finds by priority alone;
     else the keyword fallback.
 
-    vectors: (id, similarity). Which sides found something is one broadcast row; the fallback is joined against the
-    results (anti), so adaptive execution drops its scan where there are any.
+    vectors: (id, similarity). index: what a SearchIndex keeps of the items; then no text is read, only postings' headers,
+    the blocks that can matter and the stored columns of what is found (its columns without those that the index leaves
+    out), and the items are looked at only if neither side finds anything. Without an index every text is read once, and
+    the fallback is joined against the results (anti), so adaptive execution drops its scan where there are any.
     """
-    rows = items.filter(visible(scope, project, tool) & has_tags(tags))
-    fetch = max(3 * limit, 20)
-    text = stored(normalized(bm25(rows, query, carry=("confidence",)).orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")), "text")
+    fine, fetch = visible(scope, project, tool), max(3 * limit, 20)
+    project = project_label(project)
+    if index is None:
+        rows = items.filter(fine & has_tags(tags))
+        best = bm25(rows, query, carry=("confidence",)).orderBy(F.desc("score"), F.desc("confidence"), "id").limit(fetch).select("id", "score")
+    else:
+        rows = index.items().filter(fine & has_tags(tags))
+        best = index.top(query, fetch, fine, has_tags(tags) if tags else None)
+    text = stored(normalized(best), "text")
     if vectors is None:
         vectors = text.select("id", F.lit(0.0).alias("similarity")).limit(0)
     shown = vectors.join(rows.select("id"), "id", "left_semi")
     near = stored(normalized(shown.orderBy(F.desc("similarity"), "id").limit(fetch), "similarity"), "near")
     sides = text.agg((F.count("*") > 0).alias("_text")).join(near.agg((F.count("*") > 0).alias("_near")))
+    found_ids = text.select("id").unionByName(near.select("id"))
+    if index is not None:
+        rows = index.fetch(found_ids.distinct())
     fused = F.when(F.col("_text") & F.col("_near"), F.round("hybrid_score", 4)).otherwise(0.0)
     merged = hybrid(rows, text, near, alpha, semantic).join(F.broadcast(sides)).withColumn("_fused", fused).drop("_text", "_near")
     found = merged.orderBy(F.desc("_fused"), *by_priority(project, tool)).limit(limit)
-    none = text.select("id").unionByName(near.select("id")).limit(1)
     zero = F.lit(0.0)
-    fallback = keyword_fallback(without(rows, none), query, limit, scope, project, tool).select(*items.columns, zero.alias("score"), zero.alias("similarity"), zero.alias("hybrid_score"), zero.alias("_fused"))
+    if index is not None and not found_ids.isEmpty():
+        return found.drop("_fused")
+    none = found_ids.limit(1)
+    columns = [c for c in items.columns if c in rows.columns]
+    fallback = keyword_fallback(without(items.filter(fine & has_tags(tags)), none), query, limit, scope, project, tool).select(*columns, zero.alias("score"), zero.alias("similarity"), zero.alias("hybrid_score"), zero.alias("_fused"))
     # at most twice the limit are left to choose from
     return found.select(*fallback.columns).unionByName(fallback).orderBy(F.desc("_fused"), *by_priority(project, tool)).limit(limit).drop("_fused")
 
@@ -164,10 +192,13 @@ def access_log(found: DataFrame, at: Column) -> DataFrame:
     return found.select("id", at.alias("accessed_at")).distinct()
 
 
-def memory_context(items: DataFrame, query: str, vectors: DataFrame | None = None, project=None, tool=None, task_type: str = "", limit: int = 24, each: int = 8, alpha: float = 0.4) -> DataFrame:
+def memory_context(items: DataFrame, query: str, vectors: DataFrame | None = None, project=None, tool=None, task_type: str = "", limit: int = 24, each: int = 8, alpha: float = 0.4, index: SearchIndex | None = None) -> DataFrame:
     """The context of a task: what a search for the query (else the kind of task, else the tool) finds, else the defaults, in sections."""
-    matched = stored(memory_search(items, query or task_type or tool or "", vectors, limit, project=project, tool=tool, alpha=alpha).select(*items.columns), "matched")
-    default = default_memories(without(items, matched.limit(1)), limit, project=project, tool=tool)
+    found = memory_search(items, query or task_type or tool or "", vectors, limit, project=project, tool=tool, alpha=alpha, index=index)
+    known = items if index is None else index.items()
+    columns = [c for c in known.columns if c in found.columns]
+    matched = stored(found.select(*columns), "matched")
+    default = default_memories(without(known, matched.limit(1)), limit, project=project, tool=tool).select(*columns)
     return context_sections(matched.unionByName(default), project, tool, each)
 
 
@@ -248,8 +279,6 @@ def search_skills(skills: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def skill_match(skills: DataFrame, task: str, stop_words: Sequence[str], with_ratio: bool = True, limit: int = 5) -> DataFrame:
     """Skills that fit a task: 0.3 for each shared word, 1.5, 1 and 0.5 where a word stands in trigger, name or description,
     0.8 for each tag with a shared word, twice the text ratio with the trigger, and half the success rate; the first `limit`."""
-    import re
-
     from ..functions.similarity import ratio
 
     words = sorted({w for w in re.findall(r"\w+", task.lower()) if len(w) >= 3 and w not in stop_words})

@@ -14,11 +14,16 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.similarity import common_letters, common_subsequence, letter_counts, ratio
 from ..functions.text import clean_project_label, excerpt, is_poor_project_name, polarity, slug, token_set
+from .ranks import numbered
 
 #: A topic with so many memories and summaries shorter than this on average is too broad.
 BROAD_ITEMS, BROAD_SUMMARY = 8, 80
 #: Evidence of fewer characters than this is weak.
 WEAK = 16
+#: Memories of one side of a conflict in a row, about.
+MEMBERS = 1000
+#: Entries of a page in one part of it.
+PART = 200
 #: Titles in a block; two blocks are compared in one task.
 TILE = 2048
 
@@ -39,7 +44,7 @@ def topics(items: DataFrame, least: int = 2) -> DataFrame:
 
 def project_names(items: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     """(project_key, display_name, source, low_quality): the configured name, else one that the surest memory mentions
-    after `project` or `repo`, else the cleaned key, else the key. configured: (project_key, name), a small table."""
+    after `project` or `repo`, else the cleaned key, else the key. configured: (project_key, name)."""
     rows = items.filter("project_key is not null")
     said = F.lit(None).cast("string")
     for c in ("details", "summary", "title"):
@@ -49,7 +54,7 @@ def project_names(items: DataFrame, configured: DataFrame | None = None) -> Data
     rows = rows.withColumn("_said", said)
     best = rows.groupBy("project_key").agg(F.min_by("_said", F.when(F.col("_said").isNotNull(), F.struct((-F.col("confidence")).alias("c"), "title", "id"))).alias("said"))
     if configured is not None:
-        best = best.join(F.broadcast(configured.select("project_key", "name")), "project_key", "left")
+        best = best.join(configured.select("project_key", "name"), "project_key", "left")
     else:
         best = best.withColumn("name", F.lit(None).cast("string"))
     inferred = F.coalesce("said", F.nullif(clean_project_label("project_key"), F.lit("")))
@@ -69,15 +74,15 @@ def link(target: Column, label: Column | None = None) -> Column:
     return F.when((label != "") & (label != target), F.concat(F.lit("[["), target, F.lit("|"), label, F.lit("]]"))).otherwise(F.concat(F.lit("[["), target, F.lit("]]")))
 
 
-def record_line() -> Column:
-    """A memory as a list entry: title, type, confidence, project, up to four topics, and its summary below."""
+def record_line(project: str = "project_key") -> Column:
+    """A memory as a list entry: title, type, confidence, project (under the name in a column), up to four topics, and its summary below."""
     shown = F.transform(F.slice(topic_tags(), 1, 4), lambda t: link(F.concat(F.lit("topics/"), slug(t)), t))
     parts = F.array_compact(
         F.array(
             F.concat(F.lit("- **"), F.col("title"), F.lit("**")),
             F.concat(F.lit("type: `"), F.col("memory_type"), F.lit("`")),
             F.concat(F.lit("conf: `"), F.format_string("%.2f", F.col("confidence")), F.lit("`")),
-            F.when(F.col("project_key").isNotNull(), F.concat(F.lit("project: "), link(F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index")), F.col("project_key")))),
+            F.when(F.col("project_key").isNotNull(), F.concat(F.lit("project: "), link(F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index")), F.coalesce(project, "project_key")))),
             F.when(F.size(shown) > 0, F.concat(F.lit("topics: "), F.array_join(shown, ", "))),
         )
     )
@@ -91,11 +96,19 @@ def page_keys(items: DataFrame) -> DataFrame:
     return base.unionByName(by_topic)
 
 
-def page_entries(items: DataFrame, most: int = 200) -> DataFrame:
-    """(page_key, entry_no, line): each page's entries, surest and steadiest first, at most `most` of them; a page is written from its entries in order."""
-    rows = page_keys(items).join(items.select("id", "title", "confidence", "stability", record_line().alias("line")), "id")
-    place = F.row_number().over(Window.partitionBy("page_key").orderBy(F.desc("confidence"), F.desc("stability"), "title", "id"))
-    return rows.withColumn("entry_no", place).filter(F.col("entry_no") <= most).select("page_key", "entry_no", "id", "line")
+def page_entries(items: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(page_key, entry_no, id, line): all entries of each page, surest and steadiest first; a page is written from its entries in order.
+
+    names: (project_key, display_name), under which entries link their projects.
+    """
+    named = items.withColumn("_name", F.col("project_key")) if names is None else items.join(names.select("project_key", F.col("display_name").alias("_name")), "project_key", "left")
+    rows = page_keys(items).join(named.select("id", "title", "confidence", "stability", record_line("_name").alias("line")), "id")
+    return numbered(rows, ["page_key"], [F.desc("confidence"), F.desc("stability"), "title", "id"]).select("page_key", "entry_no", "id", "line")
+
+
+def _part(number: str) -> Column:
+    """The part of a page in which its entry of a number stands."""
+    return F.floor((F.col(number) - 1) / PART).cast("int") + 1
 
 
 def _joined(column: str) -> Column:
@@ -112,7 +125,8 @@ def _from(values: dict[str, str], key: Column) -> Column:
 
 
 def issue_message() -> Column:
-    return F.replace(_from(V.ISSUE_MESSAGES, F.col("issue_type")), F.lit("{}"), F.col("subject"))
+    said = F.replace(_from(V.ISSUE_MESSAGES, F.col("issue_type")), F.lit("{}"), F.col("subject"))
+    return F.replace(said, F.lit("{other}"), F.coalesce("other", F.lit("None")))
 
 
 def _first(rows: DataFrame, by: str, most: int, *order: Column | str) -> DataFrame:
@@ -161,38 +175,55 @@ def page_heads(items: DataFrame, names: DataFrame, issues: DataFrame | None = No
     return kinds.unionByName(projects).unionByName(of_topics)
 
 
-def pages(items: DataFrame, most: int = 200, configured: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
-    """(page_key, content, sha1): the pages of types, projects and topics in Markdown; sizes are bounded by `most` entries."""
-    bodies = page_entries(items, most).withColumnRenamed("entry_no", "_n").groupBy("page_key").agg(_joined("line").alias("entries"))
-    text = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("head"), F.lit("\n\n## Entries\n"), F.col("entries"), F.lit("\n"))
-    return bodies.join(page_heads(items, project_names(items, configured), issues), "page_key").select("page_key", text.alias("content")).withColumn("sha1", F.sha1("content"))
-
+def pages(items: DataFrame, configured: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+    """(page_key, part, content, sha1): the pages of types, projects and topics in Markdown, with all their entries.
 
-def front_pages(items: DataFrame, issues: DataFrame, configured: DataFrame | None = None, most: int = 200, named: int = 20, shown: int = 10) -> DataFrame:
-    """(page_key, content, sha1) of two pages: the index, which links the first `most` projects by name and the first 24
-    topics, and the health page with the counts of issues, the first `named` poor names and `shown` issues of each type."""
+    A page is the contents of its parts (from 1) one after the other. The first part has the head, every part PART
+    entries at most, so that no row and no task grows with a page.
+    """
+    names = project_names(items, configured)
+    bodies = page_entries(items, names).withColumn("part", _part("entry_no")).withColumnRenamed("entry_no", "_n").groupBy("page_key", "part").agg(_joined("line").alias("entries"))
+    heads = page_heads(items, names, issues).withColumn("part", F.lit(1))
+    head = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("head"), F.lit("\n\n## Entries\n"))
+    text = F.concat(F.coalesce(head, F.lit("")), F.col("entries"), F.lit("\n"))
+    return bodies.join(heads, ["page_key", "part"], "left").select("page_key", "part", text.alias("content")).withColumn("sha1", F.sha1("content"))
+
+
+def front_pages(items: DataFrame, issues: DataFrame, configured: DataFrame | None = None, named: int = 20, shown: int = 10) -> DataFrame:
+    """(page_key, part, content, sha1) of two pages: the index, which links all projects by name (PART of them a part) and
+    the first 24 topics, and the health page with the counts of issues, the first `named` poor names and `shown` issues of
+    each type, with up to three sample titles (issues.samples, if there) and what is suggested."""
     names = project_names(items, configured).filter("project_key <> ''")
     one = lambda rows, line, name: rows.agg(_joined(line).alias(name))
     place = lambda rows, n, *order: rows.orderBy(*order).limit(n).withColumn("_n", F.struct(*order))
     bullet = lambda target, label: F.concat(F.lit("- "), link(target, label))
     key = F.concat(F.lit("projects/"), F.col("project_key"), F.lit("/index"))
-    listed = one(place(names.withColumn("_low", F.lower("display_name")), most, "_low", "project_key").withColumn("line", bullet(key, F.col("display_name"))), "line", "projects")
+    linked = names.select(F.lit("index").alias("page_key"), F.lower("display_name").alias("_low"), "project_key", bullet(key, F.col("display_name")).alias("line"))
+    linked = numbered(linked, ["page_key"], ["_low", "project_key"], "_n")
+    listed = linked.withColumn("part", _part("_n")).groupBy("page_key", "part").agg(_joined("line").alias("projects"))
     tags = topics(items)
     few = one(place(tags, 24, "topic").withColumn("line", bullet(F.concat(F.lit("topics/"), slug("topic")), F.col("topic"))), "line", "topics")
     total = items.agg(F.count("*").alias("n"))
     or_else = lambda c, text: F.when(F.coalesce(c, F.lit("")) == "", text).otherwise(F.col(c))
     types = [bullet(F.lit(f"types/{k}"), F.lit(v)) for k, v in V.TYPE_LABELS.items()]
     overview = [F.lit("# Memory Wiki\n\n## Overview"), _code("Active memories", F.col("n")), *types, bullet(F.lit("health"), F.lit("Wiki Health"))]
-    index = total.join(F.broadcast(listed)).join(F.broadcast(few)).select(
-        F.lit("index").alias("page_key"),
-        F.concat_ws("\n", *overview, F.lit("\n## Projects"), or_else("projects", "- No project pages yet."), F.lit("\n## Topics"), or_else("topics", "- No topic pages yet."), F.lit("")).alias("content"),
+    last = F.greatest(F.ceil(F.count("*") / PART), F.lit(1)).cast("int")
+    around = total.join(F.broadcast(few)).join(F.broadcast(names.agg(last.alias("last"))))
+    every = F.explode(F.sequence(F.lit(1), "last"))
+    above = F.when(F.col("part") == 1, F.concat_ws("\n", *overview, F.lit("\n## Projects\n")))
+    below = F.when(F.col("part") == F.col("last"), F.concat_ws("\n", F.lit("\n## Topics"), or_else("topics", "- No topic pages yet."), F.lit("")))
+    index = around.withColumn("part", every).join(listed.drop("page_key"), "part", "left").select(
+        F.lit("index").alias("page_key"), "part", F.concat(F.coalesce(above, F.lit("")), or_else("projects", "- No project pages yet."), F.lit("\n"), F.coalesce(below, F.lit(""))).alias("content")
     )
     kinds = page_keys(items).select("page_key").distinct().agg(*(F.count_if(F.col("page_key").startswith(f"{k}s/")).alias(k) for k in ("type", "project", "topic")))
     by_type = issues.groupBy("issue_type").agg(F.count("*").alias("c")).withColumn("_n", F.col("issue_type"))
     counts = one(by_type.withColumn("line", F.concat(F.lit("- `"), F.col("issue_type"), F.lit("`: `"), F.col("c").cast("string"), F.lit("`"))), "line", "counts")
     poor = place(names.filter("low_quality"), named, "project_key")
     poor = one(poor.withColumn("line", F.concat(F.lit("- `"), F.col("project_key"), F.lit("` -> `"), F.col("display_name"), F.lit("` via `"), F.col("source"), F.lit("`; consider adding a clearer bootstrap project name."))), "line", "poor")
-    detail = _first(issues, "issue_type", shown, "subject").withColumn("line", F.concat(F.lit("- "), issue_message()))
+    samples = F.concat(F.lit("\n  Samples: "), F.array_join(F.slice("samples", 1, 3), ", ")) if "samples" in issues.columns else F.lit(None)
+    said = [F.concat(F.lit("- "), issue_message()), samples, F.concat(F.lit("\n  Suggested action: "), _from(V.ISSUE_ACTIONS, F.col("issue_type")))]
+    order = [c for c in ("subject", "other") if c in issues.columns]
+    detail = _first(issues, "issue_type", shown, *order).withColumn("line", F.concat_ws("", *said))
     detail = detail.groupBy("issue_type").agg(_joined("line").alias("lines")).select(F.col("issue_type").alias("_n"), F.concat(F.lit("### "), F.col("issue_type"), F.lit("\n"), F.col("lines")).alias("line"))
     detail = one(detail, "line", "detail")
     section = lambda c, heading: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n## {heading}\n"), F.col(c)))
@@ -201,6 +232,7 @@ def front_pages(items: DataFrame, issues: DataFrame, configured: DataFrame | Non
         facts = facts.join(F.broadcast(part))
     health = facts.select(
         F.lit("health").alias("page_key"),
+        F.lit(1).alias("part"),
         F.concat_ws(
             "\n", F.lit("# Wiki Health\n\n## Summary"), _code("Active memories", F.col("n")), *(_code(f"{k.capitalize()} pages", F.col(k)) for k in ("type", "project", "topic")),
             F.lit("\n## Issue Counts"), or_else("counts", "- No issues detected."), section("poor", "Low Quality Project Names"), section("detail", "Issues By Type"), F.lit(""),
@@ -217,10 +249,11 @@ def orphan_pages(kept: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(page_key, change): pages that are new, changed or stale, by content hash; nothing else is written again."""
-    b, a = before.select("page_key", F.col("sha1").alias("b")), after.select("page_key", F.col("sha1").alias("a"))
-    joined = b.join(a, "page_key", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return joined.select("page_key", F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "stale").otherwise("changed").alias("change"))
+    """(page_key, part, change): parts of pages that are new, changed or stale, by content hash; nothing else is written again."""
+    at = ["page_key", "part"]
+    b, a = before.select(*at, F.col("sha1").alias("b")), after.select(*at, F.col("sha1").alias("a"))
+    joined = b.join(a, at, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return joined.select(*at, F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "stale").otherwise("changed").alias("change"))
 
 
 def affected_pages(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -260,23 +293,58 @@ def lint_report(items: DataFrame, evidence: Column | None = None, least: int = B
 
 
 def page_warnings(issues: DataFrame, most: int = 6) -> DataFrame:
-    """(page_key, warning_no, issue_type, subject): the first issues of each project's page."""
-    place = F.row_number().over(Window.partitionBy("page_key").orderBy("issue_type", "subject"))
+    """(page_key, warning_no, issue_type, subject, other): the first issues of each project's page."""
+    place = F.row_number().over(Window.partitionBy("page_key").orderBy("issue_type", "subject", "other"))
     rows = issues.filter(F.col("page_key").startswith("projects/")).withColumn("warning_no", place)
-    return rows.filter(F.col("warning_no") <= most).select("page_key", "warning_no", "issue_type", "subject")
+    return rows.filter(F.col("warning_no") <= most).select("page_key", "warning_no", "issue_type", "subject", "other")
 
 
-def conflicts(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
-    """(topic, first_id, second_id): memories of one topic and project whose titles share a word and of which one asks for what the other forbids.
+def _taking_sides(items: DataFrame, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
+    """(topic, project_key, word, polarity, id) of memories that ask for or forbid something, a row for each topic and title word."""
+    rows = items.withColumn("polarity", polarity(F.concat_ws(" ", "summary", "details"), positive, negative)).filter("polarity <> 0")
+    return with_topics(rows).select("topic", "project_key", F.explode(token_set("title")).alias("word"), "polarity", "id")
+
+
+def conflict_groups(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
+    """(topic, project_key, word, asking, forbidding, polarity, part, members): conflicts of one topic, project and title
+    word without their pairs. Every member of a group with polarity 1 conflicts with every one with -1.
 
-    Only memories with a polarity take part, and the two sides of the join are the asking and the forbidding ones, so
-    pairs that agree are never made; the join is on topic, project and title word, not on the topic alone.
+    A group has the counts of its two sides, and its members are dealt by a hash of their id into parts of MEMBERS or
+    so, so rows and their sizes grow with the memories' topics and words, not with the pairs.
     """
-    rows = items.withColumn("polarity", polarity(F.concat_ws(" ", "summary", "details"), positive, negative)).filter("polarity <> 0")
-    words = with_topics(rows).select("id", "topic", F.coalesce("project_key", F.lit("\u0000")).alias("project"), "polarity", F.explode(token_set("title")).alias("word"))
-    yes, no = words.filter("polarity = 1").drop("polarity"), words.filter("polarity = -1").drop("polarity").withColumnRenamed("id", "other")
-    pairs = yes.join(no, ["topic", "project", "word"]).select("topic", F.least("id", "other").alias("first_id"), F.greatest("id", "other").alias("second_id"))
-    return pairs.distinct()
+    words = _taking_sides(items, positive, negative)
+    key = ["topic", "project_key", "word"]
+    sides = words.groupBy(*key).agg(F.count_if(F.col("polarity") == 1).alias("asking"), F.count_if(F.col("polarity") == -1).alias("forbidding")).filter("asking > 0 and forbidding > 0")
+    same = F.col("w.topic").eqNullSafe(F.col("s.topic")) & F.col("w.project_key").eqNullSafe(F.col("s.project_key")) & (F.col("w.word") == F.col("s.word"))
+    held = words.alias("w").join(sides.alias("s"), same).select("w.*", "asking", "forbidding")
+    parts = F.ceil(F.when(F.col("polarity") == 1, F.col("asking")).otherwise(F.col("forbidding")) / MEMBERS)
+    held = held.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int"))
+    return held.groupBy(*key, "asking", "forbidding", "polarity", "part").agg(F.sort_array(F.collect_list("id")).alias("members"))
+
+
+def conflicting_pairs(groups: DataFrame) -> DataFrame:
+    """(topic, first_id, second_id): the pairs that conflict_groups stand for, each once; as many as conflict."""
+    side = lambda p, n: groups.filter(F.col("polarity") == p).select("topic", F.coalesce("project_key", F.lit("\u0000")).alias("project"), "word", F.col("members").alias(n))
+    pairs = side(1, "yes").join(side(-1, "no"), ["topic", "project", "word"]).select("topic", F.explode("yes").alias("yes"), "no").select("topic", "yes", F.explode("no").alias("no"))
+    return pairs.select("topic", F.least("yes", "no").alias("first_id"), F.greatest("yes", "no").alias("second_id")).distinct()
+
+
+def conflicts(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
+    """(topic, first_id, second_id): memories of one topic and project whose titles share a word and of which one asks for
+    what the other forbids. Pairs that agree are never made; for output that grows with the memories see conflict_groups."""
+    return conflicting_pairs(conflict_groups(items, positive, negative))
+
+
+def conflict_issues(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
+    """Issues for the topics that have conflicting guidance inside a project: one for each, with the first title of either side as samples."""
+    words = _taking_sides(items, positive, negative).join(items.select("id", "title"), "id")
+    first = lambda p: F.min(F.when(F.col("polarity") == p, F.col("title")))
+    found = words.groupBy("topic", "project_key", "word").agg(first(1).alias("yes"), first(-1).alias("no")).filter("yes is not null and no is not null")
+    named = found.groupBy("topic", "project_key").agg(F.min("yes").alias("yes"), F.min("no").alias("no"))
+    return named.select(
+        F.lit("conflicting_topic").alias("issue_type"), F.lit("high").alias("severity"), F.col("topic").alias("subject"), F.col("project_key").alias("other"),
+        F.concat(F.lit("topics/"), slug("topic")).alias("page_key"), F.array("yes", "no").alias("samples"),
+    )
 
 
 def near_titles(items: DataFrame, least: float = 0.8) -> DataFrame:
@@ -368,7 +436,3 @@ def duplicate_concepts(items: DataFrame, title: float = 0.83, both: float = 0.72
     ahead = F.col("a_id") < F.col("b_id")
     found = found.select(F.least("a_id", "b_id").alias("first_id"), F.greatest("a_id", "b_id").alias("second_id"), F.when(ahead, F.col("ab")).otherwise(F.col("ba")).alias("title_ratio"), F.when(ahead, F.col("s_ab")).otherwise(F.col("s_ba")).alias("summary_ratio"))
     return found.filter(ok("title_ratio", "summary_ratio"))
-
-
-def lint_counts(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("issue_type").agg(F.count("*").alias("count"))

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
 from ..operators import analytics, digest, distill, govern, index, lifecycle, render, search, vault, wiki
+from ..operators.segments import SearchIndex
 from ..sources.model import memories, raw_events, shared_folder, table
 from ..streaming.ingest import land_new, read_new
 from . import sql as S
@@ -84,6 +85,40 @@ def indexed_search(spark, sf):
     return found.orderBy(F.desc(F.round("score", 6)), "id").limit(50).select("id", F.round("score", 4).alias("score"))
 
 
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark, sf) -> SearchIndex:
+    """The stored index of the memories; built in the shared folder by the session's first search and read by all after it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        made = SearchIndex(spark, shared_folder(spark, "search-index"), search.WEIGHTS)
+        # the given file is one row group, which is one task; texts are cut in many
+        made.build(memories(spark, sf).repartition("id"))
+        _indexes[key] = made
+    return _indexes[key]
+
+
+@registered(f"WITH {S.MEMORIES}, shown AS (SELECT * FROM memories WHERE {S.visible(project=PROJECT)}), {_BM25} SELECT bm.id, round(score, 4) AS score FROM bm JOIN memories m ON bm.id = m.id ORDER BY bm.score DESC, confidence DESC, bm.id LIMIT 50")
+def stored_search(spark, sf):
+    """BM25 out of the stored index: headers of postings, the blocks that can hold one of the best, and no text."""
+    return _index(spark, sf).top(QUERY, 50, search.visible(project=PROJECT)).select("id", F.round("score", 4).alias("score"))
+
+
+_LATER = "memories AS (SELECT * REPLACE (CASE WHEN id % 10 = 2 THEN summary || ' license trash' ELSE summary END AS summary) FROM before WHERE id % 10 <> 3)"
+
+
+@registered(f"WITH {S.MEMORIES.replace('memories AS', 'before AS', 1)}, {_LATER}, shown AS (SELECT * FROM memories), {_BM25} SELECT bm.id, round(score, 4) AS score FROM bm JOIN memories m ON bm.id = m.id ORDER BY bm.score DESC, confidence DESC, bm.id LIMIT 50")
+def stored_index_upkeep(spark, sf):
+    """A search after the index was changed: a tenth of the memories is new, a tenth says something else, a tenth is gone."""
+    m = memories(spark, sf).repartition("id")
+    index_ = SearchIndex(spark, shared_folder(spark, "search-index"), search.WEIGHTS)
+    index_.build(m.filter("id % 10 <> 1"))
+    changed = m.filter("id % 10 in (1, 2)").withColumn("summary", F.when(F.col("id") % 10 == 2, F.concat("summary", F.lit(" license trash"))).otherwise(F.col("summary")))
+    index_.apply(changed, m.filter("id % 10 = 3"))
+    return index_.top(QUERY, 50).select("id", F.round("score", 4).alias("score"))
+
+
 @registered("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label <> 3 AND e.vec_id <> 0 ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id LIMIT 20")
 def vector_topk(spark, sf):
     """Nearest vectors to one by cosine, under a metadata filter that is applied first."""
@@ -119,6 +154,13 @@ def hybrid_search(spark, sf):
     return found.select("id", *(F.round(c, 4).alias(c) for c in ("score", "similarity", "hybrid_score")))
 
 
+@registered(_HYBRID + f"SELECT id, title, round(sc, 4) AS score, round(si, 4) AS similarity, round(hy, 4) AS hybrid_score FROM h ORDER BY round(hy, 4) DESC, {S.priority(PROJECT, TOOL)} LIMIT 10")
+def stored_hybrid_search(spark, sf):
+    """BM25 and vectors fused, over the stored index."""
+    found = search.memory_search(memories(spark, sf), QUERY, _near(spark, sf), 10, project=PROJECT, tool=TOOL, index=_index(spark, sf))
+    return found.select("id", "title", *(F.round(c, 4).alias(c) for c in ("score", "similarity", "hybrid_score")))
+
+
 @registered(_HYBRID + f"SELECT s.id, round(fn.score, 4) AS score FROM fn JOIN shown s ON s.id = fn.id ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 10")
 def search_text_only(spark, sf):
     """No vectors: what BM25 finds, by priority alone."""
@@ -177,6 +219,13 @@ def memory_context(spark, sf):
     return found.select("section", F.col("rank").cast("long").alias("rank"), "id")
 
 
+@registered(_hybrid(72) + _sections(f"SELECT * FROM h ORDER BY round(hy, 4) DESC, {S.priority(PROJECT, TOOL)} LIMIT 24"))
+def stored_memory_context(spark, sf):
+    """The context of a task over the stored index."""
+    found = search.memory_context(memories(spark, sf), QUERY, _near(spark, sf), PROJECT, TOOL, index=_index(spark, sf))
+    return found.select("section", F.col("rank").cast("long").alias("rank"), "id")
+
+
 _DEFAULTS = f"SELECT * FROM (SELECT * FROM memories WHERE {S.visible(project=PROJECT, tool=TOOL, statuses=('active',))} ORDER BY CASE memory_type WHEN 'procedural' THEN 0 WHEN 'profile' THEN 1 WHEN 'semantic' THEN 2 WHEN 'episodic' THEN 3 ELSE 4 END, confidence DESC, stability DESC, coalesce(seen_s, created_s) DESC, id LIMIT 72) ORDER BY {S.priority(PROJECT, TOOL)} LIMIT 24"
 
 
@@ -649,7 +698,7 @@ def project_names(spark, sf):
     return n.select("project_key", F.when(F.col("source") == "bootstrap_projects", F.col("display_name")).otherwise(X.clean_project_label("project_key")).alias("inferred"), "source")
 
 
-@registered(f"WITH {S.MEMORIES} SELECT memory_type, entry_no, id FROM (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, stability DESC, title, id) AS entry_no FROM memories WHERE status = 'active') WHERE entry_no <= 200")
+@registered(f"WITH {S.MEMORIES} SELECT memory_type, entry_no, id FROM (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, stability DESC, title, id) AS entry_no FROM memories WHERE status = 'active')")
 def type_pages(spark, sf):
     """Entries of the type pages in their order."""
     e = wiki.page_entries(memories(spark, sf).filter("status = 'active'")).filter(F.col("page_key").startswith("types/"))
@@ -1010,7 +1059,7 @@ def wiki_lint_report(spark, sf):
 @registered(f"WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES} SELECT page_key, n AS warning_no, issue_type, subject FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY issue_type, subject) AS n FROM issues WHERE starts_with(page_key, 'projects/')) WHERE n <= 6")
 def page_warnings(spark, sf):
     """The first six issues of each project's page."""
-    return wiki.page_warnings(_issues(spark, sf)).withColumn("warning_no", F.col("warning_no").cast("long"))
+    return wiki.page_warnings(_issues(spark, sf)).withColumn("warning_no", F.col("warning_no").cast("long")).drop("other")
 
 
 _NAMES = f"names AS (SELECT DISTINCT project_key, 'Project ' || upper(project_key) AS display_name FROM memories WHERE project_key IS NOT NULL)"
@@ -1037,15 +1086,39 @@ def wiki_page_heads(spark, sf):
 
 
 @registered(
-    f"""WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES}, {_NAMES}, t AS (SELECT topic FROM topic GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1), said AS (SELECT issue_type, subject, CASE issue_type WHEN 'weak_evidence' THEN 'Memory `' || subject || '` has weak or missing evidence.' WHEN 'missing_project_key' THEN 'Project-scoped memory `' || subject || '` is missing project_key.' WHEN 'overbroad_topic' THEN 'Topic `' || subject || '` is broad and may need splitting.' ELSE 'Memory `' || subject || '` is on no topic''s and no project''s page.' END AS line FROM issues),
- d AS (SELECT issue_type, '### ' || issue_type || chr(10) || string_agg('- ' || line, chr(10) ORDER BY subject) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY issue_type ORDER BY subject) AS n FROM said) WHERE n <= 10 GROUP BY 1)
- SELECT 'index' AS page_key, concat_ws(chr(10), '# Memory Wiki', '', '## Overview', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- [[types/profile|Profiles]]', '- [[types/procedural|Procedures]]', '- [[types/semantic|Patterns]]', '- [[types/episodic|Episodes]]', '- [[health|Wiki Health]]', '', '## Projects', (SELECT string_agg('- [[projects/' || project_key || '/index|' || display_name || ']]', chr(10) ORDER BY lower(display_name), project_key) FROM names), '', '## Topics', (SELECT string_agg('- [[topics/' || {S.slug('topic')} || '|' || topic || ']]', chr(10) ORDER BY topic) FROM (SELECT * FROM t LIMIT 24)), '') AS content
- UNION ALL SELECT 'health', concat_ws(chr(10), '# Wiki Health', '', '## Summary', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- Type pages: `' || (SELECT count(DISTINCT memory_type) FROM memories) || '`', '- Project pages: `' || (SELECT count(*) FROM names) || '`', '- Topic pages: `' || (SELECT count(*) FROM t) || '`', '', '## Issue Counts', (SELECT string_agg('- `' || issue_type || '`: `' || c || '`', chr(10) ORDER BY issue_type) FROM (SELECT issue_type, count(*) AS c FROM issues GROUP BY 1)), '', '## Issues By Type', (SELECT string_agg(lines, chr(10) ORDER BY issue_type) FROM d), '')"""
+    f"""WITH {S.MEMORIES}, {_TOPICS}, {_ISSUES}, {_NAMES}, t AS (SELECT topic FROM topic GROUP BY 1 HAVING count(*) >= 2 ORDER BY 1), said AS (SELECT issue_type, subject, CASE issue_type WHEN 'weak_evidence' THEN 'Memory `' || subject || '` has weak or missing evidence.' WHEN 'missing_project_key' THEN 'Project-scoped memory `' || subject || '` is missing project_key.' WHEN 'overbroad_topic' THEN 'Topic `' || subject || '` is broad and may need splitting.' ELSE 'Memory `' || subject || '` is on no topic''s and no project''s page.' END AS line, CASE issue_type {' '.join(f'WHEN {S.q(k)} THEN {S.q(v)}' for k, v in V.ISSUE_ACTIONS.items())} END AS action FROM issues),
+ d AS (SELECT issue_type, '### ' || issue_type || chr(10) || string_agg('- ' || line || coalesce(chr(10) || '  Suggested action: ' || action, ''), chr(10) ORDER BY subject) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY issue_type ORDER BY subject) AS n FROM said) WHERE n <= 10 GROUP BY 1)
+ SELECT 'index' AS page_key, 1 AS part, concat_ws(chr(10), '# Memory Wiki', '', '## Overview', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- [[types/profile|Profiles]]', '- [[types/procedural|Procedures]]', '- [[types/semantic|Patterns]]', '- [[types/episodic|Episodes]]', '- [[health|Wiki Health]]', '', '## Projects', (SELECT string_agg('- [[projects/' || project_key || '/index|' || display_name || ']]', chr(10) ORDER BY lower(display_name), project_key) FROM names), '', '## Topics', (SELECT string_agg('- [[topics/' || {S.slug('topic')} || '|' || topic || ']]', chr(10) ORDER BY topic) FROM (SELECT * FROM t LIMIT 24)), '') AS content
+ UNION ALL SELECT 'health', 1, concat_ws(chr(10), '# Wiki Health', '', '## Summary', '- Active memories: `' || (SELECT count(*) FROM memories) || '`', '- Type pages: `' || (SELECT count(DISTINCT memory_type) FROM memories) || '`', '- Project pages: `' || (SELECT count(*) FROM names) || '`', '- Topic pages: `' || (SELECT count(*) FROM t) || '`', '', '## Issue Counts', (SELECT string_agg('- `' || issue_type || '`: `' || c || '`', chr(10) ORDER BY issue_type) FROM (SELECT issue_type, count(*) AS c FROM issues GROUP BY 1)), '', '## Issues By Type', (SELECT string_agg(lines, chr(10) ORDER BY issue_type) FROM d), '')"""
 )
 def wiki_front_pages(spark, sf):
     """The index and the health page."""
     m = memories(spark, sf)
-    return wiki.front_pages(m, _issues(spark, sf), _configured(m)).select("page_key", "content")
+    return wiki.front_pages(m, _issues(spark, sf), _configured(m)).select("page_key", "part", "content")
+
+
+def _list_line(project: str) -> str:
+    topics = f"list_filter(tags, lambda t: NOT list_contains([{', '.join(map(S.q, V.GENERIC_TAGS))}], t))[1:4]"
+    return (
+        f"'- **' || title || '**  type: `' || memory_type || '`  conf: `' || printf('%.2f', confidence) || '`' || CASE WHEN project_key IS NOT NULL THEN '  project: [[projects/' || project_key || '/index|' || {project} || ']]' ELSE '' END"
+        f" || CASE WHEN len({topics}) > 0 THEN '  topics: ' || array_to_string(list_transform({topics}, lambda t: '[[topics/' || {S.slug('t')} || '|' || t || ']]'), ', ') ELSE '' END || chr(10) || '  ' || {S.excerpt('summary', 180)}"
+    )
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, {_TOPICS}, {_NAMES}, tp AS (SELECT topic FROM topic GROUP BY 1 HAVING count(*) >= 2),
+ keyed AS (SELECT 'types/' || memory_type AS page_key, id FROM memories UNION ALL SELECT 'projects/' || project_key || '/index', id FROM memories WHERE project_key IS NOT NULL UNION ALL SELECT 'topics/' || {S.slug('topic')}, id FROM topic JOIN tp USING (topic)),
+ line AS (SELECT m.id, title, confidence, stability, {_list_line('display_name')} AS line FROM memories m LEFT JOIN names USING (project_key)),
+ entry AS (SELECT page_key, line, row_number() OVER (PARTITION BY page_key ORDER BY confidence DESC, stability DESC, title, id) AS n FROM keyed JOIN line USING (id))
+ SELECT page_key, ((n - 1) // 200 + 1)::INT AS part, count(*) AS entries, sha1(string_agg(line, chr(10) ORDER BY n) || chr(10)) AS body_sha1 FROM entry GROUP BY 1, 2"""
+)
+def wiki_pages(spark, sf):
+    """All parts of all pages of types, projects and topics: how many entries each has, and the hash of what stands below its head."""
+    m = memories(spark, sf)
+    made = wiki.pages(m, _configured(m))
+    body = F.when(F.col("part") == 1, F.substring_index("content", "\n\n## Entries\n", -1)).otherwise(F.col("content"))
+    entries = F.regexp_count(body, F.lit(r"(?m)^- \*\*")).cast("long")
+    return made.select("page_key", "part", entries.alias("entries"), F.sha1(body).alias("body_sha1"))
 
 
 @registered(f"WITH {S.MEMORIES}, p AS (SELECT 'types/' || memory_type AS page_key, memory_type FROM memories UNION ALL SELECT 'projects/' || project_key || '/index', memory_type FROM memories WHERE project_key IS NOT NULL) SELECT 'orphan_page' AS issue_type, page_key AS subject FROM p GROUP BY page_key HAVING bool_and(memory_type = 'profile')")

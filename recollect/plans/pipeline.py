@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import analytics, digest, distill, govern, index, render, wiki
 from ..sources import transcripts
-from ..sources.model import shared_folder
+from ..sources.model import shared_folder, stored
 
 
 class Tables:
@@ -71,7 +71,9 @@ def run(spark: SparkSession, path: str, roots: Mapping[str, str], as_of: Column,
     digests = digest.digests(events)
     known = tables.read("digests")
     tables.append(digests if known is None else digest.new_digests(digests, known), "digests")
-    pages = wiki.pages(active)
+    issues = wiki.lint_report(active)
+    front = wiki.front_pages(active, issues)
+    pages = stored(wiki.pages(active, issues=issues).unionByName(front), "pages")
     before = tables.read("pages")
     changes = wiki.changed_pages(before if before is not None else pages.filter("false"), pages)
     changed = tables.write(changes, "page_changes")

@@ -205,7 +205,36 @@ def test_wiki(spark):
     assert set(pages) == {"types/semantic", "projects/p/index", "topics/python"} and pages["types/semantic"].startswith("# Patterns\n\nGenerated from `3`")
     after = m.filter("id <> 3")
     assert {r.page_key for r in wiki.affected_pages(m, after).collect()} == {"types/semantic", "projects/p/index"}
-    assert {(r.page_key, r.change) for r in wiki.changed_pages(wiki.pages(m), wiki.pages(after)).collect()} == {("types/semantic", "changed"), ("projects/p/index", "changed")}
+    assert {(r.page_key, r.change) for r in wiki.changed_pages(wiki.pages(m), wiki.pages(after)).collect() if r.part == 1} == {("types/semantic", "changed"), ("projects/p/index", "changed")}
+
+
+def test_pages_and_index_hold_everything_in_parts(spark):
+    m = items(spark, [{"title": f"t{i:03}", "project_key": f"proj-{i % 300:03}", "confidence": 0.5 + i % 7 / 100, "tags": ["all"]} for i in range(500)])
+    parts = sorted((r.page_key, r.part, r.content) for r in wiki.pages(m).collect())
+    whole = lambda rows, key: "".join(c for k, _, c in rows if k == key)
+    page = whole(parts, "types/semantic")
+    assert [p for k, p, _ in parts if k == "types/semantic"] == [1, 2, 3] and page.count("\n- **") == 500
+    titles = [line.split("**")[1] for line in page.split("\n") if line.startswith("- **")]
+    assert titles == [f"t{i:03}" for i in sorted(range(500), key=lambda i: (-(i % 7), i))]
+    assert page.startswith("# Patterns\n\nGenerated from `500`") and page.endswith("\n") and "\n\n\n" not in page
+    front = sorted((r.page_key, r.part, r.content) for r in wiki.front_pages(m, wiki.lint_report(m, F.lit(0))).collect())
+    index_ = whole(front, "index")
+    assert index_.count("\n- [[projects/") == 300 and "\n\n## Topics\n- [[topics/all|all]]\n" in index_ and "\n\n\n" not in index_
+
+
+def test_numbers_of_a_group_over_many_ranges(spark):
+    from recollect.operators.ranks import numbered
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, F.concat(F.lit("k"), (F.col("id") % 99).cast("string"))).alias("g"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered(rows, ["g"], [F.desc("id")], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = {}
+    for r in sorted(got, key=lambda r: -r.id):
+        held.setdefault(r.g, []).append(r.n)
+    assert len(got) == 5000 and all(n == list(range(1, len(n) + 1)) for n in held.values())
 
 
 def test_near_titles_finds_all(spark):
@@ -279,7 +308,7 @@ def test_files_of_the_vault(spark):
 def test_front_pages_and_heads(spark):
     m = items(spark, [{"project_key": "0123456789abcdef", "tags": ["a", "b c"]}, {"project_key": "0123456789abcdef", "tags": ["a"]}, {"project_key": None, "tags": None}])
     issues = wiki.lint_report(m, F.lit(0))
-    front = {r.page_key: r.content for r in wiki.front_pages(m, issues).collect()}
+    front = {r.page_key: r.content for r in wiki.front_pages(m, issues).collect() if r.part == 1}
     assert "- Topic pages: `1`" in front["health"] and "- `weak_evidence`: `3`" in front["health"] and "Low Quality Project Names\n- `0123456789abcdef`" in front["health"]
     assert front["index"].startswith("# Memory Wiki\n\n## Overview\n- Active memories: `3`\n- [[types/profile|Profiles]]") and front["index"].endswith("## Topics\n- [[topics/a|a]]\n")
     made = {r.page_key: r.content for r in wiki.pages(m, issues=issues).collect()}
