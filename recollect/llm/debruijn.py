@@ -32,6 +32,8 @@ from .common import run_bounds
 
 #: Bytes of text in a bucket of documents, and hashes in a group that meets, about.
 BUCKET_BYTES, GROUP_HASHES = 2 << 20, 200_000
+#: Words of a source that are one key where strings meet its cuts.
+SPAN = 512
 
 #: XXH64's primes, and seeds of the two hashes of a word.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -218,14 +220,25 @@ def compact_paths(strings: DataFrame) -> DataFrame:
 
     strings: (bucket, doc, start, n, source_doc, source_start). Where a string begins or ends in its source, some
     document enters or leaves the graph, so no path goes across. The cuts of a source are as many as its words at most.
+
+    Strings are cut at every SPAN words of their source first, and each piece meets the cuts of its span alone: a source
+    that many strings come from is as many keys as it has spans, and no string is held against the cuts of a whole
+    document. Pieces end at the borders of spans as well.
     """
-    edge_of = F.explode(F.array("source_start", F.col("source_start") + F.col("n")))
-    cuts = strings.select("source_doc", edge_of.alias("cut")).distinct().groupBy("source_doc").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    inside = F.expr("filter(cuts, c -> c >= source_start and c <= source_start + n)").alias("at")
-    ends = F.expr("filter(cuts, c -> c > source_start and c <= source_start + n)").alias("end")
-    parts = strings.join(cuts, "source_doc").withColumn("path", F.explode(F.arrays_zip(inside, ends)))
-    edges = F.coalesce(F.col("path.end"), F.col("path.at")) - F.col("path.at")
-    return parts.select("bucket", "doc", (F.col("start") + F.col("path.at") - F.col("source_start")).alias("start"), edges.alias("n"), "source_doc", F.col("path.at").alias("source_start"))
+    span = lambda x: F.floor(x / SPAN).cast("int")
+    last = F.col("source_start") + F.col("n")
+    edge_of = F.explode(F.array("source_start", last))
+    cuts = strings.select("source_doc", edge_of.alias("cut")).distinct().groupBy("source_doc", span(F.col("cut")).alias("span")).agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    pieces = strings.withColumn("span", F.explode(F.sequence(span(F.col("source_start")), span(last))))
+    pieces = pieces.withColumn("low", F.greatest("source_start", F.col("span") * SPAN)).withColumn("high", F.least(last, (F.col("span") + 1) * SPAN))
+    within = F.expr("filter(cuts, c -> c > low and c < high)")
+    # where the string itself ends, a row without edges
+    ends = F.when(F.col("low") < F.col("high"), F.concat(F.array("low"), F.coalesce(within, F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
+    borders = F.concat(ends, F.when(F.col("span") == span(last), F.array(last, last)).otherwise(F.array("high")))
+    parts = pieces.join(cuts, ["source_doc", "span"], "left").withColumn("at", borders)
+    step = F.expr("transform(slice(at, 1, size(at) - 1), (x, i) -> struct(x as begin, at[i + 1] - x as edges))")
+    paths = parts.withColumn("path", F.explode(step))
+    return paths.select("bucket", "doc", (F.col("start") + F.col("path.begin") - F.col("source_start")).alias("start"), F.col("path.edges").alias("n"), "source_doc", F.col("path.begin").alias("source_start"))
 
 
 def _confirmed(bucket: Bucket, w: np.ndarray, place: np.ndarray, source: bytes, k: int) -> np.ndarray:

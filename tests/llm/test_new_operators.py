@@ -274,3 +274,42 @@ def test_sql(spark, name):
     names = [d[0] for d in con.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want)
     assert got.agg(F.sum("n_dropped")).first()[0] > 0
+
+
+@pytest.mark.parametrize("piece", ["AB12 ", "DE12 ", "AB12", "ZZ99 A1"])
+def test_long_upper_case_texts_are_read_once(piece):
+    import time
+
+    from recollect.llm import pii
+
+    text = piece * (1_000_000 // len(piece)) + " DE44 5001 0517 5407 3249 31"
+    began = time.time()
+    found = pii.spans(text)
+    assert time.time() - began < 3
+    assert [k for k, *_ in found] == ["iban"] or piece == "AB12"
+
+
+def test_account_numbers_end_where_they_may():
+    from recollect.llm import pii
+
+    made = lambda x: f"{x[:2]}{98 - int(''.join(str(int(c, 36)) for c in x[4:] + x[:2] + '00')) % 97:02}{x[4:]}"
+    free = made("ZZ00" + "7" * 30)
+    kinds = lambda t: [(s, e) for k, s, e, _ in pii.spans(t) if k == "iban"]
+    assert kinds(free) == [(0, 34)] and kinds(free + "1") == [] and kinds(free + "A") == [] and kinds(free + " x") == [(0, 34)]
+
+
+def test_strings_of_a_hot_source_meet_only_the_cuts_of_their_span(spark, monkeypatch):
+    from recollect.llm import debruijn
+
+    monkeypatch.setattr(debruijn, "SPAN", 16)
+    rng = random.Random(1)
+    rows = [(0, i, rng.randrange(50), rng.randrange(1, 60), rng.randrange(3), rng.randrange(300)) for i in range(300)]
+    cuts = defaultdict(set)
+    for *_, n, source, at in rows:
+        cuts[source] |= {at, at + n}
+    want = []
+    for bucket, doc, start, n, source, at in rows:
+        own = sorted(x for x in range(at, at + n + 1) if x in cuts[source] or x % 16 == 0)
+        want += [(bucket, doc, start + x - at, y - x, source, x) for x, y in zip(own, own[1:])] + [(bucket, doc, start + n, 0, source, at + n)]
+    strings = spark.createDataFrame(rows, "bucket int, doc long, start int, n int, source_doc long, source_start int")
+    assert sorted(tuple(r) for r in debruijn.compact_paths(strings).collect()) == sorted(want)
