@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from zlib import crc32
 
@@ -10,29 +12,85 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
+from ..sources.model import shared_folder, stored
 from .text import Text, excerpt
 
 #: Texts to answers (None where the model has none), called once for each batch of rows on the executors.
 Model = Callable[[Sequence[str]], Sequence[str | None]]
 
 
-def answered(df: DataFrame, prompt: Column, name: str, fallback: Column, model: Model | None = None) -> DataFrame:
-    """df with a column `name`: the model's answer to the prompt, or the fallback where it gives none or there is none."""
+#: Prompts of one call: so many, within these bounds.
+BATCH, FEWEST, MOST = 50, 10, 200
+
+
+def answers(prompts: DataFrame, folder: str, model: Model, batch: int = BATCH, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(digest, answer) for a table of prompts (prompt): the model is called with batches of prompts on the executors, each prompt once.
+
+    Answers are kept in a folder that all tasks see, under the SHA-256 of their prompt, as soon as a batch is answered:
+    a task that runs again, and every later run, reads them there and calls nobody. A call that fails is tried `retries`
+    times with growing waits; then, as for empty answers, the prompt has no answer (null), which isn't kept, so that the
+    next run asks again. batch is held within FEWEST and MOST. Null and empty prompts have no answer.
+    """
+    size = max(FEWEST, min(int(batch), MOST))
+    wanted = prompts.select("prompt").filter("prompt <> ''").distinct().select(F.sha2("prompt", 256).alias("digest"), "prompt")
+    # equal runs make equal batches: prompts are dealt and sorted by their digest
+    dealt = wanted.repartition("digest").sortWithinPartitions("digest")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+
+        def known(digest: str) -> str | None:
+            try:
+                with system.open_input_stream(f"{root}/{digest[:2]}/{digest}") as f:
+                    return f.read().decode()
+            except FileNotFoundError:
+                return None
+
+        def keep(digest: str, answer: str) -> None:
+            system.create_dir(f"{root}/{digest[:2]}", recursive=True)
+            aside = f"{root}/{digest[:2]}/.{digest}-{uuid.uuid4().hex}"
+            with system.open_output_stream(aside) as f:
+                f.write(answer.encode())
+            system.move(aside, f"{root}/{digest[:2]}/{digest}")
+
+        def asked(texts: list[str]) -> list[str | None]:
+            for attempt in range(max(retries, 1)):
+                try:
+                    return list(model(texts))
+                except Exception:  # what a model's client may raise isn't known here
+                    time.sleep(wait * 2**attempt)
+            return [None] * len(texts)
+
+        for frame in frames:
+            frame = frame.assign(answer=[known(d) for d in frame["digest"]])
+            open_ = frame.index[frame["answer"].isna()]
+            for at in range(0, len(open_), size):
+                some = open_[at : at + size]
+                for i, answer in zip(some, asked(frame.loc[some, "prompt"].tolist()), strict=True):
+                    if answer and answer.strip():
+                        keep(frame.at[i, "digest"], answer)
+                        frame.at[i, "answer"] = answer
+            yield frame[["digest", "answer"]]
+
+    return dealt.mapInPandas(run, "digest string, answer string")
+
+
+def answered(df: DataFrame, prompt: Column, name: str, fallback: Column, model: Model | None = None, folder: str | None = None, **calls) -> DataFrame:
+    """df with a column `name`: the model's answer to the prompt, or the fallback where it gives none or there is none.
+
+    folder: where answers are kept (see answers; `calls` are its options); a new shared folder unless it is given.
+    """
     if model is None:
         return df.withColumn(name, fallback)
-    rows = df.withColumn(name, prompt.cast("string"))
-    at = rows.columns.index(name)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.copy()
-            batch.isetitem(at, pd.Series(list(model(batch.iloc[:, at].fillna("").tolist())), index=batch.index, dtype=object))
-            yield batch
-
-    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema])
-    return rows.mapInPandas(ask, schema).withColumn(name, F.coalesce(F.nullif(F.trim(name), F.lit("")), fallback))
+    kept = folder or shared_folder(df.sparkSession, "answers")
+    rows = df.withColumn("_prompt", prompt.cast("string"))
+    found = stored(answers(rows.select(F.col("_prompt").alias("prompt")), kept, model, **calls), "answered")
+    given = found.select(F.col("digest").alias("_digest"), F.nullif(F.trim("answer"), F.lit("")).alias("_answer"))
+    rows = rows.join(given, F.sha2("_prompt", 256) == F.col("_digest"), "left")
+    return rows.withColumn(name, F.coalesce("_answer", fallback)).drop("_prompt", "_digest", "_answer")
 
 
 def title(text: Text, fallback: Text, limit: int = 48) -> Column:

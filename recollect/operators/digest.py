@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.similarity import Matchable, common_letters, letter_counts
 from ..functions.text import all_matches, code_blocks, excerpt, first_match, has_any_lower, sentences_with, stable_id, token_set
+from .ranks import numbered
 
 #: Messages of a chunk, and sessions shorter than this stay whole under their own id.
 CHUNK, WHOLE = 20, 4
@@ -25,14 +26,17 @@ TILE = (2048, 512)
 def chunks(events: DataFrame, order: Sequence[str] = ("timestamp", "line_no")) -> DataFrame:
     """Messages with text, with their session (`unknown` if null), chunk_no, chunk_id, and message_no within the chunk.
 
-    Sessions are the groups here; a session of any length is cut into chunks by its row numbers, counted for each session.
+    Messages are numbered within their session by ranges of session and order, so a session of any length (all messages
+    without one are one session) is spread over tasks. Equal places are told apart by the id, if there is one.
     """
-    session = F.coalesce("session_id", F.lit("unknown"))
-    rows = events.filter(F.coalesce("text", F.lit("")) != "").withColumn("session", session)
-    w = Window.partitionBy("session")
-    rows = rows.withColumn("_n", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_all", F.count("*").over(w))
+    rows = events.filter(F.coalesce("text", F.lit("")) != "").withColumn("session", F.coalesce("session_id", F.lit("unknown")))
+    by = [*order, *(c for c in ("id",) if c in events.columns)]
+    rows = numbered(rows, ["session"], by, "_n").withColumn("_n", F.col("_n") - 1)
+    short = rows.groupBy("session").agg(F.count("*").alias("_all")).filter(F.col("_all") < WHOLE).select("session", F.lit(True).alias("_short"))
+    rows = rows.join(short, "session", "left")
     rows = rows.withColumn("chunk_no", F.floor(F.col("_n") / CHUNK).cast("int")).withColumn("message_no", (F.col("_n") % CHUNK).cast("int"))
-    return rows.withColumn("chunk_id", F.when(F.col("_all") < WHOLE, F.col("session")).otherwise(F.concat("session", F.lit("-chunk-"), F.col("chunk_no").cast("string")))).drop("_n", "_all")
+    whole = F.coalesce("_short", F.lit(False))
+    return rows.withColumn("chunk_id", F.when(whole, F.col("session")).otherwise(F.concat("session", F.lit("-chunk-"), F.col("chunk_no").cast("string")))).drop("_n", "_short")
 
 
 def decisions(text: Column, words: Sequence[str] = V.DECISIONS) -> Column:
@@ -195,14 +199,15 @@ def skills_from_sessions(events: DataFrame, decision_words: Sequence[str] = V.DE
     user = F.when((F.col("role") == "user") & (F.length("text") > 5), F.col("line_no"))
     # what a session's text holds is gathered as flags, message by message; only decisions are gathered as text
     flags = {f"c_{n}": has_any_lower("text", w) for n, w in V.TASK_CATEGORIES} | {f"t_{n}": has_any_lower("text", w) for n, w in V.REQUIRED_TOOLS} | {f"g_{n}": has_any_lower("text", w) for n, w in V.SUGGESTED_TAGS}
-    numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("session").orderBy(F.when(F.size("d") > 0, 0).otherwise(1), "line_no")))
-    made = numbered.groupBy("session").agg(
+    made = rows.groupBy("session").agg(
         F.count("*").alias("event_count"),
         F.min_by("text", user).alias("first_text"),
         F.bool_or("asked").alias("requested"),
-        F.array_sort(F.collect_list(F.when((F.col("_rank") <= steps) & (F.size("d") > 0), F.struct("line_no", "d")))).alias("d"),
         *(F.bool_or(c).alias(n) for n, c in flags.items()),
     )
+    # a limit on the rank alone is applied before the shuffle, so a long session sends `steps` rows a task
+    first = rows.filter(F.size("d") > 0).select("session", "line_no", "d").withColumn("_rank", F.row_number().over(Window.partitionBy("session").orderBy("line_no"))).filter(F.col("_rank") <= steps)
+    made = made.join(first.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("line_no", "d"))).alias("d")), "session")
     found = F.array_distinct(F.flatten(F.transform("d", lambda x: x["d"])))
     names = lambda prefix, groups: F.array_compact(F.array(*(F.when(F.col(f"`{prefix}_{n}`"), n) for n, _ in groups)))
     category = F.coalesce(F.try_element_at(names("c", V.TASK_CATEGORIES), F.lit(1)), F.lit("general"))

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.text import excerpt, has_any, has_any_lower, is_garbled, is_low_value, is_sensitive, sensitivity, squash, stable_id
+from ..sources.model import stored
 
 #: Thresholds of activation without review.
 AUTO_CONFIDENCE, AUTO_STABILITY = 0.78, 0.65
@@ -101,6 +103,7 @@ def merge(found: DataFrame) -> DataFrame:
     a project's nor a profile and needs no review becomes active. Percentages are whole numbers, so sums are exact.
     Only the ends of long lists are kept: each key's rows are first cut to those that its evidence and details can hold.
     """
+    found = stored(found, "candidates")
     details = lambda rows: F.array_join(F.transform(rows, lambda r: r["details"]), "\n\n")
     base = found.groupBy("key").agg(
         F.count("*").alias("repetitions"),
@@ -111,16 +114,15 @@ def merge(found: DataFrame) -> DataFrame:
         F.max("stability_pct").alias("s"),
         F.bool_or(F.col("sensitivity") == "high").alias("high"),
     )
-    # a memory's details end at DETAILS characters and its evidence at EVIDENCE pieces: so many first and last rows can count
-    from pyspark.sql.window import Window
-
-    first = Window.partitionBy("key").orderBy("ord")
-    last = Window.partitionBy("key").orderBy(F.desc("ord"))
-    ends = found.withColumn("_first", F.row_number().over(first)).withColumn("_last", F.row_number().over(last)).filter((F.col("_first") <= DETAILS // 8) | (F.col("_last") <= EVIDENCE))
-    lists = ends.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_first") <= DETAILS // 8, F.struct("ord", "details")))).alias("texts"),
-        F.array_sort(F.collect_list(F.when(F.col("_last") <= EVIDENCE, F.struct("ord", "evidence")))).alias("pieces"),
-    )
+    # a memory's details end at DETAILS characters and its evidence at EVIDENCE pieces: so many first and last rows can
+    # count. Each list has a limit on its rank alone, which is applied before the shuffle: a sentence that all say sends
+    # so many rows a task, however often it is said
+    def ends(order: Column, most: int, column: str, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(order))
+        few = found.select("key", "ord", column).withColumn("_n", rank).filter(F.col("_n") <= most)
+        return few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", column))).alias(name))
+
+    lists = ends(F.col("ord").asc(), DETAILS // 8, "details", "texts").join(ends(F.col("ord").desc(), EVIDENCE, "evidence", "pieces"), "key")
     rows = base.join(lists, "key")
     confidence = F.least(F.lit(99), F.col("c") + (F.col("repetitions") - 1) * 8)
     stability = F.least(F.lit(99), F.col("s") + (F.col("repetitions") - 1) * 7)
@@ -170,8 +172,6 @@ def reconcile(new: DataFrame, known: DataFrame) -> DataFrame:
 def matched_evidence(found: DataFrame, events: DataFrame, batch: str, most: int = 3) -> DataFrame:
     """(id, place, event_id): for each candidate (id, batch, title, summary) the first events (id, batch, ord, text) of its
     batch whose text stands in the summary or holds the title; batches, which one call distils, are of bounded size."""
-    from pyspark.sql.window import Window
-
     e = events.select(batch, F.col("id").alias("event_id"), "ord", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     pairs = found.select("id", batch, F.lower("title").alias("title"), F.lower("summary").alias("summary")).join(e, batch)
     rows = pairs.filter(F.contains("summary", "t") | F.contains("t", "title"))

@@ -44,6 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores: where it has fewer than two partitions for each core (small files, which may be of one row group), its rows are dealt by a hash of the key."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+
+
 def read_memories(spark: SparkSession, *roots: str) -> DataFrame:
     """Memory records in JSON files (one record or a list each) under some folders, with the file's path and time; records
     that don't hold together are left out. Files are read whole, one record each, as they are kept."""
@@ -62,7 +68,7 @@ def valid(memories: DataFrame) -> DataFrame:
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge items: one for each document, judged by its label; deterministic, and the same in MEMORIES_SQL."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     created = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
     kinds = F.array(*map(F.lit, ("procedural", "profile", "semantic", "episodic")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import project_key, stable_id
+from .model import stored
 
 ROLES = ("user", "assistant", "developer", "system")
 COLUMNS = ("id", "source_tool", "source_path", "session_id", "event_type", "timestamp", "role", "cwd", "project_key", "text", "command", "raw_json")
@@ -18,10 +19,23 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(source_path, line_no, raw_json): lines that hold a JSON object, numbered from 0 within their whole file.
 
     A byte-order mark, blank lines and malformed lines do no harm; line numbers count all lines, so that they stay when
-    a file grows. Each file is read whole, by one task, for its lines must keep their order; files are split from each other.
+    a file grows. Files are read in splits by many tasks: lines are counted by split, the counts of a file's earlier
+    splits are added up, and a line's number is that sum and its place in its split. The lines are written to the shared
+    folder first, so that files which grow meanwhile are read once.
     """
-    whole = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    found = whole.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw_json"))
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n")
+    split = {"source_path": "file_path", "_split": "file_block_start"}
+    found = reader.text(path).select(*(F.col(f"_metadata.{m}").alias(c) for c, m in split.items()), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("raw_json"))
+    found = stored(found, "lines")
+    sizes = found.groupBy("source_path", "_split").agg(F.count("*").alias("_count"), F.min("_at").alias("_first"))
+    before = F.sum("_count").over(Window.partitionBy("source_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_first")).drop("_count", "_first")
+    found = found.join(sizes, ["source_path", "_split"]).withColumn("line_no", (F.col("_at") + F.col("_before")).cast("int"))
+    return json_lines(found.select("source_path", "line_no", "raw_json"))
+
+
+def json_lines(found: DataFrame) -> DataFrame:
+    """The rows whose raw_json is a JSON object, byte-order marks taken off."""
     found = found.withColumn("raw_json", F.regexp_replace("raw_json", "^\\x{FEFF}", ""))
     return found.filter(F.expr("try_parse_json(raw_json) is not null") & F.trim("raw_json").startswith("{"))
 
