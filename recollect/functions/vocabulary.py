@@ -190,3 +190,17 @@ CODE = r"(?:(?:^|[^\p{L}\p{N}_])return(?:$|[^\p{L}\p{N}_])|->|\.stream\(|Collect
 #: One of these stands in all text that CODE finds.
 CODE_SIGNS = ("return", "->", ".stream(", "Collectors.", "public", "@", "{", "}", ";")
 GARBLED_QUESTION = r"[A-Za-z\x{4e00}-\x{9fff}]\?(?:[,.\s]|$)"
+
+# fixed values: the documents of a week: name and title, sections (heading, list, what stands for an empty one), and how they are kept
+WEEKLY_DOCUMENTS = (
+    (
+        ("工作模式和偏好.md", "工作模式和偏好"),
+        (("当前稳定模式", "habits", "暂无稳定偏好总结。"), ("本周新增观察（{week}）", "new", "本周暂无新的工作模式观察。"), ("待确认", "open", "当前没有待确认的偏好条目。")),
+        ("每周自动从高价值需求、计划、规则和活跃记忆中提炼。", "只保留未来会重复使用的习惯、默认做法和协作偏好。"),
+    ),
+    (
+        ("经验与教训.md", "经验与教训"),
+        (("本周经验（{week}）", "gains", "本周暂无新的经验总结。"), ("本周教训与风险", "risks", "本周暂无新的风险或教训。"), ("可复用模式", "patterns", "暂未沉淀出可复用模式。")),
+        ("只从明确复盘、明确决策、已验证规则中提炼。", "过滤过程话术、计划草稿、系统提示和没有结论的执行记录。"),
+    ),
+)

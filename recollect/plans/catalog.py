@@ -807,7 +807,8 @@ def vault_daily_notes(spark, sf):
 def vault_note_grouping(spark, sf):
     """Notes of one day, type, project and title as one."""
     g = vault.grouped_notes(_notes(spark, sf))
-    return g.select("note_id", "day", "note_type", "project", "title", "events", "created", "updated", "confidence", F.array_join("tags", ",").alias("tags"), F.sha1("body").alias("body_sha1"))
+    b = vault.note_blocks(_notes(spark, sf)).groupBy("note_id").agg(F.count("*").alias("parts"), F.min_by(F.sha1("body"), "part").alias("first_part_sha1"))
+    return g.join(b, "note_id").select("note_id", "day", "note_type", "project", "title", "events", "created", "updated", "confidence", F.array_join("tags", ",").alias("tags"), "parts", "first_part_sha1")
 
 
 @registered(f"WITH {S.MEMORIES} SELECT content_key, id FROM (SELECT substr(sha1(title || '||' || summary || '||' || details), 1, 24) AS content_key, id, row_number() OVER (PARTITION BY title, summary, details ORDER BY created_s DESC, id) AS n FROM memories WHERE status = 'active' AND memory_type IN ('procedural', 'profile') AND scope <> 'project') WHERE n = 1")
@@ -852,21 +853,22 @@ def page_notes(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(plain).cast("long").alias("n_text"))
 
 
-_RULE_NOTES = f"""rn AS (SELECT *, substr({S.when_s('created_s')}, 1, 10) AS day FROM (SELECT *, row_number() OVER (PARTITION BY title, summary, details ORDER BY created_s DESC, id) AS n FROM memories WHERE status = 'active' AND memory_type IN ('procedural', 'profile') AND scope <> 'project') WHERE n = 1),
- rp AS (SELECT *, 'rules/' || day || '_规则_' || trim(regexp_replace(title, '[\\/:*?"<>|\\r\\n]+', '-', 'g'), ' .') AS base FROM rn)"""
+_RULE_TITLE = r"substr(coalesce(nullif(trim(regexp_replace(regexp_replace(title, '^[ #\-*]+|[ #\-*]+$', '', 'g'), '(?i)^(please implement this plan:|总结：|计划：|需求：|决策：|复盘：|结论：)\s*', '')), ''), '规则记录'), 1, 48)"
+_RULE_NOTES = f"""rn AS (SELECT *, substr({S.when_s('created_s')}, 1, 10) AS day, {_RULE_TITLE} AS shown FROM (SELECT *, row_number() OVER (PARTITION BY title, summary, details ORDER BY created_s DESC, id) AS n FROM memories WHERE status = 'active' AND memory_type IN ('procedural', 'profile') AND scope <> 'project') WHERE n = 1),
+ rp AS (SELECT *, 'rules/' || day || '_规则_' || substr(regexp_replace(regexp_replace({S.squash('shown')}, '[<>:"/\\\\|?*]+', '-', 'g'), '\\.+$', ''), 1, 80) AS base FROM rn)"""
 
 
 @registered(
-    f"""WITH {S.MEMORIES}, {_RULE_NOTES} SELECT id, base || CASE WHEN n2 > 1 THEN '-' || n2 ELSE '' END || '.md' AS path,
- sha1('---' || chr(10) || 'project: ""' || chr(10) || 'project_key: "' || coalesce(project_key, '') || '"' || chr(10) || 'type: "规则"' || chr(10) || 'status: "' || status || '"' || chr(10) || 'source: "' || tool || '"' || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)) || chr(10) || 'created: "' || {S.when_s('created_s')} || '"' || chr(10) || 'updated: "' || {S.when_s('coalesce(seen_s, created_s)')} || '"' || chr(10) || 'confidence: "' || confidence || '"' || chr(10) || '---' || chr(10) || chr(10)
-  || {{strip}} || chr(10)) AS content_sha1
- FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n2 FROM rp)""".replace("{strip}", r"regexp_replace('# ' || title || chr(10) || chr(10) || '## 摘要' || chr(10) || summary || chr(10) || chr(10) || '## 说明' || chr(10) || details || chr(10) || chr(10) || '## 证据' || chr(10) || '- ' || tool || ': ' || title, '^\s+|\s+$', '', 'g')")
+    f"""WITH {S.MEMORIES}, {_RULE_NOTES} SELECT id, base || CASE WHEN n2 > 1 THEN '-' || n2 ELSE '' END || '.md' AS path, 1 AS part,
+ sha1('---' || chr(10) || 'project: ""' || chr(10) || 'project_key: ""' || chr(10) || 'type: "规则"' || chr(10) || 'status: "active"' || chr(10) || 'source: "ai-memory:' || tool || '"' || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(list_sort(list_distinct(list_concat(tags, ['长期规则', memory_type]))), lambda t: '  - ' || t), chr(10)) || chr(10) || 'created: "' || {S.when_s('created_s')} || '"' || chr(10) || 'updated: "' || {S.when_s('coalesce(seen_s, created_s)')} || '"' || chr(10) || 'confidence: "' || confidence || '"' || chr(10) || '---' || chr(10) || chr(10)
+  || '# ' || title || chr(10) || chr(10) || '## 摘要' || chr(10) || summary || chr(10) || chr(10) || '## 说明' || chr(10) || details || chr(10) || chr(10) || '## 证据' || chr(10) || '- ' || tool || ': ' || title || chr(10)) AS content_sha1
+ FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n2 FROM rp)"""
 )
 def rule_note_files(spark, sf):
     """Rules as files of the vault: path, frontmatter and body."""
     m = memories(spark, sf).withColumn("created_at", iso("created_at")).withColumn("last_seen_at", iso("last_seen_at"))
     m = m.withColumn("evidence", F.array(F.struct(F.col("tool").alias("source_tool"), F.col("title").alias("excerpt"))))
-    return vault.files(vault.rule_files(vault.rule_notes(m))).select(F.col("id").cast("long").alias("id"), "path", F.sha1("content").alias("content_sha1"))
+    return vault.files(vault.rule_files(vault.rule_notes(m))).select(F.col("id").cast("long").alias("id"), "path", "part", F.sha1("content").alias("content_sha1"))
 
 
 @registered()
@@ -874,8 +876,8 @@ def vault_files(spark, sf):
     """Conversation and rule notes as files of the vault; note titles have no SQL."""
     m = memories(spark, sf).withColumn("created_at", iso("created_at")).withColumn("last_seen_at", iso("last_seen_at"))
     m = m.withColumn("evidence", F.array(F.struct(F.col("tool").alias("source_tool"), F.col("title").alias("excerpt"))))
-    found = vault.conversation_files(vault.grouped_notes(_notes(spark, sf))).unionByName(vault.rule_files(vault.rule_notes(m)))
-    return vault.files(found).select("id", "path", F.sha1("content").alias("content_sha1"))
+    found = vault.conversation_files(_notes(spark, sf)).unionByName(vault.rule_files(vault.rule_notes(m)))
+    return vault.files(found).select("id", "path", "part", F.sha1("content").alias("content_sha1"))
 
 
 @registered(

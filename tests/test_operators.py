@@ -298,13 +298,43 @@ def test_files_of_the_vault(spark):
     rules = rules.withColumn("created_at", F.lit("2024-02-03T00:00:00+00:00")).withColumn("last_seen_at", F.lit(None).cast("string"))
     got = vault.files(vault.rule_files(rules)).orderBy("path").collect()
     assert [r.path for r in got] == ["rules/2024-02-03_规则_a-b- c-2.md", "rules/2024-02-03_规则_a-b- c.md"]
-    assert 'project: ""\n' in got[1].content and "tags:\n  - x\n  - y\ncreated:" in got[1].content and 'updated: "2024-02-03T00:00:00+00:00"' in got[1].content
+    assert 'project: ""\n' in got[1].content and "tags:\n  - semantic\n  - x\n  - y\n  - 长期规则\ncreated:" in got[1].content and 'source: "ai-memory:shared"\n' in got[1].content and 'updated: "2024-02-03T00:00:00+00:00"' in got[1].content
     assert got[0].content.endswith("## 证据\n- 暂无证据摘要\n")
     notes = spark.createDataFrame([(1, "t", "we decide: " + "x" * 90), (2, "t", "rule " + "x" * 90), (3, "t", " rule" + " " * 99), (4, "t", None), (5, "t", "a rule " + "y" * 999)], "note_id long, title string, text string")
     made = vault.imported(notes, notes.filter("note_id = 5").select("note_id")).collect()
     assert [(r.note_id, len(r.summary), r.confidence) for r in made] == [(2, 72, 0.92)]
 
 
+def test_notes_hold_every_block_in_parts(spark):
+    from pyspark.sql import Row
+
+    n = 120
+    rows = [Row(id=f"e{i:03}", source_tool="codex", session_id=None if i % 2 else "s", timestamp=f"2024-03-01T{i // 60:02}:{i % 60:02}:00Z", role="user", cwd="/w/my app/", project_key=None, text=f"计划 roadmap\n- step {i % (n - 5)}\n- b\n- c" + " x" * 60) for i in range(n)]
+    found = vault.notes(spark.createDataFrame(rows, "id string, source_tool string, session_id string, timestamp string, role string, cwd string, project_key string, text string"), V.NOTE_TYPES, F.lit(True))
+    got = sorted((r.part, r.path, r.content) for r in vault.files(vault.conversation_files(found)).collect())
+    assert [p for p, _, _ in got] == [1, 2, 3] and {p for _, p, _ in got} == {"projects/my app/计划/2024-03-01_计划_计划 roadmap.md"} or got[0][1].startswith("projects/my app/")
+    whole = "".join(c for _, _, c in got)
+    head, body = whole.split("---\n\n", 1)
+    # equal texts at other times are blocks of their own
+    assert whole.count("## 内容") == n and body.startswith("# 计划 roadmap\n\n## 摘要\n") and whole.endswith("\n") and not whole.endswith("\n\n")
+    assert 'status: "draft"' in head and 'source: "codex:user"' in head and 'project: "my app"' in head and 'project_key: "my-app-' in head
+    assert body.count("- 会话: unknown\n") == n // 2 and "- 工作目录: /w/my app/\n- 置信度: 0." in body and "- 时间: 2024-03-01T00:01:00+00:00\n" in body
+
+
+def test_documents_of_a_week(spark):
+    day = lambda d: dt.datetime(2024, 3, d)
+    base = {"memory_type": "procedural", "tags": ["rule"]}
+    m = items(spark, [base | {"summary": f"Rule {i % 10}: 必须 do this every time", "last_seen_at": day(1 + i % 28)} for i in range(40)] + [base | {"summary": "old 必须 but forgotten", "last_seen_at": dt.datetime(2023, 1, 1)}, base | {"summary": "必须 of a project", "scope": "project", "last_seen_at": day(5)}])
+    notes = spark.createDataFrame([(f"2024-03-{d:02}T00:00:00+00:00", f"title {d} 必须 检查 结论", k, "p", 0.9, r) for d, k, r in ((27, "计划", "inbox"), (28, "复盘", "project"), (26, "决策", "project"), (3, "规则", "inbox"))], "timestamp string, title string, note_type string, project_name string, confidence double, route string")
+    got = {r.name: r.content for r in vault.weekly_documents(m, notes, F.lit("2024-03-29").cast("timestamp")).collect()}
+    habits, lessons = got["工作模式和偏好.md"], got["经验与教训.md"]
+    assert habits.startswith("# 工作模式和偏好\n\n## 当前稳定模式\n- Rule ") and habits.count("\n- Rule ") == 8 and "forgotten" not in habits and "of a project" not in habits
+    assert "## 本周新增观察（2024-W13）\n- title 27 必须 检查 结论\n\n## 待确认\n- title 27 必须 检查 结论\n\n## 更新规则\n" in habits and "title 3 " not in habits
+    assert "## 本周经验（2024-W13）\n- title 26 " in lessons and "## 本周教训与风险\n- title 28 " in lessons and lessons.endswith("没有结论的执行记录。\n")
+    none = {r.content for r in vault.weekly_documents(m.limit(0), notes.limit(0), F.lit("2024-03-29").cast("timestamp")).collect()}
+    assert any("- 暂无稳定偏好总结。" in c for c in none) and len(none) == 2
+
+
 def test_front_pages_and_heads(spark):
     m = items(spark, [{"project_key": "0123456789abcdef", "tags": ["a", "b c"]}, {"project_key": "0123456789abcdef", "tags": ["a"]}, {"project_key": None, "tags": None}])
     issues = wiki.lint_report(m, F.lit(0))
