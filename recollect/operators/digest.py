@@ -173,18 +173,33 @@ def like_texts(digests_: DataFrame, memories: DataFrame, least: float = 0.3) ->
     return pairs.join(digests_.select("digest_id", "dt"), "dt").join(memories.select("memory_id", "mt"), "mt").select("digest_id", "memory_id", "score")
 
 
-def edges(digests_: DataFrame, memories: DataFrame, with_ratio: bool = False) -> DataFrame:
+def project_links(digests_: DataFrame, memories: DataFrame, size: int = 1000) -> DataFrame:
+    """(project, digests, memories, side, part, members): the edges of one project without their pairs. Every digest of a
+    project is linked with every memory of it; a project has the counts of both, and the ids of each side are dealt by a
+    hash into parts of `size` or so, so rows grow with digests and memories, not with the pairs."""
+    side = lambda df, project, name: df.filter(F.coalesce(project, F.lit("")) != "").select(F.col(project).alias("project"), F.col("id").cast("string").alias("id"), F.lit(name).alias("side"))
+    rows = side(digests_, "related_project", "digest").unionByName(side(memories, "project_key", "memory"))
+    counts = rows.groupBy("project").agg(F.count_if(F.col("side") == "digest").alias("digests"), F.count_if(F.col("side") == "memory").alias("memories")).filter("digests > 0 and memories > 0")
+    held = rows.join(counts, "project")
+    parts = F.ceil(F.when(F.col("side") == "digest", F.col("digests")).otherwise(F.col("memories")) / size)
+    held = held.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int"))
+    return held.groupBy("project", "digests", "memories", "side", "part").agg(F.sort_array(F.collect_list("id")).alias("members"))
+
+
+def edges(digests_: DataFrame, memories: DataFrame, with_ratio: bool = False, by_project: bool = True) -> DataFrame:
     """(digest_id, memory_id, score, connection_type): the greatest of 0.4 for two shared title words, 0.5 for the same
     project, and (with_ratio) the text ratio where it is 0.3 or more; edges from 0.3, `extends` from 0.6.
 
     Without the ratio, pairs come from equal title words and equal projects alone; with it, like_texts looks at all.
+    Pairs of one project are as many as its digests times its memories: by_project=False leaves them to project_links.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != ""))
     d = digests_.select(F.col("id").alias("digest_id"), words("title").alias("dw"), F.col("related_project").alias("dp"), F.lower(F.concat_ws(" ", "title", F.array_join("insights", " "), F.array_join("fragments", " "))).alias("dt"))
     m = memories.select(F.col("id").cast("string").alias("memory_id"), words("title").alias("mw"), F.col("project_key").alias("mp"), F.lower(F.concat_ws(" ", "title", "summary", "details", F.array_join("tags", " "))).alias("mt"))
     by_word = d.select("digest_id", F.explode("dw").alias("w")).join(m.select("memory_id", F.explode("mw").alias("w")), "w").groupBy("digest_id", "memory_id").agg(F.count("*").alias("shared")).filter("shared >= 2").select("digest_id", "memory_id", F.lit(0.4).alias("score"))
-    by_project = d.join(m, (d.dp == m.mp) & (d.dp != "")).select("digest_id", "memory_id", F.lit(0.5).alias("score"))
-    found = by_word.unionByName(by_project)
+    found = by_word
+    if by_project:
+        found = found.unionByName(d.join(m, (d.dp == m.mp) & (d.dp != "")).select("digest_id", "memory_id", F.lit(0.5).alias("score")))
     if with_ratio:
         found = found.unionByName(like_texts(d.select("digest_id", "dt"), m.select("memory_id", "mt")))
     pairs = found.groupBy("digest_id", "memory_id").agg(F.max("score").alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.similarity import common_letters, common_subsequence, letter_counts, ratio
 from ..functions.text import clean_project_label, excerpt, is_poor_project_name, polarity, slug, token_set
+from ..sources.model import stored
 from .ranks import numbered
 
 #: A topic with so many memories and summaries shorter than this on average is too broad.
@@ -292,6 +293,30 @@ def lint_report(items: DataFrame, evidence: Column | None = None, least: int = B
     return of_item.join(pages_, "subject").unionByName(topic.withColumn("page_key", F.concat(F.lit("topics/"), slug("subject"))))
 
 
+def duplicate_issues(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Issues for pairs (first_id, second_id) of memories that say the same, on their project's page, with both titles as samples."""
+    one = items.select(F.col("id").cast("string").alias("_i"), "title", "project_key")
+    held = pairs.select(F.col("first_id").cast("string").alias("subject"), F.col("second_id").cast("string").alias("other"))
+    held = held.join(one.select(F.col("_i").alias("subject"), F.col("title").alias("_t1"), "project_key"), "subject").join(one.select(F.col("_i").alias("other"), F.col("title").alias("_t2")), "other")
+    page = F.when(F.col("project_key").isNotNull(), F.concat(F.lit("projects/"), "project_key", F.lit("/index")))
+    return held.select(F.lit("duplicate_concept").alias("issue_type"), F.lit("low").alias("severity"), "subject", "other", page.alias("page_key"), F.array("_t1", "_t2").alias("samples"))
+
+
+def full_lint_report(items: DataFrame, evidence: Column | None = None, least: int = BROAD_ITEMS, short: int = BROAD_SUMMARY, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE, kept: DataFrame | None = None) -> DataFrame:
+    """All issues: those of lint_report with their titles as samples, topics with conflicting guidance inside a project,
+    memories that say the same, and (kept: a table of page_keys) pages that nothing asks for any more.
+
+    A conflict is one issue for each topic and project (its members are conflict_groups). Memories that say the same are
+    linked class by class: each copy with the first of its title and summary, and each pair of classes by their first.
+    """
+    titles = items.select(F.col("id").cast("string").alias("subject"), F.array("title").alias("samples"))
+    plain = lint_report(items, evidence, least, short).join(titles, "subject", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    found = plain.unionByName(conflict_issues(items, positive, negative)).unionByName(duplicate_issues(duplicate_classes(items), items))
+    if kept is not None:
+        found = found.unionByName(orphan_pages(kept, items).withColumn("samples", F.array().cast("array<string>")))
+    return found
+
+
 def page_warnings(issues: DataFrame, most: int = 6) -> DataFrame:
     """(page_key, warning_no, issue_type, subject, other): the first issues of each project's page."""
     place = F.row_number().over(Window.partitionBy("page_key").orderBy("issue_type", "subject", "other"))
@@ -412,6 +437,17 @@ def _like_titles(titles: DataFrame, least: float) -> DataFrame:
     return tiles.groupBy("part", "low", "high").applyInArrow(run, "a long, b long, ab double, ba double")
 
 
+def duplicate_classes(items: DataFrame, title: float = 0.83, both: float = 0.72) -> DataFrame:
+    """(first_id, second_id): as duplicate_concepts, but between the first memories of equal titles and summaries, and of each
+    copy with its first; no link between different texts is lost, and copies don't make pairs among themselves."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = items.select("id", "title", "summary", "project_key", "memory_type", text("title").alias("_t"), text("summary").alias("_s"), F.coalesce("project_key", F.lit("\u0000")).alias("_p"))
+    first = rows.groupBy("_p", "memory_type", "_t", "_s").agg(F.min("id").alias("_first"))
+    copies = rows.join(first, ["_p", "memory_type", "_t", "_s"])
+    pairs = duplicate_concepts(copies.filter("id = _first").select("id", "title", "summary", "project_key", "memory_type"), title, both).select("first_id", "second_id")
+    return pairs.unionByName(copies.filter("id <> _first").select(F.col("_first").alias("first_id"), F.col("id").alias("second_id")))
+
+
 def duplicate_concepts(items: DataFrame, title: float = 0.83, both: float = 0.72) -> DataFrame:
     """(first_id, second_id, title_ratio, summary_ratio): memories of one project and type with like titles, or like titles and summaries, by the matching-blocks ratio.
 
@@ -419,9 +455,10 @@ def duplicate_concepts(items: DataFrame, title: float = 0.83, both: float = 0.72
     equal titles and once for equal titles and summaries; null counts as empty.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
-    rows = items.select(F.col("id").cast("long").alias("id"), F.concat_ws("\u0001", F.coalesce("project_key", F.lit("\u0000")), "memory_type").alias("part"), text("title").alias("t"), text("summary").alias("s"))
+    rows = items.select("id", F.concat_ws("\u0001", F.coalesce("project_key", F.lit("\u0000")), "memory_type").alias("part"), text("title").alias("t"), text("summary").alias("s"))
     classes = rows.groupBy("part", "t", "s").agg(F.min("id").alias("cid"))
-    titles = classes.groupBy("part", "t").agg(F.min("cid").alias("tid"))
+    # titles are numbered, whatever ids are; written, so that the numbers stay
+    titles = stored(classes.select("part", "t").distinct().withColumn("tid", F.monotonically_increasing_id()), "titles")
     classes = classes.join(titles, ["part", "t"]).select("part", "t", "s", "cid", "tid")
     like = _like_titles(titles, both).unionByName(titles.select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("ab"), F.lit(1.0).alias("ba")))
     side = lambda n: classes.select(F.col("tid").alias(n), F.col("cid").alias(f"{n}_cid"), F.col("s").alias(f"{n}_s"))

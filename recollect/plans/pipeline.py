@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,33 +11,41 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import analytics, digest, distill, govern, index, render, wiki
 from ..sources import transcripts
-from ..sources.model import shared_folder, stored
+from ..operators.versions import Versions
+from ..sources.model import stored
 
 
 class Tables:
-    """Parquet tables by name in a folder; a table that isn't there yet is None."""
+    """Parquet tables by name in a folder; a table that isn't there yet is None.
+
+    Every write goes to a folder of its own, and one commit of the log switches any number of tables to their new folders
+    at once: whoever reads, or fails in between, sees all of them before or after.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = Versions(spark, f"{self.path}/log")
+
+    def _live(self, name: str) -> list[str]:
+        return [k for k in self.log.live() if k.startswith(f"{name}/")]
 
     def read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def write(self, df: DataFrame, name: str, *partition: str) -> DataFrame:
-        """Replace a table. What the new rows are made from may be the table itself, so they are written aside first."""
-        aside = shared_folder(self.spark, name)
-        df.write.parquet(aside)
-        rows = self.spark.read.schema(df.schema).parquet(aside)
-        rows.write.mode("overwrite").partitionBy(*partition).parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        live = self._live(name)
+        return self.spark.read.parquet(*(f"{self.path}/{k}" for k in live)) if live else None
+
+    def replace(self, tables: Mapping[str, DataFrame]) -> None:
+        """New rows in place of all that the named tables held; they may be made from the old ones."""
+        added = {}
+        for name, df in tables.items():
+            folder = f"{name}/{uuid.uuid4().hex[:12]}"
+            df.write.parquet(f"{self.path}/{folder}")
+            added[folder] = 0
+        self.log.commit(added, [k for name in tables for k in self._live(name)])
 
     def append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        folder = f"{name}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.path}/{folder}")
+        self.log.commit({folder: 0})
 
 
 def collect(spark: SparkSession, tables: Tables, roots: Mapping[str, str]) -> DataFrame:
@@ -59,7 +68,8 @@ def consolidate(tables: Tables, events: DataFrame, **rules) -> DataFrame:
         made = distill.reconcile(made, empty)
     judged = govern.govern(made).select("id", "new_status", "new_tags")
     made = made.join(judged, "id", "left").withColumn("status", F.coalesce("new_status", "status")).withColumn("tags", F.coalesce("new_tags", "tags")).drop("new_status", "new_tags")
-    return tables.write(made, "memories")
+    tables.replace({"memories": made})
+    return tables.read("memories")
 
 
 def run(spark: SparkSession, path: str, roots: Mapping[str, str], as_of: Column, **rules) -> dict[str, DataFrame]:
@@ -68,19 +78,23 @@ def run(spark: SparkSession, path: str, roots: Mapping[str, str], as_of: Column,
     events = collect(spark, tables, roots)
     memories = consolidate(tables, events, **rules)
     active = memories.filter("status = 'active'")
-    digests = digest.digests(events)
-    known = tables.read("digests")
-    tables.append(digests if known is None else digest.new_digests(digests, known), "digests")
-    issues = wiki.lint_report(active)
-    front = wiki.front_pages(active, issues)
-    pages = stored(wiki.pages(active, issues=issues).unionByName(front), "pages")
+    digests, known = stored(digest.digests(events), "digests"), tables.read("digests")
+    fresh = digests if known is None else digest.new_digests(digests, known)
+    issues = wiki.full_lint_report(active)
+    pages = stored(wiki.pages(active, issues=issues).unionByName(wiki.front_pages(active, issues)), "pages")
     before = tables.read("pages")
-    changes = wiki.changed_pages(before if before is not None else pages.filter("false"), pages)
-    changed = tables.write(changes, "page_changes")
-    tables.write(pages, "pages")
+    changes = stored(wiki.changed_pages(before if before is not None else pages.filter("false"), pages), "changes")
+    skills, known_skills = digest.skills_from_digests(digests), tables.read("skills")
+    if known_skills is not None:  # what a review or an improvement made of a skill stays
+        skills = index.upsert(skills, known_skills)
+    fresh = stored(fresh, "fresh")
+    tables.append(fresh, "digests")
+    edges = stored(digest.edges(digests, active, by_project=False), "edges")
+    tables.replace({"pages": pages, "page_changes": changes, "skills": stored(skills, "skills"), "edges": edges, "project_links": digest.project_links(digests, active)})
+    changed = tables.read("page_changes")
     routed = memories.withColumn("route", render.route())
     summary = analytics.summary(memories, events)
-    return {"raw_events": events, "memories": routed, "digests": tables.read("digests"), "pages": tables.read("pages"), "page_changes": changed, "summary": summary, "expired": govern.expired(memories.withColumn("created_at", F.to_timestamp("created_at")), as_of)}
+    return {"raw_events": events, "memories": routed, "digests": tables.read("digests"), "pages": tables.read("pages"), "page_changes": changed, "skills": tables.read("skills"), "edges": tables.read("edges"), "project_links": tables.read("project_links"), "summary": summary, "expired": govern.expired(memories.withColumn("created_at", F.to_timestamp("created_at")), as_of)}
 
 
 #: Words that a run uses unless it is given others.
