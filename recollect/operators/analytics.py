@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,5 +124,7 @@ def feedback_totals(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("skill_id").agg(F.count("*").alias("usage_count"), F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("failure_count"))
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def growth_shares(items: DataFrame) -> DataFrame:
+    """(dimension, value, count) of active memories by type and by scope."""
+    rows = items.filter(F.col("status") == "active").select(F.explode(F.array(*(F.struct(F.lit(name).alias("dimension"), F.col(c).alias("value")) for name, c in (("type", "memory_type"), ("scope", "scope"))))).alias("d"))
+    return rows.groupBy("d.dimension", "d.value").agg(F.count("*").alias("count"))

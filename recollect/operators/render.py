@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import excerpt, is_lesson
+from ..functions.text import excerpt
 from ..functions.time import time_ago
 
 #: Folder of each memory type.
@@ -77,13 +77,6 @@ def page(lines: DataFrame, title: Column, *by: str) -> DataFrame:
     return parts.groupBy(*by).agg(text.alias("body")).select(*by, F.concat(F.lit("# "), title, F.lit("\n\n"), "body").alias("content"))
 
 
-def lessons(items: DataFrame, as_of: Column, days: int = 60) -> DataFrame:
-    """Concrete lessons outside projects that were seen in the last days: procedures and patterns with a warning, rule or pattern tag."""
-    seen = F.coalesce("last_seen_at", "created_at")
-    tagged = F.arrays_overlap("tags", F.array(*map(F.lit, ("watchout", "rule", "semantic"))))
-    return items.filter(F.col("memory_type").isin("procedural", "semantic") & tagged & (F.col("scope") != "project") & (F.unix_timestamp(seen) >= F.unix_timestamp(as_of) - days * 86400) & is_lesson("summary"))
-
-
 def imported_notes(notes: DataFrame, known: DataFrame, least: int = 50) -> DataFrame:
     """Notes written by hand that aren't known yet and are long enough, as sure candidates (0.92, 0.95)."""
     fresh = notes.join(known.select("id"), "id", "left_anti").filter(F.length(F.trim("text")) >= least)

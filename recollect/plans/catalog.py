@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
-from ..operators import analytics, digest, distill, govern, index, lifecycle, render, search, vault, wiki
+from ..operators import analytics, digest, distill, govern, index, lifecycle, records, render, search, vault, wiki
 from ..operators.segments import SearchIndex
+from ..operators.vectors import VectorIndex
 from ..sources.model import memories, raw_events, shared_folder, table
 from ..streaming.ingest import land_new, read_new
 from . import sql as S
@@ -85,6 +86,16 @@ def indexed_search(spark, sf):
     return found.orderBy(F.desc(F.round("score", 6)), "id").limit(50).select("id", F.round("score", 4).alias("score"))
 
 
+@registered("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label <> 3 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 20")
+def stored_vector_topk(spark, sf):
+    """Nearest vectors under a filter out of inverted lists, the lists that can matter by their bounds."""
+    e = table(spark, sf, "embeddings")
+    held = VectorIndex(spark, shared_folder(spark, "vectors"), key="vec_id")
+    held.build(e)
+    query = e.filter("vec_id = 0").first()["embedding"]
+    return held.top(query, 20, F.col("label") != 3).select("vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 _indexes: dict[tuple[str, str], SearchIndex] = {}
 
 
@@ -342,17 +353,19 @@ _CAND = f"""compacted AS (SELECT *, {S.excerpt(f"regexp_replace(s, {S.q(V.BULLET
  keyed AS (SELECT *, {S.stable_id('memory_type', 'scope', 'tool', "coalesce(project_key, '')", 'lower(title)')} AS key, (timestamp, source_path, id, snippet_no) AS ord FROM cand),
  merged AS (SELECT key AS id, count(*) AS repetitions, arg_min(title, ord) AS title, arg_min(memory_type, ord) AS memory_type, arg_min(scope, ord) AS scope, arg_min(tool, ord) AS tool, arg_max(timestamp, ord) AS last_seen_at, bool_or(high) AS high,
    least(99, max(cp) + (count(*) - 1) * 8) AS c, least(99, max(sp) + (count(*) - 1) * 7) AS st, string_agg(details, chr(10) || chr(10) ORDER BY ord) AS alld, arg_min(details, ord) AS firstd,
-   bool_or(memory_type = 'profile' OR scope = 'project') AS review FROM keyed GROUP BY key)"""
+   bool_or(memory_type = 'profile' OR scope = 'project') AS review, list(CASE WHEN high THEN '[redacted-sensitive]' ELSE {S.excerpt('s', 220)} END || '|' || session_id || '|' || timestamp ORDER BY ord) AS ev,
+   list_sort(list_distinct(flatten(list(list_filter([hint, memory_type, source_tool, CASE WHEN scope = 'project' THEN project_key END, CASE WHEN memory_type = 'profile' OR scope = 'project' THEN 'needs-review' END], lambda x: x IS NOT NULL))))) AS tags FROM keyed GROUP BY key)"""
 
 
 @registered(
     f"""WITH {S.EVENTS}, {_SNIP}, {_CAND} SELECT id, repetitions, title, memory_type, scope, tool, last_seen_at, c / 100e0 AS confidence, st / 100e0 AS stability, CASE WHEN high THEN 'high' ELSE 'low' END AS sensitivity,
- CASE WHEN repetitions = 1 THEN firstd ELSE {S.excerpt('alld', 1600)} END AS details, CASE WHEN c >= 78 AND st >= 65 AND scope <> 'project' AND memory_type <> 'profile' AND NOT review THEN 'active' ELSE 'candidate' END AS status FROM merged"""
+ CASE WHEN repetitions = 1 THEN firstd ELSE {S.excerpt('alld', 1600)} END AS details, CASE WHEN c >= 78 AND st >= 65 AND scope <> 'project' AND memory_type <> 'profile' AND NOT review THEN 'active' ELSE 'candidate' END AS status, array_to_string(tags, ',') AS tags, array_to_string(ev[greatest(len(ev) - 11, 1):], chr(10)) AS evidence FROM merged"""
 )
 def consolidate_memories(spark, sf):
     """Conversations distilled into memories by rules."""
     made = distill.consolidate(raw_events(spark, sf), KEYWORDS, TOOLS, SECRETS, PROJECTS)
-    return made.select("id", "repetitions", "title", "memory_type", "scope", "tool", "last_seen_at", "confidence", "stability", "sensitivity", "details", "status")
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["excerpt"], e["session_id"], e["timestamp"])), "\n")
+    return made.select("id", "repetitions", "title", "memory_type", "scope", "tool", "last_seen_at", "confidence", "stability", "sensitivity", "details", "status", F.array_join("tags", ",").alias("tags"), evidence.alias("evidence"))
 
 
 @registered(
@@ -405,16 +418,15 @@ def govern_candidates(spark, sf):
     return govern.govern(memories(spark, sf)).select("id", "action", "new_status")
 
 
-_RAW = "CASE (event_id % 6)::INT WHEN 0 THEN (1700000000 + event_id)::VARCHAR WHEN 1 THEN (1700000000000 + event_id * 1000)::VARCHAR WHEN 2 THEN strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') WHEN 3 THEN 'not a time' WHEN 4 THEN '' ELSE strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END"
-_NORM = "strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
+_NORM = "strftime(make_timestamp(floor(epoch(ts))::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 
 
 @registered(f"SELECT event_id, CASE (event_id % 6)::INT WHEN 3 THEN 'not a time' WHEN 4 THEN '' ELSE {_NORM} END AS value, event_id % 6 IN (0, 1, 2) AS changed, CASE WHEN event_id % 6 = 3 THEN 'unparseable_timestamp' END AS error FROM events")
 def repair_timestamps(spark, sf):
-    """Raw times of five kinds normalised, with what changed and what can't be read."""
-    e = F.col("event_id")
-    stamp = F.timestamp_seconds(e + 1700000000)
-    kinds = [(e + 1700000000).cast("string"), (e * 1000 + 1700000000000).cast("string"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("not a time"), F.lit(""), iso(stamp)]
+    """The times of events, written in five ways, normalised, with what changed and what can't be read."""
+    e, s = F.col("event_id"), F.unix_timestamp(F.col("ts").cast("timestamp"))
+    stamp = F.timestamp_seconds(s)
+    kinds = [s.cast("string"), (s * 1000).cast("string"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("not a time"), F.lit(""), iso(stamp)]
     raw = kinds[5]
     for i, k in enumerate(kinds[:5]):
         raw = F.when(e % 6 == i, k).otherwise(raw)
@@ -422,15 +434,16 @@ def repair_timestamps(spark, sf):
 
 
 @registered(
-    f"""WITH {S.MEMORIES}, dirty AS (SELECT id, status, CASE WHEN id % 9 = 0 THEN stability + 0.6e0 ELSE stability END AS stability, CASE WHEN id % 13 = 0 THEN title || ' what?' ELSE title END AS title, id % 17 = 0 AS bad FROM memories)
- SELECT 'invalid_stability' AS signal, id FROM dirty WHERE NOT stability BETWEEN 0 AND 1 UNION ALL SELECT 'invalid_created_at', id FROM dirty WHERE bad UNION ALL SELECT 'garbled', id FROM dirty WHERE id % 13 = 0 AND status <> 'archived'
- UNION ALL SELECT 'garbled', d.id FROM dirty d JOIN memories m ON d.id = m.id WHERE d.id % 13 <> 0 AND d.status <> 'archived' AND ({S.garbled('m.title')} OR {S.garbled('m.summary')} OR {S.garbled('m.details')})"""
+    f"""WITH {S.MEMORIES}, dirty AS (SELECT *, CASE WHEN id % 9 = 0 THEN stability + 0.6e0 ELSE stability END AS st FROM memories)
+ SELECT 'invalid_stability' AS signal, id FROM dirty WHERE NOT st BETWEEN 0 AND 1 UNION ALL SELECT 'invalid_created_at', id FROM dirty WHERE id % 17 = 0 UNION ALL SELECT 'invalid_last_seen_at', id FROM dirty WHERE seen_s IS NOT NULL AND confidence > 0.8e0
+ UNION ALL SELECT 'invalid_reviewed_at', id FROM dirty WHERE memory_type = 'profile' UNION ALL SELECT 'garbled', id FROM dirty WHERE status <> 'archived' AND (id % 13 = 0 OR {S.garbled('title')} OR {S.garbled('summary')} OR {S.garbled('details')})"""
 )
 def quality_signals(spark, sf):
-    """Signals of invalid stability, times and text, over values made dirty by rule."""
+    """Signals of invalid stability, of each of the three times, and of garbled text, over values made dirty by rule."""
     m = memories(spark, sf).withColumn("stability", F.when(F.col("id") % 9 == 0, F.col("stability") + 0.6).otherwise(F.col("stability"))).withColumn("title", F.when(F.col("id") % 13 == 0, F.concat("title", F.lit(" what?"))).otherwise(F.col("title")))
-    m = m.withColumn("created_at", F.when(F.col("id") % 17 == 0, "soon").otherwise(iso("created_at"))).drop("last_seen_at")
-    return govern.quality_signals(m)
+    m = m.withColumn("reviewed_at", F.when(F.col("memory_type") == "profile", "next week").otherwise(iso("created_at")))
+    m = m.withColumn("last_seen_at", F.when(F.col("last_seen_at").isNotNull() & (F.col("confidence") > 0.8), "just now").otherwise(iso("last_seen_at")))
+    return govern.quality_signals(m.withColumn("created_at", F.when(F.col("id") % 17 == 0, "soon").otherwise(iso("created_at"))))
 
 
 @registered(
@@ -600,7 +613,8 @@ _DIGEST = f"""msgs AS (SELECT *, CASE {' '.join(f"WHEN contains(lower(text), {S.
    CASE WHEN role = 'user' THEN CASE WHEN length(text) > 10 THEN message_no ELSE 100 + 20 - message_no END ELSE 1000 + message_no END AS claim FROM chunked),
  grp AS (SELECT chunk_id, count(*) AS message_count, arg_min(text, claim) AS first_text, string_agg(text, ' ' ORDER BY message_no) AS all_text, flatten(list(d ORDER BY message_no)) AS d, flatten(list(ins ORDER BY message_no)) AS ins, flatten(list(fu ORDER BY message_no)) AS fu FROM msgs GROUP BY chunk_id),
  dig AS (SELECT {S.stable_id("'digest'", 'chunk_id')} AS id, chunk_id, message_count, {S.excerpt('first_text', 60)} AS title, {S.excerpt('all_text', 180)} AS summary, {S.first_match('all_text', CATEGORIES, 'exploration')} AS category,
-   [x for x, i in d if list_position(d, x) = i][1:5] AS key_decisions, [x for x, i in ins if list_position(list_transform(ins, lambda y: lower(y)), lower(x)) = i][1:5] AS insights, [x for x, i in fu if list_position(fu, x) = i][1:3] AS follow_ups FROM grp)"""
+   [x for x, i in d if list_position(d, x) = i][1:5] AS key_decisions, [x for x, i in ins if list_position(list_transform(ins, lambda y: lower(y)), lower(x)) = i][1:5] AS insights, [x for x, i in fu if list_position(fu, x) = i][1:3] AS follow_ups,
+   list_distinct_in_order AS tags FROM (SELECT *, {S.first_match('all_text', CATEGORIES, 'exploration')} AS cat FROM grp) g, LATERAL (SELECT [x for x, i in l if list_position(l, x) = i] AS list_distinct_in_order FROM (SELECT list_concat([cat], list_filter([{', '.join(f"CASE WHEN {S.any_lower('all_text', w)} THEN {S.q(n)} END" for n, w in V.SUGGESTED_TAGS)}], lambda x: x IS NOT NULL)) AS l)))"""
 
 
 def _digests(spark, sf):
@@ -615,13 +629,35 @@ def session_digest(spark, sf):
 
 def _contains_score(word: str) -> str:
     c = lambda x: f"contains(lower({x}), {S.q(word)})"
-    return f"(CASE WHEN {c('title')} THEN 3e0 ELSE 0 END + CASE WHEN {c('summary')} THEN 2e0 ELSE 0 END + CASE WHEN {c('category')} THEN 0.5e0 ELSE 0 END + 1.5e0 * len(list_filter(insights, lambda x: {c('x')})))"
+    return f"(CASE WHEN {c('title')} THEN 3e0 ELSE 0 END + CASE WHEN {c('summary')} THEN 2e0 ELSE 0 END + CASE WHEN {c('category')} THEN 0.5e0 ELSE 0 END + 1.5e0 * len(list_filter(insights, lambda x: {c('x')})) + 0.5e0 * len(list_filter(tags, lambda x: {c('x')})))"
 
 
-@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, sc AS (SELECT id, {_contains_score('heed')} AS score FROM dig) SELECT id, score FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 25")
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, sc AS (SELECT id, {_contains_score('de')} AS score FROM dig) SELECT id, score FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 25")
 def digest_keyword_search(spark, sf):
-    d = _digests(spark, sf).withColumn("tags", F.array().cast("array<string>")).withColumn("fragments", F.array().cast("array<string>"))
-    return search.search_digests(d, "heed", 25).select("id", "score")
+    """Digests by where a word stands, in all their fields."""
+    return search.search_digests(_digests(spark, sf), "de", 25).select("id", "score")
+
+
+_PAGE = """'# ' || title || chr(10) || chr(10) || '**类别**: ' || category || chr(10) || '**工具**: chat' || chr(10) || '**生成时间**: ' || created_at || chr(10) || '**消息数**: ' || message_count || coalesce(chr(10) || '**项目**: ' || related_project, '')
+ || CASE WHEN summary <> '' THEN chr(10) || chr(10) || '**摘要**: ' || summary ELSE '' END || CASE WHEN len(insights) > 0 THEN chr(10) || chr(10) || '## 核心洞见' || chr(10) || array_to_string([i || '. ' || x for x, i in insights], chr(10)) ELSE '' END
+ || CASE WHEN len(key_decisions) > 0 THEN chr(10) || chr(10) || '## 关键决策' || chr(10) || array_to_string(['- ' || x for x in key_decisions], chr(10)) ELSE '' END || CASE WHEN len(follow_ups) > 0 THEN chr(10) || chr(10) || '## 待探索问题' || chr(10) || array_to_string(['- ' || x for x in follow_ups], chr(10)) ELSE '' END
+ || chr(10) || chr(10) || '**标签**: ' || array_to_string(tags, ', ') || chr(10)"""
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT chunk_id, min(project_key) AS related_project, min(timestamp) AS created_at FROM chunked GROUP BY 1) SELECT id, {_PAGE} AS content FROM dig JOIN p USING (chunk_id)")
+def digest_pages(spark, sf):
+    """A page in Markdown for each digest."""
+    return records.digest_pages(_digests(spark, sf))
+
+
+@registered(
+    """SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || '**描述**: ' || p_name || ' ' || p_type || chr(10) || '**触发条件**: ' || p_type || chr(10) || chr(10) || '**标签**: ' || p_brand || chr(10) || chr(10) || '**所需工具**: ' || lower(p_brand) || chr(10) || chr(10) || '## 执行步骤' || chr(10) || array_to_string([i || '. ' || x for x, i in string_split(p_type, ' ')], chr(10)) || chr(10) || chr(10)
+ || '---' || chr(10) || '*技能版本: 1 | 使用次数: ' || p_size + 1 || ' | 成功率: ' || round_even(p_size * 100e0 / (p_size + 1), 0)::INT || '%*' || chr(10) AS content FROM part"""
+)
+def skill_pages(spark, sf):
+    """A page in Markdown for each skill, defaults filled in."""
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("trigger"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.array("p_brand").alias("tags"), F.array(F.lower("p_brand")).alias("tools_required"), F.split("p_type", " ").alias("steps"), (F.col("p_size") + 1).alias("usage_count"), F.col("p_size").alias("success_count"))
+    return records.skill_pages(records.with_skill_defaults(s, as_of()))
 
 
 @registered("SELECT * FROM (SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'small') THEN 4e0 ELSE 0 END + CASE WHEN contains(lower(p_type), 'small') THEN 3e0 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'small') THEN 2e0 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'small') THEN 1.5e0 ELSE 0 END + 1e0 * len(list_filter(string_split(p_type, ' '), lambda x: contains(lower(x), 'small'))) AS score FROM part) WHERE score > 0 ORDER BY score DESC, id LIMIT 30")
@@ -688,14 +724,26 @@ def wiki_topics(spark, sf):
     return wiki.topics(memories(spark, sf))
 
 
+def _mentioned(column: str, word: str) -> str:
+    label = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce({column}, ''), '(?i)\\b{word}[: \\t\\n]+([A-Za-z0-9 _-]{{3,40}})', 1), '-[a-f0-9]{{16}}$', '', 'g'), '[_-]', ' ', 'g'), ' +', ' ', 'g'))"
+    return f"list_filter([array_to_string(list_transform(string_split({label}, ' '), lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ')], lambda x: length(x) >= 3)[1]"
+
+
+# the documents' own words stand for what names a project
+_SAID = "coalesce(" + ", ".join(_mentioned(c, w) for c in ("title", "summary", "details") for w in ("project", "repo")) + ")"
+
+
 @registered(
-    f"""WITH {S.MEMORIES} SELECT project_key, CASE WHEN project_key = 'en' THEN 'English desk' ELSE upper(substr(project_key, 1, 1)) || lower(substr(project_key, 2)) END AS inferred, CASE WHEN project_key = 'en' THEN 'bootstrap_projects' ELSE 'project_key_fallback' END AS source FROM memories WHERE project_key IS NOT NULL GROUP BY 1"""
+    f"""WITH {S.MEMORIES.replace('memories AS', 'plain AS', 1)}, memories AS (SELECT * REPLACE (replace(summary, 'license', 'project') AS summary) FROM plain), said AS (SELECT project_key, confidence, title, id, {_SAID} AS said FROM memories WHERE project_key IS NOT NULL),
+ best AS (SELECT project_key, arg_min(said, (-confidence, title, id)) FILTER (said IS NOT NULL) AS said FROM said GROUP BY 1)
+ SELECT project_key, CASE WHEN project_key = 'en' THEN 'English desk' WHEN lower(coalesce(said, project_key)) <> lower(project_key) THEN said ELSE project_key END AS display_name,
+  CASE WHEN project_key = 'en' THEN 'bootstrap_projects' WHEN lower(coalesce(said, project_key)) <> lower(project_key) THEN 'memory_or_key_inference' ELSE 'project_key_fallback' END AS source FROM best"""
 )
 def project_names(spark, sf):
-    """Display names of projects: configured, else inferred, else the key."""
+    """Display names of projects: configured, else what the surest memory calls it, else the key."""
     configured = spark.createDataFrame([("en", "English desk")], "project_key string, name string")
-    n = wiki.project_names(memories(spark, sf), configured)
-    return n.select("project_key", F.when(F.col("source") == "bootstrap_projects", F.col("display_name")).otherwise(X.clean_project_label("project_key")).alias("inferred"), "source")
+    m = memories(spark, sf).withColumn("summary", F.replace("summary", F.lit("license"), F.lit("project")))
+    return wiki.project_names(m, configured).select("project_key", "display_name", "source")
 
 
 @registered(f"WITH {S.MEMORIES} SELECT memory_type, entry_no, id FROM (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, stability DESC, title, id) AS entry_no FROM memories WHERE status = 'active')")
@@ -727,6 +775,23 @@ def wiki_conflicts(spark, sf):
     return wiki.conflicts(memories(spark, sf), YES, NO)
 
 
+_SIDES = f"sides AS (SELECT topic, project_key, unnest({S.token_set('title')}) AS word, {_POL} AS pol, id, title FROM topic)"
+
+
+@registered(f"WITH {S.MEMORIES}, {_TOPICS}, {_SIDES} SELECT topic, project_key, word, count(*) FILTER (pol = 1) AS asking, count(*) FILTER (pol = -1) AS forbidding FROM sides GROUP BY ALL HAVING asking > 0 AND forbidding > 0")
+def conflict_groups(spark, sf):
+    """Conflicts by topic, project and title word, with the sizes of their sides, without pairs."""
+    g = wiki.conflict_groups(memories(spark, sf), YES, NO)
+    members = F.sum(F.when(F.col("polarity") == 1, F.size("members")).otherwise(0)), F.sum(F.when(F.col("polarity") == -1, F.size("members")).otherwise(0))
+    return g.groupBy("topic", "project_key", "word").agg(members[0].alias("asking"), members[1].alias("forbidding"))
+
+
+@registered(f"WITH {S.MEMORIES}, {_TOPICS}, {_SIDES}, g AS (SELECT topic, project_key, word, min(title) FILTER (pol = 1) AS yes, min(title) FILTER (pol = -1) AS no FROM sides GROUP BY ALL) SELECT 'conflicting_topic' AS issue_type, topic AS subject, project_key AS other, 'topics/' || {S.slug('topic')} AS page_key, min(yes) || '|' || min(no) AS samples FROM g WHERE yes IS NOT NULL AND no IS NOT NULL GROUP BY topic, project_key")
+def conflict_issues(spark, sf):
+    """An issue for each topic and project with conflicting guidance."""
+    return wiki.conflict_issues(memories(spark, sf), YES, NO).select("issue_type", "subject", "other", "page_key", F.array_join("samples", "|").alias("samples"))
+
+
 @registered(
     f"""WITH {S.MEMORIES}, t AS (SELECT id, memory_type, coalesce(project_key, '-') AS project, {S.token_set('title')} AS w FROM memories), tt AS (SELECT * FROM t WHERE len(w) > 0),
  g AS (SELECT project, memory_type, list_sort(w) AS w, min(id) AS id FROM tt GROUP BY ALL), m AS (SELECT g.id AS first_id, tt.id AS second_id, 1e0 AS jaccard FROM tt JOIN g ON tt.project = g.project AND tt.memory_type = g.memory_type AND list_sort(tt.w) = g.w WHERE tt.id <> g.id),
@@ -1007,12 +1072,70 @@ def profile_confidence(spark, sf):
     return lifecycle.profile_confidence(log, "user_id", F.col("event_id"), F.col("value") > 50).withColumn("confidence", F.round("confidence", 6))
 
 
-@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, {S.MEMORIES}, dw AS (SELECT id, unnest({_WORDS}) AS w FROM dig), mw AS (SELECT id, unnest({_WORDS}) AS w FROM memories WHERE status = 'active') SELECT dw.id AS digest_id, mw.id::VARCHAR AS memory_id FROM dw JOIN mw ON dw.w = mw.w WHERE mw.id % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2")
+_KINDS = (("view", "session"), ("click", "tool"), ("purchase", "task"), ("signup", "skill"), ("error", "context"))
+
+
+def _recorded(spark, sf):
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in _KINDS for x in kv)), F.col("event_type"))
+    return table(spark, sf, "events").select("user_id", kind.alias("kind"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("skill "), F.col("event_id").cast("string")).alias("name"))
+
+
+@registered("SELECT user_id, count(*) FILTER (event_type = 'view') AS total_sessions, count(*) FILTER (event_type = 'purchase') AS total_tasks_completed, count(*) FILTER (event_type = 'signup') AS total_skills_created, max(floor(epoch(ts))::BIGINT) FILTER (event_type = 'error') AS last_context_used, max(floor(epoch(ts))::BIGINT) AS last_updated FROM events GROUP BY 1")
+def profile_counters(spark, sf):
+    """What was recorded of each user: sessions, tasks, skills, and when."""
+    return lifecycle.profile_counters(_recorded(spark, sf), "user_id", "kind", "at")
+
+
+@registered("SELECT user_id, floor(epoch(ts))::BIGINT AS at, '创建新技能: skill ' || event_id AS milestone, 'skill creation' AS evidence, 'skill ' || event_id AS skill_added FROM events WHERE event_type = 'signup'")
+def growth_entries(spark, sf):
+    """An entry for each skill that a user made."""
+    return lifecycle.growth_entries(_recorded(spark, sf), "user_id", "kind", "at", "name")
+
+
+@registered(
+    f"""WITH {S.MEMORIES}, l AS (SELECT tags FROM memories WHERE status = 'active' ORDER BY confidence DESC, stability DESC, coalesce(seen_s, created_s) DESC, id LIMIT 20), t AS (SELECT list_sort(list_distinct(list_filter(flatten(list(tags)), lambda x: length(x) > 2))) AS tags FROM l),
+ k AS (SELECT list_sort(list(DISTINCT p_brand)) AS tools FROM part), f AS (SELECT list(p_name ORDER BY p_name, p_partkey) AS failing FROM (SELECT * FROM part WHERE p_size >= 3 AND p_partkey % 7 < p_size / 4 ORDER BY p_name, p_partkey LIMIT 3)),
+ u AS (SELECT c_custkey AS user, [lower(c_mktsegment)] AS expertise, ['jvm'] AS stack, ['Brand#11', 'Brand#12'] AS own FROM customer),
+ n AS (SELECT user, expertise, stack, [x for x in tags if NOT list_contains(expertise, x)] AS nt, [x for x in tools if NOT list_contains(own, x)] AS nk, failing FROM u, t, k, f)
+ SELECT user, '现有专业领域: ' || expertise[1] || ' | 技术栈: jvm' AS thesis, concat_ws(' | ', CASE WHEN len(nt) > 0 THEN '新发现领域: ' || array_to_string(nt[1:5], ', ') END, '新使用工具: ' || array_to_string(nk[1:5], ', '), CASE WHEN len(failing) > 0 THEN '成功率低的技能: ' || array_to_string(failing, ', ') END) AS antithesis,
+  concat_ws(' ; ', CASE WHEN len(nt) > 0 THEN '扩展专业领域: 新增 ' || array_to_string(nt[1:3], ', ') END, '工具偏好进化: 尝试使用 ' || array_to_string(nk[1:3], ', '), CASE WHEN len(failing) > 0 THEN '技能优化: 改进 ' || array_to_string(failing[1:2], ', ') || ' 的执行策略' END) AS synthesis FROM n"""
+)
+def inferred_dialectic(spark, sf):
+    """What memories and skills have that each profile doesn't know."""
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user"), F.array(F.lower("c_mktsegment")).alias("expertise"), F.array(F.lit("jvm")).alias("technology_stack"), F.array(F.lit("Brand#11"), F.lit("Brand#12")).alias("tools"))
+    skills = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("active").alias("status"), F.array("p_brand").alias("tools_required"), F.col("p_size").alias("usage_count"), F.when(F.col("p_partkey") % 7 < F.col("p_size") / 4, 0).otherwise(F.col("p_size")).alias("success_count"))
+    return lifecycle.inferred_dialectic(users, memories(spark, sf), skills).drop("trigger")
+
+
+@registered(f"WITH {S.MEMORIES} SELECT 'type' AS dimension, memory_type AS value, count(*) AS count FROM memories WHERE status = 'active' GROUP BY 2 UNION ALL SELECT 'scope', scope, count(*) FROM memories WHERE status = 'active' GROUP BY 2")
+def growth_shares(spark, sf):
+    """Active memories by type and by scope."""
+    return analytics.growth_shares(memories(spark, sf))
+
+
+@registered(f"WITH {S.MEMORIES} SELECT {S.stable_id('memory_type', 'scope', 'tool', "coalesce(project_key, '')", 'lower(title)', 'summary')} AS id, title, 'user' AS managed_by, true AS manual_override FROM memories WHERE status = 'active'")
+def manual_memories(spark, sf):
+    """Memories as written by hand: their ids by content, and that they override."""
+    return distill.write_memory(memories(spark, sf).filter("status = 'active'")).select("id", "title", "managed_by", "manual_override")
+
+
+@registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, {S.MEMORIES}, dw AS (SELECT id, unnest({_WORDS}) AS w FROM dig), mw AS (SELECT id, unnest({_WORDS}) AS w FROM memories WHERE status = 'active' AND memory_type = 'procedural') SELECT dw.id AS digest_id, mw.id::VARCHAR AS memory_id FROM dw JOIN mw ON dw.w = mw.w WHERE dw.id IN (SELECT id FROM dig WHERE message_count >= 4) GROUP BY 1, 2 HAVING count(*) >= 2")
 def memory_connections(spark, sf):
-    """Edges of some memories."""
-    d = _digests(spark, sf).withColumn("related_project", F.lit(None).cast("string"))
-    m = memories(spark, sf).filter("status = 'active'")
-    return digest.connections_of(digest.edges(d, m), m.filter("id % 20 = 0")).select("digest_id", "memory_id")
+    """Edges between procedures and the digests of longer sessions."""
+    d, m = _digests(spark, sf), memories(spark, sf).filter("status = 'active'")
+    edges = digest.edges(d, m, by_project=False)
+    return digest.connections_of(edges, m.filter("memory_type = 'procedural'"), d.filter("message_count >= 4")).select("digest_id", "memory_id")
+
+
+@registered(
+    f"""WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT dig.id, min(project_key) AS project FROM dig JOIN chunked USING (chunk_id) GROUP BY 1), l AS (SELECT 'team-' || (c_nationkey % 10) AS project, c_custkey AS id FROM customer),
+ c AS (SELECT project, (SELECT count(*) FROM p x WHERE x.project = l.project) AS digests, count(*) AS memories FROM l GROUP BY 1) SELECT project, digests, memories, 'digest' AS side, digests AS members FROM c WHERE digests > 0 UNION ALL SELECT project, digests, memories, 'memory', memories FROM c WHERE digests > 0"""
+)
+def project_links(spark, sf):
+    """Links of digests with what else belongs to their projects, without the pairs."""
+    owned = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("team-"), (F.col("c_nationkey") % 10).cast("string")).alias("project_key"))
+    links = digest.project_links(_digests(spark, sf), owned)
+    return links.groupBy("project", "digests", "memories", "side").agg(F.sum(F.size("members")).alias("members"))
 
 
 @registered(f"WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT chunk_id, min(project_key) AS related_project, min(timestamp) AS created_at FROM chunked GROUP BY 1) SELECT id, created_at FROM dig JOIN p ON dig.chunk_id = p.chunk_id WHERE related_project = 'team-4' ORDER BY created_at DESC, id LIMIT 10")
