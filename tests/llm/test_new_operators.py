@@ -313,3 +313,35 @@ def test_strings_of_a_hot_source_meet_only_the_cuts_of_their_span(spark, monkeyp
         want += [(bucket, doc, start + x - at, y - x, source, x) for x, y in zip(own, own[1:])] + [(bucket, doc, start + n, 0, source, at + n)]
     strings = spark.createDataFrame(rows, "bucket int, doc long, start int, n int, source_doc long, source_start int")
     assert sorted(tuple(r) for r in debruijn.compact_paths(strings).collect()) == sorted(want)
+
+
+def test_large_bands_meet_by_rare_shingles(spark, monkeypatch):
+    from recollect.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "LARGE", 8)
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(90)]
+    texts = []
+    for i in range(40):  # similar, but not enough
+        own = list(template)
+        for at in rng.sample(range(0, 90, 9), 4):
+            own[at] = f"w{i}x{at}"
+        texts.append(" ".join(own))
+    for i in range(0, 40, 7):  # and some that are
+        w = texts[i].split()
+        w[rng.randrange(90)] = f"z{i}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    dealt = []
+    plain = jaccard._by_rare_shingles
+    monkeypatch.setattr(jaccard, "_by_rare_shingles", lambda rest, held, least: dealt.append((rest.count(), (out := plain(rest, held, least)).count(), out.groupBy("band").count().agg(F.max("count")).first()[0])) or out)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(alike) >= 5
+    before, after, largest = dealt[0]
+    assert before > 24 and after <= 25 * len(texts) and largest <= 46
