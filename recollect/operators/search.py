@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,11 +161,13 @@ def memory_search(items: DataFrame, query: str, vectors: DataFrame | None = None
     else:
         rows = index.items().filter(fine & has_tags(tags))
         best = index.top(query, fetch, fine, has_tags(tags) if tags else None)
-    text = stored(normalized(best), "text")
+    # of an index a few rows that are known already; without one they are made once and kept
+    keep = (lambda df, column, _: _few(df, column)) if index is not None else (lambda df, column, name: stored(normalized(df, column), name))
+    text = keep(best, "score", "text")
     if vectors is None:
         vectors = text.select("id", F.lit(0.0).alias("similarity")).limit(0)
     shown = vectors.join(rows.select("id"), "id", "left_semi")
-    near = stored(normalized(shown.orderBy(F.desc("similarity"), "id").limit(fetch), "similarity"), "near")
+    near = keep(shown.orderBy(F.desc("similarity"), "id").limit(fetch), "similarity", "near")
     sides = text.agg((F.count("*") > 0).alias("_text")).join(near.agg((F.count("*") > 0).alias("_near")))
     found_ids = text.select("id").unionByName(near.select("id"))
     if index is not None:
@@ -187,6 +190,16 @@ def without(rows: DataFrame, some: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(some.select(F.lit(1).alias("_some"))), F.lit(True), "left_anti")
 
 
+def _few(rows: DataFrame, column: str) -> DataFrame:
+    """A few rows (as many as a search fetches) as a table of the driver, a column over its greatest as in normalized()."""
+    table = rows.toArrow()
+    values = table.column(column).to_pylist()
+    top = max(values, default=0.0)
+    at = table.column_names.index(column)
+    scaled = pa.array([v / top if top > 0 else 0.0 for v in values], pa.float64())
+    return rows.sparkSession.createDataFrame(table.set_column(at, column, scaled), rows.schema)
+
+
 def access_log(found: DataFrame, at: Column) -> DataFrame:
     """(id, accessed_at) of what a search returned, to be appended to the table of accesses."""
     return found.select("id", at.alias("accessed_at")).distinct()
@@ -198,6 +211,8 @@ def memory_context(items: DataFrame, query: str, vectors: DataFrame | None = Non
     known = items if index is None else index.items()
     columns = [c for c in known.columns if c in found.columns]
     matched = stored(found.select(*columns), "matched")
+    if index is not None and not matched.isEmpty():
+        return context_sections(matched, project, tool, each)
     default = default_memories(without(known, matched.limit(1)), limit, project=project, tool=tool).select(*columns)
     return context_sections(matched.unionByName(default), project, tool, each)
 

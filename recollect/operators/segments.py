@@ -54,6 +54,7 @@ class SearchIndex:
         self.spark, self.folder, self.fields, self.key, self.facets = spark, folder.rstrip("/"), dict(fields), key, list(facets)
         self.left_out, self.buckets = set(left_out), buckets
         self.log = Versions(spark, f"{self.folder}/log")
+        self._read: dict[str, tuple[tuple[str, ...], DataFrame]] = {}
 
     # --- upkeep -------------------------------------------------------------------------------------------------
 
@@ -73,7 +74,7 @@ class SearchIndex:
             return name, 0
         ranged = documents.repartitionByRange("_h").sortWithinPartitions("_h").withColumn("segment", F.lit(name))
         ranged.write.mode("append").option("parquet.block.size", 8 << 20).partitionBy("segment").parquet(f"{self.folder}/docs")
-        own = self._table("docs", [name])
+        own = self.spark.read.parquet(f"{self.folder}/docs").filter(F.col("segment") == name)
         totals = stored(own.groupBy("segment", *self.facets).agg(F.count("*").alias("n"), F.sum("_d").alias("d")), "totals")
         size, total = totals.agg(F.sum("n"), F.sum("d")).first()
         totals.coalesce(1).write.mode("append").partitionBy("segment").parquet(f"{self.folder}/totals")
@@ -159,7 +160,11 @@ class SearchIndex:
     # --- reading ------------------------------------------------------------------------------------------------
 
     def _table(self, name: str, live: Sequence[str], by: str = "segment") -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col(by).isin(*live))
+        """Live rows of a table; its files are listed again only when something was committed."""
+        state = tuple(self.log.live())
+        if name not in self._read or self._read[name][0] != state:
+            self._read[name] = state, self.spark.read.parquet(f"{self.folder}/{name}")
+        return self._read[name][1].filter(F.col(by).isin(*live))
 
     def _live(self, kind: str) -> list[str]:
         return [k for k in self.log.live() if k.startswith(kind)]
@@ -291,10 +296,10 @@ class SearchIndex:
 
     def _first(self, scored: DataFrame, fetch: int) -> DataFrame:
         """The best of some scores, ties by confidence and key."""
-        last = scored.orderBy(F.desc("score")).limit(fetch).agg(F.min("score")).first()[0]
-        if last is None:
+        best = scored.orderBy(F.desc("score")).limit(fetch).select("score").collect()
+        if not best:
             return scored.select(self.key, "score")
-        near = scored.filter(F.col("score") >= last)
+        near = scored.filter(F.col("score") >= best[-1]["score"])
         known = self.fetch(near)
         sure = [F.desc("confidence")] if "confidence" in known.columns else []
         return near.join(known, self.key).orderBy(F.desc("score"), *sure, self.key).limit(fetch).select(self.key, "score")
@@ -313,5 +318,5 @@ class SearchIndex:
         return self._first(stored(scored, "scored"), fetch)
 
     def _key_type(self) -> str:
-        docs = self.spark.read.parquet(f"{self.folder}/docs") if self._live("seg-") else None
-        return dict(docs.dtypes)[self.key] if docs is not None else "string"
+        live = self._live("seg-")
+        return dict(self._table("docs", live).dtypes)[self.key] if live else "string"
