@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import complete_runs, run_bounds
+from .common import complete_runs, materialize, run_bounds
 from .rabitq import is_valid, rotation
 
 #: Rows that the forest is fitted on at most; rows in a leaf, about; the least and greatest depth of a tree; index rows in a shard.
@@ -96,7 +96,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     every row of df is indexed in a leaf of each tree, every query goes to leaves that hold `share` of the rows
     together (and 4 k of them at least), and within the shards of leaves the candidates are ranked by exact inner products in double precision.
     A task sends a query's best over all the shards it holds, not over each.
-    Shards hold about SHARD rows whatever the size of df: leaves are gathered or salted to that. Tables of any size are
+    Shards hold about SHARD rows whatever the size of df: leaves are gathered to that, and shards that hold more, as
+    where vectors crowd, are salted by their own counts. Of equal vectors the k + 1 with the smallest ids are indexed:
+    no others can be among a query's k. Tables of any size are
     searched by the forest, of LEAST_DEPTH levels or more. Longer vectors reach beyond their cell, so where lengths vary greatly raise `share`.
 
     Ties go to the smaller vec_id; rows that repeat a vec_id count once for each vector, and rows with the query's own
@@ -106,6 +108,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
     asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(is_valid("v") & F.col("vec_id").isNotNull())
+    # of equal vectors only the k + 1 smallest ids can be among a query's k; the limit on the rank is applied before the shuffle
+    rows = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("_r") <= k + 1).select("vec_id", "v")
+    rows = materialize(rows, "vectors")
     n = rows.count()
     draw = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30))
     drawn = rows.filter(draw < int(min(1.0, 1.2 * FIT_ROWS / max(n, 1)) * (1 << 30))).select(draw.alias("draw"), "vec_id", "v").limit(2 * FIT_ROWS).toArrow()
@@ -119,7 +124,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
     forest = spark.sparkContext.broadcast(Forest(sample, trees, depth))
     leaf_rows = max(1, n >> depth)
     wide = max(0, int(math.log2(max(1, SHARD // leaf_rows))))  # leaves in a shard, as a power of two
-    salts = -(-leaf_rows // SHARD)
 
     kind = np.dtype("<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8")
 
@@ -128,6 +132,21 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
         part = batch.filter(pa.array(np.diff(v.offsets.to_numpy()) == dim))
         return part.column("vec_id").to_numpy(), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forest.value
+        sums = np.zeros((f.trees, (1 << f.depth) >> wide or 1), np.int64)
+        for batch in batches:
+            shards = f.leaves(columns(batch)[1]) >> wide
+            for t in range(f.trees):
+                sums[t] += np.bincount(shards[:, t], minlength=sums.shape[1])
+        t, shard = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(shard), pa.array(sums[t, shard])], names=["tree", "shard", "n"])
+
+    # a row for each shard of each tree, trees * 2 ** DEPTH at most: how many tasks it is dealt to
+    counted = rows.mapInArrow(count, "tree long, shard long, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n")).toArrow()
+    salts = np.ones((trees, (1 << depth) >> wide or 1), np.int64)
+    salts[counted.column("tree").to_numpy(), counted.column("shard").to_numpy()] = -(-counted.column("n").to_numpy() // SHARD)
+
     def as_rows(tree, shard, salt, asks, ids, leaves, x) -> pa.RecordBatch:
         task = (np.asarray(tree, np.int64) << 44) + (np.asarray(shard, np.int64) << 24) + np.asarray(salt, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.full(len(task), asks)), pa.array(ids, pa.int64()), pa.array(leaves, pa.binary()), pa.array([r.astype(kind).tobytes() for r in x], pa.binary())], names=["task", "asks", "id", "leaves", "x"])
@@ -138,7 +157,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
             ids, x = columns(batch)
             leaves = f.leaves(x).astype("<i4")
             for t in range(f.trees):
-                yield as_rows(np.full(len(ids), t), leaves[:, t] >> wide, ids % salts, False, ids, [leaf.tobytes() for leaf in leaves[:, t]], x)
+                shard = leaves[:, t] >> wide
+                yield as_rows(np.full(len(ids), t), shard, ids % salts[t][shard], False, ids, [leaf.tobytes() for leaf in leaves[:, t]], x)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -150,7 +170,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, shar
                     by: dict[tuple[int, int], list[int]] = {}
                     for t, leaf in visits:
                         by.setdefault((t, leaf >> wide), []).append(leaf)
-                    out += [(t, s, salt, ids[i], np.array(own, "<i4").tobytes(), x[i]) for (t, s), own in by.items() for salt in range(salts)]
+                    out += [(t, s, salt, ids[i], np.array(own, "<i4").tobytes(), x[i]) for (t, s), own in by.items() for salt in range(salts[t][s])]
                 tree, shard, salt, own_ids, leaves, own = (list(c) for c in zip(*out, strict=True))
                 yield as_rows(tree, shard, salt, True, own_ids, leaves, own)
 

@@ -345,3 +345,29 @@ def test_large_bands_meet_by_rare_shingles(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == label and len(alike) >= 5
     before, after, largest = dealt[0]
     assert before > 24 and after <= 25 * len(texts) and largest <= 46
+
+
+def test_neighbours_where_vectors_crowd(spark, monkeypatch):
+    from recollect.llm import rpforest
+
+    monkeypatch.setattr(rpforest, "SHARD", 40)
+    monkeypatch.setattr(rpforest, "LEAF", 16)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, base.tolist()) for i in range(300)] + [(1000 + i, (base + rng.normal(scale=0.01, size=16)).tolist()) for i in range(300)] + [(5000 + i, rng.normal(size=16).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>")
+    got = rpforest.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=5)
+    found = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: r.rank):
+        found[r.query_id].append(r.vec_id)
+    held = dict(rows)
+    hit = n = 0
+    for q in (i for i in held if i % 20 == 0):
+        want = sorted((x for x in held if x != q), key=lambda x: (-float(np.dot(held[q], held[x])), x))[:5]
+        hit += len(set(want) & set(found[q]))
+        n += 5
+        assert len(found[q]) == 5 == len(set(found[q]))
+    assert hit >= 0.9 * n
+    copies = [x for x in held if x < 300]
+    same = rpforest.nearest(vectors.filter("vec_id < 300"), vectors.filter("vec_id in (0, 280)"), k=5)
+    assert {(r.query_id, r.vec_id) for r in same.collect()} == {(0, i) for i in range(1, 6)} | {(280, i) for i in range(5)} and copies
