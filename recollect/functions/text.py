@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
@@ -155,27 +157,43 @@ def is_lesson(text: Text) -> Column:
     return (F.length(lowered) >= 12) & ~has_any(lowered, V.LESSON_NOISE) & ~first_person & has_any(lowered, V.LESSON_SIGNALS)
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that are an ASCII letter with marks, then marks of their own; the ASCII letters that stand for the former."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].islower() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in plain) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in plain)
+
+
+#: What searches take off letters, as a translation: from each of the first to the one at its place in the second; the rest goes.
+ACCENTS = _accents()
+
+
+def folded(text: Text) -> Column:
+    """Lower case without accents, as searches compare text; null gives the empty string."""
+    return F.translate(F.lower(F.coalesce(col(text), F.lit(""))), *ACCENTS)
+
+
 def tokens(text: Text) -> Column:
-    """Lower-cased runs of letters and digits, repeats included."""
-    return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Runs of letters and digits of the folded text, repeats included."""
+    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def count_terms(text: Text, terms: Sequence[str]) -> Column:
-    """How many tokens() there are, then how often each lower-cased term is one, as an array, without making tokens; terms
+    """How many tokens() there are, then how often each folded term is one, as an array, without making tokens; terms
     that a text doesn't hold anywhere cost one plain search."""
 
     def counts(t: Column) -> Column:
         whole = lambda term: F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])")
         return F.array(F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")), *(F.when(F.contains(t, F.lit(x)), F.regexp_count(t, whole(x))).otherwise(0) for x in terms))
 
-    return once(F.lower(F.coalesce(col(text), F.lit(""))), counts)
+    return once(folded(text), counts)
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct lower-cased terms of a query in their order."""
-    import re
-
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    """Distinct folded terms of a query in their order."""
+    letters, plain = ACCENTS
+    table = {ord(c): plain[i] if i < len(plain) else None for i, c in enumerate(letters)}
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower().translate(table))))
 
 
 def token_set(text: Text) -> Column:

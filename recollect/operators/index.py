@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import once, tokens
+from ..functions.text import folded, once, tokens
 
 
 def _runs(text: Column, weight: float) -> Column:
@@ -39,7 +39,7 @@ def write_search_index(items: DataFrame, folder: str, fields: Mapping[str, float
     can hold them. Items without a token have a length of 0.
     """
     texts = _texts(items, fields)
-    length = sum((F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"[\p{L}\p{N}]+")) for t in texts), F.lit(0)).cast("long")
+    length = sum((F.regexp_count(folded(t), F.lit(r"[\p{L}\p{N}]+")) for t in texts), F.lit(0)).cast("long")
     runs = F.concat(*(_runs(text, float(w)) for text, w in zip(texts, fields.values(), strict=True)))
     # the length is worked out below the explode, once for an item
     rows = items.select(key, length.alias("d"), runs.alias("runs")).select(key, "d", F.explode("runs").alias("r")).select(key, "d", "r.*")

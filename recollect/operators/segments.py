@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import once, query_terms
+from ..functions.text import folded, once, query_terms
 from ..sources.model import stored
 from .index import _runs, _texts, term_bucket
 from .versions import Versions
@@ -61,7 +61,7 @@ class SearchIndex:
     def _documents(self, items: DataFrame) -> DataFrame:
         """The rows of `docs` for items."""
         texts = _texts(items, self.fields)
-        length = sum((F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"[\p{L}\p{N}]+")) for t in texts), F.lit(0)).cast("long")
+        length = sum((F.regexp_count(folded(t), F.lit(r"[\p{L}\p{N}]+")) for t in texts), F.lit(0)).cast("long")
         runs = F.concat(*(_runs(text, float(w)) for text, w in zip(texts, self.fields.values(), strict=True)))
         kept = [c for c in items.columns if c not in self.left_out]
         stamp = F.sha1(F.concat_ws("\u0001", *(F.coalesce(c.cast("string"), F.lit("\u0002")) for c in [*texts, *(F.col(c) for c in kept)])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from ..functions import vocabulary as V
+from ..functions.text import ACCENTS
 from ..sources.model import MEMORIES_SQL
 
 
@@ -56,7 +57,7 @@ def low_candidate(title: str, summary: str, details: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(translate(lower(coalesce({x}, '')), {q(ACCENTS[0])}, {q(ACCENTS[1])}), '[\p{{L}}\p{{N}}]+')"
 
 
 def token_set(x: str) -> str:

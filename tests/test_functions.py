@@ -76,3 +76,15 @@ def test_ratio(spark):
     want = [SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio() for a, b in pairs]
     got = values(spark, pairs, ratio("x", "y"), length_bound(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit(""))))
     assert [g[0] for g in got] == want and all(r <= b + 1e-12 for r, b in got)
+
+
+def test_accents_are_folded_in_searches(spark):
+    from recollect.functions.text import count_terms, query_terms, tokens
+    from recollect.operators import search
+
+    row = spark.range(1).select(tokens(F.lit("Naïve CAFÉ café Straße Ñandú ệ 日本 йод")).alias("t"), count_terms(F.lit("café Cafe cafés"), ["cafe"]).alias("n")).first()
+    assert row.t == ["naive", "cafe", "cafe", "straße", "nandu", "e", "日本", "йод"] and row.n == [3, 2]
+    assert query_terms("Naïve naive ÉTÉ_x") == ["naive", "ete", "x"]
+    items = spark.createDataFrame([(1, "a naïve view", "", "", []), (2, "other", "", "", [])], "id int, title string, summary string, details string, tags array<string>")
+    for query in ("naive", "NAÏVE"):
+        assert [r.id for r in search.bm25(items, query).collect()] == [1]
