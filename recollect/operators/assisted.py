@@ -24,6 +24,7 @@ FAILURES = 10
 _DIGEST = "struct<title:string,category:string,summary:string,insights:array<string>,sparks:array<struct<content:string,code_snippet:string,language:string,tags:array<string>>>,follow_ups:array<string>,key_decisions:array<string>>"
 _MEMORIES = "struct<memories:array<struct<title:string,memory_type:string,scope:string,summary:string,hints:string,confidence:double,stability:double,tags:array<string>>>>"
 _STEPS = "struct<steps:array<string>>"
+_VERDICT = "struct<contradicts:boolean,reason:string>"
 
 
 def _parsed(answer: Column, shape: str) -> Column:
@@ -134,3 +135,28 @@ def model_steps(skills: DataFrame, feedback: DataFrame, model: Model | None = No
     prompt = F.concat(F.lit('Improve the steps of this skill and answer with one JSON object: {"steps": [...]}.\n'), F.concat_ws("\n", "name", "trigger", "description"), F.lit("\n"), listed, F.lit("\n"), F.coalesce("failures", F.lit("")))
     given = _answers(rows.withColumn("prompt", prompt), model, folder, **calls).withColumn("m", F.filter(_parsed(F.col("answer"), _STEPS)["steps"], lambda x: F.trim(x) != ""))
     return given.select("id", "at", F.when(F.size("m") > 0, F.col("m")).otherwise(plain).alias("steps"))
+
+
+def model_contradictions(pairs: DataFrame, items: DataFrame, model: Model | None = None, folder: str | None = None, **calls) -> DataFrame:
+    """(first_id, second_id, reason) of the pairs of memories that a model holds to contradict each other.
+
+    pairs: (first_id, second_id), as wiki.conflicts gives them; only profiles and procedures of one type and scope are
+    asked about. A pair without a clear answer, and every pair without a model, is judged by the rule that made it: it stays.
+    """
+    side = lambda n: items.select(F.col("id").alias(f"{n}_id"), F.struct("title", "summary", "memory_type", "scope").alias(n))
+    rows = pairs.select("first_id", "second_id").distinct().join(side("first"), "first_id").join(side("second"), "second_id")
+    kind = F.col("first.memory_type")
+    rows = rows.filter(kind.isin("profile", "procedural") & (kind == F.col("second.memory_type")) & F.col("first.scope").eqNullSafe(F.col("second.scope")))
+    if model is None:
+        return rows.select("first_id", "second_id", F.lit("rule").alias("reason"))
+    prompt = F.concat_ws("\n", F.lit('Would a user who follows both of these act against one of them? Answer with one JSON object: {"contradicts": true or false, "reason": "..."}.'), F.concat_ws(" | ", "first.title", "first.summary"), F.concat_ws(" | ", "second.title", "second.summary"))
+    given = _answers(rows.withColumn("prompt", prompt), model, folder, **calls).withColumn("m", _parsed(F.col("answer"), _VERDICT))
+    return given.filter(F.coalesce("m.contradicts", F.lit(True))).select("first_id", "second_id", F.when(F.col("m.contradicts").isNull(), "rule").otherwise(F.coalesce("m.reason", F.lit(""))).alias("reason"))
+
+
+def with_conflict_tags(items: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """items, those of a contradiction tagged `potential-conflict`; tags stay sorted and each once."""
+    hit = contradictions.select(F.col("first_id").alias("id")).unionByName(contradictions.select(F.col("second_id").alias("id"))).distinct().withColumn("_hit", F.lit(True))
+    rows = items.join(hit, "id", "left")
+    tags = F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("potential-conflict"))))
+    return rows.withColumn("tags", F.when(F.col("_hit"), tags).otherwise(F.col("tags"))).drop("_hit")

@@ -254,6 +254,35 @@ def repeated_patterns(digests_: DataFrame, least: int = 3) -> DataFrame:
     return words.join(F.broadcast(sizes), "category").filter(F.col("count") >= F.floor(F.col("insights") / 2)).select("category", "insights", "keyword", "count")
 
 
+def skills_from_patterns(digests_: DataFrame, least: int = 3, steps: int = 5) -> DataFrame:
+    """A draft skill for each category whose insights share words (repeated_patterns): its steps are the category's first
+    insights (by time, digest and place; 200 characters of each), its tags the category and its three most frequent words.
+
+    The first steps and words are taken by limits on ranks, before anything is gathered; source_digests counts the digests.
+    """
+    words = repeated_patterns(digests_, least)
+    place = lambda *order: F.row_number().over(Window.partitionBy("category").orderBy(*order))
+    top = words.withColumn("_n", place(F.desc("count"), "keyword")).filter(F.col("_n") <= 3)
+    tags = top.groupBy("category").agg(F.first("insights").alias("insights"), F.transform(F.array_sort(F.collect_list(F.struct("_n", "keyword"))), lambda x: x["keyword"]).alias("words"))
+    said = digests_.filter(F.col("status") == "active").select("category", "created_at", "id", F.posexplode("insights").alias("at", "insight"))
+    first = said.withColumn("_n", place("created_at", "id", "at")).filter(F.col("_n") <= steps)
+    first = first.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "insight"))), lambda x: F.substring(x["insight"], 1, 200)).alias("steps"))
+    sources = said.groupBy("category").agg(F.countDistinct("id").alias("source_digests"))
+    rows = tags.join(first, "category").join(sources, "category")
+    return rows.select(
+        stable_id(F.lit("pattern"), "category").alias("id"),
+        F.concat(F.initcap("category"), F.lit(" 技能")).alias("name"),
+        F.concat(F.lit("执行 "), "category", F.lit(" 相关任务")).alias("trigger"),
+        F.concat(F.lit("从 "), F.col("insights").cast("string"), F.lit(" 个 Dream 的洞见中抽取的 "), "category", F.lit(" 技能")).alias("description"),
+        "steps",
+        F.concat(F.array("category"), "words").alias("tags"),
+        F.col("category").alias("source_task_type"),
+        F.lit(0.5).alias("confidence"),
+        "source_digests",
+        F.lit("draft").alias("status"),
+    )
+
+
 def questions(digests_: DataFrame) -> DataFrame:
     """(digest_id, question_no, question) of all follow-ups."""
     return digests_.select(F.col("id").alias("digest_id"), F.posexplode("follow_ups").alias("question_no", "question"))

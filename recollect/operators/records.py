@@ -51,13 +51,7 @@ def digest_pages(digests: DataFrame) -> DataFrame:
     Columns that a table lacks are left out of the page. `code` holds the code of each fragment, in their order.
     """
     tools = _of(digests, "participant_tools", NONE)
-    code = _list(_of(digests, "code", "array<struct<lang:string,code:string>>"), "array<struct<lang:string,code:string>>")
-    sparks = F.arrays_zip(_list(_of(digests, "fragments", NONE)).alias("content"), code.alias("code"))
-
-    def spark(x: Column, i: Column) -> Column:
-        shown = F.when(F.coalesce(x["code"]["code"], F.lit("")) != "", F.concat(F.lit("\n```"), F.coalesce(x["code"]["lang"], F.lit("")), F.lit("\n"), x["code"]["code"], F.lit("\n```"))).otherwise("")
-        return F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(x["content"], F.lit("")), shown, F.lit("\n"))
-
+    sparks = _fragments(digests)
     summary = _said("摘要", F.col("summary"))
     tags = _list(_of(digests, "tags", NONE))
     page = _text(
@@ -70,7 +64,7 @@ def digest_pages(digests: DataFrame) -> DataFrame:
         F.when(summary.isNotNull(), F.concat(F.lit("\n"), summary)),
         _section("核心洞见", _list(F.col("insights")), _numbered),
         _section("关键决策", _list(F.col("key_decisions")), _bullet),
-        _section("知识碎片", sparks, spark),
+        _section("知识碎片", sparks, _spark),
         _section("待探索问题", _list(F.col("follow_ups")), _bullet),
         _section("关联记忆", _list(_of(digests, "related_memory_ids", NONE)), lambda x, _: F.concat(F.lit("- [["), x, F.lit("]]"))),
         F.when(F.size(tags) > 0, F.concat(F.lit("\n**标签**: "), F.array_join(tags, ", "))),
@@ -78,6 +72,33 @@ def digest_pages(digests: DataFrame) -> DataFrame:
     return digests.select("id", page.alias("content"))
 
 
+def _spark(x: Column, i: Column) -> Column:
+    """A fragment with its code, under a number."""
+    shown = F.when(F.coalesce(x["code"]["code"], F.lit("")) != "", F.concat(F.lit("\n```"), F.coalesce(x["code"]["lang"], F.lit("")), F.lit("\n"), x["code"]["code"], F.lit("\n```"))).otherwise("")
+    return F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(x["content"], F.lit("")), shown, F.lit("\n"))
+
+
+def _fragments(digests: DataFrame) -> Column:
+    kind = "array<struct<lang:string,code:string>>"
+    return F.arrays_zip(_list(_of(digests, "fragments", NONE)).alias("content"), _list(_of(digests, "code", kind), kind).alias("code"))
+
+
+def brainstorm_pages(digests: DataFrame) -> DataFrame:
+    """(path, content) for the folder of ideas: a page for each active digest, one with its reasoning where it has decisions or fragments, and one for each open question."""
+    active = digests.filter(F.col("status") == "active")
+    made = F.concat(F.lit("**生成时间**: "), F.coalesce(F.col("created_at").cast("string"), F.lit("")))
+    plain = digest_pages(active).select(F.concat(F.lit("dreams/"), "id", F.lit(".md")).alias("path"), "content")
+    decisions, sparks = _list(F.col("key_decisions")), _fragments(active)
+    section = lambda heading, items, line: F.when(F.size(items) > 0, F.concat(F.lit(f"## {heading}\n\n"), F.array_join(F.transform(items, line), "\n"), F.lit("\n")))
+    reasons = F.concat_ws("\n", F.concat(F.lit("# "), "title", F.lit(" - 推理过程\n")), F.concat(made, F.lit("\n")), section("关键决策", decisions, _numbered), section("知识碎片", sparks, _spark))
+    thought = active.filter((F.size(decisions) > 0) | (F.size(sparks) > 0)).select(F.concat(F.lit("dreams/"), "id", F.lit("-reasoning.md")).alias("path"), reasons.alias("content"))
+    asked = active.select("id", "title", made.alias("_made"), F.posexplode("follow_ups").alias("_n", "question"))
+    source = F.concat(F.lit("**来源 Dream**: ["), "title", F.lit("](dreams/"), "id", F.lit(".md)"))
+    text = F.concat_ws("\n", F.lit("# 待探索问题\n"), source, "_made", F.lit("**状态**: 待探索\n\n## 问题\n"), F.concat("question", F.lit("\n")), F.lit("## 探索记录\n\n_在此记录探索过程和结论..._"))
+    open_ = asked.select(F.concat(F.lit("questions/"), "id", F.lit("-q"), (F.col("_n") + 1).cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
+    return plain.unionByName(thought).unionByName(open_)
+
+
 def skill_pages(skills: DataFrame) -> DataFrame:
     """(id, content): a page for each skill (with_skill_defaults): what it is for, tags, tools, steps, examples, and how it did."""
     outputs, needs = _list(_of(skills, "expected_outputs", NONE)), _of(skills, "step_tools", "array<array<string>>")

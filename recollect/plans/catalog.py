@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import time as TM
 from ..functions import vocabulary as V
-from ..operators import analytics, digest, distill, govern, index, lifecycle, records, render, search, vault, wiki
+from ..operators import analytics, assisted, digest, distill, govern, index, lifecycle, records, render, search, vault, wiki
 from ..operators.segments import SearchIndex
 from ..operators.vectors import VectorIndex
+from ..sources import transcripts
 from ..sources.model import memories, raw_events, shared_folder, table
 from ..streaming.ingest import land_new, read_new
 from . import sql as S
@@ -276,13 +277,21 @@ def insert_or_ignore(spark, sf):
     return index.insert_or_ignore(table(spark, sf, "labels").select("doc_id"), new, "doc_id")
 
 
-@registered("SELECT conv_id, turn, last_value(CASE WHEN role = 'system' OR turn = 0 THEN 'dir/' || (length(text) % 7) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cwd FROM conversations")
-def forward_fill_session_meta(spark, sf):
-    """The last meta line's value carried on to the lines after it."""
+def _session_lines(spark, sf):
+    """Conversations as the lines of one session file for each language of their first letter: meta lines, then messages."""
     c = table(spark, sf, "conversations")
-    meta = F.when((F.col("role") == "system") | (F.col("turn") == 0), F.concat(F.lit("dir/"), (F.length("text") % 7).cast("string")))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("conv_id", "turn", F.last(meta, ignorenulls=True).over(w).alias("cwd"))
+    said = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("payload")))
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/dir"), (F.length("text") % 7).cast("string")).alias("cwd"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("id")).alias("payload")))
+    rows = c.filter("role = 'system' or turn = 0").select("conv_id", (F.col("turn") * 2).alias("at"), meta.alias("raw_json")).unionByName(c.select("conv_id", (F.col("turn") * 2 + 1).alias("at"), said.alias("raw_json")))
+    return rows.select(F.concat(F.lit("f"), (F.col("conv_id") % 3).cast("string")).alias("source_path"), (F.col("conv_id") * 1000 + F.col("at")).cast("int").alias("line_no"), "raw_json")
+
+
+@registered(
+    "SELECT (conv_id * 1000 + turn * 2 + 1)::INT AS line_no, 'f' || conv_id % 3 AS source_path, last_value(CASE WHEN role = 'system' OR turn = 0 THEN 's' || conv_id END IGNORE NULLS) OVER w AS session_id, last_value(CASE WHEN role = 'system' OR turn = 0 THEN '/w/dir' || length(text) % 7 END IGNORE NULLS) OVER w AS cwd, role, trim(text) AS text FROM conversations WINDOW w AS (PARTITION BY conv_id % 3 ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+)
+def forward_fill_session_meta(spark, sf):
+    """Messages of session files with the folder and session of the last meta line before them."""
+    return transcripts.codex_session(_session_lines(spark, sf)).select("line_no", "source_path", "session_id", "cwd", "role", "text")
 
 
 @registered("SELECT source_tool, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT 'chat' AS source_tool, conv_id * 3600 + turn * 60 AS ts FROM conversations UNION ALL SELECT event_type, floor(epoch(ts))::BIGINT - 1704067200 FROM events) GROUP BY source_tool")
@@ -650,6 +659,29 @@ def digest_pages(spark, sf):
     return records.digest_pages(_digests(spark, sf))
 
 
+@registered(
+    f"""WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT chunk_id, min(timestamp) AS created_at FROM chunked GROUP BY 1), d AS (SELECT * FROM dig JOIN p USING (chunk_id)), made AS (SELECT *, '**生成时间**: ' || created_at AS made_at FROM d)
+ SELECT 'dreams/' || id || '.md' AS path, NULL AS content FROM made UNION ALL SELECT 'dreams/' || id || '-reasoning.md', '# ' || title || ' - 推理过程' || chr(10) || chr(10) || made_at || chr(10) || chr(10) || '## 关键决策' || chr(10) || chr(10) || array_to_string([i || '. ' || x for x, i in key_decisions], chr(10)) || chr(10) FROM made WHERE len(key_decisions) > 0
+ UNION ALL SELECT 'questions/' || id || '-q' || n || '.md', concat_ws(chr(10), '# 待探索问题', '', '**来源 Dream**: [' || title || '](dreams/' || id || '.md)', made_at, '**状态**: 待探索', '', '## 问题', '', question, '', '## 探索记录', '', '_在此记录探索过程和结论..._') FROM (SELECT *, unnest(follow_ups) AS question, unnest(range(1, len(follow_ups) + 1)) AS n FROM made)"""
+)
+def brainstorm_pages(spark, sf):
+    """Pages of digests, their reasoning and open questions; the digests' own content is digest_pages'."""
+    pages = records.brainstorm_pages(_digests(spark, sf))
+    return pages.select("path", F.when(~F.col("path").rlike("^dreams/[0-9a-f]+[.]md$"), F.col("content")).alias("content"))
+
+
+@registered(
+    f"""WITH {S.EVENTS}, {_CHUNKS}, {_DIGEST}, p AS (SELECT chunk_id, min(timestamp) AS created_at FROM chunked GROUP BY 1), i AS (SELECT category, created_at, id, unnest(insights) AS insight, unnest(range(len(insights))) AS pos FROM dig JOIN p USING (chunk_id)),
+ n AS (SELECT category, count(*) AS insights, count(DISTINCT id) AS source_digests FROM i GROUP BY 1 HAVING count(*) >= 3), w AS (SELECT category, keyword, count(*) AS c FROM (SELECT category, unnest(regexp_extract_all(lower(insight), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS keyword FROM i) GROUP BY ALL),
+ k AS (SELECT category, array_to_string(list(keyword ORDER BY c DESC, keyword), ',') AS words FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY c DESC, keyword) AS r FROM w JOIN n USING (category) WHERE c >= insights // 2) WHERE r <= 3 GROUP BY 1),
+ s AS (SELECT category, array_to_string(list(substr(insight, 1, 200) ORDER BY r), chr(10)) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at, id, pos) AS r FROM i) WHERE r <= 5 GROUP BY 1)
+ SELECT {S.stable_id("'pattern'", 'n.category')} AS id, '从 ' || insights || ' 个 Dream 的洞见中抽取的 ' || n.category || ' 技能' AS description, steps, n.category || ',' || words AS tags, source_digests FROM n JOIN k ON k.category = n.category JOIN s ON s.category = n.category"""
+)
+def skills_from_patterns(spark, sf):
+    """Skills out of what the insights of a category repeat."""
+    return digest.skills_from_patterns(_digests(spark, sf)).select("id", "description", F.array_join("steps", "\n").alias("steps"), F.array_join("tags", ",").alias("tags"), "source_digests")
+
+
 @registered(
     """SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || '**描述**: ' || p_name || ' ' || p_type || chr(10) || '**触发条件**: ' || p_type || chr(10) || chr(10) || '**标签**: ' || p_brand || chr(10) || chr(10) || '**所需工具**: ' || lower(p_brand) || chr(10) || chr(10) || '## 执行步骤' || chr(10) || array_to_string([i || '. ' || x for x, i in string_split(p_type, ' ')], chr(10)) || chr(10) || chr(10)
  || '---' || chr(10) || '*技能版本: 1 | 使用次数: ' || p_size + 1 || ' | 成功率: ' || round_even(p_size * 100e0 / (p_size + 1), 0)::INT || '%*' || chr(10) AS content FROM part"""
@@ -775,6 +807,14 @@ def wiki_conflicts(spark, sf):
     return wiki.conflicts(memories(spark, sf), YES, NO)
 
 
+@registered(f"WITH {S.MEMORIES}, {_TOPICS}, pr AS (SELECT id, topic, coalesce(project_key, '-') AS project, memory_type, {S.token_set('title')} AS words, {_POL} AS pol FROM topic), c AS (SELECT a.id AS yes, b.id AS no FROM pr a JOIN pr b ON a.topic = b.topic AND a.project = b.project AND a.pol = 1 AND b.pol = -1 WHERE a.memory_type = b.memory_type AND a.memory_type IN ('profile', 'procedural') AND len(list_intersect(a.words, b.words)) >= 1) SELECT id FROM memories WHERE id IN (SELECT yes FROM c UNION SELECT no FROM c)")
+def tagged_contradictions(spark, sf):
+    """Memories that contradict another one, as they are tagged."""
+    m = memories(spark, sf)
+    found = assisted.model_contradictions(wiki.conflicts(m, YES, NO), m)
+    return assisted.with_conflict_tags(m, found).filter("array_contains(tags, 'potential-conflict')").select("id")
+
+
 _SIDES = f"sides AS (SELECT topic, project_key, unnest({S.token_set('title')}) AS word, {_POL} AS pol, id, title FROM topic)"
 
 

@@ -99,6 +99,26 @@ def _events(df: DataFrame, tool: str, kind: Column | str, session: Column, role:
     return df.select(*COLUMNS, "line_no")
 
 
+#: Lines of a file in one range of it.
+RANGE = 1 << 16
+
+
+def carried(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with the last value before or at each line of its file that isn't null, for each of some columns.
+
+    Lines are taken by ranges of RANGE line numbers: values are carried within a range, the last ones of each range (a row
+    for each) over the file's ranges, and what a range begins with is joined to its lines. So a file of any length is
+    spread over tasks.
+    """
+    rows = df.withColumn("_range", F.floor(F.col("line_no") / RANGE)).withColumns({f"_v_{n}": v for n, v in values.items()})
+    within = Window.partitionBy("source_path", "_range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("source_path", "_range").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("line_no"))).alias(f"_e_{n}") for n in values))
+    before = Window.partitionBy("source_path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select("source_path", "_range", *(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in values))
+    held = rows.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(within) for n in values}).join(begins, ["source_path", "_range"])
+    return held.select(*df.columns, *(F.coalesce(f"_l_{n}", f"_b_{n}").alias(n) for n in values))
+
+
 def codex_history(df: DataFrame) -> DataFrame:
     text = _get("$.text")
     return _events(df.filter(text.isNotNull()), "codex", "history_user_text", F.coalesce(_get("$.session_id"), _stem()), F.lit("user"), text, _get("$.ts"))
@@ -106,9 +126,8 @@ def codex_history(df: DataFrame) -> DataFrame:
 
 def codex_session(df: DataFrame) -> DataFrame:
     """Messages and tool calls; folder and session come from the last session_meta line before, in line order within the file."""
-    before = Window.partitionBy("source_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     meta = _get("$.type") == "session_meta"
-    df = df.withColumn("cwd_", F.last(F.when(meta, _get("$.payload.cwd")), ignorenulls=True).over(before)).withColumn("session_", F.last(F.when(meta, _get("$.payload.id")), ignorenulls=True).over(before))
+    df = carried(df, {"cwd_": F.when(meta, _get("$.payload.cwd")), "session_": F.when(meta, _get("$.payload.id"))})
     kind = _get("$.payload.type")
     items = df.filter(_get("$.type") == "response_item")
     text, role = _joined("$.payload.content"), _get("$.payload.role")

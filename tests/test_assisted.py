@@ -162,3 +162,18 @@ def test_what_profiles_dont_know_yet(spark):
     assert got["a"].synthesis == "扩展专业领域: 新增 spark ; 工具偏好进化: 尝试使用 awk, git, sed ; 技能优化: 改进 deploy 的执行策略"
     assert got["b"].antithesis == "成功率低的技能: deploy" and got["c"].thesis == "现有画像未记录显著偏好"
     assert lifecycle.inferred_dialectic(profiles.filter("user = 'b'"), items, skills.filter("id > 1")).count() == 0
+
+
+def test_contradictions_of_a_model(spark):
+    rows = [(i, f"t{i}", "s", "procedural" if i < 6 else "semantic", "global", ["b"] if i % 2 else None) for i in range(8)]
+    items = spark.createDataFrame(rows, "id int, title string, summary string, memory_type string, scope string, tags array<string>")
+    pairs = spark.createDataFrame([(0, 1), (0, 1), (2, 3), (4, 5), (6, 7), (5, 6)], "first_id int, second_id int")
+
+    def model(texts):
+        return ['{"contradicts": true, "reason": "r"}' if "t1 " in t else '{"contradicts": false}' if "t3 " in t else "perhaps" for t in texts]
+
+    found = assisted.model_contradictions(pairs, items, model)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, "r"), (4, 5, "rule")]
+    assert sorted((r.first_id, r.second_id) for r in assisted.model_contradictions(pairs, items).collect()) == [(0, 1), (2, 3), (4, 5)]
+    tags = {r.id: r.tags for r in assisted.with_conflict_tags(items, found).collect()}
+    assert tags[0] == ["potential-conflict"] and tags[1] == ["b", "potential-conflict"] and tags[2] is None and tags[3] == ["b"]

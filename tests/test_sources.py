@@ -72,3 +72,22 @@ def test_stream_lands_each_row_once(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], "id long, v string").write.parquet(f"{source}/2")
     land_new(read_new(spark, f"{source}/*", df.schema), "id", target, str(tmp_path / "cp1"))
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_values_are_carried_over_ranges_of_a_file(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from recollect.sources import transcripts
+
+    monkeypatch.setattr(transcripts, "RANGE", 8)
+    rng = random.Random(5)
+    rows = [(f, i, rng.choice([None] * 12 + ["a", "b"])) for f in "xy" for i in range(100) if rng.random() < 0.8]
+    want, last = {}, {}
+    for f, i, v in rows:
+        last[f] = v if v is not None else last.get(f)
+        want[f, i] = last[f]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "source_path string, line_no int, v string")
+    got = {(r.source_path, r.line_no): r.c for r in transcripts.carried(df, {"c": F.col("v")}).collect()}
+    assert got == want
