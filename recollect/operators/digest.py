@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.similarity import Matchable, common_letters, letter_counts
 from ..functions.text import all_matches, code_blocks, excerpt, first_match, has_any_lower, sentences_with, stable_id, token_set
-from .ranks import numbered
+from .ranks import dealt, numbered
 
 #: Messages of a chunk, and sessions shorter than this stay whole under their own id.
 CHUNK, WHOLE = 20, 4
@@ -169,7 +169,8 @@ def like_texts(digests_: DataFrame, memories: DataFrame, least: float = 0.3) ->
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["dt", "mt", "score"])
 
-    pairs = left.groupBy("level", "i", "j").cogroup(right.groupBy("level", "i", "j")).applyInArrow(run, "dt string, mt string, score double")
+    tile = ("level", "i", "j")
+    pairs = dealt(left, *tile).groupBy(*tile).cogroup(dealt(right, *tile).groupBy(*tile)).applyInArrow(run, "dt string, mt string, score double")
     return pairs.join(digests_.select("digest_id", "dt"), "dt").join(memories.select("memory_id", "mt"), "mt").select("digest_id", "memory_id", "score")
 
 

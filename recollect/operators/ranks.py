@@ -30,3 +30,13 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_at"))
     joined = placed.withColumn("_own", own).join(F.broadcast(sums), same, "left")
     return joined.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*rows.columns, name)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by their keys over as many partitions as shuffles have, and four for each core at least, whatever their size.
+
+    For few rows that cost much each (texts that are compared), which adaptive execution would put into one task by their bytes.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys)

@@ -15,7 +15,7 @@ from ..functions import vocabulary as V
 from ..functions.similarity import common_letters, common_subsequence, letter_counts, ratio
 from ..functions.text import clean_project_label, excerpt, is_poor_project_name, polarity, slug, token_set
 from ..sources.model import stored
-from .ranks import numbered
+from .ranks import dealt, numbered
 
 #: A topic with so many memories and summaries shorter than this on average is too broad.
 BROAD_ITEMS, BROAD_SUMMARY = 8, 80
@@ -434,7 +434,7 @@ def _like_titles(titles: DataFrame, least: float) -> DataFrame:
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["a", "b", "ab", "ba"])
 
-    return tiles.groupBy("part", "low", "high").applyInArrow(run, "a long, b long, ab double, ba double")
+    return dealt(tiles, "part", "low", "high").groupBy("part", "low", "high").applyInArrow(run, "a long, b long, ab double, ba double")
 
 
 def duplicate_classes(items: DataFrame, title: float = 0.83, both: float = 0.72) -> DataFrame:
@@ -464,7 +464,7 @@ def duplicate_concepts(items: DataFrame, title: float = 0.83, both: float = 0.72
     side = lambda n: classes.select(F.col("tid").alias(n), F.col("cid").alias(f"{n}_cid"), F.col("s").alias(f"{n}_s"))
     pairs = like.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("a_cid") <= F.col("b_cid")))
     same = F.col("a_s") == F.col("b_s")
-    rated = pairs.filter(~same).withColumn("s_ab", ratio("a_s", "b_s")).withColumn("s_ba", ratio("b_s", "a_s")).unionByName(pairs.filter(same).withColumn("s_ab", F.lit(1.0)).withColumn("s_ba", F.lit(1.0)))
+    rated = dealt(pairs.filter(~same), "a_cid", "b_cid").withColumn("s_ab", ratio("a_s", "b_s")).withColumn("s_ba", ratio("b_s", "a_s")).unionByName(pairs.filter(same).withColumn("s_ab", F.lit(1.0)).withColumn("s_ba", F.lit(1.0)))
     ok = lambda t, s: (F.col(t) >= title) | ((F.col(t) >= both) & (F.col(s) >= both))
     rated = rated.filter(ok("ab", "s_ab") | ok("ba", "s_ba")).select("a_cid", "b_cid", "ab", "ba", "s_ab", "s_ba")
     members = rows.join(classes.select("part", "t", "s", "cid"), ["part", "t", "s"])
