@@ -103,7 +103,10 @@ _indexes: dict[tuple[str, str], SearchIndex] = {}
 def _index(spark, sf) -> SearchIndex:
     """The stored index of the memories; built in the shared folder by the session's first search and read by all after it."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _indexes:
+    if key in _indexes:
+        _indexes[key].log.refresh()
+    # the shared folder may have been cleared meanwhile
+    if key not in _indexes or not _indexes[key].log.live():
         made = SearchIndex(spark, shared_folder(spark, "search-index"), search.WEIGHTS)
         # the given file is one row group, which is one task; texts are cut in many
         made.build(memories(spark, sf).repartition("id"))
