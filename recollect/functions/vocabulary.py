@@ -204,3 +204,6 @@ WEEKLY_DOCUMENTS = (
         ("只从明确复盘、明确决策、已验证规则中提炼。", "过滤过程话术、计划草稿、系统提示和没有结论的执行记录。"),
     ),
 )
+
+# fixed values: where a rule note says that it comes from, before its tool, and the tag that all rule notes have
+RULE_SOURCE, RULE_TAG = "ai-memory:", "长期规则"

@@ -137,11 +137,11 @@ def rule_files(rules: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(held, lambda e: F.concat(F.lit("- "), F.coalesce(e["source_tool"], F.lit("")), F.lit(": "), excerpt(e["excerpt"], 120))), "\n")
     text = lambda c: F.coalesce(c, F.lit(""))
     body = F.concat(F.lit("# "), text("title"), F.lit("\n\n## 摘要\n"), text("summary"), F.lit("\n\n## 说明\n"), text("details"), F.lit("\n\n## 证据\n"), F.when(lines == "", "- 暂无证据摘要").otherwise(lines), F.lit("\n"))
-    tags = F.array_sort(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("长期规则"), F.col("memory_type")))))
+    tags = F.array_sort(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit(V.RULE_TAG), F.col("memory_type")))))
     updated = F.coalesce("last_seen_at", _or_null(rules, "reviewed_at"), "created_at")
     return rules.select(
         F.col("id").cast("string").alias("id"), F.substring(note_title(F.col("title"), F.lit("规则")), 1, 48).alias("title"), F.lit("rules").alias("folder"), F.lit("").alias("project"), F.lit("").alias("project_key"),
-        F.lit("规则").alias("type"), F.lit("active").alias("status"), F.concat(F.lit("ai-memory:"), "tool").alias("source"), tags.alias("tags"), F.col("created_at").alias("created"),
+        F.lit("规则").alias("type"), F.lit("active").alias("status"), F.concat(F.lit(V.RULE_SOURCE), "tool").alias("source"), tags.alias("tags"), F.col("created_at").alias("created"),
         updated.alias("updated"), "confidence", F.lit(1).alias("part"), body.alias("body"),
     )
 

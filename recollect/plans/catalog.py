@@ -968,7 +968,7 @@ _RULE_NOTES = f"""rn AS (SELECT *, substr({S.when_s('created_s')}, 1, 10) AS day
 
 @registered(
     f"""WITH {S.MEMORIES}, {_RULE_NOTES} SELECT id, base || CASE WHEN n2 > 1 THEN '-' || n2 ELSE '' END || '.md' AS path, 1 AS part,
- sha1('---' || chr(10) || 'project: ""' || chr(10) || 'project_key: ""' || chr(10) || 'type: "规则"' || chr(10) || 'status: "active"' || chr(10) || 'source: "ai-memory:' || tool || '"' || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(list_sort(list_distinct(list_concat(tags, ['长期规则', memory_type]))), lambda t: '  - ' || t), chr(10)) || chr(10) || 'created: "' || {S.when_s('created_s')} || '"' || chr(10) || 'updated: "' || {S.when_s('coalesce(seen_s, created_s)')} || '"' || chr(10) || 'confidence: "' || confidence || '"' || chr(10) || '---' || chr(10) || chr(10)
+ sha1('---' || chr(10) || 'project: ""' || chr(10) || 'project_key: ""' || chr(10) || 'type: "规则"' || chr(10) || 'status: "active"' || chr(10) || 'source: "{V.RULE_SOURCE}' || tool || '"' || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(list_sort(list_distinct(list_concat(tags, ['{V.RULE_TAG}', memory_type]))), lambda t: '  - ' || t), chr(10)) || chr(10) || 'created: "' || {S.when_s('created_s')} || '"' || chr(10) || 'updated: "' || {S.when_s('coalesce(seen_s, created_s)')} || '"' || chr(10) || 'confidence: "' || confidence || '"' || chr(10) || '---' || chr(10) || chr(10)
   || '# ' || title || chr(10) || chr(10) || '## 摘要' || chr(10) || summary || chr(10) || chr(10) || '## 说明' || chr(10) || details || chr(10) || chr(10) || '## 证据' || chr(10) || '- ' || tool || ': ' || title || chr(10)) AS content_sha1
  FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n2 FROM rp)"""
 )

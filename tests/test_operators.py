@@ -298,7 +298,7 @@ def test_files_of_the_vault(spark):
     rules = rules.withColumn("created_at", F.lit("2024-02-03T00:00:00+00:00")).withColumn("last_seen_at", F.lit(None).cast("string"))
     got = vault.files(vault.rule_files(rules)).orderBy("path").collect()
     assert [r.path for r in got] == ["rules/2024-02-03_规则_a-b- c-2.md", "rules/2024-02-03_规则_a-b- c.md"]
-    assert 'project: ""\n' in got[1].content and "tags:\n  - semantic\n  - x\n  - y\n  - 长期规则\ncreated:" in got[1].content and 'source: "ai-memory:shared"\n' in got[1].content and 'updated: "2024-02-03T00:00:00+00:00"' in got[1].content
+    assert 'project: ""\n' in got[1].content and "tags:\n  - semantic\n  - x\n  - y\n  - 长期规则\ncreated:" in got[1].content and f'source: "{V.RULE_SOURCE}shared"\n' in got[1].content and 'updated: "2024-02-03T00:00:00+00:00"' in got[1].content
     assert got[0].content.endswith("## 证据\n- 暂无证据摘要\n")
     notes = spark.createDataFrame([(1, "t", "we decide: " + "x" * 90), (2, "t", "rule " + "x" * 90), (3, "t", " rule" + " " * 99), (4, "t", None), (5, "t", "a rule " + "y" * 999)], "note_id long, title string, text string")
     made = vault.imported(notes, notes.filter("note_id = 5").select("note_id")).collect()
