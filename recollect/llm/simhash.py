@@ -19,6 +19,8 @@ TREE, STEP, LARGE = 8192, 1 << 16, 4096
 FEW, SHARE = 100, 2000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: The bits of a byte as eight counters of a byte each, and the most that such a counter holds.
+_COUNTERS, MOST = _BITS.astype(np.uint8).view(np.uint64).ravel(), 255
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -55,6 +57,35 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return long_texts(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers dealt anew, one to one: every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprints(sets: list[np.ndarray], bits: int, seed: int = 42) -> np.ndarray:
+    """The SimHash, of `bits` bits in words of 64, of each set of different 64-bit shingle hashes; sets mustn't be empty.
+
+    Each word has hashes of its own, mixed from the given ones. A bit is set if over half of the set's hashes have it.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    # counters of a byte: a set is added up in pieces
+    pieces = -(-sizes // MOST)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + MOST * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    out = np.empty((len(sets), bits // 8), np.uint8)
+    for at in range(0, bits // 8, 8):
+        step = (0x9E3779B97F4A7C15 * (seed + at // 8 + 1)) & 0xFFFFFFFFFFFFFFFF
+        h = mixed(flat + np.uint64(step)).view(np.uint8).reshape(-1, 8)
+        for j in range(8):
+            counts = np.add.reduceat(_COUNTERS[h[:, j]], cuts).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+            out[:, at + j] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64)
+
+
 class BkTree:
     """A BK-tree of 64-bit numbers: a child hangs at its Hamming distance to its parent."""
 

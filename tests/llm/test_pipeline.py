@@ -1,11 +1,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recollect.llm import pii
+from recollect.llm import jaccard, pii, simhash
 from recollect.llm.tokens import load
 
 from .test_operators import BYTE, naive_bfd, plain_fingerprint, plain_removal, reachable, sha
@@ -102,6 +103,46 @@ def test_near_copies_go_by_similarity(spark):
     assert sorted(i for i in kept if i is not None) == sorted(set(label)) and kept.count(None) == 1
 
 
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """The stage's candidates come of SimHash tables alone; fingerprints, tables and groups against their plain definitions."""
+    rng = np.random.default_rng(8)
+    some = lambda n: np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+    sets = [some(n) for n in (1, 2, 4, 5, 9, 10, 254, 255, 256, 600)]
+    got = simhash.wide_fingerprints(sets, 128, seed=5)
+    for s, words in zip(sets, got, strict=True):
+        for at, word in enumerate(words.tolist()):
+            own = simhash.mixed(s + np.uint64(0x9E3779B97F4A7C15 * (6 + at) & (1 << 64) - 1)).tolist()
+            for bit in range(64):
+                on = [h >> bit & 1 for h in own]
+                assert word >> bit & 1 == (sum(on) * 2 > len(on))
+
+    # pairs with a similarity of 0.8
+    for c, x, y in ((4, 1, 0), (8, 2, 0), (8, 1, 1), (80, 10, 10), (400, 100, 0)):
+        parts = [(some(c), some(x), some(y)) for _ in range(200)]
+        one, two = (simhash.wide_fingerprints([np.sort(np.r_[p[0], p[i]]) for p in parts], jaccard.BITS) for i in (1, 2))
+        differ = np.unpackbits((one ^ two).view(np.uint8), axis=1, bitorder="little")
+        assert abs(differ.mean() - jaccard.differing(0.8)) < (0.015 if c > 50 else 0.045)
+        assert (differ.sum(axis=1) <= jaccard.farthest(jaccard.BITS, 0.8)).all() and (~differ[:, jaccard.tables(50_000, 0.8)].any(axis=2)).any(axis=1).mean() >= 0.99
+
+    # groups of a bucket, below and above a block
+    for count in (40, 700):
+        base = rng.integers(0, 1 << 63, (5, 2), np.uint64)
+        f = np.concatenate([base[rng.integers(0, 5, count)] ^ (np.uint64(1) << rng.integers(0, 64, (count, 2), np.uint64)), rng.integers(0, 1 << 63, (20, 2), np.uint64)])
+        n = rng.choice([50, 55, 100], len(f))
+        near = lambda i, j, f=f, n=n: np.bitwise_count(f[i] ^ f[j]).sum() <= 42 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
+        label = np.arange(len(f))
+        first, other = jaccard.bucket_groups(n, list(f.T), 0.8, 42)
+        label[other] = first
+        assert label.tolist() == reachable(len(f), near) and len(set(label.tolist())) > 20
+
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:99])), (3, " ".join(words).upper())], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert [r.doc_id for r in stage(spark, docs, "").collect()] == [1]
+    monkeypatch.setattr(jaccard, "tables", lambda *_: np.zeros((0, jaccard.KEY), np.int64))
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
 def test_registered_queries_run(spark):
     from recollect.llm.queries import ORACLE_SQL, QUERIES
