@@ -143,6 +143,44 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch):
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 2]
 
 
+def test_rows_go_on_only_where_a_pair_is_looked_at(spark, monkeypatch):
+    """Of texts that are half alike and fall in most tables together, a row goes on for the tables of its plausible pairs alone, each pair in the first of its tables."""
+    rng = random.Random(17)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(60):  # similarities of about 0.5 to 0.7 with each other, below 0.8
+        own = list(template)
+        for at in rng.sample(range(0, 120, 8), rng.randint(4, 7)):
+            own[at] = f"w{i}x{at}"
+        texts.append(" ".join(own))
+    texts += [t + " end" for t in texts[:60:20]]
+    sets = [set(zip(*(w[n:] for n in range(5)), strict=False)) for w in map(str.split, texts)]
+    label = reachable(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(label)) > 50
+
+    hashes = jaccard.shingle_sets(texts)
+    low, n = simhash.wide_fingerprints(hashes, jaccard.BITS), [len(h) for h in hashes]
+    far = jaccard.farthest(jaccard.BITS, 0.8)
+    places = jaccard.tables(len({h.tobytes() for h in hashes}), 0.8)
+    looked_at = set()
+    for i, j in ((i, j) for j in range(len(texts)) for i in range(j)):
+        differ = np.unpackbits((low[i] ^ low[j]).view(np.uint8), bitorder="little")
+        if differ.sum() <= far and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
+            looked_at |= {(at, x) for at in np.flatnonzero(~differ[places].any(axis=1))[:1].tolist() for x in (i, j)}
+    kept, plain = {}, jaccard.materialize
+
+    def spy(df, tag):
+        kept.setdefault(tag, []).append(out := plain(df, tag))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    rows = [(r["at"], r.rep) for r in kept["open"][-1].collect()]
+    assert rows and len(rows) == len(set(rows)) and set(rows) <= looked_at
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
 def test_registered_queries_run(spark):
     from recollect.llm.queries import ORACLE_SQL, QUERIES
