@@ -71,6 +71,28 @@ def test_labels(spark):
     assert values(spark, ["2024-05-31 00:00:01", "2024-05-30 12:00:00", None], TM.time_ago(F.to_timestamp("x"), now)) == ["今天", "1天前", "未知"]
 
 
+def test_times_to_come(spark):
+    now, rows = F.to_timestamp(F.lit("2024-06-01 00:00:00")), ["2024-05-31 00:00:00", "2024-06-01 00:00:00", "2024-06-01 01:00:00", "2024-06-02 00:00:00", "2024-06-03 23:00:00"]
+    got = values(spark, rows, TM.time_ago(F.to_timestamp("x"), now), TM.time_ago(F.to_timestamp("x"), now, to_zero=True))
+    assert got == [("1天前", "1天前"), ("今天", "今天"), ("-1天前", "今天"), ("-1天前", "-1天前"), ("-3天前", "-2天前")]
+
+
+def test_time_ago_against_sql(spark, tmp_path):
+    """Memories from before and after the day of the query, and one without an id."""
+    import duckdb
+
+    from recollect.plans import catalog
+
+    rows = [(i, "a text", "en", "s", 6) for i in (0, 3623, 3624, 3625, 3647, 3648, 3649, 3671, 3672, 3673, 9999, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = catalog.QUERIES["time_ago"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(catalog.ORACLE_SQL["time_ago"]).fetchall()))
+
+
 def test_ratio(spark):
     pairs = [("tide", "diet"), ("diet", "tide"), ("", ""), ("Abc", "aBC"), ("a" * 300 + "b", "b" + "a" * 300), (None, "x")]
     want = [SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio() for a, b in pairs]
