@@ -181,6 +181,27 @@ def test_rows_go_on_only_where_a_pair_is_looked_at(spark, monkeypatch):
     assert rows and len(rows) == len(set(rows)) and set(rows) <= looked_at
 
 
+def test_pairs_of_few_shingles_are_all_found(spark, monkeypatch):
+    """Pairs with a set of few shingles are found whatever tables they share, and whatever their fingerprints say."""
+    rng = random.Random(23)
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(5, 66))]
+        texts.append(" ".join(words))
+        for _ in range(3):  # one word less or more at an end, which 0.8 leaves from 9 words on
+            words = words[1:] if rng.random() < 0.5 else [*words, f"x{i}"]
+            texts.append(" ".join(words))
+    sets = [set(zip(*(w[n:] for n in range(5)), strict=False)) if len(w) > 4 else {tuple(w)} for w in map(str.split, texts)]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = reachable(len(texts), alike)
+    assert len(set(label)) < 80 and max(map(len, sets)) < jaccard.SMALL + 3
+    monkeypatch.setattr(jaccard, "tables", lambda *_: np.zeros((0, jaccard.KEY), np.int64))
+    monkeypatch.setattr(jaccard, "farthest", lambda *_: -1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
 def test_registered_queries_run(spark):
     from recollect.llm.queries import ORACLE_SQL, QUERIES
