@@ -5,19 +5,24 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, once, query_terms
 from ..sources.model import stored
-from .index import _runs, _texts, term_bucket
+from .index import _runs, _texts
 from .versions import Versions
 
 #: Postings in a block, about; levels of weight in a doubling; live segments of one size before they are merged.
 BLOCK, STEPS, WIDTH = 128, 4, 4
+#: Postings packed at once, and of a bucket in one task, about; keys up to which those of a change are broadcast.
+PACK, PART, MANY = 1 << 20, 1 << 20, 1 << 20
 K1, B = 1.2, 0.75
 #: What a search may filter by; blocks hold postings of one combination, so a filter leaves blocks out whole.
 FACETS = ("status", "scope", "project_key", "tool")
@@ -35,12 +40,128 @@ def _merged(runs: Column) -> Column:
     return once(F.array_sort(runs), lambda a: F.when(F.size(a) > 0, summed(a)).otherwise(F.array().cast("array<struct<term:string,weight:double>>")))
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StringArray, pa.Array]:
+    """(row, term, weight) of all terms of a batch of documents."""
+    held = batch.column("_terms")
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+    flat = pc.list_flatten(held)
+    return row, pc.struct_field(flat, "term").cast(pa.string()), pc.struct_field(flat, "weight")
+
+
+def _crc(terms: pa.Array) -> np.ndarray:
+    """The CRC-32 of each term, worked out once for equal ones."""
+    held = terms.dictionary_encode()
+    return np.array([zlib.crc32(t.encode()) for t in held.dictionary.to_pylist()], np.int64)[held.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64)
+
+
+def _over(weight: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """A posting's weight over its item's length, as BM25 has it."""
+    return weight / (K1 * ((1 - B) + B * length / mean))
+
+
+def _packed(key: str, facets: Sequence[str], mean: float, items: int, buckets: int, parts: int):
+    """A function that packs postings, some at a time, into one binary for each (bucket, part) in which their blocks lie.
+
+    How many ranges of hashes a group of postings needs is estimated from what is packed at once: hashes are spread evenly.
+    """
+
+    def packs(rows: list[tuple[pa.RecordBatch, np.ndarray, pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        docs = sum(b.num_rows for b, *_ in rows)
+        of = lambda c: pa.concat_arrays([b.column(c).take(pa.array(r)) for b, r, *_ in rows])
+        term, weight = (pa.concat_arrays([x[i] for x in rows]) for i in (2, 3))
+        held = pa.table({"term": term, **{f"f{i}": of(c) for i, c in enumerate(facets)}, "key": of(key), "w": weight, "d": of("_d")})
+        h, d, w = of("_h").to_numpy().view(np.uint64), held.column("d").to_numpy(), held.column("w").to_numpy()
+        level = np.floor(np.log2(_over(w, d, mean)) * STEPS).astype(np.int32)
+        # equal terms, facets and levels, numbered
+        crc, group = _crc(term), level.astype(np.int64)
+        mixed = crc.astype(np.uint64)
+        for c in ("term", *(f"f{i}" for i in range(len(facets)))):
+            codes = held.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            group = np.unique(group * len(codes.dictionary) + codes.indices.to_numpy(), return_inverse=True)[1]
+            if c != "term":
+                own = np.array([zlib.crc32(repr(x).encode()) for x in codes.dictionary.to_pylist()], np.uint64)
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[codes.indices.to_numpy()]
+        count = np.bincount(group)[group]
+        guess = ((count - 1) * (items / docs) + 1) / BLOCK
+        bits = np.ceil(np.log2(np.maximum(guess, 1))).astype(np.int32)
+        block = np.where(bits > 0, h >> (64 - np.maximum(bits, 1)).astype(np.uint64), 0).astype(np.int64)
+        for x in (level, bits, block):
+            mixed = (mixed ^ x.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+        target = crc % buckets * parts + (mixed % np.uint64(parts)).astype(np.int64)
+        held = held.append_column("level", pa.array(level)).append_column("bits", pa.array(bits)).append_column("block", pa.array(block))
+        order = np.lexsort((group, target))
+        held, target = held.take(pa.array(order)).combine_chunks(), target[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(target)) + 1, len(target)]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = held.slice(s, e - s)
+            own = pa.table([c.dictionary_encode().combine_chunks() if pa.types.is_string(c.type) else c for c in own.columns], names=own.column_names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(own)
+            yield pa.RecordBatch.from_arrays([pa.array([int(target[s])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["target", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for batch in batches:
+            row, term, weight = _flat(batch)
+            if len(row):
+                rows.append((batch, row, term, weight))
+                n += len(row)
+            if n >= PACK:
+                yield from packs(rows)
+                rows, n = [], 0
+        if rows:
+            yield from packs(rows)
+
+    return run
+
+
+def _blocks(facets: Sequence[str], mean: float, parts: int):
+    """A function that makes blocks of the packed postings of one bucket and part."""
+
+    def plain(x: pa.Table) -> pa.Table:
+        return pa.table([c.cast(c.type.value_type) if pa.types.is_dictionary(c.type) else c for c in x.columns], names=x.column_names)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = pa.concat_tables([plain(pa.ipc.open_stream(x).read_all()) for x in table.column("data").to_pylist()])
+        held = held.append_column("over", pa.array(_over(held.column("w").to_numpy(), held.column("d").to_numpy(), mean)))
+        by = ["term", *(f"f{i}" for i in range(len(facets))), "level", "bits", "block"]
+        made = held.group_by(by, use_threads=False).aggregate([("over", "max"), ("key", "list"), ("w", "list"), ("d", "list")])
+        lists = [made.column(f"{c}_list").combine_chunks() for c in ("key", "w", "d")]
+        n = pc.list_value_length(lists[0])
+        entries = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n.to_numpy())], pa.int32()), pa.StructArray.from_arrays([pc.list_flatten(x) for x in lists], ["key", "w", "d"]))
+        bucket = pa.array(np.full(made.num_rows, table.column("target")[0].as_py() // parts), pa.int32())
+        return pa.table([*(made.column(c) for c in by), n.cast(pa.int64()), made.column("over_max"), entries, bucket], names=["term", *facets, "level", "bits", "block", "n", "over", "entries", "bucket"])
+
+    return run
+
+
+def _dead_rows(key: str, facets: Sequence[str], buckets: int):
+    """A function that makes of documents (segment, key, facets, _d, _terms) a row for each bucket of their terms, and one in bucket -1 without terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, _ = _flat(batch)
+            bucket = _crc(term) % buckets
+            order = np.lexsort((bucket, row))
+            row, bucket, term = row[order], bucket[order], term.take(pa.array(order))
+            cuts = np.r_[0, np.flatnonzero(np.diff(row) | np.diff(bucket)) + 1] if len(row) else np.zeros(0, np.int64)
+            every = np.arange(batch.num_rows)
+            at, where = np.r_[every, row[cuts]], np.r_[np.full(len(every), -1), bucket[cuts]]
+            offsets = np.r_[np.zeros(len(every), np.int64), cuts, len(row)]
+            terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), term)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("segment", key, *facets, "_d")), terms, pa.array(where, pa.int32())], names=["of", key, *facets, "_d", "terms", "bucket"])
+
+    return run
+
+
 class SearchIndex:
     """BM25 over weighted fields of items, out of tables in a folder.
 
     Tables, each partitioned by segment: `docs` (an item's facets, length, terms, stamp and stored columns, by hash of the
     key), `postings` (blocks), `totals` (items and lengths by facets), `dead` (postings of items that a later segment
-    replaces or that are gone). A block holds the postings of one term, one combination of facets, one level of weight
+    replaces or that are gone, by item and bucket of the term). A block holds the postings of one term, one combination of facets, one level of weight
     over length and one range of key hashes: its header tells how many there are and how much any can weigh, so a
     search reads headers first and then only blocks that can hold one of the best items or a known candidate's posting.
 
@@ -68,35 +189,31 @@ class SearchIndex:
         return items.select(F.xxhash64(self.key).alias("_h"), stamp.alias("_stamp"), length.alias("_d"), _merged(runs).alias("_terms"), *kept)
 
     def _write(self, documents: DataFrame, tag: str) -> tuple[str, int]:
-        """A new segment of rows of `docs`; its name and size."""
-        name = f"{tag}-{uuid.uuid4().hex[:12]}"
-        if documents.isEmpty():
+        """A new segment of rows of `docs`, which are sorted by hash within their partitions; its name and size.
+
+        Documents are worked out once and written where they are; only packed postings are shuffled, once.
+        """
+        name, kinds = f"{tag}-{uuid.uuid4().hex[:12]}", dict(documents.dtypes)
+        at = lambda table: f"{self.folder}/{table}/segment={name}"
+        documents.write.option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(at("docs"))
+        own = self.spark.read.schema(documents.schema).parquet(at("docs"))
+        totals = own.groupBy(*self.facets).agg(F.count("*").alias("n"), F.sum("_d").alias("d"), F.sum(F.size("_terms")).alias("terms"))
+        totals.coalesce(1).write.parquet(at("totals"))
+        size, total, terms = self.spark.read.schema(totals.schema).parquet(at("totals")).agg(F.sum("n"), F.sum("d"), F.sum("terms")).first()
+        if not size:
             return name, 0
-        ranged = documents.repartitionByRange("_h").sortWithinPartitions("_h").withColumn("segment", F.lit(name))
-        ranged.write.mode("append").option("parquet.block.size", 8 << 20).partitionBy("segment").parquet(f"{self.folder}/docs")
-        own = self.spark.read.parquet(f"{self.folder}/docs").filter(F.col("segment") == name)
-        totals = stored(own.groupBy("segment", *self.facets).agg(F.count("*").alias("n"), F.sum("_d").alias("d")), "totals")
-        size, total = totals.agg(F.sum("n"), F.sum("d")).first()
-        totals.coalesce(1).write.mode("append").partitionBy("segment").parquet(f"{self.folder}/totals")
-        mean = max(total / size, 1e-9)
-        rows = own.select("segment", *self.facets, self.key, "_h", "_d", F.explode("_terms").alias("_t")).select("*", "_t.term", "_t.weight").drop("_t")
-        over = F.col("weight") / (K1 * ((1 - B) + B * F.col("_d") / mean))
-        rows = rows.withColumn("over", over).withColumn("level", F.floor(F.log2("over") * STEPS).cast("int"))
-        group = ["term", *self.facets, "level"]
-        large = rows.groupBy(*group).agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select(*(F.col(c).alias(f"_{c}") for c in group), F.ceil(F.log2(F.col("c") / BLOCK)).cast("int").alias("bits"))
-        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
-        placed = rows.join(large, same, "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-        placed = placed.withColumn("block", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_h, 64 - bits)")))
-        entry = F.struct(F.col(self.key).alias("key"), F.col("weight").alias("w"), F.col("_d").alias("d"), F.col("_h").alias("h"))
-        blocks = placed.groupBy("segment", *group, "bits", "block").agg(F.count("*").alias("n"), F.max("over").alias("over"), F.collect_list(entry).alias("entries"))
-        blocks = blocks.withColumn("mean", F.lit(mean)).withColumn("bucket", term_bucket("term", self.buckets))
-        blocks.repartition("bucket", F.pmod(F.xxhash64("block", "level"), F.lit(8))).sortWithinPartitions("bucket", "term", "level").write.mode("append").option("parquet.block.size", 4 << 20).partitionBy("segment", "bucket").parquet(f"{self.folder}/postings")
+        mean, parts = max(total / size, 1e-9), max(1, -(-terms // (self.buckets * PART)))
+        rows = own.select("_h", self.key, "_d", *self.facets, "_terms")
+        packed = rows.mapInArrow(_packed(self.key, self.facets, mean, size, self.buckets, parts), "target int, data binary")
+        known = ", ".join(f"`{c}` {kinds[c]}" for c in self.facets)
+        schema = f"term string, {known}, level int, bits int, block long, n long, over double, entries array<struct<key:{kinds[self.key]},w:double,d:long>>, bucket int"
+        blocks = packed.groupBy("target").applyInArrow(_blocks(self.facets, mean, parts), schema).withColumn("mean", F.lit(mean))
+        blocks.sortWithinPartitions("bucket", "term", "level").write.option("parquet.block.size", 4 << 20).option("compression", "zstd").partitionBy("bucket").parquet(at("postings"))
         return name, size
 
     def build(self, items: DataFrame) -> None:
         """Items in place of all that the index held."""
-        # written first: dealing by ranges reads its input twice
-        name, n = self._write(stored(self._documents(items), "documents"), "seg")
+        name, n = self._write(self._documents(items.sortWithinPartitions(F.xxhash64(self.key))), "seg")
         self.log.commit({name: n} if n else {}, list(self.log.live()))
 
     def apply(self, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
@@ -104,38 +221,36 @@ class SearchIndex:
 
         A key that both name is put in. Written: the changed items, their postings, and those of the versions they replace.
         """
-        fresh = None
-        live = self.documents()
+        live, added = self.documents(), {}
+        keys = [deleted.select(self.key)] if deleted is not None else []
+        if keys and changed is not None:
+            keys = [keys[0].join(changed.select(self.key), self.key, "left_anti")]
         if changed is not None:
-            made = stored(self._documents(changed), "changed")
-            known = live.select(F.col(self.key), "_stamp") if live is not None else made.select(self.key, "_stamp").limit(0)
-            fresh = stored(made.join(known, [self.key, "_stamp"], "left_anti"), "fresh")
-        added: dict[str, int] = {}
-        if live is not None:
-            gone = deleted.select(self.key).distinct() if deleted is not None else None
-            if gone is not None and changed is not None:
-                gone = gone.join(changed.select(self.key), self.key, "left_anti")
-            keys = [x for x in (gone, fresh.select(self.key).distinct() if fresh is not None else None) if x is not None]
-            if keys:
-                old = live.join(reduce(DataFrame.unionByName, keys), self.key, "left_semi")
-                added |= self._bury(old.select("segment", self.key, *self.facets, "_d", "_terms"))
-        if fresh is not None:
-            name, n = self._write(fresh, "seg")
-            added |= {name: n} if n else {}
+            fresh = self._documents(changed)
+            if live is not None:
+                fresh = fresh.join(live.select(self.key, "_stamp"), [self.key, "_stamp"], "left_anti")
+            name, n = self._write(fresh.sortWithinPartitions("_h"), "seg")
+            if n:
+                added[name] = n
+                keys.append(self.spark.read.schema(fresh.schema).parquet(f"{self.folder}/docs/segment={name}").select(self.key))
+        if live is not None and keys:
+            keys = stored(reduce(DataFrame.unionByName, keys).distinct(), "keys")
+            # the documents' terms are shuffled only for a change of very many
+            some = F.broadcast(keys) if keys.count() <= MANY else keys
+            added |= self._bury(live.select("segment", self.key, *self.facets, "_d", "_terms").join(some, self.key, "left_semi"))
         if added:
             self.log.commit(added)
             self.merge()
 
     def _bury(self, old: DataFrame) -> dict[str, int]:
         """Write the postings and totals of versions that are gone; {name: number of versions}."""
-        name = f"dead-{uuid.uuid4().hex[:12]}"
-        rows = old.select(F.lit(name).alias("batch"), F.col("segment").alias("of"), self.key, *self.facets, "_d", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.transform("_terms", lambda t: t["term"]))).alias("term"))
-        rows = stored(rows.withColumn("bucket", F.coalesce(term_bucket("term", self.buckets), F.lit(-1))), "dead")
-        n = rows.filter("term is null").count()
-        if not n:
-            return {}
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.folder}/dead")
-        return {name: n}
+        name, kinds = f"dead-{uuid.uuid4().hex[:12]}", dict(old.dtypes)
+        known = ", ".join(f"`{c}` {kinds[c]}" for c in (self.key, *self.facets))
+        rows = old.mapInArrow(_dead_rows(self.key, self.facets, self.buckets), f"of string, {known}, _d long, terms array<string>, bucket int")
+        path = f"{self.folder}/dead/batch={name}"
+        rows.repartition("bucket").sortWithinPartitions("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        n = self.spark.read.schema(rows.schema).parquet(path).filter("bucket = -1").count()
+        return {name: n} if n else {}
 
     def merge(self, everything: bool = False) -> None:
         """Make one segment of WIDTH or more of a size, until there are none; everything: of all that is live."""
@@ -150,7 +265,7 @@ class SearchIndex:
             if not full:
                 return
             ks = full[0]
-            name, n = self._write(self._alive(self._table("docs", ks)).drop("segment"), "seg")
+            name, n = self._write(self._alive(self._table("docs", ks)).drop("segment").sortWithinPartitions("_h"), "seg")
             self.log.commit({name: n} if n else {}, ks)
             if dead := self._live("dead-"):
                 of_live = self._table("dead", dead, "batch").filter(F.col("of").isin(*self._live("seg-"))).select("batch").distinct()
@@ -179,7 +294,7 @@ class SearchIndex:
         dead = self._buried()
         if dead is None:
             return rows
-        return rows.join(dead.filter("term is null").select(F.col("of").alias("segment"), self.key), ["segment", self.key], "left_anti")
+        return rows.join(dead.filter("bucket = -1").select(F.col("of").alias("segment"), self.key), ["segment", self.key], "left_anti")
 
     def documents(self) -> DataFrame | None:
         """The live rows of `docs`; None before anything was written."""
@@ -206,11 +321,11 @@ class SearchIndex:
     def _dead_terms(self, terms: Sequence[str], fine: Column) -> DataFrame | None:
         dead = self._buried()
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
-        return None if dead is None else dead.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms) & fine)
+        return None if dead is None else dead.filter(F.col("bucket").isin(*buckets) & fine).select("of", self.key, F.explode("terms").alias("term")).filter(F.col("term").isin(*terms))
 
     def _entries(self, blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
         """(term, key, weight, d, h): the live postings in some blocks."""
-        rows = blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", F.col("e.key").alias(self.key), F.col("e.w").alias("weight"), F.col("e.d").alias("d"), F.col("e.h").alias("h"))
+        rows = blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", F.col("e.key").alias(self.key), F.col("e.w").alias("weight"), F.col("e.d").alias("d"), F.xxhash64("e.key").alias("h"))
         if dead is not None:
             rows = rows.join(dead.select(F.col("of").alias("segment"), self.key, "term"), ["segment", self.key, "term"], "left_anti")
         return rows.drop("segment")
@@ -231,7 +346,7 @@ class SearchIndex:
         n, d = totals[0] or 0, totals[1] or 0
         lost: dict[str, int] = {}
         if dead is not None:
-            buried = self._buried().filter(fine & F.col("term").isNull()).agg(F.count("*"), F.sum("_d")).first()
+            buried = self._buried().filter(fine & (F.col("bucket") == -1)).agg(F.count("*"), F.sum("_d")).first()
             n, d = n - buried[0], d - (buried[1] or 0)
             lost = {r[0]: r[1] for r in dead.groupBy("term").count().collect()}
         if not n:

@@ -75,6 +75,30 @@ def test_search_and_context_over_the_index(spark, tmp_path):
         assert sorted(rows(search.memory_context(items, query, None, "p", "t", index=index).select("section", "rank", "id"))) == sorted(want) and want
 
 
+def test_texts_are_shuffled_once_and_packed(spark, tmp_path, monkeypatch):
+    """A build shuffles its postings alone, a few bytes of each; blocks packed in several goes are those of a scan."""
+    rng = random.Random(9)
+    rows = [made(rng, i) for i in range(600)]
+    spark.createDataFrame(rows, COLUMNS).repartition(4).write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    monkeypatch.setattr(segments, "BLOCK", 16)
+    monkeypatch.setattr(segments, "PACK", 500)
+    monkeypatch.setattr(segments, "PART", 300)
+    exchanges = lambda: sum(s.shuffleWriteBytes() for s in map(store.lastStageAttempt, range(before, jobs())))
+    store, jobs = spark.sparkContext._jsc.sc().statusStore(), lambda: max((s.stageId() for s in _seq(store)), default=-1) + 1
+
+    def _seq(store):
+        held = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [held.apply(i) for i in range(held.size())]
+
+    index = segments.SearchIndex(spark, f"file://{tmp_path}/ix", search.WEIGHTS, buckets=3)
+    before = jobs()
+    index.build(items)
+    postings = sum(len({*(w for t in (r[1], r[2], r[3]) for w in t.split()), *r[4]}) for r in rows)
+    assert 0 < exchanges() < 60 * postings
+    same(index, items, rng)
+
+
 def test_index_without_items(spark, tmp_path):
     index = segments.SearchIndex(spark, f"file://{tmp_path}/ix", search.WEIGHTS)
     assert index.items() is None and index.top("w1", 5).count() == 0
