@@ -12,7 +12,7 @@ from ..functions import vocabulary as V
 from ..functions.providers import FEWEST, MOST, Model, answers, json_in
 from ..functions.text import stable_id
 from ..sources.model import shared_folder, stored
-from . import distill
+from . import distill, wiki
 from .digest import chunks, digests
 from .ranks import numbered
 
@@ -154,9 +154,16 @@ def model_contradictions(pairs: DataFrame, items: DataFrame, model: Model | None
     return given.filter(F.coalesce("m.contradicts", F.lit(True))).select("first_id", "second_id", F.when(F.col("m.contradicts").isNull(), "rule").otherwise(F.coalesce("m.reason", F.lit(""))).alias("reason"))
 
 
+def contradicting(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
+    """(id) of the memories that model_contradictions names without a model, of the conflicts of items, without their pairs."""
+    asked = items.filter(F.col("memory_type").isin("profile", "procedural"))
+    return wiki.conflict_members(asked, positive, negative, ("memory_type", "scope"))
+
+
 def with_conflict_tags(items: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """items, those of a contradiction tagged `potential-conflict`; tags stay sorted and each once."""
-    hit = contradictions.select(F.col("first_id").alias("id")).unionByName(contradictions.select(F.col("second_id").alias("id"))).distinct().withColumn("_hit", F.lit(True))
+    """items, those of a contradiction (pairs of ids, or ids) tagged `potential-conflict`; tags stay sorted and each once."""
+    ids = contradictions if "id" in contradictions.columns else contradictions.select(F.explode(F.array("first_id", "second_id")).alias("id"))
+    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
     rows = items.join(hit, "id", "left")
     tags = F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("potential-conflict"))))
     return rows.withColumn("tags", F.when(F.col("_hit"), tags).otherwise(F.col("tags"))).drop("_hit")

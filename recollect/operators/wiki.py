@@ -324,10 +324,21 @@ def page_warnings(issues: DataFrame, most: int = 6) -> DataFrame:
     return rows.filter(F.col("warning_no") <= most).select("page_key", "warning_no", "issue_type", "subject", "other")
 
 
-def _taking_sides(items: DataFrame, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
-    """(topic, project_key, word, polarity, id) of memories that ask for or forbid something, a row for each topic and title word."""
+def _taking_sides(items: DataFrame, positive: Sequence[str], negative: Sequence[str], *more: str) -> DataFrame:
+    """(topic, project_key, word, polarity, id, more...) of memories that ask for or forbid something, a row for each topic and title word."""
     rows = items.withColumn("polarity", polarity(F.concat_ws(" ", "summary", "details"), positive, negative)).filter("polarity <> 0")
-    return with_topics(rows).select("topic", "project_key", F.explode(token_set("title")).alias("word"), "polarity", "id")
+    return with_topics(rows).select("topic", "project_key", F.explode(token_set("title")).alias("word"), "polarity", "id", *more)
+
+
+def conflict_members(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE, same: Sequence[str] = ()) -> DataFrame:
+    """(id) of the memories that are in a conflict with one that has equal values in the columns `same`. No pair is made."""
+    sides = _taking_sides(items, positive, negative, *same)
+    key = ["topic", "project_key", "word", *same]
+    both = sides.groupBy(*key).agg(F.min("polarity").alias("_min"), F.max("polarity").alias("_max")).filter("_min < _max").select(*(F.col(c).alias(f"_{c}") for c in key))
+    match = F.lit(True)
+    for c in key:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return sides.join(both, match, "left_semi").select("id").distinct()
 
 
 def conflict_groups(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import statistics
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.functions import vocabulary as V
-from recollect.operators import analytics, digest, distill, govern, index, search, vault, wiki
+from recollect.operators import analytics, assisted, digest, distill, govern, index, search, vault, wiki
 from recollect.sources.model import RAW_EVENT
 
 
@@ -403,3 +404,17 @@ def test_memory_files_are_read(spark, tmp_path):
     (tmp_path / "other.txt").write_text("{}")
     got = {r.id: r for r in read_memories(spark, str(tmp_path)).collect()}
     assert set(got) == {"m1", "m2"} and got["m1"].file_path.endswith("deep/m1.json") and got["m1"].modified_at
+
+
+def test_contradictions_without_pairs(spark, monkeypatch):
+    """Members of conflicts of one type and scope are those that pairs name, and no pairs are made for them."""
+    rng = random.Random(32)
+    rows = [(i, " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "epsilon"], 2)), rng.choice(["yes", "never", "plain"]), rng.choice(["profile", "procedural", "semantic"]), rng.choice(["global", "project", None]), rng.choice([None, "p"]), [rng.choice(["x", "y"])]) for i in range(120)]
+    items = spark.createDataFrame(rows, "id long, title string, summary string, memory_type string, scope string, project_key string, tags array<string>").withColumn("details", F.lit(""))
+    pairs = assisted.model_contradictions(wiki.conflicts(items, ("yes",), ("never",)), items).collect()
+    want = {i for r in pairs for i in (r.first_id, r.second_id)}
+    monkeypatch.setattr(wiki, "conflicting_pairs", None)
+    found = assisted.contradicting(items, ("yes",), ("never",))
+    assert {r.id for r in found.collect()} == want and 0 < len(want) < 80
+    tagged = assisted.with_conflict_tags(items, found).filter("array_contains(tags, 'potential-conflict')")
+    assert {r.id for r in tagged.collect()} == want
