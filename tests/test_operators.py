@@ -406,6 +406,24 @@ def test_memory_files_are_read(spark, tmp_path):
     assert set(got) == {"m1", "m2"} and got["m1"].file_path.endswith("deep/m1.json") and got["m1"].modified_at
 
 
+def test_edges_by_two_shared_words(spark):
+    """Each pair that shares two title words is made once, pairs of one shared word never; words of one id in several rows count together."""
+    rng = random.Random(31)
+    title = lambda: " ".join(rng.choice(["the", "of", "a", "b", "c", *(f"w{i}" for i in range(30))]) for _ in range(rng.randrange(9)))
+    ds = [(f"d{i}", title(), "p") for i in range(60)]
+    ms = [(i, title(), "p") for i in range(80)] + [(7, title(), "p"), (9, title(), "p"), (200, None, "p")]
+    d = spark.createDataFrame(ds, "id string, title string, related_project string").withColumn("insights", F.array().cast("array<string>")).withColumn("fragments", F.array().cast("array<string>"))
+    m = spark.createDataFrame(ms, "id long, title string, project_key string").withColumn("summary", F.lit("")).withColumn("details", F.lit("")).withColumn("tags", F.array().cast("array<string>"))
+    want = {}
+    for i, t, _ in ds:
+        for j, u, _ in ms:
+            want[i, str(j)] = want.get((i, str(j)), 0) + len(set(t.split()) & set((u or "").split()))
+    got = digest.edges(d, m, by_project=False)
+    assert sorted((r.digest_id, r.memory_id) for r in got.collect()) == sorted(k for k, n in want.items() if n >= 2)
+    unique = digest._sharing_words(d.select(F.col("id").alias("digest_id"), F.split("title", " ").alias("dw")).limit(0), m.select(F.col("id").alias("memory_id"), F.split("title", " ").alias("mw")).limit(0))
+    assert "Aggregate" not in unique._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contradictions_without_pairs(spark, monkeypatch):
     """Members of conflicts of one type and scope are those that pairs name, and no pairs are made for them."""
     rng = random.Random(32)
