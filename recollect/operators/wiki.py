@@ -367,8 +367,24 @@ def conflicting_pairs(groups: DataFrame) -> DataFrame:
 
 def conflicts(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:
     """(topic, first_id, second_id): memories of one topic and project whose titles share a word and of which one asks for
-    what the other forbids. Pairs that agree are never made; for output that grows with the memories see conflict_groups."""
-    return conflicting_pairs(conflict_groups(items, positive, negative))
+    what the other forbids. Pairs that agree are never made; for output that grows with the memories see conflict_groups.
+
+    A pair is taken at the least word that its titles share, so pairs aren't shuffled to be told apart (only where an id has
+    several rows). Those that ask are dealt into parts of MEMBERS or so; those that forbid go to each part of their group.
+    """
+    rows = items.withColumn("polarity", polarity(F.concat_ws(" ", "summary", "details"), positive, negative)).filter("polarity <> 0")
+    rows = with_topics(rows.withColumn("_w", F.array_sort(token_set("title")))).withColumn("project", F.coalesce("project_key", F.lit("\u0000")))
+    words = F.transform("_w", lambda w, i: F.struct(w.alias("word"), F.slice("_w", 1, i).alias("before")))
+    sides = stored(rows.select("topic", "project", "polarity", "id", F.inline(words)), "sides")
+    key = ["topic", "project", "word"]
+    sizes = sides.groupBy(*key).agg(F.count_if(F.col("polarity") == 1).alias("asking"), F.count_if(F.col("polarity") == -1).alias("forbidding")).filter("asking > 0 and forbidding > 0")
+    held = sides.join(sizes.select(*key, F.ceil(F.col("asking") / MEMBERS).cast("long").alias("parts")), key)
+    yes = held.filter("polarity = 1").select(*key, F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("yes"), F.col("before").alias("_yes"))
+    no = held.filter("polarity = -1").select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("no"), F.col("before").alias("_no"))
+    pairs = yes.join(no, [*key, "part"]).filter(~F.arrays_overlap("_yes", "_no"))
+    found = pairs.select("topic", F.least("yes", "no").alias("first_id"), F.greatest("yes", "no").alias("second_id"))
+    several = sides.select("id", "topic", "project", "polarity", F.size("before").alias("_n")).filter("_n = 0").groupBy("id", "topic").agg(F.count("*").alias("_c")).filter("_c > 1")
+    return found if several.isEmpty() else found.distinct()
 
 
 def conflict_issues(items: DataFrame, positive: Sequence[str] = V.POSITIVE, negative: Sequence[str] = V.NEGATIVE) -> DataFrame:

@@ -436,3 +436,22 @@ def test_contradictions_without_pairs(spark, monkeypatch):
     assert {r.id for r in found.collect()} == want and 0 < len(want) < 80
     tagged = assisted.with_conflict_tags(items, found).filter("array_contains(tags, 'potential-conflict')")
     assert {r.id for r in tagged.collect()} == want
+
+
+def test_conflicts_are_made_once(spark, monkeypatch):
+    """Each conflicting pair comes once, without a shuffle of pairs, whatever words titles share; ids of several rows too."""
+    monkeypatch.setattr(wiki, "MEMBERS", 3)
+    rng = random.Random(33)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(5))), rng.choice(["yes", "never", "plain"]), rng.choice([None, "p"]), rng.sample(["x", "y"], rng.randrange(3))) for i in range(90)]
+    for rows, shuffled in ((rows, False), (rows + [(i, *rows[i + 1][1:]) for i in range(20)], True)):
+        made = spark.createDataFrame(rows, "id long, title string, summary string, project_key string, tags array<string>").withColumn("details", F.lit(""))
+        want = set()
+        for i, t, p, k, tags in rows:
+            for j, u, q, m, more in rows:
+                if (p, q) == ("yes", "never") and k == m and set(t.split()) & set(u.split()):
+                    want |= {(x, min(i, j), max(i, j)) for x in set(tags) & set(more)}
+        found = wiki.conflicts(made, ("yes",), ("never",))
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate") == shuffled
