@@ -455,3 +455,12 @@ def test_conflicts_are_made_once(spark, monkeypatch):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
         assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate") == shuffled
+
+
+def test_titles_are_compared_once(spark):
+    """What follows the comparison of titles reads its pairs, and summaries are compared in the order of ids alone."""
+    rows = [{"title": "Use python logging", "summary": s} for s in ("tide", "diet", "tide")] + [{"title": "use python loggings", "summary": "diet"}]
+    found = wiki.duplicate_concepts(items(spark, rows))
+    assert "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.first_id, r.second_id): r.summary_ratio for r in found.collect()}
+    assert got == {(1, 2): 0.25, (1, 3): 1.0, (2, 3): 0.5, (1, 4): 0.25, (2, 4): 1.0, (3, 4): 0.25}
